@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # ---- fixed values: patterns and limits that must equal the reference's behaviour ----
 WS_CLASS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"      # Python's \s for str
@@ -24,6 +25,8 @@ PHONE = r"(?U)\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"
 MENTION = r"@(" + WORD_CLASS + r"+)"
 HASHTAG = r"#(" + WORD_CLASS + r"+)"
 CONTROL_ASCII = r"[\x00-\x1f\x7f]"             # category C with code <= 127
+# A run of whitespace that is not already one plain space (same result as WS+ -> ' ', fewer rewrites).
+WS_RUN = r"[\s\x0b\x1c-\x1f\x85\p{Z}]{2,}|[\t\n\x0b\f\r\x1c-\x1f\x85\p{Z}&&[^ ]]"
 MAX_TEXT_CHARS = 10000
 MAX_MODEL_CHARS = 512
 EMPTY_TEXT = "empty text"
@@ -35,7 +38,12 @@ def _c(col) -> Column:
 
 def collapse_whitespace(col) -> Column:
     """TXT1: any run of Unicode whitespace -> one space, then trim."""
-    return F.trim(F.regexp_replace(_c(col), WS_CLASS + "+", " "))
+    return F.trim(F.regexp_replace(_c(col), WS_RUN, " "))
+
+
+def strip_ws(col) -> Column:
+    """Python's str.strip(): remove leading and trailing Unicode whitespace."""
+    return F.regexp_replace(_c(col), "^" + WS_CLASS + "+|" + WS_CLASS + "+$", "")
 
 
 def strip_urls(col) -> Column:
@@ -65,9 +73,8 @@ def strip_phones(col) -> Column:
 
 def squeeze_punctuation(col) -> Column:
     """TXT7: !! -> !, ?? -> ?, four or more dots -> ..."""
-    c = F.regexp_replace(_c(col), r"!{2,}", "!")
-    c = F.regexp_replace(c, r"\?{2,}", "?")
-    return F.regexp_replace(c, r"\.{3,}", "...")
+    c = F.regexp_replace(_c(col), r"([!?])\1+", "$1")  # !!+ -> !, ??+ -> ? in one pass
+    return F.regexp_replace(c, r"\.{4,}", "...")
 
 
 def strip_control_chars(col) -> Column:
@@ -77,7 +84,7 @@ def strip_control_chars(col) -> Column:
 
 def clean_text(col) -> Column:
     """TXT9: whitespace, URLs, e-mails, mentions/hashtags, phones, punctuation, controls, whitespace."""
-    c = F.regexp_replace(_c(col), WS_CLASS + "+", " ")
+    c = F.regexp_replace(_c(col), WS_RUN, " ")
     c = strip_urls(c)
     c = strip_emails(c)
     c = unwrap_mentions_hashtags(c)
@@ -92,7 +99,7 @@ def lowercase_text(col) -> Column:
     return F.lower(_c(col))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v))
 
@@ -143,9 +150,6 @@ def word_tokens(col) -> Column:
 
 
 def char_ngrams(col, n: int = 3) -> Column:
-    """All overlapping character n-grams, in order; none for texts shorter than n."""
-    c = _c(col)
-    return F.when(
-        F.length(c) >= n,
-        F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, n)),
-    ).otherwise(F.array().cast("array<string>"))
+    """All overlapping character n-grams, in order; none for texts shorter than n.
+    One linear regex pass (a capturing lookahead), not n substring calls."""
+    return F.regexp_extract_all(_c(col), F.lit("(?s)(?=(.{%d}))" % n), 1)

@@ -73,6 +73,6 @@ def word_tokens(e: str) -> str:
 def char_ngrams(e: str, n: int = 3) -> str:
     return (
         f"(CASE WHEN length({e}) >= {n} THEN "
-        f"list_transform(range(1, length({e}) - {n - 2}), i -> substring({e}, i, {n})) "
+        f"list_transform(range(1, length({e}) - {n - 2}), lambda i: substring({e}, i, {n})) "
         f"ELSE []::VARCHAR[] END)"
     )
