@@ -163,10 +163,10 @@ def apply_translations(docs: DataFrame, translations: DataFrame, text_col: str,
     """LNG8: routed rows take a non-blank translation; missing/blank keeps the original text.
     The translation table is broadcast only under a measured row bound."""
     n = translations.count()
-    tr = bounded_broadcast(translations.select("src_key", "src_lang", "translated"), n)
+    tr = bounded_broadcast(translations.select("src_key", "src_lang", F.col("translated").alias("_tr")), n)
     d = docs.withColumn("_key", text_key(text_col)).withColumn("_route", route)
     cond = (F.col("_key") == F.col("src_key")) & (F.col(lang_col) == F.col("src_lang")) & F.col("_route")
     j = d.join(tr, cond, "left")
-    good = F.nullif(T.strip_ws(F.col("translated")), F.lit(""))
+    good = F.nullif(T.strip_ws(F.col("_tr")), F.lit(""))
     res = F.when(F.col("_route"), F.coalesce(good, F.col(text_col))).otherwise(F.col(text_col))
-    return j.withColumn(out, res).drop("_key", "_route", "src_key", "src_lang", "translated")
+    return j.withColumn(out, res).drop("_key", "_route", "src_key", "src_lang", "_tr")

@@ -51,6 +51,11 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus") != "O",
         F.timestamp_add("SECOND", F.col("o_orderkey") % 4000, F.col("o_orderdate")),
     )
+    total = (F.col("o_totalprice") / 1000).cast("long") + 1
+    processed = (F.when(F.col("o_orderstatus") == "F", total)
+                 .when(F.col("o_orderstatus") == "P", (total / 2).cast("long"))
+                 .otherwise((total / 3).cast("long")))
+    sizes = F.array(*[F.lit(x) for x in (1, 4, 8, 16, 64, 128, 256)])
     return o.select(
         F.col("o_orderkey").alias("job_id"),
         F.col("o_custkey").alias("user_id"),
@@ -59,6 +64,10 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").alias("started_at"),
         ended.alias("ended_at"),
         F.col("o_totalprice"),
+        F.element_at(sizes, (F.col("o_orderkey") % 7 + 1).cast("int")).alias("batch_size"),
+        total.alias("total_rows"),
+        processed.alias("processed_rows"),
+        (processed * 100.0 / total).alias("progress_pct"),
     )
 
 
@@ -81,9 +90,12 @@ def queue_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("job_id"),
         F.col("o_orderpriority").alias("queue"),
         status.alias("status"),
+        F.col("o_orderdate").alias("created_at"),
         F.col("o_orderdate").alias("started_at"),
         ended.alias("ended_at"),
         F.col("o_totalprice"),
+        F.format_string("total=%.2f", F.col("o_totalprice")).alias("result"),
+        F.lit(None).cast("string").alias("failure_info"),
     )
 
 
