@@ -65,7 +65,7 @@ def job_status_live(jobs: DataFrame, results: DataFrame, as_of, size: int = DEFA
         F.count(F.lit(1)).alias("total_rows"),
         F.count(F.when(F.col("created_at") <= now, F.lit(1))).alias("processed_rows"),
     )
-    j = jobs.join(agg, "job_id", "left").fillna(0, subset=["total_rows", "processed_rows"])
+    j = jobs.select("job_id", "status", "started_at").join(agg, "job_id", "left").fillna(0, subset=["total_rows", "processed_rows"])
     elapsed = F.unix_timestamp(now) - F.unix_timestamp("started_at")
     eta = F.when((F.col("status") == "processing") & (F.col("processed_rows") > 0),
                  F.try_divide(elapsed.cast("double"), F.col("processed_rows")) * (F.col("total_rows") - F.col("processed_rows")))

@@ -111,7 +111,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(*order_cols)
     return li.select(
         F.col("l_orderkey").alias("job_id"),
-        (F.row_number().over(w) - 1).alias("row_index"),
+        (F.row_number().over(w) - 1).cast("long").alias("row_index"),
         F.col("l_linenumber"),
         F.col("l_returnflag").alias("prediction"),
         (1 - F.col("l_discount")).alias("confidence"),
