@@ -23,9 +23,10 @@ def profile_text_table(df: DataFrame, text_column: str, row_index: str = "row_in
     """VAL1: one aggregation: row count, null count, max length, the first three texts by row index
     (collected only where row_index < 3, so the collect is bounded)."""
     if text_column not in df.columns:
-        return df.sparkSession.createDataFrame(
-            [(0, 0, None, ",".join(df.columns), [], False)],
-            "row_count long, null_count long, max_length int, columns string, sample_texts array<string>, has_column boolean")
+        return df.agg(F.count(F.lit(1)).alias("row_count")).select(
+            "row_count", F.lit(0).cast("long").alias("null_count"), F.lit(None).cast("int").alias("max_length"),
+            F.lit(",".join(x for x in df.columns if x != row_index)).alias("columns"),
+            F.array().cast("array<string>").alias("sample_texts"), F.lit(False).alias("has_column"))
     c = F.col(text_column)
     first = F.when(F.col(row_index) < SAMPLE_TEXTS, F.struct(F.col(row_index).alias("i"), c.alias("t")))
     g = df.agg(
@@ -34,7 +35,8 @@ def profile_text_table(df: DataFrame, text_column: str, row_index: str = "row_in
         F.max(F.length(c)).alias("max_length"),
         F.sort_array(F.collect_list(first)).alias("_first"),
     )
-    return g.select("row_count", "null_count", "max_length", F.lit(",".join(df.columns)).alias("columns"),
+    cols = [x for x in df.columns if x != row_index]
+    return g.select("row_count", "null_count", "max_length", F.lit(",".join(cols)).alias("columns"),
                     F.transform("_first", lambda s: s["t"]).alias("sample_texts"), F.lit(True).alias("has_column"))
 
 

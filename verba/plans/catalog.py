@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_text", "q_language", "q_models", "q_jobs"]
+_MODULES = ["q_text", "q_language", "q_models", "q_jobs", "q_people"]
 
 
 def _load():
