@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_text", "q_language", "q_models", "q_jobs", "q_people"]
+_MODULES = ["q_text", "q_language", "q_models", "q_jobs", "q_people", "q_streams"]
 
 
 def _load():

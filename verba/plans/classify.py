@@ -42,37 +42,42 @@ def resolve_selection(task: str, selection) -> list:
     return chosen
 
 
-def classify_table(spark: SparkSession, sf_dir: str, docs: DataFrame, task: str = "spam",
-                   temperature: float = 1.0, selection="all", enable_translation: bool = True,
-                   id_col: str = "doc_id", text_col: str = "text", n_partitions: int | None = None,
-                   models: list | None = None, lang_model=None, translations: DataFrame | None = None) -> DataFrame:
-    keys = resolve_selection(task, selection)
-    models = models or M.train_task_models(spark, sf_dir, task, keys)
-    models = [m for k in keys for m in models if m.key == k]
+def preprocess_table(spark: SparkSession, sf_dir: str, docs: DataFrame, lang_model=None,
+                     translations: DataFrame | None = None, enable_translation: bool = True,
+                     id_col: str = "doc_id", text_col: str = "text", n_partitions: int | None = None) -> DataFrame:
+    """TXT14 over a table: blank -> ''; else clean -> language (LNG4) -> translate (LNG7/8) -> normalise.
+    Returns (id, blank, language, model_text). One shuffle: the repartition of the cleaned text by id;
+    the language aggregation and the join back reuse that partitioning."""
     lang_model = lang_model or L.language_profiles(spark, sf_dir)
-    t = float(SC.T_MIN if temperature is None else temperature)
-    t = min(SC.T_MAX, max(SC.T_MIN, t))  # VAL6: clamp everywhere
-
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(
         F.col(id_col).alias("id"),
         T.is_blank(F.col(text_col)).alias("blank"),
         F.coalesce(T.clean_text(F.col(text_col)), F.lit("")).alias("cleaned"),
     ).repartition(n, "id")
-
-    # language of the cleaned text; the scoring groupBy reuses the id partitioning
     lang = L.detect_language_pipeline(base.select("id", "cleaned"), lang_model, "cleaned", ["id"], out="language")
-    lang = lang.select("id", "language")
-    d = base.join(lang, "id")
-
+    d = base.join(lang.select("id", "language"), "id")
     if enable_translation:
         tr = translations if translations is not None else L.translation_table(spark, sf_dir)
         d = L.apply_translations(d, tr, "cleaned", "language", L.route_for_translation("language", True),
                                  out="translated")
     else:
         d = d.withColumn("translated", F.col("cleaned"))
-    d = d.select("id", "blank", "language", T.normalize_text("translated").alias("model_text"))
+    return d.select("id", "blank", "language", T.normalize_text("translated").alias("model_text"))
+
+
+def classify_table(spark: SparkSession, sf_dir: str, docs: DataFrame, task: str = "spam",
+                   temperature: float = 1.0, selection="all", enable_translation: bool = True,
+                   id_col: str = "doc_id", text_col: str = "text", n_partitions: int | None = None,
+                   models: list | None = None, lang_model=None, translations: DataFrame | None = None) -> DataFrame:
+    keys = resolve_selection(task, selection)
+    models = models or M.train_task_models(spark, sf_dir, task, keys)
+    models = [m for k in keys for m in models if m.key == k]
+    lang_model = lang_model or L.language_profiles(spark, sf_dir)
+    t = float(SC.T_MIN if temperature is None else temperature)
+    t = min(SC.T_MAX, max(SC.T_MIN, t))  # VAL6: clamp everywhere
 
+    d = preprocess_table(spark, sf_dir, docs, lang_model, translations, enable_translation, id_col, text_col, n_partitions)
     scored = M.score_nb(d, models, "model_text", ["id", "blank", "language"])
     arrays = [SC.rescale_probabilities(f"probs_{i}", t) for i in range(len(models))]
     labels = models[0].labels
