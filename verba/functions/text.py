@@ -104,10 +104,24 @@ def _nfkd(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v))
 
 
+@F.pandas_udf(StringType())
+def _lower_nfkd(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v.lower()))
+
+
+NON_ASCII = r"[^\x00-\x7f]"
+
+
 def nfkd_normalize(col) -> Column:
     """TXT11: Unicode NFKD (no Spark built-in); Arrow-batched. Pure-ASCII rows skip Python work."""
     c = _c(col)
-    return F.when(c.rlike(r"[^\x00-\x7f]"), _nfkd(c)).otherwise(c)
+    return F.when(c.rlike(NON_ASCII), _nfkd(c)).otherwise(c)
+
+
+def lower_nfkd(col) -> Column:
+    """lower then NFKD: ASCII rows stay in the JVM; the rest do both steps in one Arrow batch call."""
+    c = _c(col)
+    return F.when(c.rlike(NON_ASCII), _lower_nfkd(c)).otherwise(F.lower(c))
 
 
 def truncate_at_word(col, limit: int = MAX_MODEL_CHARS) -> Column:
@@ -121,7 +135,7 @@ def truncate_at_word(col, limit: int = MAX_MODEL_CHARS) -> Column:
 
 def normalize_text(col) -> Column:
     """TXT13: lower -> NFKD -> whitespace -> 'empty text' -> truncate."""
-    c = collapse_whitespace(nfkd_normalize(F.lower(_c(col))))
+    c = collapse_whitespace(lower_nfkd(col))
     c = F.when(c == "", F.lit(EMPTY_TEXT)).otherwise(c)
     return truncate_at_word(c)
 

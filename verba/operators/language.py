@@ -67,9 +67,12 @@ class LanguageModel:
     n_features: int
 
 
-def train_language_profiles(corpus: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """LNG1: per-language trigram counts with add-one smoothing, as a dense weight row per gram."""
-    src = corpus.select(F.col(lang_col).alias("lang"), pipeline_detector_text(T.clean_text(F.col(text_col))).alias("t"))
+def train_language_profiles(corpus: DataFrame, text_col: str = "text", lang_col: str = "lang",
+                            cleaned_col: str | None = None) -> LanguageModel:
+    """LNG1: per-language trigram counts with add-one smoothing, as a dense weight row per gram.
+    ``cleaned_col`` names an already-cleaned text column (skips TXT9)."""
+    cleaned = F.col(cleaned_col) if cleaned_col else T.clean_text(F.col(text_col))
+    src = corpus.select(F.col(lang_col).alias("lang"), pipeline_detector_text(cleaned).alias("t"))
     src = src.filter(F.col("lang").isNotNull())
     per_lang = src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(per_lang) > MAX_LANGUAGES:
@@ -78,14 +81,18 @@ def train_language_profiles(corpus: DataFrame, text_col: str = "text", lang_col:
     N = sum(r["n"] for r in per_lang)
     log_priors = [math.log((r["n"] + 1) / (N + len(classes))) for r in per_lang]
     ex = src.select("lang", F.explode(detector_grams("t")).alias("g"))
-    counts = materialize(ex.groupBy("g").pivot("lang", classes).count().fillna(0, subset=classes))
+    # one aggregation with a count per class (a pivot would add a second aggregation and shuffle)
+    counts = materialize(ex.groupBy("g").agg(*[F.count_if(F.col("lang") == c).alias(c) for c in classes]))
     agg = counts.agg(F.count(F.lit(1)).alias("V"), *[F.sum(F.col(c)).alias(f"T{i}") for i, c in enumerate(classes)]).first()
     V = int(agg["V"])
     w = F.array(*[F.log((F.col(c) + 1) / F.lit(float(int(agg[f"T{i}"] or 0) + V))) for i, c in enumerate(classes)])
     return LanguageModel(classes, log_priors, counts.select("g", w.alias("w")), V)
 
 
-def language_profiles(spark: SparkSession, sf_dir: str) -> LanguageModel:
+def language_profiles(spark: SparkSession, sf_dir: str, cleaned_docs: DataFrame | None = None) -> LanguageModel:
+    """Profiles from the labelled corpus (documents, training split doc_id % 5 != 0)."""
+    if cleaned_docs is not None:
+        return train_language_profiles(cleaned_docs.filter(F.col("doc_id") % 5 != 0), cleaned_col="cleaned")
     docs = load(spark, sf_dir, "documents").filter(F.col("doc_id") % 5 != 0)
     return train_language_profiles(docs)
 
@@ -93,7 +100,7 @@ def language_profiles(spark: SparkSession, sf_dir: str) -> LanguageModel:
 def score_languages(docs: DataFrame, model: LanguageModel, detector_text: str, keep: list) -> DataFrame:
     """LNG2: sum of gram log weights + prior per language; argmax, first language (sorted) wins a tie.
     Adds ``detected`` (null when the text has no grams in the profile vocabulary) and ``lang_scores``."""
-    ex = docs.select(*keep, F.explode_outer(detector_grams(detector_text)).alias("g"))
+    ex = docs.select(*keep, F.explode_outer(detector_grams(detector_text)).alias("g"))  # keep: keys only
     j = ex.join(bounded_broadcast(model.weights, model.n_features), "g", "left")
     k = len(model.classes)
     g = j.groupBy(*keep).agg(
@@ -119,9 +126,10 @@ def detect_language_pipeline(docs: DataFrame, model: LanguageModel, cleaned_col:
     d = docs.withColumn("_dt", pipeline_detector_text(cleaned_col))
     short = (F.length(F.trim(F.col(cleaned_col))) < 10) | (F.length("_dt") < 5)
     d = d.withColumn("_dt", F.when(short, F.lit(None).cast("string")).otherwise(F.col("_dt")))
-    scored = score_languages(d, model, "_dt", keep + [cleaned_col])
+    # only the keys travel through the gram explode; the text itself never does
+    scored = score_languages(d.select(*keep, "_dt"), model, "_dt", keep)
     lang = F.when(F.col("detected").isNull(), F.lit(UNKNOWN)).otherwise(map_language_code("detected"))
-    return scored.select(*keep, cleaned_col, lang.alias(out))
+    return scored.select(*keep, lang.alias(out))
 
 
 def detect_language_request(docs: DataFrame, model: LanguageModel, raw_col: str, keep: list,
@@ -129,7 +137,7 @@ def detect_language_request(docs: DataFrame, model: LanguageModel, raw_col: str,
     """LNG3 on raw text: under 3 characters after clean-up -> en; no grams -> en; codes unmapped."""
     d = docs.withColumn("_dt", request_detector_text(raw_col))
     d = d.withColumn("_dt", F.when(F.length("_dt") < 3, F.lit(None).cast("string")).otherwise(F.col("_dt")))
-    scored = score_languages(d, model, "_dt", keep)
+    scored = score_languages(d.select(*keep, "_dt"), model, "_dt", keep)
     return scored.select(*keep, F.coalesce(F.col("detected"), F.lit(REQUEST_DEFAULT)).alias(out))
 
 
@@ -148,11 +156,12 @@ def text_key(col) -> Column:
     return F.sha2(_c(col), 256)
 
 
-def translation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def translation_table(spark: SparkSession, sf_dir: str, cleaned_docs: DataFrame | None = None) -> DataFrame:
     """FIXTURES §3 stand-in for the remote translator, keyed by (sha256 of cleaned text, language):
     doc_id % 3 = 0 -> 'en: ' + first 200 characters; 1 -> blank; 2 -> absent. One row per key."""
-    d = load(spark, sf_dir, "documents").filter((F.col("lang") != "en") & (F.col("doc_id") % 3 != 2))
-    cleaned = T.clean_text("text")
+    src = cleaned_docs if cleaned_docs is not None else load(spark, sf_dir, "documents")
+    d = src.filter((F.col("lang") != "en") & (F.col("doc_id") % 3 != 2))
+    cleaned = F.col("cleaned") if cleaned_docs is not None else T.clean_text("text")
     tr = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("en: "), F.substring(cleaned, 1, 200))).otherwise(F.lit("  "))
     rows = d.select(text_key(cleaned).alias("src_key"), F.col("lang").alias("src_lang"), "doc_id", tr.alias("translated"))
     return rows.groupBy("src_key", "src_lang").agg(F.min_by("translated", "doc_id").alias("translated"))

@@ -67,10 +67,15 @@ def model_text(col) -> Column:
     return T.normalize_text(T.clean_text(col))
 
 
-def task_corpus(spark: SparkSession, sf_dir: str, task: str, train: bool = True) -> DataFrame:
-    """labels joined to documents; raw class per FIXTURES §3. train: doc_id % 5 != 0, else the held-out fifth."""
+def task_corpus(spark: SparkSession, sf_dir: str, task: str, train: bool = True,
+                cleaned_docs: DataFrame | None = None) -> DataFrame:
+    """labels joined to documents; raw class per FIXTURES §3. train: doc_id % 5 != 0, else the held-out fifth.
+    With ``cleaned_docs`` the corpus also carries the already-cleaned text as ``cleaned``."""
     lab = load(spark, sf_dir, "labels")
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    if cleaned_docs is not None:
+        docs = cleaned_docs.select("doc_id", "text", "cleaned")
+    else:
+        docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     if task == "spam":
         raw = F.when(F.col("quality") == 0, "LABEL_1").otherwise("LABEL_0")
     elif task == "sentiment":
@@ -78,7 +83,8 @@ def task_corpus(spark: SparkSession, sf_dir: str, task: str, train: bool = True)
     else:
         raise ValueError(task)
     split = (F.col("doc_id") % 5 != 0) if train else (F.col("doc_id") % 5 == 0)
-    return lab.filter(split).join(docs, "doc_id").select("doc_id", raw.alias("label"), "text")
+    extra = ["cleaned"] if cleaned_docs is not None else []
+    return lab.filter(split).join(docs, "doc_id").select("doc_id", raw.alias("label"), "text", *extra)
 
 
 def featurize(kind: str, text_col) -> Column:
@@ -107,7 +113,7 @@ def train_nb(corpus: DataFrame, kind: str, classes: list, task: str = "", key: s
              text_col: str = "text", mean: bool = True) -> NBModel:
     """corpus: (label, <text_col>) with raw text. Multinomial NB with add-one smoothing."""
     feats = corpus.select("label", F.explode(featurize(kind, model_text(F.col(text_col)))).alias("f"))
-    counts = feats.groupBy("f").pivot("label", classes).count().fillna(0, subset=classes)
+    counts = feats.groupBy("f").agg(*[F.count_if(F.col("label") == c).alias(c) for c in classes])
     counts = materialize(counts)
     agg = counts.agg(F.count(F.lit(1)).alias("V"), *[F.sum(F.col(c)).alias(f"T{i}") for i, c in enumerate(classes)]).first()
     V = int(agg["V"])
@@ -122,12 +128,37 @@ def train_nb(corpus: DataFrame, kind: str, classes: list, task: str = "", key: s
                    [output_label(task, c) for c in classes])
 
 
-def train_task_models(spark: SparkSession, sf_dir: str, task: str, keys: list | None = None) -> list:
-    corpus = task_corpus(spark, sf_dir, task).cache()
+def train_task_models(spark: SparkSession, sf_dir: str, task: str, keys: list | None = None,
+                      cleaned_docs: DataFrame | None = None) -> list:
+    """Train every (selected) model of a task in ONE pass over the corpus: model text is derived
+    once, (model, feature, label) pairs are counted by one ``groupBy(m, f).pivot(label)`` with
+    map-side partial aggregation, and the count table is checkpointed once."""
+    specs = [(key, kind) for t, key, _d, kind in REGISTRY if t == task and (keys is None or key in keys)]
+    classes = TASK_CLASSES[task]
+    corpus = task_corpus(spark, sf_dir, task, cleaned_docs=cleaned_docs)
+    mt = T.normalize_text(F.col("cleaned")) if cleaned_docs is not None else model_text(F.col("text"))
+    corpus = corpus.select("label", mt.alias("mt"))
+
+    def tag(i):
+        return lambda f: F.struct(F.lit(i).alias("m"), f.alias("f"))
+
+    pairs = F.concat(*[F.transform(featurize(kind, F.col("mt")), tag(i)) for i, (_k, kind) in enumerate(specs)])
+    ex = corpus.select("label", F.explode(pairs).alias("p")).select("label", "p.m", "p.f")
+    counts = materialize(ex.groupBy("m", "f").agg(*[F.count_if(F.col("label") == c).alias(c) for c in classes]))
+    stats = {r["m"]: r for r in counts.groupBy("m").agg(
+        F.count(F.lit(1)).alias("V"), *[F.sum(F.col(c)).alias(f"T{i}") for i, c in enumerate(classes)]).collect()}
+    per_class = {r["label"]: r["n"] for r in corpus.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    N = sum(per_class.get(c, 0) for c in classes)
+    log_priors = [math.log((per_class.get(c, 0) + 1) / (N + len(classes))) for c in classes]
     models = []
-    for t, key, _disp, kind in REGISTRY:
-        if t == task and (keys is None or key in keys):
-            models.append(train_nb(corpus, kind, TASK_CLASSES[task], task, key))
+    for i, (key, kind) in enumerate(specs):
+        st = stats.get(i)
+        V = int(st["V"]) if st else 0
+        totals = [int((st[f"T{k}"] if st else 0) or 0) for k in range(len(classes))]
+        w = F.array(*[F.log((F.col(c) + 1) / F.lit(float(totals[k] + V))) for k, c in enumerate(classes)])
+        weights = counts.filter(F.col("m") == i).select("f", w.alias("w"))
+        models.append(NBModel(task, key, kind, list(classes), log_priors, weights, V, True,
+                              [output_label(task, c) for c in classes]))
     return models
 
 

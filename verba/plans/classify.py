@@ -21,6 +21,7 @@ from verba.functions import text as T
 from verba.operators import ensemble as E
 from verba.operators import language as L
 from verba.operators import models as M
+from verba.sources import tables as TB
 
 FAILED_LABEL = "unknown"
 
@@ -50,10 +51,11 @@ def preprocess_table(spark: SparkSession, sf_dir: str, docs: DataFrame, lang_mod
     the language aggregation and the join back reuse that partitioning."""
     lang_model = lang_model or L.language_profiles(spark, sf_dir)
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cleaned = F.col("cleaned") if "cleaned" in docs.columns else T.clean_text(F.col(text_col))
     base = docs.select(
         F.col(id_col).alias("id"),
         T.is_blank(F.col(text_col)).alias("blank"),
-        F.coalesce(T.clean_text(F.col(text_col)), F.lit("")).alias("cleaned"),
+        F.coalesce(cleaned, F.lit("")).alias("cleaned"),
     ).repartition(n, "id")
     lang = L.detect_language_pipeline(base.select("id", "cleaned"), lang_model, "cleaned", ["id"], out="language")
     d = base.join(lang.select("id", "language"), "id")
@@ -69,11 +71,19 @@ def preprocess_table(spark: SparkSession, sf_dir: str, docs: DataFrame, lang_mod
 def classify_table(spark: SparkSession, sf_dir: str, docs: DataFrame, task: str = "spam",
                    temperature: float = 1.0, selection="all", enable_translation: bool = True,
                    id_col: str = "doc_id", text_col: str = "text", n_partitions: int | None = None,
-                   models: list | None = None, lang_model=None, translations: DataFrame | None = None) -> DataFrame:
+                   models: list | None = None, lang_model=None, translations: DataFrame | None = None,
+                   cleaned_docs: DataFrame | None = None) -> DataFrame:
+    """``cleaned_docs``: the training documents with their cleaned text (``cleaned_documents``);
+    built here when a model, the profiles or the translation table must be trained."""
     keys = resolve_selection(task, selection)
-    models = models or M.train_task_models(spark, sf_dir, task, keys)
+    prepared = cleaned_docs
+    if prepared is None and (models is None or lang_model is None or (enable_translation and translations is None)):
+        prepared = TB.cleaned_documents(spark, sf_dir)
+    models = models or M.train_task_models(spark, sf_dir, task, keys, cleaned_docs=prepared)
     models = [m for k in keys for m in models if m.key == k]
-    lang_model = lang_model or L.language_profiles(spark, sf_dir)
+    lang_model = lang_model or L.language_profiles(spark, sf_dir, cleaned_docs=prepared)
+    if enable_translation and translations is None:
+        translations = L.translation_table(spark, sf_dir, cleaned_docs=prepared)
     t = float(SC.T_MIN if temperature is None else temperature)
     t = min(SC.T_MAX, max(SC.T_MIN, t))  # VAL6: clamp everywhere
 

@@ -152,8 +152,9 @@ def q_pick_best_label(spark, sf):
 
 
 def q_classify_table(spark, sf):
-    docs = load(spark, sf, "documents")
-    r = C.classify_table(spark, sf, docs, task="spam", temperature=1.0)
+    from verba.sources.tables import cleaned_documents
+    docs = cleaned_documents(spark, sf)  # one cleaning pass, shared by training and classification
+    r = C.classify_table(spark, sf, docs, task="spam", temperature=1.0, cleaned_docs=docs)
     return r.select("doc_id", "prediction", SC.round6("confidence").alias("confidence"), "language", "is_ensemble",
                     F.array_join("models_used", ",").alias("models_used"))
 

@@ -122,3 +122,14 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linestatus"),
         F.col("l_quantity"),
     )
+
+
+def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents plus their cleaned text (TXT9), written once to the shared checkpoint folder so that
+    language profiles, the translation table, model corpora and classification all reuse one
+    regex pass over the texts."""
+    from verba.functions.text import clean_text
+    from verba.session import materialize
+
+    d = load(spark, sf_dir, "documents")
+    return materialize(d.select("doc_id", "text", "lang", clean_text("text").alias("cleaned")))
