@@ -18,23 +18,25 @@ KNOWN_METHODS = ("average",)
 
 def ensemble_long(scores: DataFrame, id_cols: list, method: str = "average") -> DataFrame:
     """ENS1/ENS2/ENS4 in long form. Rows with a null score are failed models and are left out.
+    One groupBy per id: the group holds (models x labels) entries, bounded by the label sets,
+    and the average, the union of labels and the pick are array expressions on it.
     Returns one row per id: prediction, confidence, n_models, method_used, fallback.
     Ties: score desc, then label asc."""
     ok = scores.filter(F.col("score").isNotNull())
-    # Both aggregations are keyed by id first; repartitioning once on id lets them share the shuffle.
-    ok = ok.repartition(*id_cols)
-    n = ok.groupBy(*id_cols).agg(F.countDistinct("model").alias("n_models"))
-    summed = ok.groupBy(*id_cols, "label").agg(F.sum("score").alias("s"))
-    avg = summed.join(n, id_cols).select(*id_cols, "label", (F.col("s") / F.col("n_models")).alias("score"), "n_models")
-    best = avg.groupBy(*id_cols).agg(
-        F.min_by(F.struct("label", "score"), F.struct((-F.col("score")).alias("ns"), F.col("label"))).alias("_b"),
-        F.first("n_models").alias("n_models"),
-    )
-    return best.select(
+    g = ok.groupBy(*id_cols).agg(F.collect_list(F.struct("model", "label", "score")).alias("r"))
+    n = F.size(F.array_distinct(F.transform("r", lambda x: x["model"])))
+    labels = F.array_sort(F.array_distinct(F.transform("r", lambda x: x["label"])))
+    avg = F.transform(labels, lambda lab: F.struct(
+        lab.alias("label"),
+        (F.aggregate(F.filter("r", lambda x: x["label"] == lab), F.lit(0.0), lambda a, x: a + x["score"]) / n)
+        .alias("score")))
+    first = F.element_at(avg, 1)
+    best = F.aggregate(avg, first, lambda acc, x: F.when(x["score"] > acc["score"], x).otherwise(acc))
+    return g.select(
         *id_cols,
-        F.col("_b.label").alias("prediction"),
-        F.col("_b.score").alias("confidence"),
-        "n_models",
+        best["label"].alias("prediction"),
+        best["score"].alias("confidence"),
+        n.alias("n_models"),
         F.lit("average").alias("method_used"),
         F.lit(method not in KNOWN_METHODS).alias("fallback"),
     )

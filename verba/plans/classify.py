@@ -21,6 +21,7 @@ from verba.functions import text as T
 from verba.operators import ensemble as E
 from verba.operators import language as L
 from verba.operators import models as M
+from verba.session import materialize
 from verba.sources import tables as TB
 
 FAILED_LABEL = "unknown"
@@ -45,8 +46,10 @@ def resolve_selection(task: str, selection) -> list:
 
 def preprocess_table(spark: SparkSession, sf_dir: str, docs: DataFrame, lang_model=None,
                      translations: DataFrame | None = None, enable_translation: bool = True,
-                     id_col: str = "doc_id", text_col: str = "text", n_partitions: int | None = None) -> DataFrame:
-    """TXT14 over a table: blank -> ''; else clean -> language (LNG4) -> translate (LNG7/8) -> normalise.
+                     id_col: str = "doc_id", text_col: str = "text", n_partitions: int | None = None,
+                     partitioned: bool = False) -> DataFrame:
+    """``partitioned``: docs are already hash-partitioned by ``id_col`` (e.g. ``cleaned_documents``).
+    TXT14 over a table: blank -> ''; else clean -> language (LNG4) -> translate (LNG7/8) -> normalise.
     Returns (id, blank, language, model_text). One shuffle: the repartition of the cleaned text by id;
     the language aggregation and the join back reuse that partitioning."""
     lang_model = lang_model or L.language_profiles(spark, sf_dir)
@@ -56,9 +59,15 @@ def preprocess_table(spark: SparkSession, sf_dir: str, docs: DataFrame, lang_mod
         F.col(id_col).alias("id"),
         T.is_blank(F.col(text_col)).alias("blank"),
         F.coalesce(cleaned, F.lit("")).alias("cleaned"),
-    ).repartition(n, "id")
-    lang = L.detect_language_pipeline(base.select("id", "cleaned"), lang_model, "cleaned", ["id"], out="language")
-    d = base.join(lang.select("id", "language"), "id")
+    )
+    if "cleaned" not in docs.columns:
+        # the cleaning regex chain runs once; both branches below read the written result
+        base = materialize(base)
+    # Both branches read the same columns of the repartitioned input, so the shuffle is shared.
+    lang = L.detect_language_pipeline(base, lang_model, "cleaned", ["id", "blank"], out="language")
+    # the text side is never broadcast (it grows with the input): a shuffle join on id,
+    # where the language side is one small row per document
+    d = base.hint("merge").join(lang.select("id", "blank", "language"), ["id", "blank"])
     if enable_translation:
         tr = translations if translations is not None else L.translation_table(spark, sf_dir)
         d = L.apply_translations(d, tr, "cleaned", "language", L.route_for_translation("language", True),
@@ -87,7 +96,9 @@ def classify_table(spark: SparkSession, sf_dir: str, docs: DataFrame, task: str
     t = float(SC.T_MIN if temperature is None else temperature)
     t = min(SC.T_MAX, max(SC.T_MIN, t))  # VAL6: clamp everywhere
 
-    d = preprocess_table(spark, sf_dir, docs, lang_model, translations, enable_translation, id_col, text_col, n_partitions)
+    partitioned = cleaned_docs is not None and docs is cleaned_docs
+    d = preprocess_table(spark, sf_dir, docs, lang_model, translations, enable_translation, id_col, text_col,
+                         n_partitions, partitioned=partitioned)
     scored = M.score_nb(d, models, "model_text", ["id", "blank", "language"])
     arrays = [SC.rescale_probabilities(f"probs_{i}", t) for i in range(len(models))]
     labels = models[0].labels

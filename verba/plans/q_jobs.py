@@ -175,9 +175,12 @@ def q_read_csv_texts(spark, sf):
 def q_read_request_texts(spark, sf):
     path = IO.scratch_path(spark, "requests")
     c = load(spark, sf, "conversations")
-    # a request holds one conversation's texts (bounded by the 100-texts-per-request rule)
-    req = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    req.select(F.col("conv_id").alias("request_id"), F.col("t.text").alias("texts")).write.mode("overwrite").json(path)
+    # a request carries at most 100 texts (VAL3), so a long conversation becomes several requests
+    # and no collected list is ever larger than 100 items
+    chunk = F.floor(F.col("turn") / 100)
+    req = c.groupBy("conv_id", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    req.select((F.col("conv_id") * 1000000 + F.col("chunk")).alias("request_id"), F.col("t.text").alias("texts")) \
+        .write.mode("overwrite").json(path)
     back = IO.read_request_texts(spark, path)
     return back.select("request_id", "pos", IO.text_hash("text").alias("h"))
 
@@ -341,8 +344,8 @@ ORACLES = {
         f"{list(J.WORKER_STEPS['classify_text'])}[step] AS status, events FROM r WHERE rk = 1"),
     "read_csv_texts": "SELECT doc_id, length(text) AS n, sha256(text) AS h FROM documents",
     "read_request_texts": (
-        "SELECT conv_id AS request_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, "
-        "sha256(text) AS h FROM conversations"),
+        "SELECT conv_id * 1000000 + turn // 100 AS request_id, CAST(row_number() OVER (PARTITION BY conv_id, turn // 100 "
+        "ORDER BY turn) - 1 AS INTEGER) AS pos, sha256(text) AS h FROM conversations"),
     "select_csv_files": "SELECT doc_id, n_chars FROM documents",
     "assign_row_index": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents",
     "write_results": (

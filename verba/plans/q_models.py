@@ -21,20 +21,20 @@ def _docs_model_text(spark, sf):
 
 
 def _task_scores(spark, sf, task, temps=(1.0,), keys=None):
-    """Long form (doc_id, model_key, t, pos, label, score) for the task's models."""
-    models = M.train_task_models(spark, sf, task, keys)
-    s = M.score_nb(_docs_model_text(spark, sf), models, "mt", ["doc_id"])
+    """Long form (doc_id, model_key, t, pos, label, score) for the task's models.
+    One cleaning pass (materialized) feeds training and scoring; every (model, T) pair comes
+    out of ONE projection and one explode, so the scoring plan runs once."""
+    from verba.sources.tables import cleaned_documents
+    prepared = cleaned_documents(spark, sf)
+    models = M.train_task_models(spark, sf, task, keys, cleaned_docs=prepared)
+    docs = prepared.select("doc_id", T.normalize_text("cleaned").alias("mt"))
+    s = M.score_nb(docs, models, "mt", ["doc_id"])
     lab = F.array(*[F.lit(x) for x in models[0].labels])
-    parts = []
-    for i, m in enumerate(models):
-        for t in temps:
-            parts.append(s.select(
-                "doc_id", F.lit(m.key).alias("model_key"), F.lit(t).alias("t"),
-                F.posexplode(SC.rescale_probabilities(f"probs_{i}", t)).alias("pos", "score"),
-            ))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    combos = [F.struct(F.lit(m.key).alias("model_key"), F.lit(float(t)).alias("t"),
+                       SC.rescale_probabilities(f"probs_{i}", t).alias("sc"))
+              for i, m in enumerate(models) for t in temps]
+    out = s.select("doc_id", F.explode(F.array(*combos)).alias("c")).select(
+        "doc_id", "c.model_key", "c.t", F.posexplode("c.sc").alias("pos", "score"))
     return out.withColumn("label", F.element_at(lab, F.col("pos") + 1))
 
 
@@ -119,11 +119,10 @@ def q_score_topic_zero_shot(spark, sf):
     s = M.score_topics(emb, protos, ["vec_id"])
     lab = F.array(*[F.lit(x) for x in M.TOPIC_LABELS])
     keys = [k for t, k, _d, _x in M.REGISTRY if t == "topic"]
-    parts = []
-    for i, key in enumerate(keys):
-        sc = SC.rescale_probabilities(f"probs_{i}", 1.0)
-        parts.append(s.select("vec_id", F.lit(key).alias("model_key"), F.posexplode(sc).alias("pos", "score")))
-    out = parts[0].unionByName(parts[1])
+    combos = [F.struct(F.lit(key).alias("model_key"), SC.rescale_probabilities(f"probs_{i}", 1.0).alias("sc"))
+              for i, key in enumerate(keys)]
+    out = s.select("vec_id", F.explode(F.array(*combos)).alias("c")).select(
+        "vec_id", "c.model_key", F.posexplode("c.sc").alias("pos", "score"))
     from pyspark.sql import Window
     w = Window.partitionBy("vec_id", "model_key").orderBy(F.desc("score"), "pos")
     return out.select("vec_id", "model_key", F.row_number().over(w).alias("rank"),

@@ -8,6 +8,7 @@ from verba.functions import scores as SC
 from verba.plans import classify as C
 from verba.plans import q_models as QM
 from verba.plans.q_jobs import RESULTS_SQL
+from verba.session import materialize
 from verba.sources import tables as TB
 from verba.sources.tables import load
 from verba.streaming import streams as ST
@@ -27,7 +28,8 @@ def q_stream_classify(spark, sf):
 
 def q_stream_job_progress(spark, sf):
     res = TB.results(spark, sf).select("job_id", "row_index", "error_message")
-    totals = res.groupBy("job_id").agg(F.count(F.lit(1)).alias("total_rows"))
+    # static side of the stream-static join: computed once, not once per micro-batch
+    totals = materialize(res.groupBy("job_id").agg(F.count(F.lit(1)).alias("total_rows")))
     r = ST.stream_job_progress(spark, res, totals)
     return r.select("job_id", "processed_rows", "failed_rows", "total_rows", SC.round6("progress_pct").alias("progress_pct"))
 
