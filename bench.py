@@ -17,6 +17,26 @@ HEADLINE = ["classify_table", "ensemble_average", "score_languages", "batch_prog
             "clean_text", "job_status_live"]
 
 
+def classify_apply_only(spark, sf_dir: str) -> float:
+    """The flagship with its models, language profiles and translation table trained beforehand
+    (the reference's models are pretrained): labelling cost alone. Reported, not summed."""
+    from verba.operators import language as L
+    from verba.operators import models as M
+    from verba.plans import classify as C
+    from verba.session import materialize
+    from verba.sources import tables as TB
+
+    docs = TB.cleaned_documents(spark, sf_dir)
+    models = M.train_task_models(spark, sf_dir, "spam", cleaned_docs=docs)
+    lang = L.language_profiles(spark, sf_dir, cleaned_docs=docs)
+    tr = materialize(L.translation_table(spark, sf_dir, cleaned_docs=docs))
+    raw = TB.load(spark, sf_dir, "documents")
+    t0 = time.time()
+    C.classify_table(spark, sf_dir, raw, models=models, lang_model=lang, translations=tr) \
+        .write.format("noop").mode("overwrite").save()
+    return round(time.time() - t0, 3)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -31,8 +51,11 @@ def main() -> None:
         t0 = time.time()
         qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
+    if not sys.argv[1:]:
+        times["classify_apply_only"] = classify_apply_only(spark, sf_dir)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
+    total = sum(v for k, v in times.items() if k != "classify_apply_only")
+    print(json.dumps({"metric": "headline_total", "value": round(total, 3), "unit": "sec",
                       "queries": times, "sf": sf, "cpus": int(cpus)}))
 
 

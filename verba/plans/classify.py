@@ -92,7 +92,8 @@ def classify_table(spark: SparkSession, sf_dir: str, docs: DataFrame, task: str
     models = [m for k in keys for m in models if m.key == k]
     lang_model = lang_model or L.language_profiles(spark, sf_dir, cleaned_docs=prepared)
     if enable_translation and translations is None:
-        translations = L.translation_table(spark, sf_dir, cleaned_docs=prepared)
+        # written once: its row count decides broadcast vs shuffle join, and the join reads it again
+        translations = materialize(L.translation_table(spark, sf_dir, cleaned_docs=prepared))
     t = float(SC.T_MIN if temperature is None else temperature)
     t = min(SC.T_MAX, max(SC.T_MIN, t))  # VAL6: clamp everywhere
 

@@ -24,8 +24,10 @@ def q_train_language_profiles(spark, sf):
 
 
 def q_score_languages(spark, sf):
-    m = L.language_profiles(spark, sf)
-    d = _docs(spark, sf).select("doc_id", "lang", L.pipeline_detector_text(T.clean_text("text")).alias("dt"))
+    from verba.sources.tables import cleaned_documents
+    docs = cleaned_documents(spark, sf)  # one cleaning pass shared by training and scoring
+    m = L.language_profiles(spark, sf, cleaned_docs=docs)
+    d = docs.select("doc_id", "lang", L.pipeline_detector_text("cleaned").alias("dt"))
     s = L.score_languages(d, m, "dt", ["doc_id", "lang"])
     return s.select("doc_id", "lang", "detected", "n_grams")
 
@@ -36,8 +38,10 @@ def q_detect_language_request(spark, sf):
 
 
 def q_detect_language_pipeline(spark, sf):
-    m = L.language_profiles(spark, sf)
-    d = _docs(spark, sf).select("doc_id", T.clean_text("text").alias("cleaned"))
+    from verba.sources.tables import cleaned_documents
+    docs = cleaned_documents(spark, sf)
+    m = L.language_profiles(spark, sf, cleaned_docs=docs)
+    d = docs.select("doc_id", "cleaned")
     return L.detect_language_pipeline(d, m, "cleaned", ["doc_id"]).select("doc_id", "language")
 
 
