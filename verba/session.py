@@ -61,3 +61,14 @@ def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = BROADCAST_MAX_RO
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if rows <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give per-row-heavy work (regex, n-grams, NFKD) at least one partition per core.
+    A round-robin repartition happens only when the scan yields fewer partitions than the
+    default parallelism (a small file with one row group); an input that is already split,
+    as any large table is, is returned unchanged and costs no shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n)
+    return df

@@ -11,8 +11,16 @@ TABLES = (
 ).split()
 
 
+# Tables whose rows carry long texts: per-row work on them is CPU-heavy.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES:
+        from verba.session import spread
+        return spread(df)
+    return df
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
