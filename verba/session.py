@@ -35,7 +35,10 @@ def get_spark(master: str | None = None, app: str = "verba", shuffle_partitions:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only a local session without one gets a temp dir."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Connect session: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -68,7 +71,9 @@ def spread(df: DataFrame) -> DataFrame:
     A round-robin repartition happens only when the scan yields fewer partitions than the
     default parallelism (a small file with one row group); an input that is already split,
     as any large table is, is returned unchanged and costs no shuffle."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        return df.repartition(n)
-    return df
+    try:
+        n = df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < n
+    except Exception:  # no RDD access (e.g. a Connect session): leave the layout to the server
+        return df
+    return df.repartition(n) if narrow else df
