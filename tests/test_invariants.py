@@ -75,3 +75,11 @@ def test_every_input_row_once(spark, sf):
     r = q_models.q_classify_table(spark, sf)
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert r.count() == n == r.select("doc_id").distinct().count()
+
+
+def test_available_models_map_form(spark):
+    from verba.operators import models as M
+    loaded = spark.createDataFrame([("spam",), ("topic",)], "task string")
+    rows = {r.task: r.models for r in M.available_models(M.registry_df(spark), loaded).collect()}
+    assert rows == {"spam": {"distilbert-sms": "Distilbert-base", "roberta-sms": "Roberta-base"},
+                    "topic": {"bart-mnli": "Bart-large", "deberta-nli": "Deberta-small"}}

@@ -60,6 +60,14 @@ def registry_df(spark: SparkSession) -> DataFrame:
     )
 
 
+def available_models(registry: DataFrame, loaded_tasks: DataFrame) -> DataFrame:
+    """MDL1 in the API's shape: per loaded task, a map model key -> display name
+    (the registry is a fixed handful of rows, so the per-task collect is bounded)."""
+    reg = registry.join(F.broadcast(loaded_tasks.select("task").distinct()), "task")
+    return reg.groupBy("task").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("model_key", "display_name")))).alias("models"))
+
+
 # ---------------------------------------------------------------- corpora
 
 def model_text(col) -> Column:
