@@ -83,3 +83,12 @@ def test_available_models_map_form(spark):
     rows = {r.task: r.models for r in M.available_models(M.registry_df(spark), loaded).collect()}
     assert rows == {"spam": {"distilbert-sms": "Distilbert-base", "roberta-sms": "Roberta-base"},
                     "topic": {"bart-mnli": "Bart-large", "deberta-nli": "Deberta-small"}}
+
+
+def test_processed_language_option(spark, sf):
+    from verba.plans import classify as C
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    r = C.classify_table(spark, sf, docs, report_processed_language=True)
+    rows = r.select("language", "detected_language").collect()
+    assert len(rows) == docs.count()
+    assert all(x.detected_language is not None for x in rows)

@@ -81,9 +81,12 @@ def classify_table(spark: SparkSession, sf_dir: str, docs: DataFrame, task: str
                    temperature: float = 1.0, selection="all", enable_translation: bool = True,
                    id_col: str = "doc_id", text_col: str = "text", n_partitions: int | None = None,
                    models: list | None = None, lang_model=None, translations: DataFrame | None = None,
-                   cleaned_docs: DataFrame | None = None) -> DataFrame:
+                   cleaned_docs: DataFrame | None = None, report_processed_language: bool = False) -> DataFrame:
     """``cleaned_docs``: the training documents with their cleaned text (``cleaned_documents``);
-    built here when a model, the profiles or the translation table must be trained."""
+    built here when a model, the profiles or the translation table must be trained.
+    ``report_processed_language``: also add ``detected_language``, the language detected on the
+    processed (translated, normalised) text, as the reference's batch mode reports it (quirk 2);
+    ``language`` stays the source language. Costs one more detection pass, so it is off by default."""
     keys = resolve_selection(task, selection)
     prepared = cleaned_docs
     if prepared is None and (models is None or lang_model is None or (enable_translation and translations is None)):
@@ -100,11 +103,17 @@ def classify_table(spark: SparkSession, sf_dir: str, docs: DataFrame, task: str
     partitioned = cleaned_docs is not None and docs is cleaned_docs
     d = preprocess_table(spark, sf_dir, docs, lang_model, translations, enable_translation, id_col, text_col,
                          n_partitions, partitioned=partitioned)
-    scored = M.score_nb(d, models, "model_text", ["id", "blank", "language"])
+    extra = []
+    if report_processed_language:
+        again = L.detect_language_pipeline(d.select("id", "blank", "model_text"), lang_model, "model_text",
+                                           ["id", "blank"], out="detected_language")
+        d = d.hint("merge").join(again, ["id", "blank"])
+        extra = ["detected_language"]
+    scored = M.score_nb(d, models, "model_text", ["id", "blank", "language", *extra])
     arrays = [SC.rescale_probabilities(f"probs_{i}", t) for i in range(len(models))]
     labels = models[0].labels
     lab = F.array(*[F.lit(x) for x in labels])
-    scored = scored.select("id", "blank", "language", *[a.alias(f"sc_{i}") for i, a in enumerate(arrays)])
+    scored = scored.select("id", "blank", "language", *extra, *[a.alias(f"sc_{i}") for i, a in enumerate(arrays)])
     ens = E.ensemble_arrays([F.col(f"sc_{i}") for i in range(len(models))])
     scored = scored.withColumn("ens", ens)
     blank = F.col("blank")
@@ -120,4 +129,5 @@ def classify_table(spark: SparkSession, sf_dir: str, docs: DataFrame, task: str
             E.individual_results(labels, {m.key: F.col(f"sc_{i}") for i, m in enumerate(models)})
         ).alias("individual_results"),
         F.col("language"),
+        *[F.col(c) for c in extra],
     )

@@ -262,7 +262,7 @@ _NEWEST = "ORDER BY created_at DESC, id DESC"
 _TASK3 = "CASE id % 3 WHEN 0 THEN 'sentiment' WHEN 1 THEN 'spam' ELSE 'topic' END"
 _PRED = ("CASE prediction WHEN 'click' THEN 'Positive' WHEN 'view' THEN 'negative' WHEN 'purchase' THEN 'spam' "
          "WHEN 'signup' THEN 'not_spam' WHEN 'error' THEN 'neutral' END")
-_REQ_SQL = _REQ_SQL = (
+_REQ_SQL = (
     "(SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'sentiment' WHEN 1 THEN 'spam' ELSE 'topic' END AS task, "
     "CASE conv_id % 5 WHEN 2 THEN string_split(CASE conv_id % 3 WHEN 0 THEN 'twitter-roberta,twitter-roberta-xml' "
     "WHEN 1 THEN 'roberta-sms,distilbert-sms' ELSE 'bart-mnli,deberta-nli' END, ',') "
