@@ -22,3 +22,17 @@ def test_history_page_cut_uses_group_limit(spark, sf):
     df = q_people.q_history_pages_all_users(spark, sf)
     p = df._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in p
+
+
+def test_text_side_of_join_back_is_not_broadcast(spark, sf):
+    p = _plan(q_models.q_classify_table(spark, sf))
+    # the only broadcasts are model, profile and translation tables: never the (id, blank, cleaned) text side
+    for line in p.split("\n"):
+        if "BroadcastExchange" in line:
+            assert "input[0, bigint" not in line or "input[1, boolean" not in line, line
+
+
+def test_narrow_text_scan_is_spread(spark, sf):
+    from verba.sources.tables import load
+    n = spark.sparkContext.defaultParallelism
+    assert load(spark, sf, "documents").rdd.getNumPartitions() >= n
