@@ -28,12 +28,14 @@ def write_csv(df: DataFrame, path: str) -> None:
      .option("quoteAll", True).csv(path))
 
 
-def read_csv_texts(spark: SparkSession, path: str, schema: Ty.StructType, text_column: str = "text",
-                   glob: str | None = "*.csv") -> DataFrame:
+def read_csv_texts(spark: SparkSession, path: str, schema, text_column: str = "text",
+                   glob: str | None = "*.csv", corrupt_column: str = "_corrupt_record") -> DataFrame:
     """SRC1/SRC3: header, quoted commas, doubled quotes and newlines in cells; explicit schema;
-    only names ending in .csv (case-sensitive); pandas-style NA strings become nulls."""
+    only names ending in .csv (case-sensitive); pandas-style NA strings become nulls. A malformed
+    line does not stop the read: with ``corrupt_column`` in the schema it lands there (PERMISSIVE)."""
     reader = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-              .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE"))
+              .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", corrupt_column))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     df = reader.csv(path)
