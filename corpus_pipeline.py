@@ -12,8 +12,16 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return keep_one(docs, shingle=3, max_bits=3)
 
 
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes or more that repeat anywhere are cut out of the texts; all documents stay."""
+    from verba.llm.suffix import texts_without_repeats
+
+    return texts_without_repeats(docs, min_len=200)
+
+
 STAGES = [
     ("simhash near-dedup", simhash_near_dedup),
+    ("suffix-array dedup", suffix_array_dedup),
 ]
 
 ORACLE_SQL = None  # the stages hash, train and tokenize in ways that SQL cannot express

@@ -16,8 +16,18 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verba.llm.common import field
+    from verba.llm.suffix import remove_repeats
+
+    cut = remove_repeats(_table(spark, sf_dir, "documents"), min_len=200)
+    return cut.select(field("doc_id").alias("doc_id"), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+                      F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {}
