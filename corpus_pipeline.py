@@ -19,9 +19,18 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return texts_without_repeats(docs, min_len=200)
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 2048: one row for each piece of a document."""
+    from verba.llm.packing import pack
+    from verba.llm.queries import vocabulary
+
+    return pack(docs, vocabulary(), size=2048, end_id=1)
+
+
 STAGES = [
     ("simhash near-dedup", simhash_near_dedup),
     ("suffix-array dedup", suffix_array_dedup),
+    ("packing", packing),
 ]
 
 ORACLE_SQL = None  # the stages hash, train and tokenize in ways that SQL cannot express

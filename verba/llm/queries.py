@@ -25,9 +25,24 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer's file; the same package is installed on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verba.llm.packing import pack
+
+    p = pack(_table(spark, sf_dir, "documents"), vocabulary(), size=2048, end_id=1)
+    return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
