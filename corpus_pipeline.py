@@ -19,6 +19,13 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return texts_without_repeats(docs, min_len=200)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target share takes them."""
+    from verba.llm.mixing import mixed
+
+    return mixed(docs, weights=(1, 2, 3), cap=3.0, seed=42)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048: one row for each piece of a document."""
     from verba.llm.packing import pack
@@ -30,6 +37,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("simhash near-dedup", simhash_near_dedup),
     ("suffix-array dedup", suffix_array_dedup),
+    ("mixing", mix_sources),
     ("packing", packing),
 ]
 

@@ -52,6 +52,43 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verba.llm.mixing import mix
+
+    m = mix(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3.0, seed=42)
+    return m.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+OP4_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST(1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS DOUBLE) AS w
+  FROM rows GROUP BY source
+), lined AS (  -- by the level at which a source reaches its cap
+  SELECT *, sum(source_size) OVER () AS total,
+    coalesce(sum(3.0 * source_size) OVER before, 0) AS fixed, sum(w) OVER after AS weight
+  FROM sources
+  WINDOW before AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    after AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), levels AS (
+  SELECT arg_min((total - fixed) / weight, source_size / w) FILTER (3.0 * source_size >= (total - fixed) / weight * w) AS level FROM lined
+), targets AS (
+  SELECT source, source_size, least(3.0 * source_size, level * w) AS target FROM lined, levels
+), ranked AS (
+  SELECT r.*, t.source_size, t.target, t.target / nullif(t.source_size, 0) AS e,
+    ('0x' || substr(md5(coalesce('42:' || r.source, '42')), 1, 8))::BIGINT / 4294967296.0 AS u,
+    row_number() OVER (PARTITION BY r.source ORDER BY r.size, coalesce(doc_id, 0)) - 1 AS k
+  FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
+), copied AS (
+  SELECT *, CAST(floor(CAST(u AS DOUBLE) + (k + 1) * coalesce(e, 0)) - floor(CAST(u AS DOUBLE) + k * coalesce(e, 0)) AS BIGINT) AS copies
+  FROM ranked
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken, copies, source FROM copied
+"""
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verba.llm.common import field
     from verba.llm.suffix import remove_repeats
@@ -78,10 +115,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_mixing": op4_mixing,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": OP2_SQL,
+    "op4_mixing": OP4_SQL,
 }
