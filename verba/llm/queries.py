@@ -89,6 +89,12 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies *
 """
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verba.llm.quality_rules import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verba.llm.common import field
     from verba.llm.suffix import remove_repeats
@@ -116,6 +122,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_mixing": op4_mixing,
+    "op5_quality_rules": op5_quality_rules,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op10_packing": op10_packing,
 }
