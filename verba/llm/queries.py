@@ -111,6 +111,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verba.llm.sharding import shard
+
+    return shard(_table(spark, sf_dir, "documents"), limit=64 << 20).drop("_k1", "_k2")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verba.llm.packing import pack
 
@@ -124,6 +130,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_sharding": op8_sharding,
     "op10_packing": op10_packing,
 }
 
