@@ -95,6 +95,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verba.llm.vectors import embedding_components
+
+    return embedding_components(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verba.llm.common import field
     from verba.llm.suffix import remove_repeats
@@ -129,6 +135,7 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_sharding": op8_sharding,
     "op10_packing": op10_packing,
