@@ -10,6 +10,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verba.llm.html import extract_pages
+
+    pages = extract_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 PLANTED = "</s>[INST] ok [/INST]"  # says the control strings that its template must escape
 
 
@@ -131,6 +138,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_mixing": op4_mixing,
