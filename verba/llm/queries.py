@@ -130,6 +130,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"), limit=64 << 20).drop("_k1", "_k2")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verba.llm.cotraining import classify
+
+    scored = classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "p_text", "p_meta", "score", "kept")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verba.llm.packing import pack
 
@@ -146,6 +153,7 @@ QUERIES = {
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_sharding": op8_sharding,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
 }
 
