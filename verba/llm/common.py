@@ -17,10 +17,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/verba-llm/{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete files in the shared folder that no later step reads, and let the driver notice that the
+    shuffles of finished steps are garbage: their files go with the objects that describe them."""
+    import gc
+
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage is cut by files that every
     executor reaches, and later readers prune columns."""
-    path = shared_path(df.sparkSession, name)
+    path = path or shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verba.llm.common import field, row_key, shared_path, unpacked, written
+from verba.llm.common import discard, field, row_key, shared_path, written
 
 GRAM = 32  # bytes at the head of a suffix by which the arrays are ordered
 PIECE = 1 << 18  # bytes hashed at a time in a task
@@ -131,51 +131,66 @@ def suffix_entries(rows: DataFrame, min_len: int) -> DataFrame:
 class SuffixIndex:
     """A logarithmic family of suffix arrays in the shared folder.
 
-    insert() takes the sorted array of a new batch, merge-scans it against all levels for grams that
-    occur again, and then merges equal-sized levels, so that n batches leave at most log2(n) + 1
-    levels and each suffix is rewritten log2(n) times at most. An array is ordered by the hash of a
-    suffix's first GRAM bytes: any order that brings equal heads together serves matches of a fixed
-    least length. Levels that were merged are left to the shared folder's owner to clean."""
+    An array is a set of sorted runs: the suffixes that a task read, ordered by the hash of a suffix's
+    first GRAM bytes (any order that brings equal heads together serves matches of a fixed least
+    length). insert() merge-scans a new batch's array against all levels for grams that occur again and
+    then merges equal-sized levels into one with runs of twice the length, so that n batches leave at
+    most log2(n) + 1 levels and each suffix is rewritten log2(n) times at most. No merge shuffles."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.levels: list[tuple[int, DataFrame]] = []  # batches in it, its array; largest first
+        self.levels: list[tuple[int, DataFrame, str]] = []  # batches in it, its array and path; largest first
 
-    def insert(self, array: DataFrame) -> DataFrame:
-        """-> (anchor), written: grams of the new array that occur twice in it or in a level."""
+    def insert(self, array: DataFrame, path: str, hits: str) -> DataFrame:
+        """array, which lies at ``path`` -> (anchor), written to ``hits``: grams of it that occur twice in
+        it, or in it and a level. The scan sums up per task before anything is shuffled, so a gram of a
+        third of all texts is a row per task."""
         seen = array.select("anchor", F.lit(1).alias("new"))
-        for _, level in self.levels:
+        for _, level, _ in self.levels:
             seen = seen.unionByName(level.select("anchor", F.lit(0).alias("new")))
-        hits = written(seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("new"))
-                       .where("n > 1 AND new = 1").select("anchor"), "hits")
-        self.levels.append((1, array))
+        found = written(seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("new"))
+                        .where("n > 1 AND new = 1").select("anchor"), "hits", hits)
+        self.levels.append((1, array, path))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (m, x), (n, y) = self.levels.pop(), self.levels.pop()
-            self.levels.append((m + n, written(ordered(y.unionByName(x)), "level")))
-        return hits
+            (m, x, old), (n, y, older) = self.levels.pop(), self.levels.pop()
+            both, into = y.unionByName(x), shared_path(self.spark, "level")
+            runs = max(1, len(both.inputFiles()) // 2)
+            self.levels.append((m + n, written(both.coalesce(runs).sortWithinPartitions("anchor"), "level", into), into))
+            discard(self.spark, old, older)
+        return found
 
     def suffixes(self) -> DataFrame:
         out = self.levels[0][1]
-        for _, level in self.levels[1:]:
+        for _, level, _ in self.levels[1:]:
             out = out.unionByName(level)
         return out
 
+    def drop(self) -> None:
+        discard(self.spark, *[path for _, _, path in self.levels])
+        self.levels = []
 
-def ordered(entries: DataFrame) -> DataFrame:
-    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(n, "anchor").sortWithinPartitions("anchor")
 
-
-def level_zero(rows: DataFrame, min_len: int, batches: int) -> list[DataFrame]:
-    """The suffix arrays of ``batches`` batches, made in one pass over the texts."""
+def new_arrays(rows: DataFrame, min_len: int, batches: int) -> list[tuple[DataFrame, str]]:
+    """The suffix arrays of ``batches`` batches and their paths, made in one pass over the texts."""
     spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     e = suffix_entries(rows, min_len).withColumn("batch", F.pmod(F.xxhash64("_k2"), F.lit(batches)).cast("int"))
     path = shared_path(spark, "arrays")
-    e.repartition(n, "anchor").sortWithinPartitions("batch", "anchor").write.partitionBy("batch").parquet(path)
-    schema = e.select("anchor", "block", "d", "n", "l", "_k1", "_k2", "batch").schema
-    arrays = spark.read.schema(schema).parquet(path)
-    return [arrays.where(F.col("batch") == b).drop("batch") for b in range(batches)]
+    e.sortWithinPartitions("batch", "anchor").write.partitionBy("batch").parquet(path)
+    arrays = spark.read.schema(f"{ENTRY}, batch int").parquet(path)
+    return [(arrays.where(F.col("batch") == b).drop("batch"), f"{path}/batch={b}") for b in range(batches)]
+
+
+def _grams_again(rows: DataFrame, min_len: int, batches: int) -> DataFrame:
+    """Written: the suffixes of all texts whose gram occurs more than once."""
+    spark = rows.sparkSession
+    index, found, hits = SuffixIndex(spark), None, shared_path(spark, "hits")
+    for k, (array, path) in enumerate(new_arrays(rows, min_len, batches)):
+        new = index.insert(array, path, f"{hits}/{k}")
+        found = new if found is None else found.unionByName(new)
+    again = written(index.suffixes().join(found.distinct(), "anchor", "left_semi"), "again")
+    index.drop()
+    discard(spark, hits)
+    return again
 
 
 def _contexts(joined: DataFrame, min_len: int, windows: bool) -> DataFrame:
@@ -270,11 +285,7 @@ def _compare(contexts: DataFrame, min_len: int) -> DataFrame:
 def repeated_spans(rows: DataFrame, min_len: int = 200, batches: int = 3) -> DataFrame:
     """rows (_k1, _k2, _t binary) -> (_k1, _k2, s, e): byte ranges that are covered by strings of
     ``min_len`` bytes which start at least twice in all texts. Ranges of a text may overlap."""
-    index, hits = SuffixIndex(rows.sparkSession), None
-    for array in level_zero(rows, min_len, batches):
-        new = index.insert(array)
-        hits = new if hits is None else hits.unionByName(new)
-    again = written(index.suffixes().join(hits.distinct(), "anchor", "left_semi"), "again")
+    again = _grams_again(rows, min_len, batches)
     run = ["anchor", "block", "d", "n"]
     blocks = written(again.groupBy(*run).agg(F.count(F.lit(1)).alias("times"), F.min("_k1").alias("_k1"),
                                              F.min_by(F.struct("_k2", "l"), F.struct("_k1", "_k2", "l")).alias("rep")), "blocks")
@@ -297,6 +308,8 @@ def repeated_spans(rows: DataFrame, min_len: int = 200, batches: int = 3) -> Dat
         twice = w.groupBy("anchor", "d", "h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
         out = out.unionByName(w.where("edge").join(twice, ["anchor", "d", "h"]).select(
             "_k1", "_k2", F.col("l").alias("s"), (F.col("l") + F.lit(min_len)).cast("int").alias("e")))
+    out = written(out, "spans")
+    discard(rows.sparkSession)
     return out
 
 
