@@ -24,7 +24,8 @@ STEMS = ("advert", "breadcrumb", "comment", "cookie", "copyright", "disclaimer",
          "outbrain", "promo", "recommend", "related", "sidebar", "sponsor", "subscri", "taboola", "teaser")
 ON_ARTICLE = ("advert", "comment", "promo", "recommend", "related", "sponsor", "teaser", "reply", "replies", "ad", "ads")
 # Weights where no page is labelled: a word, a tag by its name.
-PRIOR = {"word": 1.0, "a": -1.5, "li": -1.5, "other": -0.5}
+PRIOR = {"word": 1.0, "a": -0.5, "li": -0.3, "other": -0.2}
+LINKED = 0.2  # of its weight that a word in a link keeps
 
 IN_ARTICLE = -0.001  # a tag inside an element that marks the article
 
@@ -70,7 +71,7 @@ def _boiler(name: str, attrs: str, pat) -> bool:
 
 def scan(html: str, pat):
     """Page -> (items, labelled). items: (tag name, inside an article, in boilerplate) or, for a run of
-    text, (None, inside, words, block, text, boilerplate); linear in the page. Unclosed comments, scripts and
+    text, (None, inside, words, block, text, boilerplate, in a link); linear in the page. Unclosed comments, scripts and
     tags run to the page's end, as in browsers."""
     import html as h
 
@@ -86,7 +87,8 @@ def scan(html: str, pat):
         if s:
             s = h.unescape(s) if "&" in s else s
             # of a header inside an article, the headings belong to the article
-            items.append((None, article > 0, len(s.split()), block, s, boiler > (headers if headings else 0)))
+            items.append((None, article > 0, len(s.split()), block, s, boiler > (headers if headings else 0),
+                          opened.get("a", 0) > 0))
 
     def pop(name):
         nonlocal boiler, article, headers, headings
@@ -131,7 +133,7 @@ def scan(html: str, pat):
         if name in BLOCKS:
             block += 1
         elif name == "br" or name == "img":
-            items.append((None, article > 0, 0, block, " ", boiler > 0))
+            items.append((None, article > 0, 0, block, " ", boiler > 0, False))
         if close:
             if opened.get(name):
                 items.append((name, article > 0, boiler > 0))
@@ -190,7 +192,7 @@ def main_text(html: str | None, weights: dict, pat) -> str:
         elif it[5] or (labelled and not it[1]):
             scores.append(0.0)
         else:
-            scores.append(word * it[2])
+            scores.append(word * it[2] * (LINKED if it[6] and not labelled else 1.0))
     region = best_region(scores)
     if region is None:
         return ""
@@ -207,7 +209,8 @@ def page_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
     """Weights from the labelled pages: those that mark their article with an article or main element.
 
     A word weighs the share of text words that lie in the article; a tag weighs minus its share
-    outside, by name, so that tags which articles use cost little and those of menus much. Counts are
+    outside, by name, so that tags which articles use cost little. What is known not to be the article
+    (menus, adverts) counts on neither side. Counts are
     summed up per task; the result has a row for each element name of the fixed lists and one for the
     rest, whatever the corpus."""
     def count(batches):
@@ -223,10 +226,13 @@ def page_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
                 items, labelled = scan(html, pat) if html else ([], False)
                 if labelled:
                     for it in items:
+                        if it[5] if it[0] is None else it[2]:
+                            continue
                         (inside if it[1] else outside)[(it[0] if it[0] in known else "other") if it[0] else "word"] += \
                             it[2] if it[0] is None else 1
         names = sorted(inside.keys() | outside.keys())
-        yield pd.DataFrame({"name": names, "i": [inside[x] for x in names], "o": [outside[x] for x in names]})
+        if names:
+            yield pd.DataFrame({"name": names, "i": [inside[x] for x in names], "o": [outside[x] for x in names]})
 
     rows = pages.select(pages[f"`{html_col}`"].cast("string").alias("html")).mapInPandas(count, "name string, i long, o long") \
         .groupBy("name").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).collect()
