@@ -19,7 +19,7 @@ WS_CLASS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"      # Python's \s for str
 WORD_CLASS = r"[\p{L}\p{N}_]"                  # Python's \w for str
 NOT_WORD_NOT_SPACE = r"[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\p{Z}]"  # Python's [^\w\s]
 DIGITS = r"\p{Nd}+"                            # Python's \d+
-URL = r"https?://(?:[a-zA-Z0-9$-_@.&+!*\\(),]|%[0-9a-fA-F][0-9a-fA-F])+"
+URL = r"https?://[a-zA-Z0-9$-_@.&+!*\\(),]+"  # one class ($-_ holds %): no recursion, so any length
 EMAIL = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 PHONE = r"(?U)\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"
 MENTION = r"@(" + WORD_CLASS + r"+)"
@@ -113,15 +113,15 @@ NON_ASCII = r"[^\x00-\x7f]"
 
 
 def nfkd_normalize(col) -> Column:
-    """TXT11: Unicode NFKD (no Spark built-in); Arrow-batched. Pure-ASCII rows skip Python work."""
+    """TXT11: Unicode NFKD (no Spark built-in); Arrow-batched. Of ASCII rows only a null goes to Python."""
     c = _c(col)
-    return F.when(c.rlike(NON_ASCII), _nfkd(c)).otherwise(c)
+    return F.coalesce(_nfkd(F.when(c.rlike(NON_ASCII), c)), c)
 
 
 def lower_nfkd(col) -> Column:
-    """lower then NFKD: ASCII rows stay in the JVM; the rest do both steps in one Arrow batch call."""
+    """lower then NFKD: only a null goes to Python for ASCII rows; the rest do both steps in one batch call."""
     c = _c(col)
-    return F.when(c.rlike(NON_ASCII), _lower_nfkd(c)).otherwise(F.lower(c))
+    return F.coalesce(_lower_nfkd(F.when(c.rlike(NON_ASCII), c)), F.lower(c))
 
 
 def truncate_at_word(col, limit: int = MAX_MODEL_CHARS) -> Column:
@@ -133,11 +133,11 @@ def truncate_at_word(col, limit: int = MAX_MODEL_CHARS) -> Column:
     ).otherwise(c)
 
 
-def normalize_text(col) -> Column:
-    """TXT13: lower -> NFKD -> whitespace -> 'empty text' -> truncate."""
+def normalize_text(col, truncate: bool = True) -> Column:
+    """TXT13: lower -> NFKD -> whitespace -> 'empty text' -> truncate. Training reads texts uncut."""
     c = collapse_whitespace(lower_nfkd(col))
     c = F.when(c == "", F.lit(EMPTY_TEXT)).otherwise(c)
-    return truncate_at_word(c)
+    return truncate_at_word(c) if truncate else c
 
 
 def is_blank(col) -> Column:

@@ -81,23 +81,24 @@ def lookup_by_key(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def insert_new_users(existing: DataFrame, batch: DataFrame):
-    """VAL7: insert users whose email is new; duplicates inside the batch keep their first row;
-    registered emails, bad shapes and long names become rejected rows.
-    Returns (inserted, rejected) — rejected carries a reason."""
-    shape_ok = F.col("email").rlike(EMAIL_SHAPE) & (F.coalesce(F.length("full_name"), F.lit(0)) <= MAX_FULL_NAME)
+    """VAL7: insert users whose email is new. Rows are validated first: a bad or missing email or an
+    over-long name rejects that row alone. Of the valid rows of an email that is not registered, one is
+    inserted: the first by seq, then by its other columns; the rest count as registered, equal rows
+    included. Returns (inserted, rejected) — rejected carries a reason."""
+    shape_ok = F.coalesce(F.col("email").rlike(EMAIL_SHAPE), F.lit(False)) & (F.coalesce(F.length("full_name"), F.lit(0)) <= MAX_FULL_NAME)
+    cols = batch.columns
+    rest = ["seq", *[c for c in cols if c not in ("email", "seq")]]
+    bad = batch.filter(~shape_ok).withColumn("reason", F.lit("Invalid email or name"))
+    valid = batch.filter(shape_ok)
+    taken = valid.join(existing.select("email"), "email", "left_semi").select(*cols).withColumn("reason", F.lit(EMAIL_TAKEN))
+    fresh = valid.join(existing.select("email"), "email", "left_anti").groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
     # first row per email by a combinable min (no window over a possibly hot email)
-    firsts = batch.groupBy("email").agg(F.min("seq").alias("seq"))
-    taken = batch.join(existing.select("email"), "email", "left_semi")
-    fresh = batch.join(existing.select("email"), "email", "left_anti")
-    first_rows = fresh.join(firsts, ["email", "seq"], "left_semi")
-    later_rows = fresh.join(firsts, ["email", "seq"], "left_anti")
-    inserted = first_rows.filter(shape_ok)
-    rejected = (
-        taken.withColumn("reason", F.lit(EMAIL_TAKEN))
-        .unionByName(first_rows.filter(~shape_ok).withColumn("reason", F.lit("Invalid email or name")))
-        .unionByName(later_rows.withColumn("reason", F.lit(EMAIL_TAKEN)))
-    )
-    return inserted, rejected
+    first = fresh.groupBy("email").agg(F.min(F.struct(*rest)).alias("_first"))
+    marked = fresh.join(first, "email").withColumn("_is", F.struct(*rest).eqNullSafe(F.col("_first")))
+    inserted = marked.filter("_is").select(*cols)
+    extra = F.col("_n") - F.col("_is").cast("int")
+    later = marked.filter(extra > 0).select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), extra))).select(*cols)
+    return inserted, bad.unionByName(taken).unionByName(later.withColumn("reason", F.lit(EMAIL_TAKEN)))
 
 
 def save_user_results(results: DataFrame) -> DataFrame:

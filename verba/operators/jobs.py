@@ -44,36 +44,37 @@ def assign_batches(df: DataFrame, row_index: str = "row_index", size: int = DEFA
     return out
 
 
-def batch_progress(results: DataFrame, size: int = DEFAULT_BATCH_SIZE) -> DataFrame:
-    """BAT2: after each batch, rows processed so far and 100 * processed / total.
-    Batches before the last are full by construction of row_index, so the running
-    count is (batch - 1) * size + rows in the batch: no window over a job's rows."""
-    per_batch = assign_batches(results, size=size).groupBy("job_id", "batch").agg(F.count(F.lit(1)).alias("in_batch"))
-    totals = results.groupBy("job_id").agg(F.count(F.lit(1)).alias("total_rows"))
-    processed = (F.col("batch") - 1) * size + F.col("in_batch")
-    return per_batch.join(totals, "job_id").select(
-        "job_id", "batch", processed.alias("processed_rows"), "total_rows",
-        (processed * 100.0 / F.col("total_rows")).alias("progress_pct"),
-    )
+def batch_progress(jobs: DataFrame, batches: DataFrame) -> DataFrame:
+    """BAT2: after each batch, rows processed so far and 100 * processed / the job's total_rows.
+    ``batches``: (job_id, batch, in_batch), a row per batch with the rows it wrote; a failed batch wrote
+    none and moves the count by nothing. The running sum is over batches, not rows."""
+    w = Window.partitionBy("job_id").orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = batches.withColumn("processed_rows", F.sum("in_batch").over(w))
+    return run.join(jobs.select("job_id", "total_rows"), "job_id").select(
+        "job_id", "batch", "processed_rows", "total_rows",
+        F.coalesce(F.try_divide(F.col("processed_rows") * 100.0, F.col("total_rows")), F.lit(0.0)).alias("progress_pct"))
+
+
+def batch_counts(results: DataFrame, size: int = DEFAULT_BATCH_SIZE) -> DataFrame:
+    """Rows written per batch."""
+    return assign_batches(results, size=size).groupBy("job_id", "batch").agg(F.count(F.lit(1)).alias("in_batch"))
 
 
-def job_status_live(jobs: DataFrame, results: DataFrame, as_of, size: int = DEFAULT_BATCH_SIZE) -> DataFrame:
-    """BAT3: status, progress, current/total batch and ETA = elapsed / processed * remaining,
-    null unless processing and processed > 0. ``as_of`` is the clock, as a parameter."""
+def job_status_live(jobs: DataFrame, results: DataFrame, as_of) -> DataFrame:
+    """BAT3: status, progress, current/total batch and ETA = elapsed / processed * remaining, null unless
+    processing and processed > 0. Total rows and batch size are the job's own. ``as_of`` is the clock."""
     now = F.lit(as_of).cast("timestamp")
-    agg = results.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count(F.when(F.col("created_at") <= now, F.lit(1))).alias("processed_rows"),
-    )
-    j = jobs.select("job_id", "status", "started_at").join(agg, "job_id", "left").fillna(0, subset=["total_rows", "processed_rows"])
+    agg = results.where(F.col("created_at") <= now).groupBy("job_id").agg(F.count(F.lit(1)).alias("processed_rows"))
+    j = jobs.select("job_id", "status", "started_at", "total_rows", "batch_size").join(agg, "job_id", "left") \
+        .fillna(0, subset=["processed_rows"])
     elapsed = F.unix_timestamp(now) - F.unix_timestamp("started_at")
     eta = F.when((F.col("status") == "processing") & (F.col("processed_rows") > 0),
                  F.try_divide(elapsed.cast("double"), F.col("processed_rows")) * (F.col("total_rows") - F.col("processed_rows")))
     return j.select(
         "job_id", "status", "processed_rows", "total_rows",
         F.coalesce(F.try_divide(F.col("processed_rows") * 100.0, F.col("total_rows")), F.lit(0.0)).alias("progress_pct"),
-        ceil_div("processed_rows", F.lit(size)).alias("current_batch"),
-        ceil_div("total_rows", F.lit(size)).alias("total_batches"),
+        ceil_div("processed_rows", "batch_size").alias("current_batch"),
+        ceil_div("total_rows", "batch_size").alias("total_batches"),
         eta.alias("eta_seconds"),
     )
 
@@ -89,8 +90,11 @@ def job_status_stored(jobs: DataFrame, size_col: str = "batch_size") -> DataFram
 
 
 def job_results(jobs: DataFrame, results: DataFrame) -> DataFrame:
-    """BAT5 flat form: job header beside each of its result rows (jobs without results kept)."""
-    return jobs.select("job_id", "status").join(results, "job_id", "left")
+    """BAT5 flat form: job header beside each of its result rows (jobs without results kept). An inner
+    join, whose result side may be split where one job has very many rows, and the jobs without any."""
+    j = jobs.select("job_id", "status")
+    bare = j.join(results.select("job_id").distinct(), "job_id", "left_anti")
+    return j.join(results, "job_id").unionByName(bare, allowMissingColumns=True)
 
 
 def job_errors(results: DataFrame, failed_batch: Column, batch_msg: Column) -> DataFrame:
@@ -104,29 +108,28 @@ def job_errors(results: DataFrame, failed_batch: Column, batch_msg: Column) -> D
 
 
 def job_transitions(jobs: DataFrame, results: DataFrame) -> DataFrame:
-    """BAT7: processing -> completed, or failed when any row failed; completed_at = last result;
-    processing_time = completed_at - started_at in seconds."""
-    agg = results.groupBy("job_id").agg(
-        F.max("created_at").alias("completed_at"),
-        F.count(F.col("error_message")).alias("n_errors"),
-    )
-    j = jobs.select("job_id", "started_at").join(agg, "job_id")
-    return j.select(
-        "job_id",
-        F.when(F.col("n_errors") > 0, F.lit("failed")).otherwise(F.lit("completed")).alias("final_status"),
-        "completed_at",
-        (F.unix_timestamp("completed_at") - F.unix_timestamp("started_at")).alias("processing_time"),
-    )
-
-
-def batch_summary(texts: DataFrame, request: str, failed: Column) -> DataFrame:
-    """BAT8: total_processed counts failures too; success percentage truncated to int."""
+    """BAT7: processing -> completed, or -> failed where the whole run failed; errors of rows or batches
+    leave a job completed. completed_at = the last result, else the job's own end; a completed job has a
+    processing_time = completed_at - started_at in seconds. Jobs without results stay."""
+    agg = results.groupBy("job_id").agg(F.max("created_at").alias("last_result"))
+    j = jobs.select("job_id", "status", "started_at", "ended_at").join(agg, "job_id", "left")
+    done = F.when(F.col("status") != "processing", F.coalesce("last_result", "ended_at"))
+    return j.withColumn("completed_at", done).select(
+        "job_id", F.col("status").alias("final_status"), "completed_at",
+        F.when(F.col("status") == "completed", F.unix_timestamp("completed_at") - F.unix_timestamp("started_at"))
+        .alias("processing_time"))
+
+
+def batch_summary(texts: DataFrame, request: str, failed: Column, position: Column) -> DataFrame:
+    """BAT8: total_processed counts failures too; progress_pct, truncated to int, moves with each text
+    that succeeds, to its position (from 1) among all."""
     g = texts.groupBy(request).agg(
         F.count(F.lit(1)).alias("total_processed"),
         F.count(F.when(failed, F.lit(1))).alias("failed"),
+        F.max(F.when(~failed, position)).alias("last"),
     )
-    return g.withColumn(
-        "success_pct", ((F.col("total_processed") - F.col("failed")) * 100 / F.col("total_processed")).cast("int"))
+    pct = (F.coalesce("last", F.lit(0)) * 100 / F.col("total_processed")).cast("int")
+    return g.select(request, "total_processed", "failed", pct.alias("progress_pct"))
 
 
 def per_row_time(results: DataFrame, size: int = DEFAULT_BATCH_SIZE) -> DataFrame:
@@ -148,7 +151,7 @@ def delete_job_cascade(jobs: DataFrame, results: DataFrame, doomed: DataFrame):
 
 def queue_info(queue_jobs: DataFrame, queues: DataFrame) -> DataFrame:
     """QUE1: per queue, counts by status; queues without jobs are kept with zeros."""
-    p = queue_jobs.groupBy("queue").pivot("status", list(QUEUE_STATUSES)).count()
+    p = queue_jobs.groupBy("queue").agg(*[F.count_if(F.col("status") == s).alias(s) for s in QUEUE_STATUSES])
     out = queues.join(p, "queue", "left")
     cols = [F.coalesce(F.col(s), F.lit(0)).cast("long").alias("length" if s == "queued" else s) for s in QUEUE_STATUSES]
     return out.select("queue", *cols)

@@ -158,11 +158,11 @@ def text_key(col) -> Column:
 
 def translation_table(spark: SparkSession, sf_dir: str, cleaned_docs: DataFrame | None = None) -> DataFrame:
     """FIXTURES §3 stand-in for the remote translator, keyed by (sha256 of cleaned text, language):
-    doc_id % 3 = 0 -> 'en: ' + first 200 characters; 1 -> blank; 2 -> absent. One row per key."""
+    doc_id % 3 = 0 -> 'en: ' + the text; 1 -> blank; 2 -> absent. One row per key."""
     src = cleaned_docs if cleaned_docs is not None else load(spark, sf_dir, "documents")
     d = src.filter((F.col("lang") != "en") & (F.col("doc_id") % 3 != 2))
     cleaned = F.col("cleaned") if cleaned_docs is not None else T.clean_text("text")
-    tr = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("en: "), F.substring(cleaned, 1, 200))).otherwise(F.lit("  "))
+    tr = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("en: "), cleaned)).otherwise(F.lit("  "))
     rows = d.select(text_key(cleaned).alias("src_key"), F.col("lang").alias("src_lang"), "doc_id", tr.alias("translated"))
     return rows.groupBy("src_key", "src_lang").agg(F.min_by("translated", "doc_id").alias("translated"))
 

@@ -70,9 +70,10 @@ def available_models(registry: DataFrame, loaded_tasks: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- corpora
 
-def model_text(col) -> Column:
-    """What a model sees when no language/translation step runs: clean, then normalise."""
-    return T.normalize_text(T.clean_text(col))
+def model_text(col, truncate: bool = True) -> Column:
+    """What a model sees when no language/translation step runs: clean, then normalise. Scored texts are
+    cut to the model's input length; training texts are not."""
+    return T.normalize_text(T.clean_text(col), truncate)
 
 
 def task_corpus(spark: SparkSession, sf_dir: str, task: str, train: bool = True,
@@ -117,25 +118,6 @@ class NBModel:
         return featurize(self.kind, text_col)
 
 
-def train_nb(corpus: DataFrame, kind: str, classes: list, task: str = "", key: str = "",
-             text_col: str = "text", mean: bool = True) -> NBModel:
-    """corpus: (label, <text_col>) with raw text. Multinomial NB with add-one smoothing."""
-    feats = corpus.select("label", F.explode(featurize(kind, model_text(F.col(text_col)))).alias("f"))
-    counts = feats.groupBy("f").agg(*[F.count_if(F.col("label") == c).alias(c) for c in classes])
-    counts = materialize(counts)
-    agg = counts.agg(F.count(F.lit(1)).alias("V"), *[F.sum(F.col(c)).alias(f"T{i}") for i, c in enumerate(classes)]).first()
-    V = int(agg["V"])
-    totals = [int(agg[f"T{i}"] or 0) for i in range(len(classes))]
-    per_class = {r["label"]: r["n"] for r in corpus.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
-                 if r["label"] in classes}
-    N = sum(per_class.values())
-    log_priors = [math.log((per_class.get(c, 0) + 1) / (N + len(classes))) for c in classes]
-    w = F.array(*[F.log((F.col(c) + 1) / F.lit(float(totals[i] + V))) for i, c in enumerate(classes)])
-    weights = counts.select("f", w.alias("w"))
-    return NBModel(task, key, kind, list(classes), log_priors, weights, V, mean,
-                   [output_label(task, c) for c in classes])
-
-
 def train_task_models(spark: SparkSession, sf_dir: str, task: str, keys: list | None = None,
                       cleaned_docs: DataFrame | None = None) -> list:
     """Train every (selected) model of a task in ONE pass over the corpus: model text is derived
@@ -144,7 +126,7 @@ def train_task_models(spark: SparkSession, sf_dir: str, task: str, keys: list |
     specs = [(key, kind) for t, key, _d, kind in REGISTRY if t == task and (keys is None or key in keys)]
     classes = TASK_CLASSES[task]
     corpus = task_corpus(spark, sf_dir, task, cleaned_docs=cleaned_docs)
-    mt = T.normalize_text(F.col("cleaned")) if cleaned_docs is not None else model_text(F.col("text"))
+    mt = T.normalize_text(F.col("cleaned"), False) if cleaned_docs is not None else model_text(F.col("text"), False)
     corpus = corpus.select("label", mt.alias("mt"))
 
     def tag(i):
@@ -224,10 +206,12 @@ def topic_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_topics(vectors: DataFrame, protos: DataFrame, keep: list, vec_col: str = "embedding") -> DataFrame:
     """Per vector: cosine to each prototype (model A) and negative squared distance (model B),
-    as arrays in TOPIC_LABELS order. One broadcast join on dim, one groupBy(vector)."""
-    ex = vectors.select(*keep, F.posexplode(vec_col).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    as arrays in TOPIC_LABELS order. One broadcast join on dim, one groupBy(vector). A vector without a
+    direction (null, empty, zero) keeps its row, with null scores where a cosine has no meaning."""
+    ex = vectors.select(*keep, F.posexplode_outer(vec_col).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
     # labels x dims rows: bounded by the fixed candidate list and the vector width
-    j = ex.join(F.broadcast(protos), "dim")
+    protos = protos.where(F.col("label").between(0, len(TOPIC_LABELS) - 1))
+    j = ex.join(F.broadcast(protos), "dim", "left")
     aggs = [F.sum(F.when(F.col("label") == 0, F.col("x") * F.col("x"))).alias("xx")]
     for lab in range(len(TOPIC_LABELS)):
         on = F.col("label") == lab
@@ -238,7 +222,7 @@ def score_topics(vectors: DataFrame, protos: DataFrame, keep: list, vec_col: str
         ]
     g = j.groupBy(*keep).agg(*aggs)
     cos = F.array(*[
-        F.col(f"dot_{lab}") / (F.sqrt(F.col("xx")) * F.sqrt(F.col(f"pp_{lab}"))) for lab in range(len(TOPIC_LABELS))
+        F.try_divide(F.col(f"dot_{lab}"), F.sqrt(F.col("xx")) * F.sqrt(F.col(f"pp_{lab}"))) for lab in range(len(TOPIC_LABELS))
     ])
     neg = F.array(*[-F.col(f"d2_{lab}") for lab in range(len(TOPIC_LABELS))])
     return g.select(*keep, SC.softmax(cos).alias("probs_0"), SC.softmax(neg).alias("probs_1"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verba.functions import scores as SC
 
 # ---- fixed values ----
 BAND_HIGH, BAND_MEDIUM = 0.8, 0.6
@@ -84,7 +83,3 @@ def selection_summary(selected: DataFrame, registry: DataFrame) -> DataFrame:
             .when(F.col("k") == F.col("n"), F.format_string("Ensemble: All %d models combined", "n"))
             .otherwise(F.format_string("Ensemble: %d of %d models combined", "k", "n")))
     return j.select("request_id", "task", "k", "n", text.alias("summary"))
-
-
-def clamp_then_mode(t) -> Column:
-    return temperature_mode(SC.clamp_temperature(t))

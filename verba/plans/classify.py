@@ -1,11 +1,11 @@
 """MDL11 ``classify_table``: the flagship plan.
 
-    scan -> clean (TXT9) -> repartition by id (the one text shuffle)
-         -> detect language (LNG4: explode grams, broadcast join, groupBy id: no exchange)
-         -> join back on id (co-partitioned: no exchange)
+    scan -> clean (TXT9), with a key per row, written once
+         -> detect language (LNG4: explode grams, broadcast join, groupBy key)
+         -> join back on the key (the shuffle of the text)
          -> translate (LNG8: broadcast join under a measured bound)
          -> normalise (TXT13) -> score every selected model in one pass
-            (explode (model, feature), broadcast join, groupBy id: no exchange)
+            (explode (model, feature), broadcast join, groupBy key)
          -> rescale by temperature (MDL9) -> ensemble (ENS1) -> result row
 
 Blank input keeps its row and becomes the failed-row result (MDL13).
@@ -30,7 +30,7 @@ FAILED_LABEL = "unknown"
 def resolve_selection(task: str, selection) -> list:
     """MDL2 for one request (driver-side, on the registry only)."""
     keys = [k for t, k, _d, _kind in M.REGISTRY if t == task]
-    if selection is None or selection == "all" or selection == []:
+    if selection is None or selection == "all":
         return keys
     if isinstance(selection, str) and "," in selection:
         selection = selection.split(",")
@@ -46,41 +46,35 @@ def resolve_selection(task: str, selection) -> list:
 
 def preprocess_table(spark: SparkSession, sf_dir: str, docs: DataFrame, lang_model=None,
                      translations: DataFrame | None = None, enable_translation: bool = True,
-                     id_col: str = "doc_id", text_col: str = "text", n_partitions: int | None = None,
-                     partitioned: bool = False) -> DataFrame:
-    """``partitioned``: docs are already hash-partitioned by ``id_col`` (e.g. ``cleaned_documents``).
-    TXT14 over a table: blank -> ''; else clean -> language (LNG4) -> translate (LNG7/8) -> normalise.
-    Returns (id, blank, language, model_text). One shuffle: the repartition of the cleaned text by id;
-    the language aggregation and the join back reuse that partitioning."""
+                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """TXT14 over a table: blank -> ''; else clean -> language (LNG4) -> translate (LNG7/8) -> normalise.
+    Returns (rid, id, blank, language, model_text), one row per input row. The cleaned text is written
+    once as Parquet; detection reads it alone, and the small (rid, language) joins back."""
     lang_model = lang_model or L.language_profiles(spark, sf_dir)
-    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cleaned = F.col("cleaned") if "cleaned" in docs.columns else T.clean_text(F.col(text_col))
-    base = docs.select(
+    # every row gets a key of its own, written with it: ids may repeat or be null and are only carried
+    base = materialize(docs.select(
+        F.monotonically_increasing_id().alias("rid"),
         F.col(id_col).alias("id"),
         T.is_blank(F.col(text_col)).alias("blank"),
         F.coalesce(cleaned, F.lit("")).alias("cleaned"),
-    )
-    if "cleaned" not in docs.columns:
-        # the cleaning regex chain runs once; both branches below read the written result
-        base = materialize(base)
-    # Both branches read the same columns of the repartitioned input, so the shuffle is shared.
-    lang = L.detect_language_pipeline(base, lang_model, "cleaned", ["id", "blank"], out="language")
+    ))
+    lang = L.detect_language_pipeline(base, lang_model, "cleaned", ["rid"], out="language")
     # the text side is never broadcast (it grows with the input): a shuffle join on id,
     # where the language side is one small row per document
-    d = base.hint("merge").join(lang.select("id", "blank", "language"), ["id", "blank"])
+    d = base.hint("merge").join(lang.select("rid", "language"), "rid")
     if enable_translation:
         tr = translations if translations is not None else L.translation_table(spark, sf_dir)
         d = L.apply_translations(d, tr, "cleaned", "language", L.route_for_translation("language", True),
                                  out="translated")
     else:
         d = d.withColumn("translated", F.col("cleaned"))
-    return d.select("id", "blank", "language", T.normalize_text("translated").alias("model_text"))
+    return d.select("rid", "id", "blank", "language", T.normalize_text("translated").alias("model_text"))
 
 
 def classify_table(spark: SparkSession, sf_dir: str, docs: DataFrame, task: str = "spam",
                    temperature: float = 1.0, selection="all", enable_translation: bool = True,
-                   id_col: str = "doc_id", text_col: str = "text", n_partitions: int | None = None,
-                   models: list | None = None, lang_model=None, translations: DataFrame | None = None,
+                   id_col: str = "doc_id", text_col: str = "text", models: list | None = None, lang_model=None, translations: DataFrame | None = None,
                    cleaned_docs: DataFrame | None = None, report_processed_language: bool = False) -> DataFrame:
     """``cleaned_docs``: the training documents with their cleaned text (``cleaned_documents``);
     built here when a model, the profiles or the translation table must be trained.
@@ -97,19 +91,16 @@ def classify_table(spark: SparkSession, sf_dir: str, docs: DataFrame, task: str
     if enable_translation and translations is None:
         # written once: its row count decides broadcast vs shuffle join, and the join reads it again
         translations = materialize(L.translation_table(spark, sf_dir, cleaned_docs=prepared))
-    t = float(SC.T_MIN if temperature is None else temperature)
+    t = 1.0 if temperature is None else float(temperature)
     t = min(SC.T_MAX, max(SC.T_MIN, t))  # VAL6: clamp everywhere
 
-    partitioned = cleaned_docs is not None and docs is cleaned_docs
-    d = preprocess_table(spark, sf_dir, docs, lang_model, translations, enable_translation, id_col, text_col,
-                         n_partitions, partitioned=partitioned)
+    d = preprocess_table(spark, sf_dir, docs, lang_model, translations, enable_translation, id_col, text_col)
     extra = []
     if report_processed_language:
-        again = L.detect_language_pipeline(d.select("id", "blank", "model_text"), lang_model, "model_text",
-                                           ["id", "blank"], out="detected_language")
-        d = d.hint("merge").join(again, ["id", "blank"])
+        again = L.detect_language_pipeline(d.select("rid", "model_text"), lang_model, "model_text", ["rid"], out="detected_language")
+        d = d.hint("merge").join(again, "rid")
         extra = ["detected_language"]
-    scored = M.score_nb(d, models, "model_text", ["id", "blank", "language", *extra])
+    scored = M.score_nb(d, models, "model_text", ["rid", "id", "blank", "language", *extra])
     arrays = [SC.rescale_probabilities(f"probs_{i}", t) for i in range(len(models))]
     labels = models[0].labels
     lab = F.array(*[F.lit(x) for x in labels])

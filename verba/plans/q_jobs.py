@@ -15,6 +15,7 @@ from verba.sources.tables import load
 AS_OF_LIVE = "1998-08-02 00:00:00"
 AS_OF_CLEAN = "2001-08-01 00:00:00"
 SIZE = 16
+BATCH = 4  # for batch progress: a job has up to seven results
 # Queues of the stand-in (order priorities) plus one that never gets a job.
 QUEUE_NAMES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "batch"]
 # Stand-in queue -> the reference queue whose time limit applies.
@@ -72,15 +73,25 @@ def q_assign_batches(spark, sf):
     return J.assign_batches(d, size=SIZE, total_rows=F.lit(n)).select("doc_id", "row_index", "batch", "total_batches")
 
 
+def _batches(spark, sf):
+    """Rows per batch, from counts alone: batch b of a job with n results holds rows (b - 1) * SIZE onwards.
+    Every fifth job's first batch failed: it wrote nothing."""
+    n = TB.result_rows(spark, sf).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    per = n.withColumn("batch", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("n") / BATCH))))
+    rows = F.least(F.col("n") - (F.col("batch") - 1) * BATCH, F.lit(BATCH))
+    failed = (F.col("job_id") % 5 == 0) & (F.col("batch") == 1)
+    return per.select("job_id", "batch", F.when(failed, 0).otherwise(rows).cast("long").alias("in_batch"))
+
+
 def q_batch_progress(spark, sf):
-    r = J.batch_progress(TB.results(spark, sf), SIZE)
+    r = J.batch_progress(TB.jobs(spark, sf), _batches(spark, sf))
     return r.select("job_id", "batch", "processed_rows", "total_rows", SC.round6("progress_pct").alias("progress_pct"))
 
 
 def q_job_status_live(spark, sf):
-    r = J.job_status_live(TB.jobs(spark, sf), TB.results(spark, sf), AS_OF_LIVE, SIZE)
+    r = J.job_status_live(TB.jobs(spark, sf), TB.result_rows(spark, sf), AS_OF_LIVE)
     return r.select("job_id", "status", "processed_rows", "total_rows", SC.round6("progress_pct").alias("progress_pct"),
-                    "current_batch", "total_batches", SC.round6("eta_seconds").alias("eta_seconds"))
+                    "current_batch", "total_batches", F.round("eta_seconds", 3).alias("eta_seconds"))
 
 
 def q_job_status_stored(spark, sf):
@@ -101,7 +112,7 @@ def q_job_errors(spark, sf):
 
 
 def q_job_transitions(spark, sf):
-    return J.job_transitions(TB.jobs(spark, sf), TB.results(spark, sf))
+    return J.job_transitions(TB.jobs(spark, sf), TB.result_rows(spark, sf))
 
 
 def q_batch_summary(spark, sf):
@@ -109,7 +120,7 @@ def q_batch_summary(spark, sf):
     from verba.functions import text as T
     failed = (c.text.isNull() | (F.length(T.strip_ws(F.col("text"))) == 0) | (F.length("text") > 10000)
               | (F.col("role") == "system"))
-    return J.batch_summary(c, "conv_id", failed)
+    return J.batch_summary(c, "conv_id", failed, F.col("turn") + 1)
 
 
 def q_per_row_time(spark, sf):
@@ -203,14 +214,17 @@ def q_assign_row_index(spark, sf):
 def _doc_results(spark, sf):
     d = load(spark, sf, "documents")
     return d.select("doc_id", F.col("lang").alias("prediction"), (1.0 / (1 + F.col("n_chars"))).alias("confidence"),
-                    (F.col("doc_id") % 8).alias("bucket"))
+                    (F.col("doc_id") % 8).alias("bucket"), (F.floor(F.col("doc_id") / 8) % 3).alias("batch"))
 
 
 def q_write_results(spark, sf):
     path = IO.scratch_path(spark, "results")
     res = _doc_results(spark, sf)
-    IO.write_results(res, path, "bucket")
-    IO.write_results(res.filter(F.col("bucket") == 3), path, "bucket")  # a retried batch: same rows, no duplicates
+    half = res.withColumn("confidence", F.lit(0.0)).filter(F.col("doc_id") % 2 == 0)
+    keys = ["bucket", "batch"]
+    IO.write_results(half.filter("batch = 1"), path, keys)  # a batch whose task died half way
+    for b in (0, 1, 2):  # batches of the same buckets: none replaces another, and the retry replaces its own
+        IO.write_results(res.filter(F.col("batch") == b), path, keys)
     back = spark.read.parquet(path)
     return back.select("doc_id", "prediction", SC.round6("confidence").alias("confidence"), F.col("bucket").cast("long"))
 
@@ -222,7 +236,12 @@ def _report_source(spark, sf):
 
 
 def q_export_csv_report(spark, sf):
-    return IO.csv_report(_report_source(spark, sf))
+    path = IO.scratch_path(spark, "report")
+    report = _report_source(spark, sf)
+    IO.write_csv_report(report, path)
+    back = spark.read.schema(", ".join(f"`{c}` string" for c in IO.REPORT_HEADERS)).option("header", True) \
+        .option("quote", '"').option("escape", '"').csv(path)
+    return back.fillna("", subset=["Error"])
 
 
 def q_export_json(spark, sf):
@@ -271,21 +290,22 @@ ORACLES = {
         "SELECT doc_id, row_index, row_index // 16 + 1 AS batch, CAST(ceil(n / 16) AS BIGINT) AS total_batches FROM "
         "(SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index, count(*) OVER () AS n FROM documents) t"),
     "batch_progress": (
-        f"WITH r AS {RESULTS_SQL}, b AS (SELECT job_id, row_index // 16 + 1 AS batch, count(*) AS c FROM r GROUP BY ALL), "
-        "t AS (SELECT job_id, count(*) AS total_rows FROM r GROUP BY job_id), "
+        f"WITH r AS {RESULTS_SQL}, b AS (SELECT job_id, row_index // 4 + 1 AS batch, CASE WHEN job_id % 5 = 0 AND "
+        "row_index // 4 = 0 THEN 0 ELSE count(*) END AS c FROM r GROUP BY job_id, row_index // 4), "
+        f"t AS (SELECT job_id, total_rows FROM {JOBS_SQL} j), "
         "p AS (SELECT job_id, batch, CAST(sum(c) OVER (PARTITION BY job_id ORDER BY batch) AS BIGINT) AS processed_rows FROM b) "
         "SELECT p.job_id, p.batch, p.processed_rows, t.total_rows, round(p.processed_rows * 100.0 / t.total_rows, 6) "
         "AS progress_pct FROM p JOIN t USING (job_id)"),
     "job_status_live": (
-        f"WITH j AS {JOBS_SQL}, r AS {RESULTS_SQL}, a AS (SELECT job_id, count(*) AS total_rows, "
+        f"WITH j AS {JOBS_SQL}, r AS {RESULTS_SQL}, a AS (SELECT job_id, "
         f"count(*) FILTER (WHERE created_at <= TIMESTAMP '{AS_OF_LIVE}') AS processed_rows FROM r GROUP BY job_id), "
-        "x AS (SELECT j.job_id, j.status, j.started_at, coalesce(a.processed_rows, 0) AS processed_rows, "
-        "coalesce(a.total_rows, 0) AS total_rows FROM j LEFT JOIN a USING (job_id)) "
+        "x AS (SELECT j.job_id, j.status, j.started_at, j.batch_size, coalesce(a.processed_rows, 0) AS processed_rows, "
+        "j.total_rows FROM j LEFT JOIN a USING (job_id)) "
         "SELECT job_id, status, processed_rows, total_rows, round(CASE WHEN total_rows = 0 THEN 0.0 ELSE "
         "processed_rows * 100.0 / total_rows END, 6) AS progress_pct, "
-        f"{_ceil_div('processed_rows', 16)} AS current_batch, {_ceil_div('total_rows', 16)} AS total_batches, "
+        f"{_ceil_div('processed_rows', 'batch_size')} AS current_batch, {_ceil_div('total_rows', 'batch_size')} AS total_batches, "
         f"round(CASE WHEN status = 'processing' AND processed_rows > 0 THEN (epoch(TIMESTAMP '{AS_OF_LIVE}') - "
-        "epoch(started_at)) / processed_rows * (total_rows - processed_rows) END, 6) AS eta_seconds FROM x"),
+        "epoch(started_at)) / processed_rows * (total_rows - processed_rows) END, 3) AS eta_seconds FROM x"),
     "job_status_stored": (
         f"SELECT job_id, status, processed_rows, total_rows, round(processed_rows * 100.0 / total_rows, 6) AS progress_pct, "
         f"{_ceil_div('processed_rows', 'batch_size')} AS current_batch, {_ceil_div('total_rows', 'batch_size')} AS total_batches, "
@@ -298,16 +318,16 @@ ORACLES = {
         "WHERE error_message IS NOT NULL UNION ALL SELECT job_id, row_index, 'Row ' || row_index || "
         "': Batch processing failed - timeout' AS error FROM r WHERE l_linestatus = 'F' AND job_id % 50 = 0"),
     "job_transitions": (
-        f"WITH a AS (SELECT job_id, max(created_at) AS completed_at, count(error_message) AS n_errors FROM {RESULTS_SQL} r "
-        "GROUP BY job_id) SELECT j.job_id, CASE WHEN a.n_errors > 0 THEN 'failed' ELSE 'completed' END AS final_status, "
-        "a.completed_at, CAST(epoch(a.completed_at) - epoch(j.started_at) AS BIGINT) AS processing_time "
-        f"FROM {JOBS_SQL} j JOIN a USING (job_id)"),
+        f"WITH a AS (SELECT job_id, max(created_at) AS last FROM {RESULTS_SQL} r GROUP BY job_id), "
+        "x AS (SELECT j.job_id, j.status, j.started_at, CASE WHEN j.status <> 'processing' THEN coalesce(a.last, j.ended_at) END "
+        f"AS completed_at FROM {JOBS_SQL} j LEFT JOIN a USING (job_id)) SELECT job_id, status AS final_status, completed_at, "
+        "CASE WHEN status = 'completed' THEN CAST(epoch(completed_at) - epoch(started_at) AS BIGINT) END AS processing_time FROM x"),
     "batch_summary": (
         "SELECT conv_id, count(*) AS total_processed, count(*) FILTER (WHERE text IS NULL OR "
         f"length(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g')) = 0 OR length(text) > 10000 OR role = 'system') "
-        "AS failed, CAST(trunc((count(*) - count(*) FILTER (WHERE text IS NULL OR "
-        f"length(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g')) = 0 OR length(text) > 10000 OR role = 'system')) * 100 "
-        "/ count(*)) AS INTEGER) AS success_pct FROM conversations GROUP BY conv_id"),
+        "AS failed, CAST(trunc(coalesce(max(turn + 1) FILTER (WHERE NOT (text IS NULL OR "
+        f"length(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g')) = 0 OR length(text) > 10000 OR role = 'system')), 0) * 100 "
+        "/ count(*)) AS INTEGER) AS progress_pct FROM conversations GROUP BY conv_id"),
     "per_row_time": (
         f"WITH r AS (SELECT *, row_index // 16 + 1 AS batch FROM {RESULTS_SQL} r0) SELECT job_id, row_index, batch, "
         "round(sum(processing_time) OVER (PARTITION BY job_id, batch) / count(*) OVER (PARTITION BY job_id, batch), 6) "

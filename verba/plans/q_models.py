@@ -346,7 +346,7 @@ def _classify_sql():
         f"lg AS (SELECT id, CASE WHEN detected IS NULL THEN 'unknown' ELSE {SM.lang_code_map('detected')} END AS language "
         "FROM det)",
         f"tr0 AS (SELECT sha256({S.clean_text('text')}) AS src_key, lang AS src_lang, doc_id, "
-        f"CASE WHEN doc_id % 3 = 0 THEN 'en: ' || substring({S.clean_text('text')}, 1, 200) ELSE '  ' END AS translated "
+        f"CASE WHEN doc_id % 3 = 0 THEN 'en: ' || {S.clean_text('text')} ELSE '  ' END AS translated "
         "FROM documents WHERE lang <> 'en' AND doc_id % 3 <> 2)",
         "tr AS (SELECT src_key, src_lang, arg_min(translated, doc_id) AS translated FROM tr0 GROUP BY src_key, src_lang)",
         "tx AS (SELECT c.id, lg.language, CASE WHEN lg.language NOT IN ('en', 'unknown') "

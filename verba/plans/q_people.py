@@ -122,10 +122,11 @@ def q_results_preview(spark, sf):
 
 def q_job_summary(spark, sf):
     jobs = TB.jobs(spark, sf).select("job_id", "batch_size")
-    agg = TB.results(spark, sf).groupBy("job_id").agg(
+    agg = TB.result_rows(spark, sf).groupBy("job_id").agg(
         F.count(F.lit(1)).alias("processed_rows"), F.sum("processing_time").alias("processing_time"),
         F.count("error_message").alias("errors"))
-    return jobs.join(agg, "job_id").select("job_id", "processed_rows", SC.round6("processing_time").alias("processing_time"),
+    full = jobs.join(agg, "job_id", "left").fillna(0, subset=["processed_rows", "processing_time", "errors"])
+    return full.select("job_id", "processed_rows", SC.round6("processing_time").alias("processing_time"),
                                            "batch_size", "errors")
 
 
@@ -140,7 +141,7 @@ def q_selection_summary(spark, sf):
     sel = resolve_model_selection(QM._requests(spark, sf), M.registry_df(spark))
     req = QM._requests(spark, sf).select(F.col("conv_id").alias("request_id"), "task")
     chosen = sel.filter(F.col("error").isNull()).select(F.col("conv_id").alias("request_id"), "model_key")
-    return R.selection_summary(req.join(chosen, "request_id"), M.registry_df(spark))
+    return R.selection_summary(req.join(chosen, "request_id", "left"), M.registry_df(spark))
 
 
 # ------------------------------------------------------------------ VAL
@@ -318,14 +319,11 @@ _USERS_BATCH = (
     "SELECT email, full_name, id + 2000000 FROM u WHERE id % 9 = 0 UNION ALL "
     "SELECT email, full_name, id + 1000000 FROM u WHERE id % 3 <> 0 AND id % 10 = 1 UNION ALL "
     "SELECT replace(email, '@', '_at_'), full_name, id + 3000000 FROM u WHERE id % 3 <> 0 AND id % 13 = 5), "
-    "f AS (SELECT email, min(seq) AS seq FROM b GROUP BY email), "
-    "fr AS (SELECT * FROM b WHERE email NOT IN (SELECT email FROM ex)), "
-    "ok AS (SELECT *, regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') AND coalesce(length(full_name), 0) <= 255 "
-    "AS shape_ok, (email, seq) IN (SELECT (email, seq) FROM f) AS is_first FROM fr) "
-    "SELECT email, seq, 'inserted' AS outcome FROM ok WHERE is_first AND shape_ok UNION ALL "
-    "SELECT email, seq, 'Email already registered' FROM b WHERE email IN (SELECT email FROM ex) UNION ALL "
-    "SELECT email, seq, 'Invalid email or name' FROM ok WHERE is_first AND NOT shape_ok UNION ALL "
-    "SELECT email, seq, 'Email already registered' FROM ok WHERE NOT is_first")
+    "ok AS (SELECT *, coalesce(regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$'), false) "
+    "AND coalesce(length(full_name), 0) <= 255 AS shape_ok FROM b), "
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY email, shape_ok ORDER BY seq, full_name) AS k FROM ok) "
+    "SELECT email, seq, CASE WHEN NOT shape_ok THEN 'Invalid email or name' WHEN k > 1 OR email IN (SELECT email FROM ex) "
+    "THEN 'Email already registered' ELSE 'inserted' END AS outcome FROM ranked")
 
 ORACLES = {
     "history_count": f"{_HU}SELECT user_id, count(*) AS total FROM h WHERE user_id IS NOT NULL GROUP BY user_id",
@@ -373,9 +371,9 @@ ORACLES = {
         "FROM (SELECT *, 'Result text for part number ' || CAST(CAST(trunc(l_quantity) AS INTEGER) AS VARCHAR) || "
         f"' of the uploaded file' AS t FROM {RESULTS_SQL} r0 WHERE row_index < 10) r"),
     "job_summary": (
-        "SELECT j.o_orderkey AS job_id, count(*) AS processed_rows, round(sum(r.processing_time), 6) AS processing_time, "
+        "SELECT j.o_orderkey AS job_id, count(r.job_id) AS processed_rows, round(coalesce(sum(r.processing_time), 0), 6) AS processing_time, "
         "[1, 4, 8, 16, 64, 128, 256][j.o_orderkey % 7 + 1] AS batch_size, count(r.error_message) AS errors "
-        f"FROM orders j JOIN {RESULTS_SQL} r ON r.job_id = j.o_orderkey GROUP BY j.o_orderkey"),
+        f"FROM orders j LEFT JOIN {RESULTS_SQL} r ON r.job_id = j.o_orderkey GROUP BY j.o_orderkey"),
     "temperature_mode": (
         f"SELECT event_id, round({_clamp('value / 200')}, 6) AS t, CASE WHEN {_clamp('value / 200')} < 0.8 THEN "
         f"'high_confidence' WHEN {_clamp('value / 200')} <= 1.2 THEN 'balanced' ELSE 'exploratory' END AS mode FROM events"),
@@ -385,7 +383,7 @@ ORACLES = {
          "rq AS (SELECT DISTINCT conv_id, CASE conv_id % 3 WHEN 0 THEN 'sentiment' WHEN 1 THEN 'spam' ELSE 'topic' END "
          "AS task FROM conversations)",
          "k AS (SELECT rq.conv_id AS request_id, rq.task, count(sel.model_key) AS k, min(sel.model_key) AS only_key FROM rq "
-         "JOIN sel ON sel.conv_id = rq.conv_id AND sel.error IS NULL GROUP BY rq.conv_id, rq.task)"],
+         "LEFT JOIN sel ON sel.conv_id = rq.conv_id AND sel.error IS NULL GROUP BY rq.conv_id, rq.task)"],
         "SELECT k.request_id, k.task, k.k, n.n, CASE WHEN k.k = 0 THEN 'No model selected (will use all models)' "
         "WHEN k.k = 1 THEN 'Single model: ' || reg.display_name WHEN k.k = n.n THEN 'Ensemble: All ' || n.n || "
         "' models combined' ELSE 'Ensemble: ' || k.k || ' of ' || n.n || ' models combined' END AS summary "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from verba.functions import scores as SC
 from verba.plans import classify as C
 from verba.plans import q_models as QM
-from verba.plans.q_jobs import RESULTS_SQL
+from verba.plans.q_jobs import JOBS_SQL, RESULTS_SQL
 from verba.session import materialize
 from verba.sources import tables as TB
 from verba.sources.tables import load
@@ -27,9 +27,9 @@ def q_stream_classify(spark, sf):
 
 
 def q_stream_job_progress(spark, sf):
-    res = TB.results(spark, sf).select("job_id", "row_index", "error_message")
+    res = TB.result_rows(spark, sf).select("job_id", "l_linenumber", "error_message")
     # static side of the stream-static join: computed once, not once per micro-batch
-    totals = materialize(res.groupBy("job_id").agg(F.count(F.lit(1)).alias("total_rows")))
+    totals = materialize(TB.jobs(spark, sf).select("job_id", "total_rows"))
     r = ST.stream_job_progress(spark, res, totals)
     return r.select("job_id", "processed_rows", "failed_rows", "total_rows", SC.round6("progress_pct").alias("progress_pct"))
 
@@ -64,8 +64,9 @@ ORACLES = {
     "preprocess_text": _preprocess_sql(),
     "stream_classify": QM.ORACLES["classify_table"],
     "stream_job_progress": (
-        f"SELECT job_id, count(*) AS processed_rows, count(error_message) AS failed_rows, count(*) AS total_rows, "
-        f"round(100.0, 6) AS progress_pct FROM {RESULTS_SQL} r GROUP BY job_id"),
+        f"SELECT r.job_id, count(*) AS processed_rows, count(r.error_message) AS failed_rows, max(j.total_rows) AS total_rows, "
+        f"round(count(*) * 100.0 / max(j.total_rows), 6) AS progress_pct FROM {RESULTS_SQL} r JOIN {JOBS_SQL} j USING (job_id) "
+        "GROUP BY r.job_id"),
     "stream_dedupe_jobs": "SELECT event_id, ts, user_id, event_type FROM events",
     "stream_retry_safe_sink": "SELECT event_id, ts, value FROM events",
 }

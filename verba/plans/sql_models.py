@@ -35,8 +35,8 @@ def detector_grams(e: str) -> str:
     return S.char_ngrams(f"(' ' || lower({e}) || ' ')", 3)
 
 
-def model_text(e: str) -> str:
-    return S.normalize_text(S.clean_text(e))
+def model_text(e: str, truncate: bool = True) -> str:
+    return S.normalize_text(S.clean_text(e), truncate)
 
 
 def feats(kind: str, e: str) -> str:
@@ -102,7 +102,7 @@ def nb_train_ctes(task: str, kind: str, p: str) -> list:
     classes = M.TASK_CLASSES[task]
     cls_rows = [(c, i + 1, M.output_label(task, c)) for i, c in enumerate(classes)]
     return [
-        f"{p}_corpus AS MATERIALIZED (SELECT doc_id, label, {model_text('text')} AS t FROM ({corpus_sql(task)}) c0)",
+        f"{p}_corpus AS MATERIALIZED (SELECT doc_id, label, {model_text('text', False)} AS t FROM ({corpus_sql(task)}) c0)",
         f"{p}_cls AS {values(cls_rows, ['label', 'k', 'out_label'])}",
         f"{p}_prior AS (SELECT c.label, c.k, c.out_label, ln((count(x.label) + 1) / "
         f"((SELECT count(*) FROM {p}_corpus) + {len(classes)})) AS lp "

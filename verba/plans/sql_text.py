@@ -60,10 +60,10 @@ def truncate_at_word(e: str, limit: int = T.MAX_MODEL_CHARS) -> str:
     )
 
 
-def normalize_text(e: str) -> str:
+def normalize_text(e: str, truncate: bool = True) -> str:
     c = collapse_ws(nfkd(f"lower({e})"))
     c = f"(CASE WHEN {c} = '' THEN 'empty text' ELSE {c} END)"
-    return truncate_at_word(c)
+    return truncate_at_word(c) if truncate else c
 
 
 def word_tokens(e: str) -> str:

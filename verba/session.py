@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,8 +38,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only a local session without one gets a temp dir."""
     try:
         sc = spark.sparkContext
-    except Exception:  # a Connect session: the server's spark.checkpoint.dir applies
-        return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    except Exception as e:  # a Connect session: the server's spark.checkpoint.dir applies
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder") from e
+        return shared
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -54,9 +58,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with files in the shared checkpoint folder: Parquet, so that later readers prune columns."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/verba-tmp/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

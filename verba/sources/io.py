@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verba.session import ensure_checkpoint_dir
 
-NA_STRINGS = ("NA", "None", "nan", "N/A", "NULL", "null", "NaN", "")
+# The strings that a default pandas CSV read takes for missing (fixed values).
+NA_STRINGS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+              "NaN", "None", "n/a", "nan", "null")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -24,7 +26,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def write_csv(df: DataFrame, path: str) -> None:
     (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
-     .option("quoteAll", True).csv(path))
+     .option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_csv_texts(spark: SparkSession, path: str, schema, text_column: str = "text",
@@ -49,33 +51,37 @@ def read_request_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def assign_row_index(df: DataFrame, order_cols: list, n_partitions: int | None = None) -> DataFrame:
-    """SRC4: row_index 0..n-1 in order, without a global single-partition window:
-    range-partition, number rows inside each partition, add per-partition offsets
-    (a table with one row per partition, broadcast)."""
+    """SRC4: row_index 0..n-1 in order, without a global single-partition window: range-partition,
+    number rows inside each partition, add per-partition offsets (one row per partition, broadcast).
+    The partitioned rows are written once: counts and rows must come from the same range bounds, which
+    Spark samples anew whenever the frame is computed again."""
     spark = df.sparkSession
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    r = r.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    r = r.withColumn("_local", local)
+    r = r.withColumn("_pid", F.spark_partition_id()).withColumn(
+        "_local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    path = scratch_path(spark, "row-index")
+    r.write.parquet(path)
+    r = spark.read.schema(r.schema).parquet(path)
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-    # one row per partition: a tiny window over partition ids
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                                                F.lit(0)))
-    out = r.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
-    return out.withColumn("row_index", F.col("_off") + F.col("_local")).drop("_pid", "_mid", "_local", "_off")
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # over one row per partition
+    offs = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = r.join(F.broadcast(offs), "_pid")
+    return out.withColumn("row_index", F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off")
 
 
-def write_results(df: DataFrame, path: str, partition_col: str) -> None:
-    """SNK1: parquet, dynamic partition overwrite, so a retried batch replaces only its partitions."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(partition_col).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+def index_within(df: DataFrame, key: str, order_cols: list) -> DataFrame:
+    """row_index 0.. within each ``key``, in order: the global index minus the key's first. A key with a
+    third of all rows spans many range partitions, and the join on the key can be split."""
+    indexed = assign_row_index(df, [key, *order_cols])
+    first = indexed.groupBy(key).agg(F.min("row_index").alias("_first"))
+    return indexed.join(first, key).withColumn("row_index", F.col("row_index") - F.col("_first")).drop("_first")
+
+
+def write_results(df: DataFrame, path: str, partition_cols: list) -> None:
+    """SNK1: parquet, dynamic partition overwrite as a writer option. ``partition_cols`` must name the
+    batch, besides the job or its bucket: a retried batch then replaces its own rows and no others."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).parquet(path)
 
 
 REPORT_HEADERS = ["Row Index", "Text", "Prediction", "Confidence", "Language", "Processing Time (ms)", "Error"]
@@ -95,6 +101,11 @@ def csv_report(results: DataFrame) -> DataFrame:
     )
 
 
+def write_csv_report(results: DataFrame, path: str) -> None:
+    """SNK2: the report as CSV files with a header."""
+    write_csv(csv_report(results), path)
+
+
 def export_json(results: DataFrame, path: str) -> None:
     """SNK3: one JSON object per result row."""
     results.select(F.to_json(F.struct(*results.columns)).alias("value")).write.mode("overwrite").text(path)

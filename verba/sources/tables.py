@@ -109,17 +109,25 @@ def queue_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as CSV result rows; row_index numbers a job's rows by all columns."""
-    from pyspark.sql import Window
+    from verba.sources.io import index_within
 
-    li = load(spark, sf_dir, "lineitem")
     order_cols = [
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     ]
-    w = Window.partitionBy("l_orderkey").orderBy(*order_cols)
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey", *order_cols)
+    return _result_columns(index_within(li, "l_orderkey", order_cols), F.col("row_index"))
+
+
+def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """results() without row_index, for what needs no numbering."""
+    return _result_columns(load(spark, sf_dir, "lineitem"))
+
+
+def _result_columns(li: DataFrame, *more) -> DataFrame:
     return li.select(
         F.col("l_orderkey").alias("job_id"),
-        (F.row_number().over(w) - 1).cast("long").alias("row_index"),
+        *more,
         F.col("l_linenumber"),
         F.col("l_returnflag").alias("prediction"),
         (1 - F.col("l_discount")).alias("confidence"),
