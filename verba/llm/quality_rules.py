@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verba.llm.common import written
-from verba.llm.textstats import SPACES, SYMBOLS, count_of, lines_of, repeats_in, without, words_of
+from verba.llm.textstats import SPACES, SYMBOLS, lines_of, neighbours, repeats_in, without, words_of
 
 # Common function words by language (fixed values).
 COMMON = {
@@ -19,7 +19,8 @@ COMMON = {
 }
 WORDS = sorted(set().union(*COMMON.values()))
 # Character classes: upper and lower case letters, digits, white space, symbols, sentence marks; the rest last.
-CLASSES = [r"\p{Lu}", r"\p{Ll}", r"\p{Nd}", r"\s", r"[#*$%&|<>=@^~_\\/{}\[\]+]", r"[.,;:!?'\"()-]"]
+LOWER, SPACE = r"\p{Ll}", r"[\x20\x09-\x0D]"
+CLASSES = [r"\p{Lu}", LOWER, r"\p{Nd}", SPACE, r"[#*$%&|<>=@^~_\\/{}\[\]+]", r"[.,;:!?'\"()-]"]
 WINDOW = 8  # words of a repeated passage
 MIN_WORDS, MAX_REPEATED = 20, 30  # base rules: words; per cent of words in repeated passages
 GUARD = 50  # shorter documents are not compared: their histograms say too little
@@ -28,16 +29,21 @@ CLASS_LIMIT, WORD_LIMIT, SLACK = 0.15, 0.34, 1.0  # distance allowed: limit + sl
 
 def _repeat_words(df: DataFrame) -> DataFrame:
     """w (array of words) -> n_repeat_words: words in WINDOW-word windows found twice or more in w."""
-    n = F.size("w")
-    df = df.withColumn("_h", F.transform("w", lambda x: F.xxhash64(x)))
-    grams = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.col("_h")[i + k] for k in range(WINDOW)]))
-    df = df.withColumn("_g", F.when(n >= WINDOW, grams).otherwise(F.expr("cast(array() as array<bigint>)")))
+    # hashes of 2, 4 and 8 neighbouring words, each from two of the one before
+    def doubled(c, k):
+        return neighbours(F.col(c), lambda a, b: F.xxhash64(a, b), k)
+
+    df = df.withColumn("_h", F.transform("w", lambda x: F.xxhash64(x))).withColumn("_h", doubled("_h", 1)).withColumn("_h", doubled("_h", 2))
+    # a window found again has WINDOW - 3 runs of four words that were there before
+    some = F.size("_h") - F.size(F.array_distinct("_h")) >= WINDOW - 3
+    df = df.withColumn("_h", F.when(some, F.col("_h"))).withColumn("_g", doubled("_h", 4))
     by_hash = F.array_sort(F.transform("_g", lambda x, i: F.struct(x.alias("g"), i.alias("p"))))
     df = df.withColumn("_s", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), by_hash))
-    same = lambda x, i: F.coalesce(F.get("_s", i)["g"] == x["g"], F.lit(False))
-    df = df.withColumn("_d", F.array_sort(F.transform(F.filter("_s", lambda x, i: same(x, i - 1) | same(x, i + 1)),
-                                                      lambda x: x["p"])))
-    step = F.transform("_d", lambda p, k: F.when(k == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), p - F.get("_d", k - 1))))
+    none = F.expr("cast(array() as array<int>)")
+    pairs = neighbours(F.col("_s"), lambda x, y: F.when(x["g"] == y["g"], F.array(x["p"], y["p"])).otherwise(none))
+    df = df.withColumn("_d", F.array_sort(F.array_distinct(F.flatten(pairs))))
+    # a repeated window adds its words up to where the next one begins
+    step = F.when(F.size("_d") > 0, F.array_append(neighbours(F.col("_d"), lambda p, q: F.least(F.lit(WINDOW), q - p)), F.lit(WINDOW)))
     total = F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)
     return df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0))).drop("_h", "_g", "_s", "_d")
 
@@ -48,20 +54,24 @@ def measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     df = docs.select(docs[f"`{id_col}`"].alias("_id"), docs[f"`{lang_col}`"].cast("string").alias("_lang"),
                      F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("_t"))
     t = F.col("_t")
-    parts = [F.regexp_count(t, F.lit(c)).cast("long") for c in CLASSES]
-    df = df.withColumn("w", words_of(t)).withColumn("classes", F.array(*parts)).withColumn("_len", F.char_length(t).cast("long"))
+    df = df.withColumn("w", words_of(t)).withColumn("_len", F.char_length(t).cast("long")) \
+           .withColumn("word_chars", F.char_length(without(t, SPACES)).cast("long"))
+    # lower case letters come in runs and white space is what words leave: cheaper than a match for each
+    parts = {c: F.regexp_count(t, F.lit(c)).cast("long") for c in CLASSES}
+    parts[LOWER] = (F.col("_len") - F.char_length(F.regexp_replace(t, LOWER + "+", ""))).cast("long")
+    parts[SPACE] = F.col("_len") - F.col("word_chars")
+    df = df.withColumn("classes", F.array(*parts.values()))
     plain = F.filter(F.transform("w", lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?")))), lambda x: x.isin(WORDS))
     df = df.withColumn("_c", F.concat(F.lit(" "), F.array_join(plain, "  "), F.lit(" ")))
     size = F.char_length("_c")
     common = [((size - F.char_length(F.replace("_c", F.lit(f" {x} ")))) / (len(x) + 2)).cast("long") for x in WORDS]
     df = df.withColumn("common", F.array(*common))
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    df = df.select("_id", "_lang", "_t", "w", F.size("w").cast("long").alias("n_words"),
+    df = df.select("_id", "_lang", "_t", "w", F.size("w").cast("long").alias("n_words"), "word_chars",
                    F.concat("classes", F.array(F.greatest(F.col("_len") - add("classes"), F.lit(0)))).alias("classes"),
                    F.concat("common", F.array(F.greatest(F.size("w") - add("common"), F.lit(0)))).alias("common"))
     df = _repeat_words(df)
-    return df.select("_id", "_lang", "n_words", F.char_length(without(t, SPACES)).cast("long").alias("word_chars"),
-                     count_of(t, SYMBOLS).alias("n_symbols"), repeats_in(lines_of(t)).alias("n_dup_lines"), "n_repeat_words",
+    return df.select("_id", "_lang", "n_words", "word_chars", F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"), repeats_in(lines_of(t)).alias("n_dup_lines"), "n_repeat_words",
                      "classes", "common")
 
 

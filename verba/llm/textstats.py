@@ -32,3 +32,16 @@ def lines_of(text):
 def repeats_in(array):
     """Elements equal to an earlier one."""
     return (F.size(array) - F.size(F.array_distinct(array))).cast("long")
+
+
+def neighbours(array, f, gap: int = 1):
+    """f(element, the one ``gap`` further on) for all that have one. The array is not looked up inside a
+    lambda, where an optimizer may put the expression that makes it."""
+    left = F.greatest(F.size(array) - gap, F.lit(0))
+    return F.slice(F.zip_with(array, F.slice(array, gap + 1, left), f), 1, left)
+
+
+def once():
+    """True, but not deterministic: a filter on a column that uses it is not pushed below, where it would
+    repeat the expressions that the column stands for."""
+    return F.spark_partition_id() >= 0
