@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verba.llm.textstats import SPACES, SYMBOLS, count_of, lines_of, repeats_in, without, words_of
+from verba.llm.textstats import SYMBOLS, lines_of, neighbours, once, repeats_in, words_of
 
 LABELLED, POOL = 20_000, 20_000  # bounds of what the model is fitted on: labelled rows, unlabelled rows
 ROUNDS, PER_ROUND, SURE = 4, 1_000, 0.97
@@ -29,10 +29,10 @@ def with_features(df: DataFrame, n_values: int) -> DataFrame:
         "_v", F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1)))
     n, chars = F.greatest(F.col("_n"), F.lit(1.0)), F.greatest(F.char_length(t), F.lit(1)).cast("double")
     log = F.log1p("_n")
-    stutter = F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1))))
-    text = [F.regexp_count(t, F.lit(r"\p{Lu}")) / chars, count_of(t, SYMBOLS) / n, count_of(t, "!") / n,
-            F.regexp_count(t, F.lit(r"\p{Nd}")) / chars, F.char_length(without(t, SPACES)) / n, F.col("_v"), log, F.col("_v") * log,
-            stutter / n, repeats_in(F.col("_lines")) / F.greatest(F.size("_lines"), F.lit(1)), count_of(t, ".,;:?") / n]
+    stutter = F.size(F.filter(neighbours(w, lambda x, y: x == y), lambda same: same))
+    count = lambda chars: F.regexp_count(t, F.lit(f"[{chars}]"))
+    text = [count(r"\p{Lu}") / chars, count(SYMBOLS) / n, count("!") / n, count(r"\p{Nd}") / chars, chars / n, F.col("_v"), log,
+            F.col("_v") * log, stutter / n, repeats_in(F.col("_lines")) / F.greatest(F.size("_lines"), F.lit(1)), count(".,;:?") / n]
     bucket = [F.pmod(F.xxhash64(F.lit(c), F.col("_m")[c]), F.lit(BUCKETS)) for c in range(n_values)]
     meta = [(b == k).cast("double") for b in bucket for k in range(BUCKETS)]
     meta += [F.coalesce(F.log1p(F.greatest("_size", F.lit(0.0))), F.lit(0.0)), F.col("_size").isNull().cast("double")]
@@ -147,8 +147,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
         (ca, cb), c0 = model["combined"]
         logit = lambda p: F.log(F.greatest(F.col(p), F.lit(1e-12)) / F.greatest(1 - F.col(p), F.lit(1e-12)))
         df = df.withColumn("_s", _logistic(logit("_a") * F.lit(ca) + logit("_b") * F.lit(cb) + F.lit(c0)))
+    df = df.withColumn("_once", once())
     return df.select(*[F.col("_row").getField(c).alias(c) for c in keep], F.col("_a").alias("p_text"), F.col("_b").alias("p_meta"),
-                     F.col("_s").alias("score"), (F.col("_s") >= KEEP).alias("kept"))
+                     F.col("_s").alias("score"), ((F.col("_s") >= KEEP) & F.col("_once")).alias("kept"))
 
 
 def _logistic(x):

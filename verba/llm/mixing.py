@@ -59,7 +59,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
     Each document expects target / source_size copies. Within a source documents are lined up by size,
     id and row key; a document takes a copy for each whole number between its prefix sums plus the
     source's random offset (from the source's name and the seed, so reruns agree). By size: the sample
-    then has documents of all sizes in proportion, and the words taken come near the target. The ranks
+    then has documents of all sizes in proportion, and the words taken miss the target by about one large
+    document at most. The ranks
     come from range partitions on (source, size, ...), so that a source with a third of all rows spans
     many tasks. Null text has size 0; null source is a source; ids may be null (lined up as 0) or
     repeat; equal rows are interchangeable. A source of size 0 has target 0. Empty table: no rows."""
