@@ -86,6 +86,12 @@ def test_vectors_without_direction_keep_their_row(spark, sf):
     assert sorted(r.vec_id for r in got) == [1, 2, 3]
 
 
+def test_caller_brings_the_language(spark, sf):
+    docs = spark.createDataFrame([(1, "win a prize now, call today", "xx"), (2, "see you", None)], "doc_id long, text string, code string")
+    got = {r.doc_id: r.language for r in C.classify_table(spark, sf, docs, language_col="code", enable_translation=False).collect()}
+    assert got == {1: "xx", 2: "unknown"}
+
+
 def test_classify_keeps_rows_with_equal_and_missing_ids(spark, sf):
     rows = [(1, "win a prize now, call today"), (1, "see you at lunch tomorrow"), (None, "hello there my friend"), (2, None)]
     got = C.classify_table(spark, sf, spark.createDataFrame(rows, "doc_id long, text string"), temperature=None).collect()

@@ -25,6 +25,7 @@ WORKER_STEPS = {
 TOTAL_STEPS = 3
 UNKNOWN_ERROR = "Unknown error"
 NOT_FOUND = "not_found"
+JOB_NOT_FOUND = "Job not found"
 
 
 def _c(col) -> Column:
@@ -158,15 +159,20 @@ def queue_info(queue_jobs: DataFrame, queues: DataFrame) -> DataFrame:
 
 
 def job_status_view(requested: DataFrame, queue_jobs: DataFrame) -> DataFrame:
-    """QUE2: result only if finished, failure text only if failed, unknown id -> not_found."""
+    """QUE2: result only if finished; failure_info only if failed and known, error then says it or
+    'Unknown error'; an unknown id is not_found with the error 'Job not found'."""
     j = requested.join(queue_jobs, "job_id", "left")
     found = F.col("status").isNotNull()
     return j.select(
         "job_id",
         F.when(found, F.col("status")).otherwise(F.lit(NOT_FOUND)).alias("status"),
         F.when(F.col("status") == "finished", F.col("result")).alias("result"),
-        F.when(F.col("status") == "failed", F.coalesce(F.col("failure_info"), F.lit(UNKNOWN_ERROR))).alias("failure_info"),
+        F.when(F.col("status") == "failed", F.col("failure_info")).alias("failure_info"),
+        F.when(~found, F.lit(JOB_NOT_FOUND)).when(F.col("status") == "failed", F.coalesce(F.col("failure_info"), F.lit(UNKNOWN_ERROR)))
+        .alias("error"),
+        F.col("queue").alias("queue_name"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+        F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss").alias("started_at"),
         F.date_format("ended_at", "yyyy-MM-dd'T'HH:mm:ss").alias("ended_at"),
     )
 

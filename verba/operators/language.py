@@ -101,7 +101,7 @@ def score_languages(docs: DataFrame, model: LanguageModel, detector_text: str, k
     """LNG2: sum of gram log weights + prior per language; argmax, first language (sorted) wins a tie.
     Adds ``detected`` (null when the text has no grams in the profile vocabulary) and ``lang_scores``."""
     ex = docs.select(*keep, F.explode_outer(detector_grams(detector_text)).alias("g"))  # keep: keys only
-    j = ex.join(bounded_broadcast(model.weights, model.n_features), "g", "left")
+    j = ex.join(bounded_broadcast(model.weights, model.n_features * (8 * len(model.classes) + 64)), "g", "left")
     k = len(model.classes)
     g = j.groupBy(*keep).agg(
         F.count("w").alias("n_grams"),
@@ -163,16 +163,17 @@ def translation_table(spark: SparkSession, sf_dir: str, cleaned_docs: DataFrame
     d = src.filter((F.col("lang") != "en") & (F.col("doc_id") % 3 != 2))
     cleaned = F.col("cleaned") if cleaned_docs is not None else T.clean_text("text")
     tr = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("en: "), cleaned)).otherwise(F.lit("  "))
-    rows = d.select(text_key(cleaned).alias("src_key"), F.col("lang").alias("src_lang"), "doc_id", tr.alias("translated"))
+    rows = d.select(text_key(cleaned).alias("src_key"), map_language_code("lang").alias("src_lang"), "doc_id", tr.alias("translated"))
     return rows.groupBy("src_key", "src_lang").agg(F.min_by("translated", "doc_id").alias("translated"))
 
 
 def apply_translations(docs: DataFrame, translations: DataFrame, text_col: str, lang_col: str,
                        route: Column, out: str = "translated_text") -> DataFrame:
     """LNG8: routed rows take a non-blank translation; missing/blank keeps the original text.
-    The translation table is broadcast only under a measured row bound."""
-    n = translations.count()
-    tr = bounded_broadcast(translations.select("src_key", "src_lang", F.col("translated").alias("_tr")), n)
+    The translation table is broadcast only under a measured bound of its bytes."""
+    rows, chars = translations.agg(F.count(F.lit(1)), F.sum(F.octet_length("translated"))).first()
+    size = rows * 96 + (chars or 0)  # keys and whole texts
+    tr = bounded_broadcast(translations.select("src_key", "src_lang", F.col("translated").alias("_tr")), size)
     d = docs.withColumn("_key", text_key(text_col)).withColumn("_route", route)
     cond = (F.col("_key") == F.col("src_key")) & (F.col(lang_col) == F.col("src_lang")) & F.col("_route")
     j = d.join(tr, cond, "left")

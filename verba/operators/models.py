@@ -53,6 +53,25 @@ def output_label(task: str, raw: str) -> str:
     return raw
 
 
+# What the service says of a task, and its languages (fixed values).
+TASK_INFO = {
+    "sentiment": ("Sentiment Analysis (Positive/Negative/Neutral)", ["en", "multilingual", "auto"]),
+    "spam": ("Spam Detection (Spam/Not Spam)", ["en", "auto"]),
+    "topic": ("Topic Classification", ["en", "auto"]),
+}
+
+
+def task_description(task) -> Column:
+    c = F.col(task)
+    known = F.coalesce(*[F.when(c == t, F.lit(d)) for t, (d, _) in TASK_INFO.items()])
+    return F.coalesce(known, F.concat(F.initcap(c), F.lit(" Classification")))
+
+
+def task_languages(task) -> Column:
+    own = F.coalesce(*[F.when(F.col(task) == t, F.array(*map(F.lit, x))) for t, (_, x) in TASK_INFO.items()])
+    return F.coalesce(own, F.array(F.lit("en"), F.lit("auto")))
+
+
 def registry_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(t, k, d, kind, i) for i, (t, k, d, kind) in enumerate(REGISTRY)],
@@ -178,12 +197,12 @@ def score_nb(docs: DataFrame, models: list, text_col: str, keep: list) -> DataFr
     pairs = F.concat(*[F.transform(m.featurize(txt), tag(i)) for i, m in enumerate(models)])
     ex = docs.select(*keep, F.explode_outer(pairs).alias("p")).select(*keep, F.col("p.m").alias("m"), F.col("p.f").alias("f"))
     weights = None
-    rows = 0
+    size = 0
     for i, m in enumerate(models):
         wi = m.weights.select(F.lit(i).alias("m"), "f", "w")
         weights = wi if weights is None else weights.unionByName(wi)
-        rows += m.n_features
-    j = ex.join(bounded_broadcast(weights, rows), ["m", "f"], "left")
+        size += m.n_features * (8 * len(m.classes) + 64)  # a feature, its key and a double per class
+    j = ex.join(bounded_broadcast(weights, size), ["m", "f"], "left")
     aggs = []
     for i, m in enumerate(models):
         hit = (F.col("m") == i) & F.col("w").isNotNull()

@@ -46,23 +46,28 @@ def resolve_selection(task: str, selection) -> list:
 
 def preprocess_table(spark: SparkSession, sf_dir: str, docs: DataFrame, lang_model=None,
                      translations: DataFrame | None = None, enable_translation: bool = True,
-                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                     id_col: str = "doc_id", text_col: str = "text", language_col: str | None = None) -> DataFrame:
     """TXT14 over a table: blank -> ''; else clean -> language (LNG4) -> translate (LNG7/8) -> normalise.
     Returns (rid, id, blank, language, model_text), one row per input row. The cleaned text is written
-    once as Parquet; detection reads it alone, and the small (rid, language) joins back."""
-    lang_model = lang_model or L.language_profiles(spark, sf_dir)
+    once as Parquet; detection reads it alone, and the small (rid, language) joins back.
+    ``language_col``: languages that the caller brings; then none is detected (null: unknown)."""
+    given = [F.coalesce(F.col(language_col), F.lit(L.UNKNOWN)).alias("language")] if language_col else []
     cleaned = F.col("cleaned") if "cleaned" in docs.columns else T.clean_text(F.col(text_col))
     # every row gets a key of its own, written with it: ids may repeat or be null and are only carried
     base = materialize(docs.select(
         F.monotonically_increasing_id().alias("rid"),
         F.col(id_col).alias("id"),
         T.is_blank(F.col(text_col)).alias("blank"),
-        F.coalesce(cleaned, F.lit("")).alias("cleaned"),
+        F.coalesce(cleaned, F.lit("")).alias("cleaned"), *given,
     ))
-    lang = L.detect_language_pipeline(base, lang_model, "cleaned", ["rid"], out="language")
-    # the text side is never broadcast (it grows with the input): a shuffle join on id,
-    # where the language side is one small row per document
-    d = base.hint("merge").join(lang.select("rid", "language"), "rid")
+    if given:
+        d = base
+    else:
+        lang_model = lang_model or L.language_profiles(spark, sf_dir)
+        lang = L.detect_language_pipeline(base, lang_model, "cleaned", ["rid"], out="language")
+        # the text side is never broadcast (it grows with the input): a shuffle join on the row key,
+        # where the language side is one small row per document
+        d = base.hint("merge").join(lang.select("rid", "language"), "rid")
     if enable_translation:
         tr = translations if translations is not None else L.translation_table(spark, sf_dir)
         d = L.apply_translations(d, tr, "cleaned", "language", L.route_for_translation("language", True),
@@ -75,26 +80,30 @@ def preprocess_table(spark: SparkSession, sf_dir: str, docs: DataFrame, lang_mod
 def classify_table(spark: SparkSession, sf_dir: str, docs: DataFrame, task: str = "spam",
                    temperature: float = 1.0, selection="all", enable_translation: bool = True,
                    id_col: str = "doc_id", text_col: str = "text", models: list | None = None, lang_model=None, translations: DataFrame | None = None,
-                   cleaned_docs: DataFrame | None = None, report_processed_language: bool = False) -> DataFrame:
+                   cleaned_docs: DataFrame | None = None, report_processed_language: bool = False,
+                   language_col: str | None = None) -> DataFrame:
     """``cleaned_docs``: the training documents with their cleaned text (``cleaned_documents``);
     built here when a model, the profiles or the translation table must be trained.
+    ``language_col``: the caller's languages, which replace detection, as for single requests.
     ``report_processed_language``: also add ``detected_language``, the language detected on the
     processed (translated, normalised) text, as the reference's batch mode reports it (quirk 2);
     ``language`` stays the source language. Costs one more detection pass, so it is off by default."""
     keys = resolve_selection(task, selection)
     prepared = cleaned_docs
-    if prepared is None and (models is None or lang_model is None or (enable_translation and translations is None)):
+    detect = language_col is None or report_processed_language
+    if prepared is None and (models is None or (detect and lang_model is None) or (enable_translation and translations is None)):
         prepared = TB.cleaned_documents(spark, sf_dir)
     models = models or M.train_task_models(spark, sf_dir, task, keys, cleaned_docs=prepared)
     models = [m for k in keys for m in models if m.key == k]
-    lang_model = lang_model or L.language_profiles(spark, sf_dir, cleaned_docs=prepared)
+    if detect:
+        lang_model = lang_model or L.language_profiles(spark, sf_dir, cleaned_docs=prepared)
     if enable_translation and translations is None:
         # written once: its row count decides broadcast vs shuffle join, and the join reads it again
         translations = materialize(L.translation_table(spark, sf_dir, cleaned_docs=prepared))
     t = 1.0 if temperature is None else float(temperature)
     t = min(SC.T_MAX, max(SC.T_MIN, t))  # VAL6: clamp everywhere
 
-    d = preprocess_table(spark, sf_dir, docs, lang_model, translations, enable_translation, id_col, text_col)
+    d = preprocess_table(spark, sf_dir, docs, lang_model, translations, enable_translation, id_col, text_col, language_col)
     extra = []
     if report_processed_language:
         again = L.detect_language_pipeline(d.select("rid", "model_text"), lang_model, "model_text", ["rid"], out="detected_language")

@@ -344,7 +344,9 @@ ORACLES = {
         "WITH req AS (SELECT o_orderkey AS job_id FROM orders WHERE o_orderkey % 100 = 0 UNION ALL "
         f"SELECT -1 - o_orderkey FROM orders WHERE o_orderkey % 100 = 0), j AS {QJOBS_SQL} "
         "SELECT req.job_id, coalesce(j.status, 'not_found') AS status, CASE WHEN j.status = 'finished' THEN j.result END "
-        "AS result, CASE WHEN j.status = 'failed' THEN coalesce(j.failure_info, 'Unknown error') END AS failure_info, "
+        "AS result, CASE WHEN j.status = 'failed' THEN j.failure_info END AS failure_info, "
+        "CASE WHEN j.job_id IS NULL THEN 'Job not found' WHEN j.status = 'failed' THEN coalesce(j.failure_info, 'Unknown error') "
+        "END AS error, j.queue AS queue_name, strftime(j.started_at, '%Y-%m-%dT%H:%M:%S') AS started_at, "
         "strftime(j.created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, strftime(j.ended_at, '%Y-%m-%dT%H:%M:%S') AS ended_at "
         "FROM req LEFT JOIN j USING (job_id)"),
     "job_result_if_done": f"SELECT job_id, CASE WHEN status = 'finished' THEN result END AS result FROM {QJOBS_SQL} j",

@@ -49,7 +49,8 @@ def q_available_models(spark, sf):
     reg = M.registry_df(spark)
     per_task = reg.groupBy("task").agg(F.count(F.lit(1)).alias("models_in_task"))
     return reg.join(F.broadcast(loaded), "task").join(F.broadcast(per_task), "task").select(
-        "task", "model_key", "display_name", "models_in_task")
+        "task", "model_key", "display_name", "models_in_task", M.task_description("task").alias("description"),
+        F.array_join(M.task_languages("task"), ",").alias("languages"))
 
 
 def _requests(spark, sf):
@@ -420,7 +421,9 @@ ORACLES = {
         "WHERE l.doc_id % 5 <> 0 UNION ALL SELECT 'topic' AS task FROM embeddings WHERE vec_id % 5 <> 0)",
         "lt AS (SELECT DISTINCT task FROM loaded)",
         "pt AS (SELECT task, count(*) AS models_in_task FROM reg GROUP BY task)",
-    ], "SELECT reg.task, reg.model_key, reg.display_name, pt.models_in_task FROM reg JOIN lt USING (task) JOIN pt USING (task)"),
+    ], "SELECT reg.task, reg.model_key, reg.display_name, pt.models_in_task, CASE reg.task WHEN 'sentiment' THEN "
+       "'Sentiment Analysis (Positive/Negative/Neutral)' WHEN 'spam' THEN 'Spam Detection (Spam/Not Spam)' ELSE 'Topic Classification' "
+       "END AS description, CASE reg.task WHEN 'sentiment' THEN 'en,multilingual,auto' ELSE 'en,auto' END AS languages FROM reg JOIN lt USING (task) JOIN pt USING (task)"),
     "resolve_model_selection": _selection_sql(),
     "train_word_model": SM.with_(SM.nb_train_ctes("spam", "word", "m"), "SELECT f, label, round(w, 6) AS w FROM m_w"),
     "train_char_model": SM.with_(SM.nb_train_ctes("spam", "char", "m"), "SELECT f, label, round(w, 6) AS w FROM m_w"),

@@ -8,8 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows a trained model table may hold and still be broadcast to every task.
-BROADCAST_MAX_ROWS = 2_000_000
+# Bytes that a table may hold and still be broadcast to every task.
+BROADCAST_MAX_BYTES = 256 << 20
 
 
 def get_spark(master: str | None = None, app: str = "verba", shuffle_partitions: int | None = None) -> SparkSession:
@@ -64,11 +64,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the measured row count is within the bound; else leave it to a shuffle join."""
+def bounded_broadcast(df: DataFrame, size: int, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only when the measured bytes are within the bound; else leave it to a shuffle join."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if rows <= max_rows else df
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def spread(df: DataFrame) -> DataFrame:

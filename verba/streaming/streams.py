@@ -34,21 +34,9 @@ def read_epochs(spark: SparkSession, out_dir: str) -> DataFrame:
     return spark.read.parquet(out_dir)
 
 
-def split_into_files(df: DataFrame, path: str, n_files: int, order_col: str | None = None) -> None:
-    """Land a table as several files. With ``order_col`` the files arrive one after another in
-    ranges of that column (the file source takes files in modification-time order)."""
-    if not order_col:
-        df.repartition(n_files).write.mode("overwrite").parquet(path)
-        return
-    import time
-
-    secs = F.unix_micros(F.col(order_col).cast("timestamp"))
-    lo, hi = df.agg(F.min(secs), F.max(secs)).first()
-    width = max(1, (hi - lo) // n_files + 1)
-    bucket = F.floor((secs - F.lit(lo)) / F.lit(width))
-    for b in range(n_files):
-        df.filter(bucket == b).coalesce(1).write.mode("append").parquet(path)
-        time.sleep(0.05)
+def split_into_files(df: DataFrame, path: str, n_files: int) -> None:
+    """Land a table as several files."""
+    df.repartition(n_files).write.mode("overwrite").parquet(path)
 
 
 def stream_classify(spark: SparkSession, sf_dir: str, docs: DataFrame, task: str = "spam",
@@ -100,17 +88,23 @@ def stream_job_progress(spark: SparkSession, results: DataFrame, totals: DataFra
 
 
 def stream_dedupe(spark: SparkSession, events: DataFrame, key: str = "event_id", ts: str = "ts",
-                  delay: str = "1 hour", max_files: int = 1, n_files: int = 6) -> DataFrame:
-    """STR3: a re-delivered record (same key) is dropped while within the watermark delay.
-    The doubled input lands in event-time order, so no original row is ever late."""
+                  delay: str = "1 hour", deliveries: int = 4) -> DataFrame:
+    """STR3: a re-delivered record (same key) is dropped: within the watermark delay by the state, beyond
+    it as late. Events are delivered in ranges of their time, each together with all of the range before
+    it once more, and the stream is restarted on its checkpoint for every delivery: so a copy comes in a
+    later file and a later run than its original. Events without a time come first."""
     src, out, ckpt = scratch_path(spark, "s3-in"), scratch_path(spark, "s3-out"), scratch_path(spark, "s3-ckpt")
-    split_into_files(events.unionByName(events), src, n_files, order_col=ts)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max_files).parquet(src)
+    secs = F.unix_micros(F.col(ts).cast("timestamp"))
+    lo, hi = events.agg(F.min(secs), F.max(secs)).first()
+    width = max(1, ((hi or 0) - (lo or 0)) // deliveries + 1)
+    at = F.coalesce(F.floor((secs - F.lit(lo)) / F.lit(width)), F.lit(0))
     ts_type = dict(events.dtypes)[ts]
-    # watermarks need TIMESTAMP; a TIMESTAMP_NTZ column is read as wall-clock UTC and cast back on output
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
-    deduped = timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
-    run_available(deduped, epoch_sink(out), ckpt)
+    for b in range(deliveries + 1):
+        events.filter(at.isin(b - 1, b)).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(events.schema).parquet(src)
+        # watermarks need TIMESTAMP; a TIMESTAMP_NTZ column is read as wall-clock UTC and cast back on output
+        timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+        run_available(timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key]), epoch_sink(out), ckpt)
     return read_epochs(spark, out).drop("epoch").withColumn(ts, F.col(ts).cast(ts_type))
 
 
