@@ -38,6 +38,32 @@ def test_html_main_text(shell):
     assert html.main_text(PAGE % (shell % BODY + COMMENTS), html.PRIOR, pat) == TEXT
 
 
+@pytest.mark.parametrize("page", [
+    '<div class="card-list"><article class="card"><p>A teaser of six words</p></article></div><div id="x">%s</div>',
+    '<form id="aspnetForm" action="/"><nav>Menu menu</nav><article>%s</article></form>',
+    '<div class="wrapper sidebar-right"><article>%s</article><div class="sidebar">Side words</div></div>',
+    '<div class="wrapper sidebar-right"><div>%s</div></div><article class="card"><p>A teaser of six words</p></article>'])
+def test_html_article_outside_its_marks(page):
+    body = "<h1>Long headline</h1>" + "".join(f"<p>{prose(k, 40)}</p>" for k in range(6))
+    want = "\n".join(["Long headline", *(prose(k, 40) for k in range(6))])
+    weights = html.PRIOR | {"word": 1.0, "div": -2.0, "p": -0.02, "h1": -0.02}
+    for w in (html.PRIOR, weights):
+        got = html.main_text(PAGE % (page % body), w, html._patterns())
+        assert want in got and not any(x in got for x in ("cookies", "Home", "menu", "Side", "me\n"))
+        assert len(got.split()) <= len(want.split()) + 6  # the teaser at most
+
+
+def test_html_marks_that_stand():
+    pat = html._patterns()
+    more = "".join(f"<p>{prose(k, 60)}</p>" for k in range(9))
+    for junk in (f'<section id="comments">{more}</section>', f'<div class="related"><article>{more}</article></div>',
+                 f"<footer>{more}</footer>", f"<div hidden>{more}</div>", f'<div style="display: none">{more}</div>'):
+        assert html.main_text(PAGE % (f"<article>{BODY}</article>" + junk), html.PRIOR, pat) == TEXT
+        assert html.main_text(PAGE % (f"<div>{BODY}</div>" + junk), html.PRIOR, pat) == TEXT
+    text = "<article><p>" + "x " * 50 + "</p>" + "<span></span>" * 900 + "<p>the end</p></article>"
+    assert html.main_text(PAGE % text, html.PRIOR, pat).endswith("the end")  # tags inside don't cut an article
+
+
 def test_html_odd_pages():
     pat = html._patterns()
     text = lambda x: html.main_text(x, html.PRIOR, pat)

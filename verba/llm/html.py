@@ -26,8 +26,11 @@ ON_ARTICLE = ("advert", "comment", "promo", "recommend", "related", "sponsor", "
 # Weights where no page is labelled: a word, a tag by its name.
 PRIOR = {"word": 1.0, "a": -0.5, "li": -0.3, "other": -0.2}
 LINKED = 0.2  # of its weight that a word in a link keeps
-
-IN_ARTICLE = -0.001  # a tag inside an element that marks the article
+BONUS = 1.0  # of its weight that a word gains in an element that marks the article
+# Elements that no share of the page's words makes the article; words that a mark needs to be overruled
+# where it holds no heading, article or main, and its least ratio to the words outside of all marks.
+NEVER = frozenset("nav footer aside button select option menu dialog svg canvas object audio video map label".split())
+BODY_WORDS, BODY_RATIO = 50, 10
 
 
 def _patterns():
@@ -43,30 +46,73 @@ def _patterns():
     }
 
 
-def _boiler(name: str, attrs: str, pat) -> bool:
-    """Whether an element, by its name and attributes, is not part of an article."""
+FIXED, ABOUT, WRAP = 1, 2, 3  # marks that stand; that tell of what is said about articles; of any other kind
+
+
+def _boiler(name: str, attrs: str, pat) -> int:
+    """The mark of an element that, by its name and attributes, is not part of an article; else 0."""
+    mark = 0
     if name in BOILER:
-        return True
+        mark = FIXED if name in NEVER else WRAP
     if not attrs or name in ("html", "body", "main"):
-        return False
+        return mark
     for key, value in pat["attr"].findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true" and name not in CONTENT):
-            return True
+            return FIXED
         if key == "style":
             if "display:none" in value.replace(" ", ""):
-                return True
+                return FIXED
             continue
         for one in value.split():
-            if one.startswith(("has-", "no-", "with-", "is-", "js-")):
+            if mark == FIXED or one.startswith(("has-", "no-", "with-", "is-", "js-")):
                 continue
             for part in pat["part"].findall(one):
-                if name in CONTENT:
-                    if part in ON_ARTICLE or part.startswith(ON_ARTICLE[:7]):
-                        return True
-                elif part in HINTS or part.startswith(STEMS):
-                    return True
-    return False
+                about = part in ON_ARTICLE or part.startswith(ON_ARTICLE[:7])
+                if about if name in CONTENT else part in HINTS or part.startswith(STEMS):
+                    mark = ABOUT if about or mark == ABOUT else WRAP
+    return mark
+
+
+def _settled(nodes, items):
+    """items of scan() with their nodes -> (items, labelled), where nodes are resolved to flags.
+
+    A node is a marked element, or an article or main element. A mark is overruled when its element holds
+    more than half of the page's words and three times those outside of all marks, and it holds a main or
+    (but for what is said about articles) an article; or BODY_WORDS words, and either an h1 or
+    BODY_RATIO times the words outside. Words in links count for none of this. FIXED marks stand."""
+    words = [0] * len(nodes)
+    for it in items:
+        if it[0] is None and not it[6]:
+            words[it[5]] += it[2]
+    total, free = sum(words), words[0]
+    holds = [0] * len(nodes)  # bits: an article, a main, an h1
+    for k in range(len(nodes) - 1, 0, -1):
+        up, _, mark, _, own = nodes[k]
+        holds[k] |= own
+        if mark > 0:
+            words[up] += words[k]
+        holds[up] |= holds[k]
+    out, inner, live, labelled = [False] * len(nodes), [False] * len(nodes), [False] * len(nodes), False
+    for k in range(1, len(nodes)):
+        up, within, mark, header, own = nodes[k]
+        out[k], inner[k], live[k] = out[up], inner[up], live[within]
+        if mark > 0:
+            n = words[k]
+            body = n >= BODY_WORDS and (holds[k] & 4 or (mark == WRAP and n > BODY_RATIO * free))
+            over = mark != FIXED and 2 * n > total and n >= 3 * free and bool(
+                holds[k] & (2 if mark == ABOUT else 3) or body)
+            out[k] |= not over
+            inner[k] |= not over and not (header and live[within])  # of a header inside an article, headings belong to it
+        elif mark == 0 and not out[up]:
+            live[k] = labelled = True
+    got = []
+    for it in items:
+        if it[0] is not None:
+            got.append((it[0], live[it[1]], out[it[2]]))
+        else:
+            got.append((None, live[it[1]], it[2], it[3], it[4], (inner if it[7] else out)[it[5]], it[6]))
+    return got, labelled
 
 
 def scan(html: str, pat):
@@ -77,27 +123,22 @@ def scan(html: str, pat):
 
     tag, loose, raw, space = pat["tag"], pat["loose"], pat["raw"], pat["space"]
     items, stack, opened = [], [], {}
-    boiler = article = block = 0  # open elements that aren't the article; that are; number of the block
-    headers = headings = 0  # open headers inside an article; open headings
-    labelled = False
+    nodes = [(0, 0, 0, False, 0)]  # marked around it, article around it, mark (-1 for an h1), a header, bits it tells its marks
+    boiler = article = block = headings = 0  # innermost marked and article nodes; number of the block; open headings
     last = html.rfind(">")
     pos, n = 0, len(html)
 
     def text(s):
         if s:
             s = h.unescape(s) if "&" in s else s
-            # of a header inside an article, the headings belong to the article
-            items.append((None, article > 0, len(s.split()), block, s, boiler > (headers if headings else 0),
-                          opened.get("a", 0) > 0))
+            items.append((None, article, len(s.split()), block, s, boiler, opened.get("a", 0) > 0, headings > 0))
 
     def pop(name):
-        nonlocal boiler, article, headers, headings
+        nonlocal boiler, article, headings
         while stack:
             e = stack.pop()
             opened[e[0]] -= 1
-            boiler -= e[1]
-            article -= e[2]
-            headers -= e[3]
+            boiler, article = e[1], e[2]
             headings -= e[0] in HEADINGS
             if e[0] == name:
                 return
@@ -133,10 +174,10 @@ def scan(html: str, pat):
         if name in BLOCKS:
             block += 1
         elif name == "br" or name == "img":
-            items.append((None, article > 0, 0, block, " ", boiler > 0, False))
+            items.append((None, article, 0, block, " ", boiler, False, False))
         if close:
             if opened.get(name):
-                items.append((name, article > 0, boiler > 0))
+                items.append((name, article, boiler))
                 pop(name)
             continue
         if name in raw:
@@ -150,20 +191,21 @@ def scan(html: str, pat):
             pop("p")
         if name == "li" and stack and any(e[0] == "li" for e in stack[-2:]) and not any(e[0] in ("ul", "ol") for e in stack[-1:]):
             pop("li")
-        out = _boiler(name, attrs, pat)
-        inside = name in CONTENT and not out and not boiler
-        items.append((name, article > 0, boiler > 0))
+        mark = _boiler(name, attrs, pat)
+        items.append((name, article, boiler))
         if name in VOID or attrs.endswith("/") and name not in BLOCKS:
             continue
-        labelled |= inside
-        header = int(name == "header" and out and article > 0)
-        stack.append((name, int(out), int(inside), header))
+        stack.append((name, boiler, article))
         opened[name] = opened.get(name, 0) + 1
-        boiler += out
-        article += inside
-        headers += header
+        if mark:
+            nodes.append((boiler, article, mark, name == "header", 0))
+            boiler = len(nodes) - 1
+        elif name in CONTENT or name == "h1":
+            nodes.append((boiler, article, -1 if name == "h1" else 0, False, {"article": 1, "main": 2, "h1": 4}[name]))
+            if name in CONTENT:
+                article = len(nodes) - 1
         headings += name in HEADINGS
-    return items, labelled
+    return _settled(nodes, items)
 
 
 def best_region(scores):
@@ -180,33 +222,47 @@ def best_region(scores):
 
 
 def main_text(html: str | None, weights: dict, pat) -> str:
-    """The blocks of the best region, without what isn't the article, joined by line feeds."""
+    """The blocks of the best region, without what isn't the article, joined by line feeds.
+
+    Every page is scored: an article or main element adds BONUS to its words, no more. Where at least half
+    of the best region's words lie in such elements, the text is theirs, from all those that the region
+    touches; else it is the region's, inside and out."""
     if not html:
         return ""
-    items, labelled = scan(html, pat)
+    items, _ = scan(html, pat)
     word, other = weights["word"], weights["other"]
     scores = []
     for it in items:
         if it[0] is not None:  # what goes in any case is no reason to end the region
-            scores.append(0.0 if it[2] else IN_ARTICLE if it[1] else weights.get(it[0], other))
-        elif it[5] or (labelled and not it[1]):
+            scores.append(0.0 if it[2] else weights.get(it[0], other))
+        elif it[5]:
             scores.append(0.0)
         else:
-            scores.append(word * it[2] * (LINKED if it[6] and not labelled else 1.0))
+            scores.append(word * it[2] * (1 + BONUS if it[1] else LINKED if it[6] else 1.0))
     region = best_region(scores)
     if region is None:
         return ""
-    use = {it[3] for it in items[region[0]: region[1] + 1] if it[0] is None}
+    first, last = region
+    inside = sum(it[2] for it in items[first: last + 1] if it[0] is None and it[1] and not it[5])
+    outside = sum(it[2] * (LINKED if it[6] else 1) for it in items[first: last + 1] if it[0] is None and not it[1] and not it[5])
+    marked = inside > 0 and inside >= outside
+    if marked:  # the whole of the elements at its ends
+        while first > 0 and items[first][1] and items[first - 1][1]:
+            first -= 1
+        while last + 1 < len(items) and items[last][1] and items[last + 1][1]:
+            last += 1
+    use = {it[3] for it in items[first: last + 1] if it[0] is None}
     parts: dict[int, list[str]] = {}
     for it in items:
-        if it[0] is None and it[3] in use and not it[5] and (it[1] or not labelled):
+        if it[0] is None and it[3] in use and not it[5] and (it[1] or not marked):
             parts.setdefault(it[3], []).append(it[4])
     lines = (pat["space"].sub(" ", "".join(p)).strip() for p in parts.values())
     return "\n".join(x for x in lines if x)
 
 
 def page_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
-    """Weights from the labelled pages: those that mark their article with an article or main element.
+    """Weights from the labelled pages: those that mark their article with an article or main element that
+    holds at least half of the words (teasers elsewhere than in the article say nothing).
 
     A word weighs the share of text words that lie in the article; a tag weighs minus its share
     outside, by name, so that tags which articles use cost little. What is known not to be the article
@@ -224,7 +280,8 @@ def page_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
         for part in batches:
             for html in part["html"]:
                 items, labelled = scan(html, pat) if html else ([], False)
-                if labelled:
+                here = [it for it in items if it[0] is None and not it[5]]
+                if labelled and 2 * sum(it[2] for it in here if it[1]) >= sum(it[2] for it in here):
                     for it in items:
                         if it[5] if it[0] is None else it[2]:
                             continue
