@@ -210,6 +210,30 @@ def test_quality_rules_counts(edge_docs, no_docs, spark):
     assert quality_rules.quality_rules(no_docs).count() == 0
 
 
+def test_quality_rules_in_other_languages(spark):
+    import random
+
+    def text(seed, n, letters, common):
+        rng = random.Random(seed)
+        word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 8)))
+        return " ".join(rng.choice(common) if rng.random() < 0.3 else word() for _ in range(n))
+
+    arabic, hangul, latin = "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "가나다라마바사아자차카타파하", "abdegijklmnoprstu"
+    lists = {"ar": (arabic, ["في", "من", "على", "إلى"]), "ko": (hangul, ["그", "이", "저", "것"]), "id": (latin, ["yang", "dan", "di", "itu"])}
+    rows = [(1000 * k + i, text(f"{lang}{i}", 1500, *of), lang) for k, (lang, of) in enumerate(lists.items()) for i in range(40)]
+    rows += [(9000, text("w", 1500, "ABCDEFGHIJKLMNO", ["XY"]), "ar"),  # another script
+             (9001, text("x", 3000, latin, ["zz"]), "id"),  # none of the common words
+             (9002, text("y", 1500, "אבגדהוזחטיכלמנ", ["של"]), "he"), (9003, text("z", 1500, *lists["ar"]), None)]  # no references
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(
+        spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").where("lang = 'en'")
+        .withColumn("doc_id", -1 - F.col("doc_id")))
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert len(got) == docs.count()
+    assert {9000, 9001} == {i for i in got if 0 <= i and not got[i]["kept"]}
+    assert got[9002]["class_distance"] is None and got[9003]["word_distance"] is None
+    assert all(got[i]["class_distance"] < 0.1 for i in got if 0 <= i < 9000)
+
+
 def test_js_distance_by_hand(spark):
     p, q = np.array([0.5, 0.5, 0.0]), np.array([0.25, 0.25, 0.5])
     m = (p + q) / 2
