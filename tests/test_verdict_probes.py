@@ -96,3 +96,21 @@ def test_classify_keeps_rows_with_equal_and_missing_ids(spark, sf):
     rows = [(1, "win a prize now, call today"), (1, "see you at lunch tomorrow"), (None, "hello there my friend"), (2, None)]
     got = C.classify_table(spark, sf, spark.createDataFrame(rows, "doc_id long, text string"), temperature=None).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "None"] and all(r.temperature == 1.0 for r in got)
+
+
+def test_training_reads_all_rows_by_default(spark, tmp_path):
+    from verba.operators import language as L
+
+    docs = [(5 * k, "ein kleines haus am see", "de") for k in range(4)] + [(5 * k + 1, "a little house by the lake", "en") for k in range(4)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 == 0), 0) for i, _, _ in docs], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    vecs = [(5, [1.0, 0.0], 3), (6, [0.0, 1.0], 4)]
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sf, fifth = str(tmp_path), F.col("doc_id") % 5 != 0
+    assert L.language_profiles(spark, sf).classes == ["de", "en"]
+    assert L.language_profiles(spark, sf, split=fifth).classes == ["en"]
+    assert M.task_corpus(spark, sf, "spam").count() == 8 and M.task_corpus(spark, sf, "spam", fifth).count() == 4
+    model = M.train_task_models(spark, sf, "spam", ["roberta-sms"])[0]
+    assert model.weights.where("f = 'haus'").count() == 1
+    assert {r.label for r in M.topic_prototypes(spark, sf).collect()} == {3, 4}
+    assert {r.label for r in M.topic_prototypes(spark, sf, F.col("vec_id") % 5 != 0).collect()} == {4}

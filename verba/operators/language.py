@@ -89,12 +89,13 @@ def train_language_profiles(corpus: DataFrame, text_col: str = "text", lang_col:
     return LanguageModel(classes, log_priors, counts.select("g", w.alias("w")), V)
 
 
-def language_profiles(spark: SparkSession, sf_dir: str, cleaned_docs: DataFrame | None = None) -> LanguageModel:
-    """Profiles from the labelled corpus (documents, training split doc_id % 5 != 0)."""
-    if cleaned_docs is not None:
-        return train_language_profiles(cleaned_docs.filter(F.col("doc_id") % 5 != 0), cleaned_col="cleaned")
-    docs = load(spark, sf_dir, "documents").filter(F.col("doc_id") % 5 != 0)
-    return train_language_profiles(docs)
+def language_profiles(spark: SparkSession, sf_dir: str, cleaned_docs: DataFrame | None = None,
+                      split: Column | None = None) -> LanguageModel:
+    """Profiles from the labelled corpus: all documents, or those for which ``split``, a condition on doc_id, holds."""
+    docs = cleaned_docs if cleaned_docs is not None else load(spark, sf_dir, "documents")
+    if split is not None:
+        docs = docs.filter(split)
+    return train_language_profiles(docs, cleaned_col="cleaned" if cleaned_docs is not None else None)
 
 
 def score_languages(docs: DataFrame, model: LanguageModel, detector_text: str, keep: list) -> DataFrame:

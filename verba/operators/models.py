@@ -95,10 +95,10 @@ def model_text(col, truncate: bool = True) -> Column:
     return T.normalize_text(T.clean_text(col), truncate)
 
 
-def task_corpus(spark: SparkSession, sf_dir: str, task: str, train: bool = True,
+def task_corpus(spark: SparkSession, sf_dir: str, task: str, split: Column | None = None,
                 cleaned_docs: DataFrame | None = None) -> DataFrame:
-    """labels joined to documents; raw class per FIXTURES §3. train: doc_id % 5 != 0, else the held-out fifth.
-    With ``cleaned_docs`` the corpus also carries the already-cleaned text as ``cleaned``."""
+    """labels joined to documents; raw class per FIXTURES §3. All rows, or those for which ``split``, a condition
+    on doc_id, holds. With ``cleaned_docs`` the corpus also carries the already-cleaned text as ``cleaned``."""
     lab = load(spark, sf_dir, "labels")
     if cleaned_docs is not None:
         docs = cleaned_docs.select("doc_id", "text", "cleaned")
@@ -110,9 +110,10 @@ def task_corpus(spark: SparkSession, sf_dir: str, task: str, train: bool = True,
         raw = F.when(F.col("toxic") == 1, "Negative").otherwise("Positive")
     else:
         raise ValueError(task)
-    split = (F.col("doc_id") % 5 != 0) if train else (F.col("doc_id") % 5 == 0)
+    if split is not None:
+        lab = lab.filter(split)
     extra = ["cleaned"] if cleaned_docs is not None else []
-    return lab.filter(split).join(docs, "doc_id").select("doc_id", raw.alias("label"), "text", *extra)
+    return lab.join(docs, "doc_id").select("doc_id", raw.alias("label"), "text", *extra)
 
 
 def featurize(kind: str, text_col) -> Column:
@@ -138,13 +139,13 @@ class NBModel:
 
 
 def train_task_models(spark: SparkSession, sf_dir: str, task: str, keys: list | None = None,
-                      cleaned_docs: DataFrame | None = None) -> list:
+                      cleaned_docs: DataFrame | None = None, split: Column | None = None) -> list:
     """Train every (selected) model of a task in ONE pass over the corpus: model text is derived
     once, (model, feature, label) pairs are counted by one ``groupBy(m, f).pivot(label)`` with
     map-side partial aggregation, and the count table is checkpointed once."""
     specs = [(key, kind) for t, key, _d, kind in REGISTRY if t == task and (keys is None or key in keys)]
     classes = TASK_CLASSES[task]
-    corpus = task_corpus(spark, sf_dir, task, cleaned_docs=cleaned_docs)
+    corpus = task_corpus(spark, sf_dir, task, split, cleaned_docs)
     mt = T.normalize_text(F.col("cleaned"), False) if cleaned_docs is not None else model_text(F.col("text"), False)
     corpus = corpus.select("label", mt.alias("mt"))
 
@@ -216,9 +217,12 @@ def score_nb(docs: DataFrame, models: list, text_col: str, keep: list) -> DataFr
 
 # ---------------------------------------------------------------- topic prototypes
 
-def topic_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(label, dim, p): per-label mean vector over the training fifth-complement. Size: labels x dims."""
-    emb = load(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 5 != 0)
+def topic_prototypes(spark: SparkSession, sf_dir: str, split: Column | None = None) -> DataFrame:
+    """(label, dim, p): per-label mean vector over all rows, or those for which ``split``, a condition on
+    vec_id, holds. Size: labels x dims."""
+    emb = load(spark, sf_dir, "embeddings")
+    if split is not None:
+        emb = emb.filter(split)
     ex = emb.select("label", F.posexplode("embedding").alias("dim", "x"))
     return ex.groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("p"))
 

@@ -46,11 +46,12 @@ def resolve_selection(task: str, selection) -> list:
 
 def preprocess_table(spark: SparkSession, sf_dir: str, docs: DataFrame, lang_model=None,
                      translations: DataFrame | None = None, enable_translation: bool = True,
-                     id_col: str = "doc_id", text_col: str = "text", language_col: str | None = None) -> DataFrame:
+                     id_col: str = "doc_id", text_col: str = "text", language_col: str | None = None, split=None) -> DataFrame:
     """TXT14 over a table: blank -> ''; else clean -> language (LNG4) -> translate (LNG7/8) -> normalise.
     Returns (rid, id, blank, language, model_text), one row per input row. The cleaned text is written
     once as Parquet; detection reads it alone, and the small (rid, language) joins back.
-    ``language_col``: languages that the caller brings; then none is detected (null: unknown)."""
+    ``language_col``: languages that the caller brings; then none is detected (null: unknown).
+    ``split``: a condition on doc_id, of the documents that profiles are trained on; all by default."""
     given = [F.coalesce(F.col(language_col), F.lit(L.UNKNOWN)).alias("language")] if language_col else []
     cleaned = F.col("cleaned") if "cleaned" in docs.columns else T.clean_text(F.col(text_col))
     # every row gets a key of its own, written with it: ids may repeat or be null and are only carried
@@ -63,7 +64,7 @@ def preprocess_table(spark: SparkSession, sf_dir: str, docs: DataFrame, lang_mod
     if given:
         d = base
     else:
-        lang_model = lang_model or L.language_profiles(spark, sf_dir)
+        lang_model = lang_model or L.language_profiles(spark, sf_dir, split=split)
         lang = L.detect_language_pipeline(base, lang_model, "cleaned", ["rid"], out="language")
         # the text side is never broadcast (it grows with the input): a shuffle join on the row key,
         # where the language side is one small row per document
@@ -81,9 +82,10 @@ def classify_table(spark: SparkSession, sf_dir: str, docs: DataFrame, task: str
                    temperature: float = 1.0, selection="all", enable_translation: bool = True,
                    id_col: str = "doc_id", text_col: str = "text", models: list | None = None, lang_model=None, translations: DataFrame | None = None,
                    cleaned_docs: DataFrame | None = None, report_processed_language: bool = False,
-                   language_col: str | None = None) -> DataFrame:
+                   language_col: str | None = None, split=None) -> DataFrame:
     """``cleaned_docs``: the training documents with their cleaned text (``cleaned_documents``);
     built here when a model, the profiles or the translation table must be trained.
+    ``split``: a condition on doc_id, of the documents that models and profiles are trained on; all by default.
     ``language_col``: the caller's languages, which replace detection, as for single requests.
     ``report_processed_language``: also add ``detected_language``, the language detected on the
     processed (translated, normalised) text, as the reference's batch mode reports it (quirk 2);
@@ -93,10 +95,10 @@ def classify_table(spark: SparkSession, sf_dir: str, docs: DataFrame, task: str
     detect = language_col is None or report_processed_language
     if prepared is None and (models is None or (detect and lang_model is None) or (enable_translation and translations is None)):
         prepared = TB.cleaned_documents(spark, sf_dir)
-    models = models or M.train_task_models(spark, sf_dir, task, keys, cleaned_docs=prepared)
+    models = models or M.train_task_models(spark, sf_dir, task, keys, cleaned_docs=prepared, split=split)
     models = [m for k in keys for m in models if m.key == k]
     if detect:
-        lang_model = lang_model or L.language_profiles(spark, sf_dir, cleaned_docs=prepared)
+        lang_model = lang_model or L.language_profiles(spark, sf_dir, cleaned_docs=prepared, split=split)
     if enable_translation and translations is None:
         # written once: its row count decides broadcast vs shuffle join, and the join reads it again
         translations = materialize(L.translation_table(spark, sf_dir, cleaned_docs=prepared))

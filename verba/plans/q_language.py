@@ -16,7 +16,7 @@ def _docs(spark, sf):
 
 
 def q_train_language_profiles(spark, sf):
-    m = L.language_profiles(spark, sf)
+    m = L.language_profiles(spark, sf, split=SM.oracle_split())
     cls = F.array(*[F.lit(c) for c in m.classes])
     return m.weights.select(
         "g", F.posexplode("w").alias("pos", "w")
@@ -26,21 +26,21 @@ def q_train_language_profiles(spark, sf):
 def q_score_languages(spark, sf):
     from verba.sources.tables import cleaned_documents
     docs = cleaned_documents(spark, sf)  # one cleaning pass shared by training and scoring
-    m = L.language_profiles(spark, sf, cleaned_docs=docs)
+    m = L.language_profiles(spark, sf, cleaned_docs=docs, split=SM.oracle_split())
     d = docs.select("doc_id", "lang", L.pipeline_detector_text("cleaned").alias("dt"))
     s = L.score_languages(d, m, "dt", ["doc_id", "lang"])
     return s.select("doc_id", "lang", "detected", "n_grams")
 
 
 def q_detect_language_request(spark, sf):
-    m = L.language_profiles(spark, sf)
+    m = L.language_profiles(spark, sf, split=SM.oracle_split())
     return L.detect_language_request(_docs(spark, sf), m, "text", ["doc_id"])
 
 
 def q_detect_language_pipeline(spark, sf):
     from verba.sources.tables import cleaned_documents
     docs = cleaned_documents(spark, sf)
-    m = L.language_profiles(spark, sf, cleaned_docs=docs)
+    m = L.language_profiles(spark, sf, cleaned_docs=docs, split=SM.oracle_split())
     d = docs.select("doc_id", "cleaned")
     return L.detect_language_pipeline(d, m, "cleaned", ["doc_id"]).select("doc_id", "language")
 

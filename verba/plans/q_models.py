@@ -26,7 +26,7 @@ def _task_scores(spark, sf, task, temps=(1.0,), keys=None):
     out of ONE projection and one explode, so the scoring plan runs once."""
     from verba.sources.tables import cleaned_documents
     prepared = cleaned_documents(spark, sf)
-    models = M.train_task_models(spark, sf, task, keys, cleaned_docs=prepared)
+    models = M.train_task_models(spark, sf, task, keys, cleaned_docs=prepared, split=SM.oracle_split())
     docs = prepared.select("doc_id", T.normalize_text("cleaned").alias("mt"))
     s = M.score_nb(docs, models, "mt", ["doc_id"])
     lab = F.array(*[F.lit(x) for x in models[0].labels])
@@ -41,10 +41,10 @@ def _task_scores(spark, sf, task, temps=(1.0,), keys=None):
 # ------------------------------------------------------------------ Spark queries
 
 def q_available_models(spark, sf):
-    corpus = load(spark, sf, "labels").filter(F.col("doc_id") % 5 != 0).join(
+    corpus = load(spark, sf, "labels").join(
         load(spark, sf, "documents").select("doc_id"), "doc_id")
     text_tasks = corpus.select(F.explode(F.array(F.lit("sentiment"), F.lit("spam"))).alias("task"))
-    emb = load(spark, sf, "embeddings").filter(F.col("vec_id") % 5 != 0).select(F.lit("topic").alias("task"))
+    emb = load(spark, sf, "embeddings").select(F.lit("topic").alias("task"))
     loaded = text_tasks.unionByName(emb).groupBy("task").agg(F.count(F.lit(1)).alias("n_train"))
     reg = M.registry_df(spark)
     per_task = reg.groupBy("task").agg(F.count(F.lit(1)).alias("models_in_task"))
@@ -93,7 +93,7 @@ def q_resolve_model_selection(spark, sf):
 
 
 def _weights_long(spark, sf, task, key):
-    m = M.train_task_models(spark, sf, task, [key])[0]
+    m = M.train_task_models(spark, sf, task, [key], split=SM.oracle_split())[0]
     lab = F.array(*[F.lit(x) for x in m.classes])
     return m.weights.select("f", F.posexplode("w").alias("pos", "w")).select(
         "f", F.element_at(lab, F.col("pos") + 1).alias("label"), F.round("w", 6).alias("w"))
@@ -115,7 +115,7 @@ def _scores_query(task):
 
 
 def q_score_topic_zero_shot(spark, sf):
-    protos = M.topic_prototypes(spark, sf)
+    protos = M.topic_prototypes(spark, sf, SM.oracle_split("vec_id"))
     emb = load(spark, sf, "embeddings")
     s = M.score_topics(emb, protos, ["vec_id"])
     lab = F.array(*[F.lit(x) for x in M.TOPIC_LABELS])
@@ -144,7 +144,7 @@ def q_rescale_probabilities(spark, sf):
 
 
 def q_pick_best_label(spark, sf):
-    models = M.train_task_models(spark, sf, "sentiment", ["twitter-roberta"])
+    models = M.train_task_models(spark, sf, "sentiment", ["twitter-roberta"], split=SM.oracle_split())
     s = M.score_nb(_docs_model_text(spark, sf), models, "mt", ["doc_id"])
     sc = SC.rescale_probabilities("probs_0", 1.0)
     lab = F.array(*[F.lit(x) for x in models[0].labels])
@@ -154,7 +154,7 @@ def q_pick_best_label(spark, sf):
 def q_classify_table(spark, sf):
     from verba.sources.tables import cleaned_documents
     docs = cleaned_documents(spark, sf)  # one cleaning pass, shared by training and classification
-    r = C.classify_table(spark, sf, docs, task="spam", temperature=1.0, cleaned_docs=docs)
+    r = C.classify_table(spark, sf, docs, task="spam", temperature=1.0, cleaned_docs=docs, split=SM.oracle_split())
     return r.select("doc_id", "prediction", SC.round6("confidence").alias("confidence"), "language", "is_ensemble",
                     F.array_join("models_used", ",").alias("models_used"))
 
@@ -169,7 +169,7 @@ def _with_blanks(spark, sf):
 
 
 def q_failed_row_result(spark, sf):
-    models = M.train_task_models(spark, sf, "spam")
+    models = M.train_task_models(spark, sf, "spam", split=SM.oracle_split())
     d = _with_blanks(spark, sf).select("doc_id", T.is_blank("text").alias("blank"),
                                        M.model_text(F.coalesce("text", F.lit(""))).alias("mt"))
     s = M.score_nb(d, models, "mt", ["doc_id", "blank"])

@@ -83,7 +83,7 @@ def q_ranked_scores(spark, sf):
 
 
 def q_chart_series(spark, sf):
-    protos = M.topic_prototypes(spark, sf)
+    protos = M.topic_prototypes(spark, sf, SM.oracle_split("vec_id"))
     s = M.score_topics(load(spark, sf, "embeddings"), protos, ["vec_id"])
     series = R.chart_series(SC.rescale_probabilities("probs_0", 1.0), M.TOPIC_LABELS)
     return s.select("vec_id", F.posexplode(series).alias("pos", "p")).select(

@@ -6,11 +6,18 @@ plans use dense arrays. Agreement of the two is the correctness check.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from verba.operators import language as L
 from verba.operators import models as M
 from verba.plans import sql_text as S
 
 
+def oracle_split(id_col: str = "doc_id"):
+    """The rows that the oracles' SQL trains on, for the queries compared with it; operators train on all rows."""
+    return F.col(id_col) % 5 != 0
+
+
 def pdt(e: str) -> str:
     """LNG4 detector text."""
     c = S.rr(e, S.T.NOT_WORD_NOT_SPACE, " ")
