@@ -192,6 +192,23 @@ def test_embeddings_against_brute_force(spark):
     assert sum(got.values()) == len(rows) and lost <= 0.001 * len(rows)  # MISS: 1 in 10,000 at the threshold
 
 
+def test_embeddings_of_mixed_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for size, n in ((1, 40), (3, 300), (8, 200), (64, 200)):
+        centres = rng.standard_normal((n // 10, size))
+        rows += [(centres[k % len(centres)] + 0.1 * rng.standard_normal(size)).tolist() for k in range(n)]
+    rows += [[1.0, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0, 0.0], [1.0] + [0.0] * 63]  # alike but for their length
+    unit = [np.array(v) / np.linalg.norm(v) for v in rows]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if len(rows[a]) == len(rows[b]) and unit[a] @ unit[b] >= 0.95]
+    links, want = Counter(x for e in linked for x in e), groups(len(rows), linked)
+    got = {r["vec_id"]: r for r in embedding_components(
+        spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").repartition(4)).collect()}
+    assert len(got) == len(rows) and sum(got[k]["n_links"] for k in got) >= 0.999 * 2 * len(linked)
+    assert all(got[k]["n_links"] <= links[k] for k in got)
+    assert {k: r["component_id"] for k, r in got.items()} == dict(enumerate(want))
+
+
 def test_table_plan_holds_recall():
     for n in (0, 1, 100, 10_000, 10_000_000):
         bits, tables = table_plan(n, 0.95)

@@ -46,7 +46,7 @@ def _signatures(bits: int, tables: int, seed: int):
 
 
 def _compare(pairs: DataFrame, cosine: float) -> DataFrame:
-    """Rows of one (table, bucket, block pair) against each other: (node, other, links). With other null:
+    """Rows of one (length, table, bucket, block pair) against each other: (node, other, links). With other null:
     ``links`` vectors were found for node; else an edge of a spanning forest. A pair counts in the first
     table that it shares, which the signatures tell, so nothing has to be de-duplicated."""
 
@@ -54,7 +54,7 @@ def _compare(pairs: DataFrame, cosine: float) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        key = ["_t", "_b", "_i", "_j"]
+        key = ["_d", "_t", "_b", "_i", "_j"]
 
         def group(f):
             t, i, j = int(f["_t"].iloc[0]), int(f["_i"].iloc[0]), int(f["_j"].iloc[0])
@@ -130,15 +130,16 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.95, seed: int = 4
     distinct = written(distinct, "distinct")
     bits, tables = table_plan(distinct.count(), cosine)
     signed = written(distinct.withColumn("sig", _signatures(bits, tables, seed)("vec")), "signed")
-    slots = signed.select("node", F.posexplode("sig").alias("_t", "_b"))
-    sizes = slots.groupBy("_t", "_b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    signed = signed.withColumn("_d", F.size("vec"))  # vectors of different lengths share no bucket
+    slots = signed.select("node", "_d", F.posexplode("sig").alias("_t", "_b"))
+    sizes = slots.groupBy("_d", "_t", "_b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    placed = signed.select("*", F.posexplode("sig").alias("_t", "_b")).join(sizes, ["_t", "_b"])
+    placed = signed.select("*", F.posexplode("sig").alias("_t", "_b")).join(sizes, ["_d", "_t", "_b"])
     placed = placed.withColumn("_nb", blocks).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
     placed = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).select(
-        "_t", "_b", F.least("_own", "_o").alias("_i"), F.greatest("_own", "_o").alias("_j"), "_own", "node", "many", "vec", "sig")
+        "_d", "_t", "_b", F.least("_own", "_o").alias("_i"), F.greatest("_own", "_o").alias("_j"), "_own", "node", "many", "vec", "sig")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = placed.repartition(n, "_t", "_b", "_i", "_j").sortWithinPartitions("_t", "_b", "_i", "_j")
+    placed = placed.repartition(n, "_d", "_t", "_b", "_i", "_j").sortWithinPartitions("_d", "_t", "_b", "_i", "_j")
     found = written(_compare(placed, cosine), "links")
     links = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("_l"))
     root = components(found.where("other IS NOT NULL").select(F.col("node").alias("u"), F.col("other").alias("v")))
