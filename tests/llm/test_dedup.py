@@ -89,6 +89,29 @@ def test_near_links_finds_all_pairs(spark):
         assert want[fps.index(u)] == want[fps.index(v)]
 
 
+def test_large_anchors_are_cut(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from verba.llm import simhash as S
+
+    monkeypatch.setattr(S, "ANCHOR_ROWS", 100)
+    rng = np.random.default_rng(5)
+    fps = sorted({int(x) << 32 | 12345 for x in rng.integers(0, 1 << 16, 1500)} | {int(x) << 32 | 12345 ^ 1 << int(x) % 5 for x in rng.integers(0, 1 << 31, 500)})
+    rows = spark.createDataFrame([(7, k % 2 == 0, x) for k, x in enumerate(fps)] + [(8, True, 1), (8, False, 3)], "anchor long, home boolean, fp long")
+    cut = S.in_blocks(rows)
+    assert max(r["count"] for r in cut.groupBy("anchor").count().collect()) <= 2 * 150
+    met = cut.where("home").alias("a").join(cut.alias("b"), "anchor").where("a.fp != b.fp").select(
+        F.col("a.fp").alias("x"), F.col("b.fp").alias("y")).distinct().count()
+    homes = (len(fps) + 1) // 2
+    assert met == homes * (len(fps) - 1) + 1  # every home meets every other row of its anchor
+    arr = np.array(fps, dtype=np.int64).view(np.uint64)
+    want = groups(len(fps), zip(*np.nonzero(np.triu(np.bitwise_count(arr[:, None] ^ arr[None, :]) <= 3, 1)), strict=True))
+    got = {r["node"]: r["root"] for r in components(near_links(spark.createDataFrame([(x,) for x in fps], "fp long"), 3)).collect()}
+    by = {}
+    assert all(by.setdefault(w, got.get(x, x)) == got.get(x, x) for w, x in zip(want, fps, strict=True))
+    assert len(set(by.values())) == len(set(want))
+
+
 def test_simhash_against_brute_force(edge_docs):
     rows = edge_items()
     fp = [simhash(r[1]) for r in rows]

@@ -12,6 +12,7 @@ from verba.llm.common import components, field, forest, row_key, unpacked, writt
 HALF = 32  # bits of a half; its code is the Hamming code on 31 bits, and one free bit
 RADIUS = 1  # every half has an anchor within one bit
 BLOCK = 1 << 20  # pairs compared at a time
+ANCHOR_ROWS = 1 << 14  # fingerprints of a block; larger anchors are compared block by block
 
 
 def fingerprints(shingle: int):
@@ -71,6 +72,24 @@ def anchor_masks(spark, reach: int) -> DataFrame:
     return spark.createDataFrame(rows, "_s int, _mask long, home boolean")
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (anchor, home, fp) -> the same, where an anchor of more than ANCHOR_ROWS is cut into blocks of
+    homes x blocks of rows, each pair a group with an anchor number of its own."""
+    blocks = lambda c: F.ceil(c / F.lit(ANCHOR_ROWS)).cast("int")
+    large = written(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"), F.count_if("home").alias("_m")).where(
+        (F.col("_n") > ANCHOR_ROWS) & (F.col("_m") > 0)).select("anchor", blocks(F.col("_m")).alias("_hs"), blocks(F.col("_n")).alias("_rs")), "large")
+    rows = rows.join(large, "anchor", "left")
+    place = lambda i, j, home: F.struct(i.cast("int").alias("_i"), j.cast("int").alias("_j"), home.alias("home"))
+    one = F.array(place(F.lit(0), F.lit(0), F.col("home")))
+    own = lambda c: F.pmod(F.xxhash64("fp"), F.col(c))
+    as_row = F.transform(F.sequence(F.lit(0), F.col("_hs") - 1), lambda i: place(i, own("_rs"), F.lit(False)))
+    as_home = F.transform(F.sequence(F.lit(0), F.col("_rs") - 1), lambda j: place(own("_hs"), j, F.lit(True)))
+    many = F.when(F.col("home"), F.concat(as_home, as_row)).otherwise(as_row)
+    return rows.select("anchor", "fp", F.explode(F.when(F.col("_hs").isNull(), one).otherwise(many)).alias("_p")) \
+        .select(F.when((F.col("_p._i") == 0) & (F.col("_p._j") == 0), F.col("anchor")).otherwise(
+            F.xxhash64("anchor", "_p._i", "_p._j")).alias("anchor"), F.col("_p.home").alias("home"), "fp")
+
+
 def near_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     """Distinct fingerprints ``fps(fp long)`` -> edges (u, v) that connect, directly or through others,
     exactly those pairs that differ in at most ``max_bits`` bits.
@@ -80,7 +99,9 @@ def near_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     code on 31 bits, times the free bit). A fingerprint has one home, its nearest anchor, and is copied
     to each anchor within radius plus threshold: so the home of either of a pair holds both. At an
     anchor only home fingerprints are compared with the rest, by the whole 64 bits; a task hands on a
-    spanning forest of the links it found, not all pairs."""
+    spanning forest of the links it found, not all pairs. An anchor of more than ANCHOR_ROWS fingerprints is
+    cut in blocks by hash, so that no group holds more than a block of homes and one of rows. Groups whose
+    keys collide are compared together, which only adds comparisons."""
     spark = fps.sparkSession
     masks = anchor_masks(spark, RADIUS + max_bits // 2)
     full = (1 << HALF) - 1
@@ -93,6 +114,7 @@ def near_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
         s = s + (F.bit_count(F.col("_h").bitwiseAND(F.lit(parity))) % 2) * (1 << k)
     rows = rows.withColumn("_s", s.cast("int")).join(F.broadcast(masks), "_s").select(
         (F.col("_h").bitwiseXOR(F.col("_mask")) + F.col("_b").cast("long") * (full + 1)).alias("anchor"), "home", "fp")
+    rows = in_blocks(rows)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "anchor").sortWithinPartitions("anchor", F.desc("home"))
 
