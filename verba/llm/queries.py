@@ -144,6 +144,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verba.llm.trie import forked_trie
+
+    return forked_trie(_table(spark, sf_dir, "conversations"), family=100, heads=6)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verba.llm.toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verba.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"), components=32)
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_chat_formatting": op2_chat_formatting,
@@ -155,6 +173,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
+    "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
+    "op12_toxicity": op12_toxicity,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES: dict[str, str] = {
