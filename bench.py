@@ -23,13 +23,12 @@ def classify_apply_only(spark, sf_dir: str) -> float:
     from verba.operators import language as L
     from verba.operators import models as M
     from verba.plans import classify as C
-    from verba.session import materialize
     from verba.sources import tables as TB
 
     docs = TB.cleaned_documents(spark, sf_dir)
     models = M.train_task_models(spark, sf_dir, "spam", cleaned_docs=docs)
     lang = L.language_profiles(spark, sf_dir, cleaned_docs=docs)
-    tr = materialize(L.translation_table(spark, sf_dir, cleaned_docs=docs))
+    tr = TB.translations(spark, sf_dir, docs)
     raw = TB.load(spark, sf_dir, "documents")
     t0 = time.time()
     C.classify_table(spark, sf_dir, raw, models=models, lang_model=lang, translations=tr) \

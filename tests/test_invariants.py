@@ -77,12 +77,12 @@ def test_every_input_row_once(spark, sf):
     assert r.count() == n == r.select("doc_id").distinct().count()
 
 
-def test_available_models_map_form(spark):
-    from verba.operators import models as M
-    loaded = spark.createDataFrame([("spam",), ("topic",)], "task string")
-    rows = {r.task: r.models for r in M.available_models(M.registry_df(spark), loaded).collect()}
-    assert rows == {"spam": {"distilbert-sms": "Distilbert-base", "roberta-sms": "Roberta-base"},
-                    "topic": {"bart-mnli": "Bart-large", "deberta-nli": "Deberta-small"}}
+def test_models_of_loaded_tasks_only(spark):
+    from verba.operators import registry as R
+    loaded = spark.createDataFrame([("spam",), ("topic",), ("spam",)], "task string")
+    rows = {(r.task, r.model_key): r.display_name for r in R.available_models(R.registry_df(spark), loaded).collect()}
+    assert rows == {("spam", "distilbert-sms"): "Distilbert-base", ("spam", "roberta-sms"): "Roberta-base",
+                    ("topic", "bart-mnli"): "Bart-large", ("topic", "deberta-nli"): "Deberta-small"}
 
 
 def test_processed_language_option(spark, sf):

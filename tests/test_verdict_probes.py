@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from verba.operators import history as H
 from verba.operators import jobs as J
 from verba.operators import models as M
+from verba.operators import registry as G
 from verba.operators import report as R
+from verba.operators import topics as TP
 from verba.plans import classify as C
 from verba.sources import io as IO
 
@@ -72,23 +74,23 @@ def test_users_are_validated_first(spark):
 
 
 def test_selection_without_models_is_summed_up(spark):
-    reg = M.registry_df(spark)
+    reg = G.registry_df(spark)
     sel = spark.createDataFrame([(1, "spam", None)], "request_id long, task string, model_key string")
     assert R.selection_summary(sel, reg).first().summary == "No model selected (will use all models)"
     with pytest.raises(ValueError):
-        C.resolve_selection("spam", [])
+        G.resolve_selection("spam", [])
 
 
 def test_vectors_without_direction_keep_their_row(spark, sf):
-    protos = M.topic_prototypes(spark, sf)
+    protos = TP.topic_prototypes(spark, sf)
     rows = [(1, [0.0] * 64), (2, None), (3, [1.0] * 64)]
-    got = M.score_topics(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), protos, ["vec_id"]).collect()
+    got = TP.score_topics(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), protos, ["vec_id"]).collect()
     assert sorted(r.vec_id for r in got) == [1, 2, 3]
 
 
 def test_caller_brings_the_language(spark, sf):
     docs = spark.createDataFrame([(1, "win a prize now, call today", "xx"), (2, "see you", None)], "doc_id long, text string, code string")
-    got = {r.doc_id: r.language for r in C.classify_table(spark, sf, docs, language_col="code", enable_translation=False).collect()}
+    got = {r.doc_id: r.language for r in C.classify_table(spark, sf, docs, language_col="code").collect()}
     assert got == {1: "xx", 2: "unknown"}
 
 
@@ -106,11 +108,9 @@ def test_training_reads_all_rows_by_default(spark, tmp_path):
     spark.createDataFrame([(i, int(i % 5 == 0), 0) for i, _, _ in docs], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     vecs = [(5, [1.0, 0.0], 3), (6, [0.0, 1.0], 4)]
     spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    sf, fifth = str(tmp_path), F.col("doc_id") % 5 != 0
+    sf = str(tmp_path)
     assert L.language_profiles(spark, sf).classes == ["de", "en"]
-    assert L.language_profiles(spark, sf, split=fifth).classes == ["en"]
-    assert M.task_corpus(spark, sf, "spam").count() == 8 and M.task_corpus(spark, sf, "spam", fifth).count() == 4
+    assert M.task_corpus(spark, sf, "spam").count() == 8
     model = M.train_task_models(spark, sf, "spam", ["roberta-sms"])[0]
     assert model.weights.where("f = 'haus'").count() == 1
-    assert {r.label for r in M.topic_prototypes(spark, sf).collect()} == {3, 4}
-    assert {r.label for r in M.topic_prototypes(spark, sf, F.col("vec_id") % 5 != 0).collect()} == {4}
+    assert {r.label for r in TP.topic_prototypes(spark, sf).collect()} == {3, 4}

@@ -54,7 +54,7 @@ def best_index(scores) -> Column:
 
 
 def best_label(labels, scores) -> Column:
-    return F.element_at(_c(labels), best_index(scores))
+    return F.when(_c(scores).isNotNull(), F.element_at(_c(labels), best_index(scores)))
 
 
 def round6(col) -> Column:

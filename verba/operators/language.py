@@ -1,22 +1,22 @@
 """Language identification and translation.
 
 The per-row detector library is re-aimed as a trained Spark job: character
-trigram counts per language by ``groupBy``/``pivot`` (LNG1), scored by a join
-on the gram and one ``groupBy(doc)`` (LNG2). The request and pipeline policies
-around the detector are kept as column rules (LNG3, LNG4).
+trigram counts per language that batches add to (LNG1), looked up for whole
+batches of texts (LNG2). The request and pipeline policies around the detector
+are kept as column rules (LNG3, LNG4). Translations come from the caller: a table
+(LNG8 below) or a translator with a memory (``memory.py``).
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verba.functions import scores as SC
 from verba.functions import text as T
-from verba.session import bounded_broadcast, materialize
+from verba.operators.counts import count_features
+from verba.operators.models import CountModel, models_from_counts, with_sums
+from verba.session import bounded_broadcast
 from verba.sources.tables import load
 
 # ---- fixed values ----
@@ -31,17 +31,15 @@ LANGUAGE_CODE_MAP = {
 UNKNOWN = "unknown"
 REQUEST_DEFAULT = "en"
 NO_TRANSLATION = ("en", UNKNOWN)
-MAX_LANGUAGES = 1000  # class list of a language model is collected; it must stay small
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def detector_grams(col) -> Column:
-    """Features of the detector: character trigrams of the lower-cased, space-padded text."""
-    c = F.concat(F.lit(" "), F.lower(_c(col)), F.lit(" "))
-    return T.char_ngrams(c, 3)
+def padded(text) -> Column:
+    """The text whose trigrams are the detector's features: lower-cased, with a space at both ends."""
+    return F.concat(F.lit(" "), F.lower(_c(text)), F.lit(" "))
 
 
 def pipeline_detector_text(cleaned) -> Column:
@@ -59,60 +57,50 @@ def request_detector_text(raw) -> Column:
     return T.strip_ws(c)
 
 
-@dataclass
-class LanguageModel:
-    classes: list
-    log_priors: list
-    weights: DataFrame   # (g string, w array<double>)
-    n_features: int
+def profile_features(detector_text) -> list:
+    """What is counted of a text: the character trigrams of the lower-cased, space-padded text."""
+    return [("gram", padded(detector_text))]
 
 
-def train_language_profiles(corpus: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                            cleaned_col: str | None = None) -> LanguageModel:
-    """LNG1: per-language trigram counts with add-one smoothing, as a dense weight row per gram.
-    ``cleaned_col`` names an already-cleaned text column (skips TXT9)."""
+def language_counts(corpus: DataFrame, text_col: str = "text", lang_col: str = "lang", cleaned_col: str | None = None) -> DataFrame:
+    """LNG1: trigram counts per language, as a long table (``counts.py``) to which other batches' counts can be
+    added. ``cleaned_col`` names an already-cleaned text column (skips TXT9)."""
     cleaned = F.col(cleaned_col) if cleaned_col else T.clean_text(F.col(text_col))
     src = corpus.select(F.col(lang_col).alias("lang"), pipeline_detector_text(cleaned).alias("t"))
-    src = src.filter(F.col("lang").isNotNull())
-    per_lang = src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(per_lang) > MAX_LANGUAGES:
-        raise ValueError("too many languages for one profile table")
-    classes = [r["lang"] for r in per_lang]
-    N = sum(r["n"] for r in per_lang)
-    log_priors = [math.log((r["n"] + 1) / (N + len(classes))) for r in per_lang]
-    ex = src.select("lang", F.explode(detector_grams("t")).alias("g"))
-    # one aggregation with a count per class (a pivot would add a second aggregation and shuffle)
-    counts = materialize(ex.groupBy("g").agg(*[F.count_if(F.col("lang") == c).alias(c) for c in classes]))
-    agg = counts.agg(F.count(F.lit(1)).alias("V"), *[F.sum(F.col(c)).alias(f"T{i}") for i, c in enumerate(classes)]).first()
-    V = int(agg["V"])
-    w = F.array(*[F.log((F.col(c) + 1) / F.lit(float(int(agg[f"T{i}"] or 0) + V))) for i, c in enumerate(classes)])
-    return LanguageModel(classes, log_priors, counts.select("g", w.alias("w")), V)
-
-
-def language_profiles(spark: SparkSession, sf_dir: str, cleaned_docs: DataFrame | None = None,
-                      split: Column | None = None) -> LanguageModel:
-    """Profiles from the labelled corpus: all documents, or those for which ``split``, a condition on doc_id, holds."""
+    return count_features(src, "lang", profile_features("t"))
+
+
+def profiles_from_counts(counts: DataFrame) -> CountModel:
+    return models_from_counts(counts, [("language", "gram")])[0]
+
+
+def train_language_profiles(corpus: DataFrame, text_col: str = "text", lang_col: str = "lang",
+                            cleaned_col: str | None = None) -> CountModel:
+    """LNG1: per-language trigram log weights with add-one smoothing; any number of languages."""
+    return profiles_from_counts(language_counts(corpus, text_col, lang_col, cleaned_col))
+
+
+def language_profiles(spark: SparkSession, sf_dir: str, cleaned_docs: DataFrame | None = None) -> CountModel:
+    """Profiles from the labelled corpus, all documents."""
     docs = cleaned_docs if cleaned_docs is not None else load(spark, sf_dir, "documents")
-    if split is not None:
-        docs = docs.filter(split)
     return train_language_profiles(docs, cleaned_col="cleaned" if cleaned_docs is not None else None)
 
 
-def score_languages(docs: DataFrame, model: LanguageModel, detector_text: str, keep: list) -> DataFrame:
-    """LNG2: sum of gram log weights + prior per language; argmax, first language (sorted) wins a tie.
-    Adds ``detected`` (null when the text has no grams in the profile vocabulary) and ``lang_scores``."""
-    ex = docs.select(*keep, F.explode_outer(detector_grams(detector_text)).alias("g"))  # keep: keys only
-    j = ex.join(bounded_broadcast(model.weights, model.n_features * (8 * len(model.classes) + 64)), "g", "left")
-    k = len(model.classes)
-    g = j.groupBy(*keep).agg(
-        F.count("w").alias("n_grams"),
-        *[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)],
-    )
-    scores = F.array(*[F.lit(model.log_priors[i]) + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(k)])
+def with_language(docs: DataFrame, model: CountModel, detector_text) -> DataFrame:
+    """LNG2: sum of gram log weights + prior per language; argmax, first language (sorted) wins a tie. Adds
+    ``n_grams``, ``lang_scores`` and ``detected`` (null when the text has no grams in the profiles); one
+    row per row, and no shuffle unless the profiles are too large to go along."""
+    out = with_sums(docs, [model], padded(detector_text))
+    scores = F.array(*[F.lit(lp) + F.col("_s0.s")[k] for k, lp in enumerate(model.log_priors)])
     classes = F.array(*[F.lit(c) for c in model.classes])
-    out = g.withColumn("lang_scores", scores)
-    best = F.element_at(classes, SC.best_index("lang_scores"))
-    return out.withColumn("detected", F.when(F.col("n_grams") > 0, best)).drop(*[f"s{i}" for i in range(k)])
+    out = out.withColumn("n_grams", F.col("_s0.n")).withColumn("lang_scores", scores).drop("_s0")
+    best = F.element_at(classes, SC.best_index("lang_scores")) if model.classes else F.lit(None).cast("string")
+    return out.withColumn("detected", F.when(F.col("n_grams") > 0, best))
+
+
+def score_languages(docs: DataFrame, model: CountModel, detector_text: str, keep: list) -> DataFrame:
+    """LNG2 with the columns ``keep``."""
+    return with_language(docs, model, F.col(detector_text)).select(*keep, "n_grams", "lang_scores", "detected")
 
 
 def map_language_code(col) -> Column:
@@ -121,25 +109,22 @@ def map_language_code(col) -> Column:
     return F.coalesce(F.element_at(m, _c(col)), _c(col))
 
 
-def detect_language_pipeline(docs: DataFrame, model: LanguageModel, cleaned_col: str, keep: list,
-                             out: str = "language") -> DataFrame:
-    """LNG4 on cleaned text: trimmed < 10 -> unknown; detector text < 5 -> unknown; no grams -> unknown; map code."""
+def detect_language_pipeline(docs: DataFrame, model: CountModel, cleaned_col: str, out: str = "language") -> DataFrame:
+    """LNG4 on cleaned text: trimmed < 10 -> unknown; detector text < 5 -> unknown; no grams -> unknown; map
+    code. ``docs`` with the column ``out``."""
     d = docs.withColumn("_dt", pipeline_detector_text(cleaned_col))
     short = (F.length(F.trim(F.col(cleaned_col))) < 10) | (F.length("_dt") < 5)
-    d = d.withColumn("_dt", F.when(short, F.lit(None).cast("string")).otherwise(F.col("_dt")))
-    # only the keys travel through the gram explode; the text itself never does
-    scored = score_languages(d.select(*keep, "_dt"), model, "_dt", keep)
+    scored = with_language(d, model, F.when(short, F.lit(None).cast("string")).otherwise(F.col("_dt")))
     lang = F.when(F.col("detected").isNull(), F.lit(UNKNOWN)).otherwise(map_language_code("detected"))
-    return scored.select(*keep, lang.alias(out))
+    return scored.withColumn(out, lang).drop("_dt", "n_grams", "lang_scores", "detected")
 
 
-def detect_language_request(docs: DataFrame, model: LanguageModel, raw_col: str, keep: list,
-                            out: str = "language") -> DataFrame:
-    """LNG3 on raw text: under 3 characters after clean-up -> en; no grams -> en; codes unmapped."""
+def detect_language_request(docs: DataFrame, model: CountModel, raw_col: str, out: str = "language") -> DataFrame:
+    """LNG3 on raw text: under 3 characters after clean-up -> en; no grams -> en; codes unmapped. ``docs``
+    with the column ``out``."""
     d = docs.withColumn("_dt", request_detector_text(raw_col))
-    d = d.withColumn("_dt", F.when(F.length("_dt") < 3, F.lit(None).cast("string")).otherwise(F.col("_dt")))
-    scored = score_languages(d.select(*keep, "_dt"), model, "_dt", keep)
-    return scored.select(*keep, F.coalesce(F.col("detected"), F.lit(REQUEST_DEFAULT)).alias(out))
+    scored = with_language(d, model, F.when(F.length("_dt") < 3, F.lit(None).cast("string")).otherwise(F.col("_dt")))
+    return scored.withColumn(out, F.coalesce(F.col("detected"), F.lit(REQUEST_DEFAULT))).drop("_dt", "n_grams", "lang_scores", "detected")
 
 
 def supported_language_flag(col) -> Column:
@@ -157,17 +142,6 @@ def text_key(col) -> Column:
     return F.sha2(_c(col), 256)
 
 
-def translation_table(spark: SparkSession, sf_dir: str, cleaned_docs: DataFrame | None = None) -> DataFrame:
-    """FIXTURES §3 stand-in for the remote translator, keyed by (sha256 of cleaned text, language):
-    doc_id % 3 = 0 -> 'en: ' + the text; 1 -> blank; 2 -> absent. One row per key."""
-    src = cleaned_docs if cleaned_docs is not None else load(spark, sf_dir, "documents")
-    d = src.filter((F.col("lang") != "en") & (F.col("doc_id") % 3 != 2))
-    cleaned = F.col("cleaned") if cleaned_docs is not None else T.clean_text("text")
-    tr = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("en: "), cleaned)).otherwise(F.lit("  "))
-    rows = d.select(text_key(cleaned).alias("src_key"), map_language_code("lang").alias("src_lang"), "doc_id", tr.alias("translated"))
-    return rows.groupBy("src_key", "src_lang").agg(F.min_by("translated", "doc_id").alias("translated"))
-
-
 def apply_translations(docs: DataFrame, translations: DataFrame, text_col: str, lang_col: str,
                        route: Column, out: str = "translated_text") -> DataFrame:
     """LNG8: routed rows take a non-blank translation; missing/blank keeps the original text.

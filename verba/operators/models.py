@@ -1,104 +1,44 @@
 """Models and scoring, trained and applied as Spark jobs.
 
-The reference's pretrained transformers are re-aimed as table-driven models:
-two multinomial naive Bayes models per text task (word tokens, character
-trigrams) and two prototype models for the topic task. Training is a
-``groupBy``/``pivot`` count; scoring is explode -> join weights -> one
-``groupBy(doc)`` with partial aggregation -> array softmax. All models of a
-task are scored in ONE pass (one explode, one join, one shuffle).
+The reference's pretrained transformers are re-aimed as table-driven models: two multinomial naive
+Bayes models per text task (word tokens, character trigrams) and two prototype models for the topic
+task (``topics.py``). Training sums feature counts (``counts.py``). Scoring looks the features of a whole
+Arrow batch of texts up in the model's weight matrix, which goes along to the tasks while it is within
+MODEL_MAX_BYTES: a projection of the scan, without a row per feature and without a shuffle. A larger
+model is joined with per-text counts instead.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from typing import Callable
+from typing import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verba.functions import scores as SC
 from verba.functions import text as T
-from verba.session import bounded_broadcast, materialize
+from verba.operators.counts import TEXTS, count_features
+from verba.operators.plugins import PluginModel
+from verba.operators.registry import REGISTRY, TASK_CLASSES, output_label
+from verba.session import materialize
 from verba.sources.tables import load
 
-# ---- fixed values: the reference's model registry and label sets ----
-# (task, model key, display name, our stand-in kind)
-REGISTRY = [
-    ("sentiment", "twitter-roberta", "Roberta-base", "word"),
-    ("sentiment", "twitter-roberta-xml", "XML-Roberta-base-multilingual", "char"),
-    ("spam", "roberta-sms", "Roberta-base", "word"),
-    ("spam", "distilbert-sms", "Distilbert-base", "char"),
-    ("topic", "bart-mnli", "Bart-large", "cosine"),
-    ("topic", "deberta-nli", "Deberta-small", "distance"),
-]
-TOPIC_LABELS = [
-    "technology", "sports", "politics", "entertainment", "business",
-    "health", "education", "travel", "food", "science",
-]
-# Raw model classes per text task, and the label each is reported as.
-TASK_CLASSES = {
-    "sentiment": ["Negative", "Positive"],
-    "spam": ["LABEL_0", "LABEL_1"],
-}
-TASKS = ("sentiment", "spam", "topic")
-
-
-def output_label(task: str, raw: str) -> str:
-    """Sentiment labels are lower-cased; spam maps LABEL_1 -> spam, anything else -> not_spam."""
-    if task == "spam":
-        return "spam" if raw == "LABEL_1" else "not_spam"
-    if task == "sentiment":
-        return raw.lower()
-    return raw
-
-
-# What the service says of a task, and its languages (fixed values).
-TASK_INFO = {
-    "sentiment": ("Sentiment Analysis (Positive/Negative/Neutral)", ["en", "multilingual", "auto"]),
-    "spam": ("Spam Detection (Spam/Not Spam)", ["en", "auto"]),
-    "topic": ("Topic Classification", ["en", "auto"]),
-}
-
-
-def task_description(task) -> Column:
-    c = F.col(task)
-    known = F.coalesce(*[F.when(c == t, F.lit(d)) for t, (d, _) in TASK_INFO.items()])
-    return F.coalesce(known, F.concat(F.initcap(c), F.lit(" Classification")))
-
-
-def task_languages(task) -> Column:
-    own = F.coalesce(*[F.when(F.col(task) == t, F.array(*map(F.lit, x))) for t, (_, x) in TASK_INFO.items()])
-    return F.coalesce(own, F.array(F.lit("en"), F.lit("auto")))
+MODEL_MAX_BYTES = 128 << 20  # of a model's names and weights that go along with every task
+SUMS = "struct<s array<double>, n long, seconds double>"
 
 
-def registry_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(t, k, d, kind, i) for i, (t, k, d, kind) in enumerate(REGISTRY)],
-        "task string, model_key string, display_name string, kind string, reg_pos int",
-    )
-
-
-def available_models(registry: DataFrame, loaded_tasks: DataFrame) -> DataFrame:
-    """MDL1 in the API's shape: per loaded task, a map model key -> display name
-    (the registry is a fixed handful of rows, so the per-task collect is bounded)."""
-    reg = registry.join(F.broadcast(loaded_tasks.select("task").distinct()), "task")
-    return reg.groupBy("task").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("model_key", "display_name")))).alias("models"))
-
-
-# ---------------------------------------------------------------- corpora
-
 def model_text(col, truncate: bool = True) -> Column:
     """What a model sees when no language/translation step runs: clean, then normalise. Scored texts are
     cut to the model's input length; training texts are not."""
     return T.normalize_text(T.clean_text(col), truncate)
 
 
-def task_corpus(spark: SparkSession, sf_dir: str, task: str, split: Column | None = None,
-                cleaned_docs: DataFrame | None = None) -> DataFrame:
-    """labels joined to documents; raw class per FIXTURES §3. All rows, or those for which ``split``, a condition
-    on doc_id, holds. With ``cleaned_docs`` the corpus also carries the already-cleaned text as ``cleaned``."""
+def task_corpus(spark: SparkSession, sf_dir: str, task: str, cleaned_docs: DataFrame | None = None) -> DataFrame:
+    """labels joined to documents; raw class per FIXTURES §3. With ``cleaned_docs`` the corpus also carries
+    the already-cleaned text as ``cleaned``."""
     lab = load(spark, sf_dir, "labels")
     if cleaned_docs is not None:
         docs = cleaned_docs.select("doc_id", "text", "cleaned")
@@ -110,180 +50,191 @@ def task_corpus(spark: SparkSession, sf_dir: str, task: str, split: Column | Non
         raw = F.when(F.col("toxic") == 1, "Negative").otherwise("Positive")
     else:
         raise ValueError(task)
-    if split is not None:
-        lab = lab.filter(split)
     extra = ["cleaned"] if cleaned_docs is not None else []
     return lab.join(docs, "doc_id").select("doc_id", raw.alias("label"), "text", *extra)
 
 
-def featurize(kind: str, text_col) -> Column:
-    return T.word_tokens(text_col) if kind == "word" else T.char_ngrams(text_col, 3)
-
-
-# ---------------------------------------------------------------- naive Bayes
+# ---------------------------------------------------------------- count models
 
 @dataclass
-class NBModel:
-    task: str
+class CountModel:
+    """Multinomial naive Bayes from feature counts with add-one smoothing. ``dense``: a row per feature with
+    its count in each class that it occurs in."""
     key: str
-    kind: str
+    kind: str                   # "word", or "gram": character trigrams
     classes: list
     log_priors: list
-    weights: DataFrame          # (f string, w array<double>) one row per vocabulary feature
-    n_features: int
-    mean: bool = True           # mean log weight per feature (long texts do not saturate)
+    totals: list                # features in the texts of each class
+    n_features: int             # distinct
+    dense: DataFrame            # (f string, c map<string,long>)
     labels: list = field(default_factory=list)
+    task: str = ""
+    _packed: tuple | None = None
+
+    @property
+    def weights(self) -> DataFrame:
+        """(f, w): log weight per class, in the order of ``classes``."""
+        w = F.array(*[F.log((F.coalesce(F.col("c")[c], F.lit(0)) + 1) / F.lit(float(t + self.n_features)))
+                      for c, t in zip(self.classes, self.totals, strict=True)])
+        return self.dense.select("f", w.alias("w"))
+
+    def packed(self, max_bytes: int | None = None):
+        """(names, matrix) on the driver, or None where they would hold more than MODEL_MAX_BYTES."""
+        if self.n_features * (8 * len(self.classes) + 40) > (MODEL_MAX_BYTES if max_bytes is None else max_bytes):
+            return None
+        if self._packed is None:
+            import numpy as np
+
+            got = self.weights.toArrow()
+            self._packed = got["f"].to_pylist(), np.asarray(got["w"].combine_chunks().flatten()).reshape(-1, len(self.classes))
+        return self._packed
+
+    def input(self, text) -> Column:
+        return T.word_tokens(text) if self.kind == "word" else text
+
+    def sums(self, text) -> Column:
+        """Struct of the sums of log weights per class, the number of known features and the seconds spent
+        (the row's share of its batch); a projection, for packed models."""
+
+        (names, matrix), kind, k = self.packed(), self.kind, len(self.classes)
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            import time
+
+            import numpy as np
+
+            from verba.functions import grams as G
+
+            weights = matrix
+            if kind == "word":
+                place = {w: i for i, w in enumerate(names)}
+            else:
+                index = G.GramIndex(G.packed(names))
+                weights = matrix[index.order]
+            for x in batches:
+                began, n = time.perf_counter(), len(x)
+                s, hits = np.zeros((n, k)), np.zeros(n, dtype=np.int64)
+                if kind == "word":
+                    words, at, rows = G.tokens(x)
+                    found = np.array([place.get(w, -1) for w in words], dtype=np.int64)
+                    parts = [(rows, found[at])] if len(words) else []
+                else:
+                    parts = ((owner, index.find(keys)) for keys, owner in G.grams(x))
+                for owner, at in parts:
+                    part, hit = G.row_sums(owner, at, weights, n)
+                    s += part
+                    hits += hit
+                share = (time.perf_counter() - began) / max(1, n)
+                yield pa.StructArray.from_arrays([
+                    pa.ListArray.from_arrays(np.arange(0, n * k + 1, k, dtype=np.int32), s.ravel()), pa.array(hits), pa.array(np.full(n, share))],
+                    names=["s", "n", "seconds"])
+
+        return F.arrow_udf(run, SUMS).asNondeterministic()(self.input(text))
+
+
+def models_from_counts(counts: DataFrame, specs: list[tuple[str, str]], classes: list | None = None, task: str = "") -> list[CountModel]:
+    """Models from a count table (``counts.py``); specs: (key, kind) by model number. The classes are those of
+    the table, sorted, unless given. What reaches the driver: a row per model and class."""
+    counts = materialize(counts)
+    by = counts.groupBy("m", "label").agg(F.sum("n").alias("n")).collect()
+    texts = {r["label"]: r["n"] for r in by if r["m"] == TEXTS}
+    classes = classes or sorted(texts)
+    n = sum(texts.get(c, 0) for c in classes)
+    priors = [math.log((texts.get(c, 0) + 1) / (n + len(classes))) for c in classes]
+    known = F.col("label").isin(classes) if len(classes) < len(texts) else F.lit(True)
+    dense = materialize(counts.where((F.col("m") != TEXTS) & known).groupBy("m", "f").agg(  # a list of classes each
+        F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("c")))
+    features = {r["m"]: r["v"] for r in dense.groupBy("m").agg(F.count(F.lit(1)).alias("v")).collect()}
+    out = []
+    for m, (key, kind) in enumerate(specs):
+        totals = {r["label"]: r["n"] for r in by if r["m"] == m}
+        out.append(CountModel(key, kind, list(classes), priors, [totals.get(c, 0) for c in classes], features.get(m, 0),
+                              dense.where(F.col("m") == m).select("f", "c"), [output_label(task, c) for c in classes], task))
+    return out
 
-    def featurize(self, text_col) -> Column:
-        return featurize(self.kind, text_col)
 
+def task_specs(task: str, keys: list | None = None) -> list[tuple[str, str]]:
+    return [(key, "word" if kind == "word" else "gram") for t, key, _d, kind in REGISTRY if t == task and (keys is None or key in keys)]
 
-def train_task_models(spark: SparkSession, sf_dir: str, task: str, keys: list | None = None,
-                      cleaned_docs: DataFrame | None = None, split: Column | None = None) -> list:
-    """Train every (selected) model of a task in ONE pass over the corpus: model text is derived
-    once, (model, feature, label) pairs are counted by one ``groupBy(m, f).pivot(label)`` with
-    map-side partial aggregation, and the count table is checkpointed once."""
-    specs = [(key, kind) for t, key, _d, kind in REGISTRY if t == task and (keys is None or key in keys)]
-    classes = TASK_CLASSES[task]
-    corpus = task_corpus(spark, sf_dir, task, split, cleaned_docs)
+
+def task_counts(spark: SparkSession, sf_dir: str, task: str, keys: list | None = None, cleaned_docs: DataFrame | None = None) -> DataFrame:
+    """MDL3, MDL4: feature counts of every (selected) model of a task in one pass over its corpus."""
+    corpus = task_corpus(spark, sf_dir, task, cleaned_docs)
     mt = T.normalize_text(F.col("cleaned"), False) if cleaned_docs is not None else model_text(F.col("text"), False)
     corpus = corpus.select("label", mt.alias("mt"))
+    return count_features(corpus, "label", [(kind, T.word_tokens("mt") if kind == "word" else F.col("mt")) for _k, kind in task_specs(task, keys)])
 
-    def tag(i):
-        return lambda f: F.struct(F.lit(i).alias("m"), f.alias("f"))
-
-    pairs = F.concat(*[F.transform(featurize(kind, F.col("mt")), tag(i)) for i, (_k, kind) in enumerate(specs)])
-    ex = corpus.select("label", F.explode(pairs).alias("p")).select("label", "p.m", "p.f")
-    counts = materialize(ex.groupBy("m", "f").agg(*[F.count_if(F.col("label") == c).alias(c) for c in classes]))
-    stats = {r["m"]: r for r in counts.groupBy("m").agg(
-        F.count(F.lit(1)).alias("V"), *[F.sum(F.col(c)).alias(f"T{i}") for i, c in enumerate(classes)]).collect()}
-    per_class = {r["label"]: r["n"] for r in corpus.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    N = sum(per_class.get(c, 0) for c in classes)
-    log_priors = [math.log((per_class.get(c, 0) + 1) / (N + len(classes))) for c in classes]
-    models = []
-    for i, (key, kind) in enumerate(specs):
-        st = stats.get(i)
-        V = int(st["V"]) if st else 0
-        totals = [int((st[f"T{k}"] if st else 0) or 0) for k in range(len(classes))]
-        w = F.array(*[F.log((F.col(c) + 1) / F.lit(float(totals[k] + V))) for k, c in enumerate(classes)])
-        weights = counts.filter(F.col("m") == i).select("f", w.alias("w"))
-        models.append(NBModel(task, key, kind, list(classes), log_priors, weights, V, True,
-                              [output_label(task, c) for c in classes]))
-    return models
-
-
-def nb_logits(models: list, n_col: Callable, s_col: Callable) -> list:
-    """Per model, the class log-scores: prior + mean (or sum) feature log weight."""
-    out = []
-    for i, m in enumerate(models):
-        n = n_col(i)
-        parts = []
-        for k, lp in enumerate(m.log_priors):
-            s = F.coalesce(s_col(i, k), F.lit(0.0))
-            term = F.when(n > 0, s / n).otherwise(F.lit(0.0)) if m.mean else s
-            parts.append(F.lit(lp) + term)
-        out.append(F.array(*parts))
-    return out
 
-
-def score_nb(docs: DataFrame, models: list, text_col: str, keep: list) -> DataFrame:
-    """One pass for all models of a task: explode (model, feature) pairs, join the
-    union of weight tables, aggregate per document. Returns ``keep`` columns plus
-    ``probs_<i>`` (class probabilities at T=1) for each model i."""
-    txt = F.col(text_col)
-    def tag(i):
-        # one-argument lambda: a second parameter would be bound to the element index
-        return lambda f: F.struct(F.lit(i).alias("m"), f.alias("f"))
-
-    pairs = F.concat(*[F.transform(m.featurize(txt), tag(i)) for i, m in enumerate(models)])
-    ex = docs.select(*keep, F.explode_outer(pairs).alias("p")).select(*keep, F.col("p.m").alias("m"), F.col("p.f").alias("f"))
-    weights = None
-    size = 0
-    for i, m in enumerate(models):
-        wi = m.weights.select(F.lit(i).alias("m"), "f", "w")
-        weights = wi if weights is None else weights.unionByName(wi)
-        size += m.n_features * (8 * len(m.classes) + 64)  # a feature, its key and a double per class
-    j = ex.join(bounded_broadcast(weights, size), ["m", "f"], "left")
-    aggs = []
-    for i, m in enumerate(models):
-        hit = (F.col("m") == i) & F.col("w").isNotNull()
-        aggs.append(F.count(F.when(hit, F.lit(1))).alias(f"n_{i}"))
-        for k in range(len(m.classes)):
-            aggs.append(F.sum(F.when(hit, F.col("w")[k])).alias(f"s_{i}_{k}"))
-    g = j.groupBy(*keep).agg(*aggs)
-    logits = nb_logits(models, lambda i: F.col(f"n_{i}"), lambda i, k: F.col(f"s_{i}_{k}"))
-    return g.select(*keep, *[SC.softmax(lg).alias(f"probs_{i}") for i, lg in enumerate(logits)])
-
-
-# ---------------------------------------------------------------- topic prototypes
-
-def topic_prototypes(spark: SparkSession, sf_dir: str, split: Column | None = None) -> DataFrame:
-    """(label, dim, p): per-label mean vector over all rows, or those for which ``split``, a condition on
-    vec_id, holds. Size: labels x dims."""
-    emb = load(spark, sf_dir, "embeddings")
-    if split is not None:
-        emb = emb.filter(split)
-    ex = emb.select("label", F.posexplode("embedding").alias("dim", "x"))
-    return ex.groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("p"))
-
-
-def score_topics(vectors: DataFrame, protos: DataFrame, keep: list, vec_col: str = "embedding") -> DataFrame:
-    """Per vector: cosine to each prototype (model A) and negative squared distance (model B),
-    as arrays in TOPIC_LABELS order. One broadcast join on dim, one groupBy(vector). A vector without a
-    direction (null, empty, zero) keeps its row, with null scores where a cosine has no meaning."""
-    ex = vectors.select(*keep, F.posexplode_outer(vec_col).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    # labels x dims rows: bounded by the fixed candidate list and the vector width
-    protos = protos.where(F.col("label").between(0, len(TOPIC_LABELS) - 1))
-    j = ex.join(F.broadcast(protos), "dim", "left")
-    aggs = [F.sum(F.when(F.col("label") == 0, F.col("x") * F.col("x"))).alias("xx")]
-    for lab in range(len(TOPIC_LABELS)):
-        on = F.col("label") == lab
-        aggs += [
-            F.sum(F.when(on, F.col("x") * F.col("p"))).alias(f"dot_{lab}"),
-            F.sum(F.when(on, F.col("p") * F.col("p"))).alias(f"pp_{lab}"),
-            F.sum(F.when(on, (F.col("x") - F.col("p")) * (F.col("x") - F.col("p")))).alias(f"d2_{lab}"),
-        ]
-    g = j.groupBy(*keep).agg(*aggs)
-    cos = F.array(*[
-        F.try_divide(F.col(f"dot_{lab}"), F.sqrt(F.col("xx")) * F.sqrt(F.col(f"pp_{lab}"))) for lab in range(len(TOPIC_LABELS))
-    ])
-    neg = F.array(*[-F.col(f"d2_{lab}") for lab in range(len(TOPIC_LABELS))])
-    return g.select(*keep, SC.softmax(cos).alias("probs_0"), SC.softmax(neg).alias("probs_1"))
+def train_task_models(spark: SparkSession, sf_dir: str, task: str, keys: list | None = None,
+                      cleaned_docs: DataFrame | None = None, counts: DataFrame | None = None) -> list[CountModel]:
+    """The models of a task, from its whole corpus or from ``counts`` that were kept (CountTable.totals())."""
+    counts = counts if counts is not None else task_counts(spark, sf_dir, task, keys, cleaned_docs)
+    return models_from_counts(counts, task_specs(task, keys), TASK_CLASSES[task], task)
 
 
-# ---------------------------------------------------------------- plug-in scorer (MDL12)
+def _text_counts(rows: DataFrame, kind: str) -> DataFrame:
+    """(_rid, x) -> (_rid, f, n): distinct features of each text."""
+    def run(batches):
+        import numpy as np
+
+        from verba.functions import grams as G
+
+        for batch in batches:
+            rid, x = batch.column("_rid").to_numpy(zero_copy_only=False), batch.column("x")
+            parts = [G.tokens(x)] if kind == "word" else ((*np.unique(keys, return_inverse=True), owner) for keys, owner in G.grams(x))
+            for names, index, owner in parts:
+                if not len(owner):
+                    continue
+                both, n = np.unique(owner.astype(np.int64) * len(names) + index, return_counts=True)
+                at = both % len(names)
+                f = [names[k] for k in at.tolist()] if kind == "word" else G.unpacked(names[at])
+                yield pa.RecordBatch.from_arrays([pa.array(rid[both // len(names)]), pa.array(f, pa.string()), pa.array(n)], names=["_rid", "f", "n"])
+
+    return rows.mapInArrow(run, "_rid long, f string, n long")
+
+
+def _joined_sums(rows: DataFrame, model: CountModel) -> DataFrame:
+    """(_rid, x) -> (_rid, _s) for a model too large to go along: the distinct features of each text are joined
+    with the weights. A common feature has one row per text; both sides are shuffled plainly, so adaptive
+    execution splits its rows. Sums are combined before they are shuffled."""
+    k = len(model.classes)
+    j = _text_counts(rows, model.kind).join(materialize(model.weights).hint("merge"), "f")
+    g = j.groupBy("_rid").agg(*[F.sum(F.col("n") * F.col("w")[i]).alias(f"s{i}") for i in range(k)], F.sum("n").alias("n"))
+    return g.select("_rid", F.struct(F.array(*[F.col(f"s{i}") for i in range(k)]).alias("s"), F.col("n"), F.lit(None).cast("double").alias("seconds")).alias("_s"))
+
+
+def with_sums(df: DataFrame, models: list[CountModel], text) -> DataFrame:
+    """``df`` with _s0, _s1, ...: each model's sums() of the column ``text``; null ``text`` has no features."""
+    small = [m.packed() is not None for m in models]
+    out = df.withColumn("_text", text)
+    if not all(small):
+        out = materialize(out.withColumn("_rid", F.monotonically_increasing_id()))
+    for i, (m, fits) in enumerate(zip(models, small, strict=True)):
+        if fits:
+            out = out.withColumn(f"_s{i}", m.sums(F.col("_text")))
+        else:
+            s = _joined_sums(out.select("_rid", m.input(F.col("_text")).alias("x")), m).withColumnRenamed("_s", f"_s{i}")
+            none = F.struct(F.array(*[F.lit(0.0)] * len(m.classes)).alias("s"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("seconds"))
+            out = out.join(s, "_rid", "left").withColumn(f"_s{i}", F.coalesce(f"_s{i}", none))
+    return out.drop("_text", "_rid")
+
+
+def nb_probs(model: CountModel, s: str) -> Column:
+    """Class probabilities from sums(): prior + mean log weight per known feature (long texts do not saturate)."""
+    n = F.col(f"{s}.n")
+    logits = [F.lit(lp) + F.when(n > 0, F.col(f"{s}.s")[k] / n).otherwise(F.lit(0.0)) for k, lp in enumerate(model.log_priors)]
+    return SC.softmax(F.array(*logits))
+
+
+def score_nb(docs: DataFrame, models: list[CountModel], text_col: str, keep: list) -> DataFrame:
+    """``keep`` columns plus ``probs_<i>`` (class probabilities at T=1) for each model i: one row per row."""
+    scored = with_sums(docs, models, F.col(text_col))
+    return scored.select(*keep, *[nb_probs(m, f"_s{i}").alias(f"probs_{i}") for i, m in enumerate(models)])
 
-def score_with_plugin(docs: DataFrame, make_scorer: Callable, labels: list, text_col: str,
-                      keep: list, batch_size: int = 16, temperature: float = 1.0) -> DataFrame:
-    """Run a user scorer over Arrow batches; the scorer is built once per task and called
-    on slices of ``batch_size`` texts, like a pipeline call ``model(texts, batch_size=...)``.
-    It returns one probability list per text, in ``labels`` order."""
-    import pandas as pd
 
-    schema = ", ".join([f"{c} {t}" for c, t in docs.select(*keep).dtypes] + ["probs array<double>"])
+# ---------------------------------------------------------------- plug-in scorer (MDL12)
 
-    def run(batches):
-        scorer = make_scorer()
-        for pdf in batches:
-            texts = pdf[text_col].tolist()
-            out = []
-            for s in range(0, len(texts), batch_size):
-                out.extend(scorer(texts[s:s + batch_size]))
-            res = pdf[keep].copy()
-            res["probs"] = pd.Series([list(map(float, p)) for p in out], index=pdf.index, dtype=object)
-            yield res
-
-    scored = docs.select(*keep, text_col).mapInPandas(run, schema)
-    return scored.select(*keep, SC.rescale_probabilities("probs", temperature).alias("scores"))
-
-
-def vowel_share_scorer():
-    """Deterministic toy scorer for tests: P(label 1) = (count of 'e' + 1) / (length + 2)."""
-    def score(texts):
-        out = []
-        for t in texts:
-            t = t or ""
-            p = (t.count("e") + 1) / (len(t) + 2)
-            out.append([1 - p, p])
-        return out
-    return score
+def score_with_plugin(docs: DataFrame, model: PluginModel, text_col: str, keep: list, temperature: float = 1.0) -> DataFrame:
+    """``keep`` columns, ``scores`` (null where the scorer failed on the row's text) and ``error``."""
+    scored = docs.select(*keep, model.answers(F.col(text_col)).alias("_a"))
+    return scored.select(*keep, SC.rescale_probabilities("_a.probs", temperature).alias("scores"), F.col("_a.error").alias("error"))

@@ -8,7 +8,8 @@ from verba.functions import text as T
 from verba.operators import language as L
 from verba.plans import sql_models as SM
 from verba.plans import sql_text as S
-from verba.sources.tables import load
+from verba.session import materialize
+from verba.sources.tables import load, translations
 
 
 def _docs(spark, sf):
@@ -16,33 +17,33 @@ def _docs(spark, sf):
 
 
 def q_train_language_profiles(spark, sf):
-    m = L.language_profiles(spark, sf, split=SM.oracle_split())
+    m = L.language_profiles(spark, sf)
     cls = F.array(*[F.lit(c) for c in m.classes])
     return m.weights.select(
-        "g", F.posexplode("w").alias("pos", "w")
+        F.col("f").alias("g"), F.posexplode("w").alias("pos", "w")
     ).select("g", F.element_at(cls, F.col("pos") + 1).alias("lang"), F.round("w", 6).alias("w"))
 
 
 def q_score_languages(spark, sf):
     from verba.sources.tables import cleaned_documents
     docs = cleaned_documents(spark, sf)  # one cleaning pass shared by training and scoring
-    m = L.language_profiles(spark, sf, cleaned_docs=docs, split=SM.oracle_split())
+    m = L.language_profiles(spark, sf, cleaned_docs=docs)
     d = docs.select("doc_id", "lang", L.pipeline_detector_text("cleaned").alias("dt"))
     s = L.score_languages(d, m, "dt", ["doc_id", "lang"])
     return s.select("doc_id", "lang", "detected", "n_grams")
 
 
 def q_detect_language_request(spark, sf):
-    m = L.language_profiles(spark, sf, split=SM.oracle_split())
-    return L.detect_language_request(_docs(spark, sf), m, "text", ["doc_id"])
+    m = L.language_profiles(spark, sf)
+    return L.detect_language_request(_docs(spark, sf).select("doc_id", "text"), m, "text").select("doc_id", "language")
 
 
 def q_detect_language_pipeline(spark, sf):
     from verba.sources.tables import cleaned_documents
     docs = cleaned_documents(spark, sf)
-    m = L.language_profiles(spark, sf, cleaned_docs=docs, split=SM.oracle_split())
+    m = L.language_profiles(spark, sf, cleaned_docs=docs)
     d = docs.select("doc_id", "cleaned")
-    return L.detect_language_pipeline(d, m, "cleaned", ["doc_id"]).select("doc_id", "language")
+    return L.detect_language_pipeline(d, m, "cleaned").select("doc_id", "language")
 
 
 def _code_variants(spark, sf):
@@ -79,12 +80,37 @@ def q_route_for_translation(spark, sf):
 
 def q_apply_translations(spark, sf):
     d = _docs(spark, sf).select("doc_id", F.col("lang").alias("language"), T.clean_text("text").alias("cleaned"))
-    tr = L.translation_table(spark, sf)
+    tr = translations(spark, sf)
     out = L.apply_translations(d, tr, "cleaned", "language", L.route_for_translation("language"))
     return out.select("doc_id", "language", (F.col("translated_text") != F.col("cleaned")).alias("changed"),
                       F.sha2("translated_text", 256).alias("text_hash"))
 
 
+def stand_in_translator():
+    """A caller's translator: 'en: ' and the text; it raises on texts whose length is a multiple of seven."""
+    def translate(pairs):
+        out = []
+        for text, _language in pairs:
+            if len(text) % 7 == 0:
+                raise ValueError("length")
+            out.append("en: " + text)
+        return out
+    return translate
+
+
+def q_translate_with_memory(spark, sf):
+    """Half of the documents, then all: what the first batch taught is not translated again."""
+    from verba.operators.memory import TranslationMemory
+    from verba.sources.io import scratch_path
+
+    d = materialize(_docs(spark, sf).select("doc_id", F.col("lang").alias("language"), T.clean_text("text").alias("cleaned")))
+    memory = TranslationMemory(spark, scratch_path(spark, "memory"))
+    memory.learn(d.where("doc_id % 2 = 0"), "cleaned", "language", L.route_for_translation("language"), stand_in_translator, "first")
+    out = memory.translate(d, "cleaned", "language", stand_in_translator, "all")
+    return out.select("doc_id", "language", (F.col("translated_text") != F.col("cleaned")).alias("changed"),
+                      F.sha2("translated_text", 256).alias("text_hash"))
+
+
 QUERIES = {
     "train_language_profiles": q_train_language_profiles,
     "score_languages": q_score_languages,
@@ -94,6 +120,7 @@ QUERIES = {
     "supported_language_filter": q_supported_language_filter,
     "route_for_translation": q_route_for_translation,
     "apply_translations": q_apply_translations,
+    "translate_with_memory": q_translate_with_memory,
 }
 
 
@@ -104,6 +131,11 @@ def _supported_sql(e):
 _LM = SM.lang_model_ctes()
 
 ORACLES = {
+    "translate_with_memory": SM.with_(
+        [f"d AS (SELECT doc_id, lang AS language, {S.clean_text('text')} AS cleaned FROM documents)",
+         "r AS (SELECT *, CASE WHEN coalesce(language, 'unknown') NOT IN ('en', 'unknown') AND length(cleaned) % 7 <> 0 "
+         f"THEN {SM.strip_ws(chr(39) + 'en: ' + chr(39) + ' || cleaned')} ELSE cleaned END AS translated_text FROM d)"],
+        "SELECT doc_id, language, translated_text <> cleaned AS changed, sha256(translated_text) AS text_hash FROM r"),
     "train_language_profiles": SM.with_(_LM, "SELECT g, lang, round(w, 6) AS w FROM lm_w"),
     "score_languages": SM.with_(
         _LM + [f"src AS (SELECT doc_id AS id, lang, {SM.pdt(S.clean_text('text'))} AS dt FROM documents)"]

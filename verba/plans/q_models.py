@@ -8,6 +8,9 @@ from verba.functions import scores as SC
 from verba.functions import text as T
 from verba.operators import ensemble as E
 from verba.operators import models as M
+from verba.operators import registry as R
+from verba.operators import topics as TP
+from verba.operators.plugins import PluginModel
 from verba.plans import classify as C
 from verba.plans import sql_models as SM
 from verba.plans import sql_text as S
@@ -26,7 +29,7 @@ def _task_scores(spark, sf, task, temps=(1.0,), keys=None):
     out of ONE projection and one explode, so the scoring plan runs once."""
     from verba.sources.tables import cleaned_documents
     prepared = cleaned_documents(spark, sf)
-    models = M.train_task_models(spark, sf, task, keys, cleaned_docs=prepared, split=SM.oracle_split())
+    models = M.train_task_models(spark, sf, task, keys, cleaned_docs=prepared)
     docs = prepared.select("doc_id", T.normalize_text("cleaned").alias("mt"))
     s = M.score_nb(docs, models, "mt", ["doc_id"])
     lab = F.array(*[F.lit(x) for x in models[0].labels])
@@ -41,24 +44,18 @@ def _task_scores(spark, sf, task, temps=(1.0,), keys=None):
 # ------------------------------------------------------------------ Spark queries
 
 def q_available_models(spark, sf):
-    corpus = load(spark, sf, "labels").join(
-        load(spark, sf, "documents").select("doc_id"), "doc_id")
-    text_tasks = corpus.select(F.explode(F.array(F.lit("sentiment"), F.lit("spam"))).alias("task"))
-    emb = load(spark, sf, "embeddings").select(F.lit("topic").alias("task"))
-    loaded = text_tasks.unionByName(emb).groupBy("task").agg(F.count(F.lit(1)).alias("n_train"))
-    reg = M.registry_df(spark)
-    per_task = reg.groupBy("task").agg(F.count(F.lit(1)).alias("models_in_task"))
-    return reg.join(F.broadcast(loaded), "task").join(F.broadcast(per_task), "task").select(
-        "task", "model_key", "display_name", "models_in_task", M.task_description("task").alias("description"),
-        F.array_join(M.task_languages("task"), ",").alias("languages"))
+    corpus = load(spark, sf, "labels").join(load(spark, sf, "documents").select("doc_id"), "doc_id", "left_semi")
+    text_tasks = corpus.select(F.explode(F.array(F.lit("sentiment"), F.lit("spam"))).alias("task")).distinct()
+    emb = load(spark, sf, "embeddings").select(F.lit("topic").alias("task")).distinct()
+    return R.available_models(R.registry_df(spark), text_tasks.unionByName(emb))
 
 
 def _requests(spark, sf):
     """conversations as requests: task by conv_id % 3, selection by conv_id % 5 (FIXTURES §3)."""
     conv = load(spark, sf, "conversations").select("conv_id").distinct()
-    first = F.element_at(F.array(*[F.lit(k) for t, k, _d, _x in M.REGISTRY[0::2]]), (F.col("conv_id") % 3 + 1).cast("int"))
-    second = F.element_at(F.array(*[F.lit(k) for t, k, _d, _x in M.REGISTRY[1::2]]), (F.col("conv_id") % 3 + 1).cast("int"))
-    task = F.element_at(F.array(*[F.lit(t) for t in M.TASKS]), (F.col("conv_id") % 3 + 1).cast("int"))
+    first = F.element_at(F.array(*[F.lit(k) for t, k, _d, _x in R.REGISTRY[0::2]]), (F.col("conv_id") % 3 + 1).cast("int"))
+    second = F.element_at(F.array(*[F.lit(k) for t, k, _d, _x in R.REGISTRY[1::2]]), (F.col("conv_id") % 3 + 1).cast("int"))
+    task = F.element_at(F.array(*[F.lit(t) for t in R.TASKS]), (F.col("conv_id") % 3 + 1).cast("int"))
     r = F.col("conv_id") % 5
     sel_str = (F.when(r == 0, F.lit("all")).when(r == 1, first).when(r == 2, F.concat(first, F.lit(","), second))
                .when(r == 3, F.lit("unknown-model")))
@@ -66,45 +63,23 @@ def _requests(spark, sf):
     return conv.select("conv_id", task.alias("task"), sel_str.alias("sel_str"), sel_list.alias("sel_list"))
 
 
-def resolve_model_selection(requests, registry):
-    """MDL2, distributed: (conv_id, task, sel_str | sel_list) -> (conv_id, pos, model_key, error)."""
-    reg = F.broadcast(registry.select("task", "model_key", "reg_pos"))
-    is_all = F.coalesce(F.col("sel_str") == "all", F.lit(False))
-    listed = (F.when(F.col("sel_list").isNotNull(), F.col("sel_list"))
-              .when(F.col("sel_str").contains(","), F.split("sel_str", ",", -1)))
-    single = F.col("sel_list").isNull() & ~is_all & ~F.coalesce(F.col("sel_str").contains(","), F.lit(False))
-    req = requests.select("conv_id", "task", "sel_str", is_all.alias("is_all"), single.alias("single"),
-                          F.when(single, F.array("sel_str")).otherwise(listed).alias("keys"))
-    all_rows = req.filter("is_all").join(reg, "task").select("conv_id", F.col("reg_pos").alias("pos"), "model_key")
-    ex = req.filter(~F.col("is_all")).select("conv_id", "task", "single", "sel_str",
-                                             F.posexplode("keys").alias("pos", "model_key"))
-    known = ex.join(reg, ["task", "model_key"], "left_semi").select("conv_id", "pos", "model_key")
-    chosen = all_rows.unionByName(known).withColumn("error", F.lit(None).cast("string"))
-    failed = req.filter(~F.col("is_all")).join(known.select("conv_id").distinct(), "conv_id", "left_anti")
-    msg = F.when(F.col("single"), F.format_string("Model '%s' not available for type '%s'", "sel_str", "task")).otherwise(
-        F.format_string("None of the specified models are available for type '%s'", "task"))
-    errors = failed.select("conv_id", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("model_key"),
-                           msg.alias("error"))
-    return chosen.unionByName(errors)
-
-
 def q_resolve_model_selection(spark, sf):
-    return resolve_model_selection(_requests(spark, sf), M.registry_df(spark))
-
-
-def _weights_long(spark, sf, task, key):
-    m = M.train_task_models(spark, sf, task, [key], split=SM.oracle_split())[0]
-    lab = F.array(*[F.lit(x) for x in m.classes])
-    return m.weights.select("f", F.posexplode("w").alias("pos", "w")).select(
-        "f", F.element_at(lab, F.col("pos") + 1).alias("label"), F.round("w", 6).alias("w"))
-
-
-def q_train_word_model(spark, sf):
-    return _weights_long(spark, sf, "spam", "roberta-sms")
+    return R.resolve_model_selection(_requests(spark, sf), R.registry_df(spark))
 
 
-def q_train_char_model(spark, sf):
-    return _weights_long(spark, sf, "spam", "distilbert-sms")
+def _weights_long(kind):
+    """Weights of the models of one kind, of both text tasks."""
+    def q(spark, sf):
+        out = None
+        for task in ("spam", "sentiment"):
+            key = next(k for t, k, _d, x in R.REGISTRY if t == task and x == kind)
+            m = M.train_task_models(spark, sf, task, [key])[0]
+            lab = F.array(*[F.lit(x) for x in m.classes])
+            rows = m.weights.select("f", F.posexplode("w").alias("pos", "w")).select(
+                F.lit(task).alias("task"), "f", F.element_at(lab, F.col("pos") + 1).alias("label"), F.round("w", 6).alias("w"))
+            out = rows if out is None else out.unionByName(rows)
+        return out
+    return q
 
 
 def _scores_query(task):
@@ -115,19 +90,17 @@ def _scores_query(task):
 
 
 def q_score_topic_zero_shot(spark, sf):
-    protos = M.topic_prototypes(spark, sf, SM.oracle_split("vec_id"))
+    protos = TP.topic_prototypes(spark, sf)
     emb = load(spark, sf, "embeddings")
-    s = M.score_topics(emb, protos, ["vec_id"])
-    lab = F.array(*[F.lit(x) for x in M.TOPIC_LABELS])
-    keys = [k for t, k, _d, _x in M.REGISTRY if t == "topic"]
+    s = TP.score_topics(emb, protos, ["vec_id"])
+    lab = F.array(*[F.lit(x) for x in R.TOPIC_LABELS])
+    keys = [k for t, k, _d, _x in R.REGISTRY if t == "topic"]
+    order = F.array_sort(F.transform(F.col("c.sc"), lambda v, i: F.struct((-v).alias("s"), i.alias("pos"))))
     combos = [F.struct(F.lit(key).alias("model_key"), SC.rescale_probabilities(f"probs_{i}", 1.0).alias("sc"))
               for i, key in enumerate(keys)]
-    out = s.select("vec_id", F.explode(F.array(*combos)).alias("c")).select(
-        "vec_id", "c.model_key", F.posexplode("c.sc").alias("pos", "score"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("vec_id", "model_key").orderBy(F.desc("score"), "pos")
-    return out.select("vec_id", "model_key", F.row_number().over(w).alias("rank"),
-                      F.element_at(lab, F.col("pos") + 1).alias("label"), SC.round6("score").alias("score"))
+    out = s.select("vec_id", F.explode(F.array(*combos)).alias("c")).select("vec_id", "c.model_key", F.posexplode(order).alias("rank", "x"))
+    return out.select("vec_id", "model_key", (F.col("rank") + 1).alias("rank"),
+                      F.element_at(lab, F.col("x.pos") + 1).alias("label"), SC.round6(-F.col("x.s")).alias("score"))
 
 
 def q_softmax_temperature(spark, sf):
@@ -139,66 +112,89 @@ def q_softmax_temperature(spark, sf):
 
 
 def q_rescale_probabilities(spark, sf):
-    s = _task_scores(spark, sf, "sentiment", TEMPS, ["twitter-roberta"])
-    return s.select("doc_id", "t", "label", SC.round6("score").alias("score"))
+    s = _task_scores(spark, sf, "sentiment", TEMPS)
+    return s.select("doc_id", "model_key", "t", "label", SC.round6("score").alias("score"))
 
 
 def q_pick_best_label(spark, sf):
-    models = M.train_task_models(spark, sf, "sentiment", ["twitter-roberta"], split=SM.oracle_split())
+    models = M.train_task_models(spark, sf, "sentiment")
     s = M.score_nb(_docs_model_text(spark, sf), models, "mt", ["doc_id"])
-    sc = SC.rescale_probabilities("probs_0", 1.0)
     lab = F.array(*[F.lit(x) for x in models[0].labels])
-    return s.select("doc_id", SC.best_label(lab, sc).alias("prediction"), SC.round6(F.array_max(sc)).alias("confidence"))
+    both = F.explode(F.array(*[F.struct(F.lit(m.key).alias("model_key"), SC.rescale_probabilities(f"probs_{i}", 1.0).alias("sc"))
+                               for i, m in enumerate(models)]))
+    return s.select("doc_id", both.alias("c")).select("doc_id", "c.model_key", SC.best_label(lab, "c.sc").alias("prediction"),
+                                                      SC.round6(F.array_max("c.sc")).alias("confidence"))
 
 
-def q_classify_table(spark, sf):
-    from verba.sources.tables import cleaned_documents
-    docs = cleaned_documents(spark, sf)  # one cleaning pass, shared by training and classification
-    r = C.classify_table(spark, sf, docs, task="spam", temperature=1.0, cleaned_docs=docs, split=SM.oracle_split())
+def _result_columns(r):
     return r.select("doc_id", "prediction", SC.round6("confidence").alias("confidence"), "language", "is_ensemble",
                     F.array_join("models_used", ",").alias("models_used"))
 
 
+def q_classify_table(spark, sf):
+    from verba.sources.tables import cleaned_documents, translations
+    docs = cleaned_documents(spark, sf)  # one cleaning pass, shared by training and classification
+    return _result_columns(C.classify_table(spark, sf, docs, task="spam", temperature=1.0, cleaned_docs=docs,
+                                            translations=translations(spark, sf, docs)))
+
+
+def q_classify_sentiment(spark, sf):
+    from verba.sources.tables import cleaned_documents
+    docs = cleaned_documents(spark, sf)
+    return _result_columns(C.classify_table(spark, sf, docs, task="sentiment", temperature=0.5, selection="twitter-roberta-xml", cleaned_docs=docs))
+
+
+def q_classify_topic(spark, sf):
+    from verba.sources.tables import cleaned_documents
+    docs = cleaned_documents(spark, sf)
+    return _result_columns(C.classify_table(spark, sf, docs, task="topic", cleaned_docs=docs))
+
+
 def _with_blanks(spark, sf):
     d = load(spark, sf, "documents").select("doc_id", "text")
     k = F.col("doc_id") % 3
     blanks = d.filter(F.col("doc_id") % 4 == 0).select(
         (-1 - F.col("doc_id")).alias("doc_id"),
-        F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.lit("")).otherwise(F.lit(" \t  ")).alias("text"))
+        F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.lit("")).otherwise(F.lit(" \t  ")).alias("text"))
     return d.unionByName(blanks)
 
 
+def vowel_share_scorer(fails_every=None):
+    """A caller's scorer: P(label 1) = (count of 'e' + 1) / (length + 2). It raises on texts whose length is a
+    multiple of ``fails_every``."""
+    def make():
+        def score(texts):
+            out = []
+            for t in texts:
+                if fails_every and len(t) % fails_every == 0:
+                    raise ValueError("length")
+                p = (t.count("e") + 1) / (len(t) + 2)
+                out.append([1 - p, p])
+            return out
+        return score
+    return make
+
+
+def _plugin(fails_every=None):
+    return PluginModel("vowels", ["not_spam", "spam"], vowel_share_scorer(fails_every))
+
+
 def q_failed_row_result(spark, sf):
-    models = M.train_task_models(spark, sf, "spam", split=SM.oracle_split())
-    d = _with_blanks(spark, sf).select("doc_id", T.is_blank("text").alias("blank"),
-                                       M.model_text(F.coalesce("text", F.lit(""))).alias("mt"))
-    s = M.score_nb(d, models, "mt", ["doc_id", "blank"])
-    ens = E.ensemble_arrays([SC.rescale_probabilities(f"probs_{i}", 1.0) for i in range(len(models))])
-    lab = F.array(*[F.lit(x) for x in models[0].labels])
-    b = F.col("blank")
-    return s.select(
-        "doc_id",
-        F.when(b, F.lit(C.FAILED_LABEL)).otherwise(SC.best_label(lab, ens)).alias("prediction"),
-        SC.round6(F.when(b, F.lit(0.0)).otherwise(F.array_max(ens))).alias("confidence"),
-        F.when(b, F.lit(0)).otherwise(F.lit(len(models))).alias("n_models"),
-    )
+    """Blank texts, and texts on which the only model fails, keep their row."""
+    d = _with_blanks(spark, sf).withColumn("code", F.lit("en"))
+    r = C.classify_table(spark, sf, d, task="spam", selection="vowels", models=[], plugins=[_plugin(5)], language_col="code")
+    return r.select("doc_id", "prediction", SC.round6("confidence").alias("confidence"), F.size("models_answered").alias("n_models"), "error")
 
 
 def q_score_with_plugin(spark, sf):
-    d = _docs_model_text(spark, sf)
-    s = M.score_with_plugin(d, M.vowel_share_scorer, ["not_spam", "spam"], "mt", ["doc_id"], batch_size=16)
+    s = M.score_with_plugin(_docs_model_text(spark, sf), _plugin(50), "mt", ["doc_id"])
     lab = F.array(F.lit("not_spam"), F.lit("spam"))
-    return s.select("doc_id", SC.best_label(lab, "scores").alias("prediction"),
-                    SC.round6(F.array_max("scores")).alias("confidence"))
+    return s.select("doc_id", SC.best_label(lab, "scores").alias("prediction"), SC.round6(F.array_max("scores")).alias("confidence"), "error")
 
 
-def _spam_long(spark, sf, fail_char_every=None):
+def _spam_long(spark, sf):
     s = _task_scores(spark, sf, "spam")
-    s = s.select("doc_id", F.col("model_key").alias("model"), "label", "score")
-    if fail_char_every:
-        s = s.withColumn("score", F.when((F.col("model") == "distilbert-sms") & (F.col("doc_id") % fail_char_every == 0),
-                                         F.lit(None).cast("double")).otherwise(F.col("score")))
-    return s
+    return s.select("doc_id", F.col("model_key").alias("model"), "label", "score")
 
 
 def q_ensemble_average(spark, sf):
@@ -223,15 +219,18 @@ def q_individual_results(spark, sf):
 
 
 def q_skip_failed_models(spark, sf):
-    r = E.ensemble_long(_spam_long(spark, sf, fail_char_every=10), ["doc_id"])
-    return r.select("doc_id", "prediction", SC.round6("confidence").alias("confidence"), "n_models")
+    """Two trained models and a caller's scorer, which fails on a tenth of the texts: they are averaged without it."""
+    from verba.sources.tables import cleaned_documents
+    docs = cleaned_documents(spark, sf)
+    r = C.classify_table(spark, sf, docs, task="spam", cleaned_docs=docs, plugins=[_plugin(10)], language_col="lang")
+    return r.select("doc_id", "prediction", SC.round6("confidence").alias("confidence"), F.size("models_answered").alias("n_models"))
 
 
 QUERIES = {
     "available_models": q_available_models,
     "resolve_model_selection": q_resolve_model_selection,
-    "train_word_model": q_train_word_model,
-    "train_char_model": q_train_char_model,
+    "train_word_model": _weights_long("word"),
+    "train_char_model": _weights_long("char"),
     "score_sentiment": _scores_query("sentiment"),
     "score_spam": _scores_query("spam"),
     "score_topic_zero_shot": q_score_topic_zero_shot,
@@ -239,6 +238,8 @@ QUERIES = {
     "rescale_probabilities": q_rescale_probabilities,
     "pick_best_label": q_pick_best_label,
     "classify_table": q_classify_table,
+    "classify_sentiment": q_classify_sentiment,
+    "classify_topic": q_classify_topic,
     "score_with_plugin": q_score_with_plugin,
     "failed_row_result": q_failed_row_result,
     "ensemble_average": q_ensemble_average,
@@ -249,13 +250,13 @@ QUERIES = {
 
 # ------------------------------------------------------------------ oracles
 
-_REG_SQL = SM.values([(t, k, d, i) for i, (t, k, d, _x) in enumerate(M.REGISTRY)], ["task", "model_key", "display_name", "reg_pos"])
+_REG_SQL = SM.values([(t, k, d, i) for i, (t, k, d, _x) in enumerate(R.REGISTRY)], ["task", "model_key", "display_name", "reg_pos"])
 _DOCS_MT = f"src AS MATERIALIZED (SELECT doc_id AS id, {SM.model_text('text')} AS t FROM documents)"
 
 
 def _task_scores_sql(task, temps=(1.0,), keys=None):
     ctes, sels = [_DOCS_MT], []
-    for t_, key, _d, kind in M.REGISTRY:
+    for t_, key, _d, kind in R.REGISTRY:
         if t_ != task or (keys and key not in keys):
             continue
         p = key.replace("-", "_")
@@ -273,13 +274,12 @@ def _scores_sql(task, temps=(1.0,), keys=None, select="doc_id, model_key, label,
     return SM.with_(ctes + [f"sc AS ({body})"], f"SELECT {select} FROM sc")
 
 
-def _ensemble_sql(select, fail_every=None):
+def _ensemble_sql(select, more=None):
+    """``more``: (CTEs, select of doc_id, model_key, label, score) of a further model."""
     ctes, body = _task_scores_sql("spam")
-    score = "score"
-    if fail_every:
-        score = f"CASE WHEN model_key = 'distilbert-sms' AND doc_id % {fail_every} = 0 THEN NULL ELSE score END"
+    ctes += more[0] if more else []
     ctes += [
-        f"sc AS (SELECT doc_id, model_key, label, {score} AS score FROM ({body}) b)",
+        f"sc AS (SELECT doc_id, model_key, label, score FROM ({body}) b" + (f" UNION ALL {more[1]})" if more else ")"),
         "ok AS (SELECT * FROM sc WHERE score IS NOT NULL)",
         "nm AS (SELECT doc_id, count(DISTINCT model_key) AS n_models FROM ok GROUP BY doc_id)",
         "av AS (SELECT o.doc_id, o.label, sum(o.score) / n.n_models AS score, n.n_models FROM ok o JOIN nm n USING (doc_id) "
@@ -290,11 +290,11 @@ def _ensemble_sql(select, fail_every=None):
 
 
 def _topic_sql():
-    labels = SM.values([(i, x) for i, x in enumerate(M.TOPIC_LABELS)], ["label", "name"])
+    labels = SM.values([(i, x) for i, x in enumerate(R.TOPIC_LABELS)], ["label", "name"])
     return SM.with_([
         "ex AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS dim "
         "FROM embeddings)",
-        "pr AS (SELECT label, dim, avg(x) AS p FROM ex WHERE vec_id % 5 <> 0 GROUP BY label, dim)",
+        "pr AS (SELECT label, dim, avg(x) AS p FROM ex GROUP BY label, dim)",
         "j AS (SELECT e.vec_id, p.label, sum(e.x * p.p) AS dot, sum(p.p * p.p) AS pp, sum(e.x * e.x) AS xx, "
         "sum((e.x - p.p) * (e.x - p.p)) AS d2 FROM ex e JOIN pr p ON p.dim = e.dim GROUP BY e.vec_id, p.label)",
         "raw AS (SELECT vec_id AS id, label, 'bart-mnli' AS model_key, dot / (sqrt(xx) * sqrt(pp)) AS logit FROM j "
@@ -317,7 +317,7 @@ def _selection_sql():
         f"WHEN 2 THEN {first} || ',' || {second} WHEN 3 THEN 'unknown-model' END AS sel_str, "
         f"CASE WHEN conv_id % 5 = 4 THEN ['unknown-model', {second}] END AS sel_list "
         "FROM (SELECT DISTINCT conv_id FROM conversations) c)",
-        "r2 AS (SELECT *, coalesce(sel_str = 'all', false) AS is_all, sel_list IS NULL AND sel_str <> 'all' AND NOT contains(sel_str, ',') "
+        "r2 AS (SELECT *, sel_list IS NULL AND coalesce(sel_str = 'all', true) AS is_all, sel_list IS NULL AND sel_str <> 'all' AND NOT contains(sel_str, ',') "
         "AS single FROM rq)",
         "r3 AS (SELECT *, CASE WHEN single THEN [sel_str] WHEN sel_list IS NOT NULL THEN sel_list "
         "ELSE string_split(sel_str, ',') END AS keys FROM r2 WHERE NOT is_all)",
@@ -334,7 +334,7 @@ def _selection_sql():
        "SELECT conv_id, pos, model_key, NULL::VARCHAR AS error FROM known UNION ALL SELECT * FROM err")
 
 
-def _classify_sql():
+def _classify_sql(task="spam", keys=None, translated=True, t="1.0"):
     ctes = SM.lang_model_ctes()
     ctes += [
         f"c AS (SELECT doc_id AS id, coalesce({S.clean_text('text')}, '') AS cleaned FROM documents)",
@@ -350,83 +350,88 @@ def _classify_sql():
         f"CASE WHEN doc_id % 3 = 0 THEN 'en: ' || {S.clean_text('text')} ELSE '  ' END AS translated "
         "FROM documents WHERE lang <> 'en' AND doc_id % 3 <> 2)",
         "tr AS (SELECT src_key, src_lang, arg_min(translated, doc_id) AS translated FROM tr0 GROUP BY src_key, src_lang)",
+        "tx AS (SELECT id, lg.language, c.cleaned AS translated FROM c JOIN lg USING (id))" if not translated else
         "tx AS (SELECT c.id, lg.language, CASE WHEN lg.language NOT IN ('en', 'unknown') "
         f"THEN coalesce(nullif({SM.strip_ws('tr.translated')}, ''), c.cleaned) ELSE c.cleaned END AS translated "
         "FROM c JOIN lg USING (id) LEFT JOIN tr ON tr.src_key = sha256(c.cleaned) AND tr.src_lang = lg.language)",
         f"src AS MATERIALIZED (SELECT id, {S.normalize_text('translated')} AS t FROM tx)",
     ]
-    sels = []
-    for t_, key, _d, kind in M.REGISTRY:
-        if t_ != "spam":
+    sels, used = [], []
+    for t_, key, _d, kind in R.REGISTRY:
+        if t_ != task or (keys and key not in keys):
             continue
         p = key.replace("-", "_")
-        ctes += SM.nb_train_ctes("spam", kind, p)
-        ctes += SM.nb_score_ctes(kind, p, "src", f"{p}_s", "1.0")
+        ctes += SM.nb_train_ctes(task, kind, p)
+        ctes += SM.nb_score_ctes(kind, p, "src", f"{p}_s", t)
         sels.append(f"SELECT id, out_label AS label, score FROM {p}_s")
+        used.append(key)
     ctes += [
         f"allsc AS ({' UNION ALL '.join(sels)})",
-        "av AS (SELECT id, label, sum(score) / 2 AS score FROM allsc GROUP BY id, label)",
+        f"av AS (SELECT id, label, sum(score) / {len(used)} AS score FROM allsc GROUP BY id, label)",
         "best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS rk FROM av)",
     ]
     blank = f"(text IS NULL OR regexp_replace(text, {S.q(S.T.WS_CLASS + '+')}, '', 'g') = '')"
     return SM.with_(ctes, (
         "SELECT b.id AS doc_id, CASE WHEN d.blank THEN 'unknown' ELSE b.label END AS prediction, "
-        "round(CASE WHEN d.blank THEN 0.0 ELSE b.score END, 6) AS confidence, lg.language, NOT d.blank AS is_ensemble, "
-        "CASE WHEN d.blank THEN '' ELSE 'roberta-sms,distilbert-sms' END AS models_used "
+        "round(CASE WHEN d.blank THEN 0.0 ELSE b.score END, 6) AS confidence, lg.language, "
+        f"NOT d.blank AND {len(used) > 1} AS is_ensemble, CASE WHEN d.blank THEN '' ELSE '{','.join(used)}' END AS models_used "
         f"FROM best b JOIN lg USING (id) JOIN (SELECT doc_id AS id, {blank} AS blank FROM documents) d USING (id) "
         "WHERE b.rk = 1"))
 
 
+def _plugin_ctes(src, fails_every, out="pl"):
+    """(id, label, k, score) of the vowel scorer, without the texts on which it fails."""
+    return [
+        f"{out}_p AS (SELECT id, (length(t) - length(replace(t, 'e', '')) + 1) / (length(t) + 2) AS p1 FROM {src} WHERE length(t) % {fails_every} <> 0)",
+        f"{out}_lf AS (SELECT id, 'not_spam' AS label, 1 AS k, 1 - p1 AS prob FROM {out}_p UNION ALL "
+        f"SELECT id, 'spam' AS label, 2 AS k, p1 AS prob FROM {out}_p)",
+        *SM.rescale_ctes(f"{out}_lf", out, "1.0", ["id", "label", "k", "prob"]),
+    ]
+
+
 def _failed_sql():
-    ctes, body = [], []
     blanks = ("(SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id AS doc_id, CASE doc_id % 3 WHEN 0 THEN NULL "
               "WHEN 1 THEN '' ELSE ' ' || chr(9) || chr(160) || ' ' END AS text FROM documents WHERE doc_id % 4 = 0)")
     blank = f"(text IS NULL OR regexp_replace(text, {S.q(S.T.WS_CLASS + '+')}, '', 'g') = '')"
-    ctes.append(f"inp AS (SELECT doc_id, {blank} AS blank, {SM.model_text('coalesce(text, ' + chr(39) * 2 + ')')} AS t "
-                f"FROM {blanks} b)")
-    ctes.append("src AS MATERIALIZED (SELECT doc_id AS id, t FROM inp)")
-    for t_, key, _d, kind in M.REGISTRY:
-        if t_ != "spam":
-            continue
-        p = key.replace("-", "_")
-        ctes += SM.nb_train_ctes("spam", kind, p)
-        ctes += SM.nb_score_ctes(kind, p, "src", f"{p}_s", "1.0")
-        body.append(f"SELECT id, out_label AS label, score FROM {p}_s")
-    ctes += [
-        f"allsc AS ({' UNION ALL '.join(body)})",
-        "av AS (SELECT id, label, sum(score) / 2 AS score FROM allsc GROUP BY id, label)",
-        "best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS rk FROM av)",
-    ]
-    return SM.with_(ctes, (
-        "SELECT i.doc_id, CASE WHEN i.blank THEN 'unknown' ELSE b.label END AS prediction, "
-        "round(CASE WHEN i.blank THEN 0.0 ELSE b.score END, 6) AS confidence, CASE WHEN i.blank THEN 0 ELSE 2 END AS n_models "
-        "FROM inp i JOIN best b ON b.id = i.doc_id WHERE b.rk = 1"))
+    return SM.with_([
+        f"inp AS (SELECT doc_id, {blank} AS blank, {SM.model_text('coalesce(text, ' + chr(39) * 2 + ')')} AS t FROM {blanks} b)",
+        "src AS MATERIALIZED (SELECT doc_id AS id, t FROM inp)", *_plugin_ctes("src", 5),
+        "best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, k) AS rk FROM pl)"],
+        "SELECT i.doc_id, CASE WHEN i.blank OR b.id IS NULL THEN 'unknown' ELSE b.label END AS prediction, "
+        "round(CASE WHEN i.blank OR b.id IS NULL THEN 0.0 ELSE b.score END, 6) AS confidence, "
+        "CASE WHEN i.blank OR b.id IS NULL THEN 0 ELSE 1 END AS n_models, CASE WHEN i.blank THEN 'blank text' "
+        "WHEN b.id IS NULL THEN 'vowels: ValueError: length' END AS error FROM inp i LEFT JOIN best b ON b.id = i.doc_id AND b.rk = 1")
 
 
 def _plugin_sql():
     return SM.with_([
-        _DOCS_MT,
-        "p AS (SELECT id, (length(t) - length(replace(t, 'e', '')) + 1) / (length(t) + 2) AS p1 FROM src)",
-        "lf AS (SELECT id, 'not_spam' AS label, 1 AS k, 1 - p1 AS prob FROM p UNION ALL "
-        "SELECT id, 'spam' AS label, 2 AS k, p1 AS prob FROM p)",
-        *SM.rescale_ctes("lf", "rs", "1.0", ["id", "label", "k", "prob"]),
-        "best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, k) AS rk FROM rs)",
-    ], "SELECT id AS doc_id, label AS prediction, round(score, 6) AS confidence FROM best WHERE rk = 1")
+        _DOCS_MT, *_plugin_ctes("src", 50),
+        "best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, k) AS rk FROM pl)",
+    ], "SELECT s.id AS doc_id, b.label AS prediction, round(b.score, 6) AS confidence, "
+       "CASE WHEN b.id IS NULL THEN 'ValueError: length' END AS error FROM src s LEFT JOIN best b ON b.id = s.id AND b.rk = 1")
+
+
+def _weights_sql(kind):
+    ctes, sels = [], []
+    for task in ("spam", "sentiment"):
+        ctes += SM.nb_train_ctes(task, kind, f"m_{task}")
+        sels.append(f"SELECT '{task}' AS task, f, label, round(w, 6) AS w FROM m_{task}_w")
+    return SM.with_(ctes, " UNION ALL ".join(sels))
 
 
 ORACLES = {
     "available_models": SM.with_([
         f"reg AS {_REG_SQL}",
         "loaded AS (SELECT unnest(['sentiment', 'spam']) AS task FROM labels l JOIN documents d ON d.doc_id = l.doc_id "
-        "WHERE l.doc_id % 5 <> 0 UNION ALL SELECT 'topic' AS task FROM embeddings WHERE vec_id % 5 <> 0)",
+        "UNION ALL SELECT 'topic' AS task FROM embeddings)",
         "lt AS (SELECT DISTINCT task FROM loaded)",
         "pt AS (SELECT task, count(*) AS models_in_task FROM reg GROUP BY task)",
     ], "SELECT reg.task, reg.model_key, reg.display_name, pt.models_in_task, CASE reg.task WHEN 'sentiment' THEN "
        "'Sentiment Analysis (Positive/Negative/Neutral)' WHEN 'spam' THEN 'Spam Detection (Spam/Not Spam)' ELSE 'Topic Classification' "
        "END AS description, CASE reg.task WHEN 'sentiment' THEN 'en,multilingual,auto' ELSE 'en,auto' END AS languages FROM reg JOIN lt USING (task) JOIN pt USING (task)"),
     "resolve_model_selection": _selection_sql(),
-    "train_word_model": SM.with_(SM.nb_train_ctes("spam", "word", "m"), "SELECT f, label, round(w, 6) AS w FROM m_w"),
-    "train_char_model": SM.with_(SM.nb_train_ctes("spam", "char", "m"), "SELECT f, label, round(w, 6) AS w FROM m_w"),
+    "train_word_model": _weights_sql("word"),
+    "train_char_model": _weights_sql("char"),
     "score_sentiment": _scores_sql("sentiment"),
     "score_spam": _scores_sql("spam"),
     "score_topic_zero_shot": _topic_sql(),
@@ -436,13 +441,14 @@ ORACLES = {
         "ex2 AS (SELECT vec_id, t, pos, x / t AS z FROM ex)",
         *SM.softmax_ctes("ex2", "sm", ["vec_id", "t", "pos"], "z", "p", "vec_id, t"),
     ], "SELECT vec_id, t, CAST(pos AS INTEGER) AS pos, round(p, 6) AS p FROM sm"),
-    "rescale_probabilities": _scores_sql("sentiment", TEMPS, ["twitter-roberta"], "doc_id, t, label, round(score, 6) AS score"),
+    "rescale_probabilities": _scores_sql("sentiment", TEMPS, None, "doc_id, model_key, t, label, round(score, 6) AS score"),
     "pick_best_label": SM.with_(
-        _task_scores_sql("sentiment", (1.0,), ["twitter-roberta"])[0]
-        + [f"sc AS ({_task_scores_sql('sentiment', (1.0,), ['twitter-roberta'])[1]})",
-           "b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k) AS rk FROM sc)"],
-        "SELECT doc_id, label AS prediction, round(score, 6) AS confidence FROM b WHERE rk = 1"),
+        _task_scores_sql("sentiment")[0]
+        + [f"sc AS ({_task_scores_sql('sentiment')[1]})",
+           "b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, model_key ORDER BY score DESC, k) AS rk FROM sc)"],
+        "SELECT doc_id, model_key, label AS prediction, round(score, 6) AS confidence FROM b WHERE rk = 1"),
     "classify_table": _classify_sql(),
+    "classify_sentiment": _classify_sql("sentiment", ["twitter-roberta-xml"], False, "0.5"),
     "score_with_plugin": _plugin_sql(),
     "failed_row_result": _failed_sql(),
     "ensemble_average": _ensemble_sql("doc_id, label AS prediction, round(score, 6) AS confidence, n_models"),
@@ -455,5 +461,7 @@ ORACLES = {
             "n AS (SELECT doc_id, count(DISTINCT model_key) AS n FROM sc GROUP BY doc_id)"],
         "SELECT b.doc_id, b.model_key, b.label, round(b.score, 6) AS confidence FROM b JOIN n USING (doc_id) "
         "WHERE b.rk = 1 AND n.n > 1"),
-    "skip_failed_models": _ensemble_sql("doc_id, label AS prediction, round(score, 6) AS confidence, n_models", 10),
+    "skip_failed_models": _ensemble_sql(
+        "doc_id, label AS prediction, round(score, 6) AS confidence, n_models",
+        (_plugin_ctes("src", 10), "SELECT id, 'vowels', label, score FROM pl")),
 }

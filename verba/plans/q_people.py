@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from verba.functions import scores as SC
 from verba.functions import text as T
 from verba.operators import history as H
-from verba.operators import models as M
+from verba.operators import registry as M
 from verba.operators import report as R
+from verba.operators import topics as TP
 from verba.operators import validate as V
 from verba.plans import q_models as QM
 from verba.plans import sql_models as SM
@@ -78,13 +79,13 @@ def q_confidence_band(spark, sf):
 
 
 def q_ranked_scores(spark, sf):
-    s = QM._task_scores(spark, sf, "sentiment", (1.0,), ["twitter-roberta"]).select("doc_id", "label", "score")
-    return R.ranked_scores(s, ["doc_id"])
+    s = QM._task_scores(spark, sf, "sentiment").select("doc_id", "model_key", "label", "score")
+    return R.ranked_scores(s, ["doc_id", "model_key"])
 
 
 def q_chart_series(spark, sf):
-    protos = M.topic_prototypes(spark, sf, SM.oracle_split("vec_id"))
-    s = M.score_topics(load(spark, sf, "embeddings"), protos, ["vec_id"])
+    protos = TP.topic_prototypes(spark, sf)
+    s = TP.score_topics(load(spark, sf, "embeddings"), protos, ["vec_id"])
     series = R.chart_series(SC.rescale_probabilities("probs_0", 1.0), M.TOPIC_LABELS)
     return s.select("vec_id", F.posexplode(series).alias("pos", "p")).select(
         "vec_id", "pos", "p.label", "p.percent", "p.colour")
@@ -137,8 +138,7 @@ def q_temperature_mode(spark, sf):
 
 
 def q_selection_summary(spark, sf):
-    from verba.plans.q_models import resolve_model_selection
-    sel = resolve_model_selection(QM._requests(spark, sf), M.registry_df(spark))
+    sel = M.resolve_model_selection(QM._requests(spark, sf), M.registry_df(spark))
     req = QM._requests(spark, sf).select(F.col("conv_id").alias("request_id"), "task")
     chosen = sel.filter(F.col("error").isNull()).select(F.col("conv_id").alias("request_id"), "model_key")
     return R.selection_summary(req.join(chosen, "request_id", "left"), M.registry_df(spark))
@@ -349,9 +349,9 @@ ORACLES = {
         f"{_HU}SELECT id, round(confidence, 6) AS confidence, CASE WHEN confidence >= 0.8 THEN 'high' "
         "WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS band FROM h"),
     "ranked_scores": QM._scores_sql(
-        "sentiment", (1.0,), ["twitter-roberta"],
-        "doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS INTEGER) AS rank, label, "
-        "round(score * 100, 2) AS percent, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1 AS is_best"),
+        "sentiment", (1.0,), None,
+        "doc_id, model_key, CAST(row_number() OVER (PARTITION BY doc_id, model_key ORDER BY score DESC, label) AS INTEGER) AS rank, label, "
+        "round(score * 100, 2) AS percent, row_number() OVER (PARTITION BY doc_id, model_key ORDER BY score DESC, label) = 1 AS is_best"),
     "chart_series": QM._topic_sql().replace(
         "SELECT sc.id AS vec_id, sc.model_key, row_number() OVER (PARTITION BY sc.id, sc.model_key ORDER BY sc.score DESC, "
         "sc.label) AS rank, nm.name AS label, round(sc.score, 6) AS score FROM sc JOIN nm ON nm.label = sc.label",

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verba.functions import scores as SC
+from verba.operators import language as L
 from verba.plans import classify as C
 from verba.plans import q_models as QM
-from verba.plans import sql_models as SM
 from verba.plans.q_jobs import JOBS_SQL, RESULTS_SQL
 from verba.session import materialize
 from verba.sources import tables as TB
@@ -16,13 +16,14 @@ from verba.streaming import streams as ST
 
 
 def q_preprocess_text(spark, sf):
-    d = C.preprocess_table(spark, sf, load(spark, sf, "documents"), split=SM.oracle_split())
+    docs = TB.cleaned_documents(spark, sf)
+    d = C.preprocess_table(spark, sf, docs, L.language_profiles(spark, sf, docs), TB.translations(spark, sf, docs))
     processed = F.when(F.col("blank"), F.lit("")).otherwise(F.col("model_text"))
     return d.select(F.col("id").alias("doc_id"), "language", F.sha2(processed, 256).alias("text_hash"))
 
 
 def q_stream_classify(spark, sf):
-    r = ST.stream_classify(spark, sf, load(spark, sf, "documents"), split=SM.oracle_split())
+    r = ST.stream_classify(spark, sf, load(spark, sf, "documents"), translations=TB.translations(spark, sf))
     return r.select("doc_id", "prediction", SC.round6("confidence").alias("confidence"), "language", "is_ensemble",
                     "models_used")
 

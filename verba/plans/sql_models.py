@@ -6,18 +6,11 @@ plans use dense arrays. Agreement of the two is the correctness check.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from verba.operators import language as L
-from verba.operators import models as M
+from verba.operators import registry as M
 from verba.plans import sql_text as S
 
 
-def oracle_split(id_col: str = "doc_id"):
-    """The rows that the oracles' SQL trains on, for the queries compared with it; operators train on all rows."""
-    return F.col(id_col) % 5 != 0
-
-
 def pdt(e: str) -> str:
     """LNG4 detector text."""
     c = S.rr(e, S.T.NOT_WORD_NOT_SPACE, " ")
@@ -60,7 +53,7 @@ def values(rows, cols) -> str:
 def lang_model_ctes(p: str = "lm") -> list:
     return [
         f"{p}_src AS MATERIALIZED (SELECT lang, {pdt(S.clean_text('text'))} AS t FROM documents "
-        f"WHERE doc_id % 5 <> 0 AND lang IS NOT NULL)",
+        f"WHERE lang IS NOT NULL)",
         f"{p}_cls AS (SELECT lang, count(*) AS n, row_number() OVER (ORDER BY lang) AS k FROM {p}_src GROUP BY lang)",
         f"{p}_prior AS (SELECT lang, k, ln((n + 1) / ((SELECT sum(n) FROM {p}_cls) + (SELECT count(*) FROM {p}_cls))) AS lp "
         f"FROM {p}_cls)",
@@ -101,8 +94,7 @@ def corpus_sql(task: str) -> str:
         lab = "CASE WHEN l.quality = 0 THEN 'LABEL_1' ELSE 'LABEL_0' END"
     else:
         lab = "CASE WHEN l.toxic = 1 THEN 'Negative' ELSE 'Positive' END"
-    return (f"SELECT d.doc_id, {lab} AS label, d.text FROM labels l JOIN documents d ON d.doc_id = l.doc_id "
-            f"WHERE l.doc_id % 5 <> 0")
+    return f"SELECT d.doc_id, {lab} AS label, d.text FROM labels l JOIN documents d ON d.doc_id = l.doc_id"
 
 
 def nb_train_ctes(task: str, kind: str, p: str) -> list:

@@ -71,14 +71,11 @@ def bounded_broadcast(df: DataFrame, size: int, max_bytes: int = BROADCAST_MAX_B
     return F.broadcast(df) if size <= max_bytes else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give per-row-heavy work (regex, n-grams, NFKD) at least one partition per core.
-    A round-robin repartition happens only when the scan yields fewer partitions than the
-    default parallelism (a small file with one row group); an input that is already split,
-    as any large table is, is returned unchanged and costs no shuffle."""
-    try:
-        n = df.sparkSession.sparkContext.defaultParallelism
-        narrow = df.rdd.getNumPartitions() < n
-    except Exception:  # no RDD access (e.g. a Connect session): leave the layout to the server
+def spread(df: DataFrame, max_bytes: int = 256 << 20) -> DataFrame:
+    """Give per-row-heavy work (regex, n-grams, NFKD) a partition per core. A table of up to ``max_bytes`` (by the
+    planner's estimate) may lie in one row group, which no scan can split however many partitions it
+    plans, so its rows are dealt out; a larger one has row groups enough and costs no shuffle."""
+    if not hasattr(df, "_jdf"):  # a Connect session: leave the layout to the server
         return df
-    return df.repartition(n) if narrow else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= max_bytes else df

@@ -149,3 +149,18 @@ def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = load(spark, sf_dir, "documents")
     return materialize(d.select("doc_id", "text", "lang", clean_text("text").alias("cleaned")))
+
+
+def translations(spark: SparkSession, sf_dir: str, cleaned_docs: DataFrame | None = None) -> DataFrame:
+    """Stand-in for a caller's translations (FIXTURES §3), keyed by (sha256 of cleaned text, language): doc_id % 3 = 0
+    -> 'en: ' + the text; 1 -> blank; 2 -> absent. One row per key. Queries pass it; no operator reads it."""
+    from verba.functions.text import clean_text
+    from verba.operators.language import map_language_code, text_key
+    from verba.session import materialize
+
+    src = cleaned_docs if cleaned_docs is not None else load(spark, sf_dir, "documents")
+    d = src.filter((F.col("lang") != "en") & (F.col("doc_id") % 3 != 2))
+    cleaned = F.col("cleaned") if cleaned_docs is not None else clean_text("text")
+    tr = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("en: "), cleaned)).otherwise(F.lit("  "))
+    rows = d.select(text_key(cleaned).alias("src_key"), map_language_code("lang").alias("src_lang"), "doc_id", tr.alias("translated"))
+    return materialize(rows.groupBy("src_key", "src_lang").agg(F.min_by("translated", "doc_id").alias("translated")))

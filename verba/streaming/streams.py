@@ -40,19 +40,17 @@ def split_into_files(df: DataFrame, path: str, n_files: int) -> None:
 
 
 def stream_classify(spark: SparkSession, sf_dir: str, docs: DataFrame, task: str = "spam",
-                    max_files: int = 2, n_files: int = 4, split=None) -> DataFrame:
-    """STR1: texts arriving as files get the same labels as the batch path; the models,
-    language profiles and translation table are trained once, on the rows of ``split`` (all by default),
-    and stay static."""
+                    max_files: int = 2, n_files: int = 4, translations: DataFrame | None = None) -> DataFrame:
+    """STR1: texts arriving as files get the same labels as the batch path; models and language profiles are
+    trained once and stay static, as do the caller's ``translations`` (none: texts stay as they are)."""
     from verba.operators import language as L
-    from verba.operators import models as M
+    from verba.operators.registry import resolve_selection
     from verba.plans import classify as C
 
     src, out, ckpt = scratch_path(spark, "s1-in"), scratch_path(spark, "s1-out"), scratch_path(spark, "s1-ckpt")
     split_into_files(docs, src, n_files)
-    models = M.train_task_models(spark, sf_dir, task, split=split)
-    lang_model = L.language_profiles(spark, sf_dir, split=split)
-    translations = materialize(L.translation_table(spark, sf_dir))
+    models = C.load_models(spark, sf_dir, task, resolve_selection(task, "all"))
+    lang_model = L.language_profiles(spark, sf_dir)
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", max_files).parquet(src)
 
     def classify(batch):
