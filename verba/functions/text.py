@@ -133,11 +133,17 @@ def truncate_at_word(col, limit: int = MAX_MODEL_CHARS) -> Column:
     ).otherwise(c)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def normalize_text(col, truncate: bool = True) -> Column:
     """TXT13: lower -> NFKD -> whitespace -> 'empty text' -> truncate. Training reads texts uncut."""
-    c = collapse_whitespace(lower_nfkd(col))
-    c = F.when(c == "", F.lit(EMPTY_TEXT)).otherwise(c)
-    return truncate_at_word(c) if truncate else c
+    def finished(c):
+        return F.when(c == "", F.lit(EMPTY_TEXT)).otherwise(truncate_at_word(c) if truncate else c)
+
+    return bound(collapse_whitespace(lower_nfkd(col)), finished)
 
 
 def is_blank(col) -> Column:

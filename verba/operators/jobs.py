@@ -1,9 +1,10 @@
 """Batch jobs, progress and queue tables as relational Spark plans.
 
-Skew: a single job may own a third of all result rows. Every per-job figure
-here is a combinable aggregate (count/sum/max with map-side partial
-aggregation), never a window or a collect over a job's rows; windows appear
-only over groups bounded by the batch size.
+Skew: a single job may own a third of all result rows. Per-job figures are
+combinable aggregates (count/sum/max with map-side partial aggregation), running
+figures are segmented prefix sums over range partitions (``scan.py``), and the fold
+of a job's events is composed from parts of it; windows appear only over groups
+bounded by the batch size.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verba.operators.scan import running
+from verba.session import materialize
+
 # ---- fixed values ----
 ALLOWED_BATCH_SIZES = (1, 4, 8, 16, 64, 128, 256)
 DEFAULT_BATCH_SIZE = 16
@@ -48,9 +52,9 @@ def assign_batches(df: DataFrame, row_index: str = "row_index", size: int = DEFA
 def batch_progress(jobs: DataFrame, batches: DataFrame) -> DataFrame:
     """BAT2: after each batch, rows processed so far and 100 * processed / the job's total_rows.
     ``batches``: (job_id, batch, in_batch), a row per batch with the rows it wrote; a failed batch wrote
-    none and moves the count by nothing. The running sum is over batches, not rows."""
-    w = Window.partitionBy("job_id").orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = batches.withColumn("processed_rows", F.sum("in_batch").over(w))
+    none and moves the count by nothing. The running sum is over batches, not rows, and segmented: a job
+    with a third of all batches spans its share of the tasks."""
+    run = running(batches.select("job_id", "batch", "in_batch"), ["job_id"], ["batch"], {"processed_rows": ("sum", F.col("in_batch"))})
     return run.join(jobs.select("job_id", "total_rows"), "job_id").select(
         "job_id", "batch", "processed_rows", "total_rows",
         F.coalesce(F.try_divide(F.col("processed_rows") * 100.0, F.col("total_rows")), F.lit(0.0)).alias("progress_pct"))
@@ -160,7 +164,8 @@ def queue_info(queue_jobs: DataFrame, queues: DataFrame) -> DataFrame:
 
 def job_status_view(requested: DataFrame, queue_jobs: DataFrame) -> DataFrame:
     """QUE2: result only if finished; failure_info only if failed and known, error then says it or
-    'Unknown error'; an unknown id is not_found with the error 'Job not found'."""
+    'Unknown error'; an unknown id is not_found with the error 'Job not found'. ``progress`` is the job's
+    own, a struct of status, processed, total and percentage, null if none was ever noted."""
     j = requested.join(queue_jobs, "job_id", "left")
     found = F.col("status").isNotNull()
     return j.select(
@@ -170,6 +175,7 @@ def job_status_view(requested: DataFrame, queue_jobs: DataFrame) -> DataFrame:
         F.when(F.col("status") == "failed", F.col("failure_info")).alias("failure_info"),
         F.when(~found, F.lit(JOB_NOT_FOUND)).when(F.col("status") == "failed", F.coalesce(F.col("failure_info"), F.lit(UNKNOWN_ERROR)))
         .alias("error"),
+        "progress",
         F.col("queue").alias("queue_name"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
         F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss").alias("started_at"),
@@ -214,3 +220,64 @@ def job_step_progress(progress_log: DataFrame, steps: list) -> DataFrame:
         F.element_at(names, F.col("last.step").cast("int")).alias("status"),
         "events",
     )
+
+
+# ------------------------------------------------------------------ a job's life as a fold of its events
+
+STATES = ("new", "processing", "completed", "failed")
+EVENTS = ("start", "ok", "failed_text", "complete", "fail")
+# (state, event) -> state; what is missing is impossible and rejected.
+MOVES = {("new", "start"): "processing", ("processing", "ok"): "processing", ("processing", "failed_text"): "processing",
+         ("processing", "complete"): "completed", ("processing", "fail"): "failed"}
+
+
+def _part(state, texts, last, failed, rejected, total) -> Column:
+    n = lambda c: c if isinstance(c, Column) else F.lit(c)
+    return F.struct(n(state).cast("int").alias("state"), *[n(c).cast("long").alias(k) for k, c in (
+        ("texts", texts), ("last", last), ("failed", failed), ("rejected", rejected), ("total", total))])
+
+
+def fold_job_events(log: DataFrame) -> DataFrame:
+    """QUE6, BAT7, BAT8: the state of each job after its events. log: (job_id, ts, seq, event, total), total with
+    the start; events of a job are read by (ts, seq).
+
+    Impossible events (a text before the start or after the end, a second end) change nothing and are
+    counted as ``rejected``; unknown ones are. ``processed`` is the position of the last text that
+    succeeded, among all texts, and all of them once the job is completed; ``percentage`` is truncated.
+
+    An event is a function on states, and functions compose: each range partition folds its part of a
+    job for every state that the job may be in when the part begins, and the parts of a job, a row per
+    partition, are composed in order. So a job with a third of all events is folded by many tasks."""
+    n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    code = F.coalesce(*[F.when(F.col("event") == e, F.lit(k)) for k, e in enumerate(EVENTS)], F.lit(len(EVENTS)))
+    rows = materialize(log.select("job_id", "ts", "seq", code.alias("e"), F.col("total").cast("long"))
+                       .repartitionByRange(n, "job_id", "ts", "seq").withColumn("_p", F.spark_partition_id()))
+    table = F.array(*[F.lit(STATES.index(MOVES[s, e]) if (s, e) in MOVES else -1) for s in STATES for e in (*EVENTS, None)])
+    null = F.lit(None).cast("long")
+
+    def moved(a, x):
+        to = F.element_at(table, a["state"] * (len(EVENTS) + 1) + x["e"] + 1)
+        legal = to >= 0
+        is_text = legal & x["e"].isin(1, 2)
+        texts = a["texts"] + is_text.cast("long")
+        return _part(F.when(legal, to).otherwise(a["state"]), texts, F.when(legal & (x["e"] == 1), texts).otherwise(a["last"]),
+                     a["failed"] + (legal & (x["e"] == 2)).cast("long"), a["rejected"] + (~legal).cast("long"),
+                     F.when(legal & (x["e"] == 0), x["total"]).otherwise(a["total"]))
+
+    fresh = F.array(*[_part(k, 0, 0, 0, 0, null) for k in range(len(STATES))])
+    events = F.sort_array(F.collect_list(F.struct("ts", "seq", "e", "total")))  # a job's part in one range partition
+    parts = rows.groupBy("_p", "job_id").agg(events.alias("x")).select(
+        "job_id", "_p", F.aggregate("x", fresh, lambda acc, x: F.transform(acc, lambda a: moved(a, x))).alias("f"))
+
+    def then(a, part):
+        b = part["f"][a["state"]]
+        return _part(b["state"], a["texts"] + b["texts"], F.when(b["last"] > 0, a["texts"] + b["last"]).otherwise(a["last"]),
+                     a["failed"] + b["failed"], a["rejected"] + b["rejected"], F.coalesce(b["total"], a["total"]))
+
+    whole = parts.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("_p", "f"))).alias("x"))  # a row per partition at most
+    out = whole.select("job_id", F.aggregate("x", _part(0, 0, 0, 0, 0, null), then).alias("s"))
+    done = F.col("s.state") == STATES.index("completed")
+    processed = F.when(done, F.coalesce("s.total", "s.texts")).otherwise(F.col("s.last"))
+    pct = F.when(done, F.lit(100)).otherwise(F.coalesce(F.try_divide(processed * 100, F.col("s.total")), F.lit(0.0)).cast("int"))
+    return out.select("job_id", F.element_at(F.array(*map(F.lit, STATES)), F.col("s.state") + 1).alias("state"), processed.alias("processed"),
+                      F.col("s.total").alias("total"), pct.alias("percentage"), F.col("s.failed").alias("failed"), F.col("s.rejected").alias("rejected"))

@@ -71,15 +71,16 @@ def model_display_names(keys: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def selection_summary(selected: DataFrame, registry: DataFrame) -> DataFrame:
-    """RPT9: no choice -> all models; one -> single with its display name; all -> ensemble of n; else k of n."""
+    """RPT9: no choice -> all models; one -> single with its display name, or its key if that is unknown; all ->
+    ensemble of n; else k of n. A task without models has n = 0."""
     per_req = selected.groupBy("request_id", "task").agg(
         F.count("model_key").alias("k"), F.min("model_key").alias("only_key"))
     totals = registry.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
-    j = per_req.join(F.broadcast(totals), "task").join(
+    j = per_req.join(F.broadcast(totals), "task", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).join(
         F.broadcast(registry.select("task", F.col("model_key").alias("only_key"), "display_name")),
         ["task", "only_key"], "left")
     text = (F.when(F.col("k") == 0, F.lit("No model selected (will use all models)"))
-            .when(F.col("k") == 1, F.concat(F.lit("Single model: "), F.col("display_name")))
+            .when(F.col("k") == 1, F.concat(F.lit("Single model: "), F.coalesce("display_name", "only_key")))
             .when(F.col("k") == F.col("n"), F.format_string("Ensemble: All %d models combined", "n"))
             .otherwise(F.format_string("Ensemble: %d of %d models combined", "k", "n")))
     return j.select("request_id", "task", "k", "n", text.alias("summary"))

@@ -19,25 +19,19 @@ TASKS = ("sentiment", "spam", "topic")
 SAMPLE_TEXTS = 3
 
 
-def profile_text_table(df: DataFrame, text_column: str, row_index: str = "row_index") -> DataFrame:
-    """VAL1: one aggregation: row count, null count, max length, the first three texts by row index
-    (collected only where row_index < 3, so the collect is bounded)."""
+def profile_text_table(df: DataFrame, text_column: str, order: str = "row_index") -> DataFrame:
+    """VAL1: one aggregation for row count, null count and max length, and an ordered limit for the first three
+    texts by ``order``; no row is moved for either."""
+    cols = F.lit(",".join(x for x in df.columns if x != "row_index")).alias("columns")
     if text_column not in df.columns:
         return df.agg(F.count(F.lit(1)).alias("row_count")).select(
             "row_count", F.lit(0).cast("long").alias("null_count"), F.lit(None).cast("int").alias("max_length"),
-            F.lit(",".join(x for x in df.columns if x != row_index)).alias("columns"),
-            F.array().cast("array<string>").alias("sample_texts"), F.lit(False).alias("has_column"))
+            cols, F.array().cast("array<string>").alias("sample_texts"), F.lit(False).alias("has_column"))
     c = F.col(text_column)
-    first = F.when(F.col(row_index) < SAMPLE_TEXTS, F.struct(F.col(row_index).alias("i"), c.alias("t")))
-    g = df.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.count_if(c.isNull()).alias("null_count"),
-        F.max(F.length(c)).alias("max_length"),
-        F.sort_array(F.collect_list(first)).alias("_first"),
-    )
-    cols = [x for x in df.columns if x != row_index]
-    return g.select("row_count", "null_count", "max_length", F.lit(",".join(cols)).alias("columns"),
-                    F.transform("_first", lambda s: s["t"]).alias("sample_texts"), F.lit(True).alias("has_column"))
+    first = df.select(F.struct(F.col(order).alias("i"), c.alias("t")).alias("x")).orderBy("x.i").limit(SAMPLE_TEXTS)
+    texts = first.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]).alias("t"))
+    g = df.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(c.isNull()).alias("null_count"), F.max(F.length(c)).alias("max_length"))
+    return g.select("row_count", "null_count", "max_length", cols, texts.scalar().alias("sample_texts"), F.lit(True).alias("has_column"))
 
 
 def validate_text_table(profile: DataFrame, text_column: str, max_rows: int | None = None) -> DataFrame:

@@ -3,6 +3,8 @@ sources (SRC1-4) and sinks (SNK1-4)."""
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from verba.functions import scores as SC
@@ -10,6 +12,7 @@ from verba.operators import history as H
 from verba.operators import jobs as J
 from verba.sources import io as IO
 from verba.sources import tables as TB
+from verba.sources.commits import CommittedTable
 from verba.sources.tables import load
 
 AS_OF_LIVE = "1998-08-02 00:00:00"
@@ -40,7 +43,8 @@ QJOBS_SQL = """(SELECT o_orderkey AS job_id, o_orderpriority AS queue,
     WHEN o_orderstatus = 'O' THEN 'started' WHEN o_orderkey % 2 = 0 THEN 'failed' ELSE 'scheduled' END AS status,
   o_orderdate AS created_at, o_orderdate AS started_at,
   CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + to_seconds(CAST(o_orderkey % 4000 AS BIGINT)) END AS ended_at,
-  o_totalprice, printf('total=%.2f', o_totalprice) AS result, NULL::VARCHAR AS failure_info FROM orders)"""
+  o_totalprice, printf('total=%.2f', o_totalprice) AS result, NULL::VARCHAR AS failure_info,
+  CAST(trunc(o_totalprice / 1000) AS BIGINT) + 1 AS total FROM orders)"""
 
 RESULTS_SQL = """(SELECT l_orderkey AS job_id,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
@@ -144,10 +148,15 @@ def q_queue_info(spark, sf):
     return J.queue_info(TB.queue_jobs(spark, sf), _queues(spark))
 
 
+def q_batch_job_progress(spark, sf):
+    return J.fold_job_events(TB.job_events(spark, sf))
+
+
 def q_job_status_view(spark, sf):
     o = load(spark, sf, "orders").filter(F.col("o_orderkey") % 100 == 0)
     req = o.select(F.col("o_orderkey").alias("job_id")).unionByName(o.select((-1 - F.col("o_orderkey")).alias("job_id")))
-    return J.job_status_view(req, TB.queue_jobs(spark, sf))
+    v = J.job_status_view(req, TB.queue_jobs(spark, sf))
+    return v.select("*", F.concat_ws(" ", "progress.status", "progress.processed", "progress.total", "progress.percentage").alias("noted")).drop("progress")
 
 
 def q_job_result_if_done(spark, sf):
@@ -178,9 +187,13 @@ def q_job_step_progress(spark, sf):
 def q_read_csv_texts(spark, sf):
     path = IO.scratch_path(spark, "csv")
     docs = load(spark, sf, "documents").select("doc_id", "text")
-    IO.write_csv(docs, path)
-    back = IO.read_csv_texts(spark, path, "doc_id long, text string")
-    return back.select("doc_id", F.length("text").alias("n"), IO.text_hash("text").alias("h"))
+    IO.write_csv(docs, f"{path}/good.csv")
+    bad = spark.createDataFrame([("doc_id,text\nnot a number,x",)], "value string")  # a file with a malformed line
+    bad.coalesce(1).write.option("lineSep", "\n").text(f"{path}/bad")
+    schema = "doc_id long, text string, _corrupt_record string"
+    back = IO.read_csv_texts(spark, f"{path}/good.csv", schema, multi_line=True).unionByName(
+        IO.read_csv_texts(spark, f"{path}/bad", schema, glob=None))
+    return back.select("doc_id", F.length("text").alias("n"), IO.text_hash("text").alias("h"), F.col("_corrupt_record").alias("corrupt"))
 
 
 def q_read_request_texts(spark, sf):
@@ -237,11 +250,8 @@ def _report_source(spark, sf):
 
 def q_export_csv_report(spark, sf):
     path = IO.scratch_path(spark, "report")
-    report = _report_source(spark, sf)
-    IO.write_csv_report(report, path)
-    back = spark.read.schema(", ".join(f"`{c}` string" for c in IO.REPORT_HEADERS)).option("header", True) \
-        .option("quote", '"').option("escape", '"').csv(path)
-    return back.fillna("", subset=["Error"])
+    IO.write_csv_report(_report_source(spark, sf), path, ["job_id", "row_index"])
+    return IO.read_csv_report(spark, path)
 
 
 def q_export_json(spark, sf):
@@ -253,7 +263,20 @@ def q_export_json(spark, sf):
 
 
 def q_save_user_results(spark, sf):
-    return H.save_user_results(TB.history(spark, sf)).select("id", "user_id")
+    """Two batches; the first attempt at the second dies between its files and its commit and is repeated."""
+    h = TB.history(spark, sf).select("id", "user_id", "prediction")
+    table = CommittedTable(spark, IO.scratch_path(spark, "saved"), h.schema)
+    H.save_user_results(h.where("id % 2 = 0"), table, "job-1")
+
+    def lost():
+        raise RuntimeError("lost")
+
+    odd = h.where("id % 2 = 1")
+    with contextlib.suppress(RuntimeError):
+        H.save_user_results(odd, table, "job-2", before_commit=lost)
+    for _ in range(2):  # the retry, and one more that finds it done
+        H.save_user_results(odd, table, "job-2")
+    return table.read().select("id", "user_id")
 
 
 QUERIES = {
@@ -269,6 +292,7 @@ QUERIES = {
     "delete_job_cascade": q_delete_job_cascade,
     "queue_info": q_queue_info,
     "job_status_view": q_job_status_view,
+    "batch_job_progress": q_batch_job_progress,
     "job_result_if_done": q_job_result_if_done,
     "clean_old_jobs": q_clean_old_jobs,
     "jobs_over_timeout": q_jobs_over_timeout,
@@ -346,7 +370,10 @@ ORACLES = {
         "SELECT req.job_id, coalesce(j.status, 'not_found') AS status, CASE WHEN j.status = 'finished' THEN j.result END "
         "AS result, CASE WHEN j.status = 'failed' THEN j.failure_info END AS failure_info, "
         "CASE WHEN j.job_id IS NULL THEN 'Job not found' WHEN j.status = 'failed' THEN coalesce(j.failure_info, 'Unknown error') "
-        "END AS error, j.queue AS queue_name, strftime(j.started_at, '%Y-%m-%dT%H:%M:%S') AS started_at, "
+        "END AS error, CASE j.status WHEN 'finished' THEN 'completed ' || j.total || ' ' || j.total || ' 100' WHEN 'started' THEN "
+        "'processing ' || (j.total // 3) || ' ' || j.total || ' ' || CAST(trunc((j.total // 3) * 100.0 / j.total) AS INTEGER) WHEN 'failed' THEN "
+        "'failed ' || (j.total // 2) || ' ' || j.total || ' ' || CAST(trunc((j.total // 2) * 100.0 / j.total) AS INTEGER) ELSE '' END AS noted, "
+        "j.queue AS queue_name, strftime(j.started_at, '%Y-%m-%dT%H:%M:%S') AS started_at, "
         "strftime(j.created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, strftime(j.ended_at, '%Y-%m-%dT%H:%M:%S') AS ended_at "
         "FROM req LEFT JOIN j USING (job_id)"),
     "job_result_if_done": f"SELECT job_id, CASE WHEN status = 'finished' THEN result END AS result FROM {QJOBS_SQL} j",
@@ -364,7 +391,18 @@ ORACLES = {
         "r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts DESC, step DESC) AS rk, "
         "count(*) OVER (PARTITION BY job) AS events FROM e) SELECT job, step, 3 AS total_steps, "
         f"{list(J.WORKER_STEPS['classify_text'])}[step] AS status, events FROM r WHERE rk = 1"),
-    "read_csv_texts": "SELECT doc_id, length(text) AS n, sha256(text) AS h FROM documents",
+    "read_csv_texts": (
+        "SELECT doc_id, length(text) AS n, sha256(text) AS h, NULL::VARCHAR AS corrupt FROM documents "
+        "UNION ALL SELECT NULL, 1, sha256('x'), 'not a number,x'"),
+    "batch_job_progress": (
+        f"WITH r AS {RESULTS_SQL}, a AS (SELECT job_id, count(*) AS n, count(error_message) AS bad, "
+        "max(pos) FILTER (WHERE error_message IS NULL) AS last FROM (SELECT *, row_number() OVER (PARTITION BY job_id "
+        "ORDER BY created_at, l_linenumber * 2 + CASE WHEN error_message IS NULL THEN 0 ELSE 1 END) AS pos FROM r) p GROUP BY job_id), "
+        "x AS (SELECT j.job_id, CASE j.status WHEN 'processing' THEN 'processing' ELSE j.status END AS state, coalesce(a.n, 0) AS n, "
+        f"coalesce(a.n, 0) + j.job_id % 2 AS total, coalesce(a.bad, 0) AS failed, coalesce(a.last, 0) AS last FROM {JOBS_SQL} j LEFT JOIN a USING (job_id)) "
+        "SELECT job_id, state, CASE WHEN state = 'completed' THEN total ELSE last END AS processed, total, "
+        "CAST(CASE WHEN state = 'completed' THEN 100 WHEN total = 0 THEN 0 ELSE trunc(last * 100.0 / total) END AS INTEGER) AS percentage, failed, "
+        "CAST(CASE WHEN state <> 'processing' AND job_id % 10 = 0 THEN 1 ELSE 0 END + CASE WHEN job_id % 6 = 0 THEN 1 ELSE 0 END AS BIGINT) AS rejected FROM x"),
     "read_request_texts": (
         "SELECT conv_id * 1000000 + turn // 100 AS request_id, CAST(row_number() OVER (PARTITION BY conv_id, turn // 100 "
         "ORDER BY turn) - 1 AS INTEGER) AS pos, sha256(text) AS h FROM conversations"),

@@ -33,6 +33,25 @@ def q_history_page(spark, sf):
     return H.history_page(TB.history(spark, sf), ONE_USER, PAGE, PAGE_SIZE).select("id", "created_at", "prediction")
 
 
+def _clustered(spark, sf):
+    path = IO.scratch_path(spark, "clustered")
+    H.write_clustered(TB.history(spark, sf).select("id", "user_id", "prediction", "created_at"), path)
+    return spark.read.parquet(path)
+
+
+def q_history_seek_page(spark, sf):
+    """The page that history_page cuts by OFFSET, reached by the last key of the page before."""
+    h, after = _clustered(spark, sf), None
+    for _ in range(PAGE - 1):
+        page = H.history_after(h, ONE_USER, after, PAGE_SIZE).select("created_at", "id").collect()  # a page
+        after = tuple(page[-1]) if page else after
+    return H.history_after(h, ONE_USER, after, PAGE_SIZE).select("id", "created_at", "prediction")
+
+
+def q_lookup_clustered(spark, sf):
+    return H.lookup_by_key(_clustered(spark, sf), TB.history(spark, sf).where("id % 500 = 7").select("id"), "id").select("id", "user_id")
+
+
 def q_history_pages_all_users(spark, sf):
     return H.history_pages_all_users(TB.history(spark, sf), PAGE, PAGE_SIZE).select("user_id", "id", "rn")
 
@@ -113,7 +132,12 @@ def q_model_display_names(spark, sf):
 
 
 def q_results_preview(spark, sf):
-    r = TB.results(spark, sf).filter(F.col("row_index") < 10)
+    from pyspark.sql import Window
+
+    # a window group limit before the shuffle: a job ships ten rows a task at most
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    li = load(spark, sf, "lineitem").withColumn("row_index", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)))
+    r = TB._result_columns(li.filter(F.col("row_index") <= 10), (F.col("row_index") - 1).cast("long").alias("row_index"))
     text = F.concat(F.lit("Result text for part number "), F.col("l_quantity").cast("int").cast("string"),
                     F.lit(" of the uploaded file"))
     return r.select("job_id", "row_index", T.preview_text(text, 50).alias("text_preview"), "prediction",
@@ -146,13 +170,8 @@ def q_selection_summary(spark, sf):
 
 # ------------------------------------------------------------------ VAL
 
-def _indexed_docs(spark, sf, df=None):
-    d = df if df is not None else load(spark, sf, "documents")
-    return IO.assign_row_index(d, ["doc_id"])
-
-
 def q_profile_text_table(spark, sf):
-    p = V.profile_text_table(_indexed_docs(spark, sf), "text")
+    p = V.profile_text_table(load(spark, sf, "documents"), "text", "doc_id")
     return p.select("row_count", "null_count", "max_length", "columns",
                     F.array_join(F.transform("sample_texts", lambda t: F.substring(t, 1, 30)), " | ").alias("samples"))
 
@@ -169,7 +188,7 @@ def q_validate_text_table(spark, sf):
     }
     out = None
     for name, (df, col, cap) in variants.items():
-        prof = V.profile_text_table(_indexed_docs(spark, sf, df) if col in df.columns else df, col)
+        prof = V.profile_text_table(df, col, "doc_id")
         v = V.validate_text_table(prof, col, cap).select(F.lit(name).alias("variant"), "valid", "error")
         out = v if out is None else out.unionByName(v)
     return out
@@ -231,6 +250,8 @@ def q_insert_new_users(spark, sf):
 QUERIES = {
     "history_count": q_history_count,
     "history_page": q_history_page,
+    "history_seek_page": q_history_seek_page,
+    "lookup_clustered": q_lookup_clustered,
     "history_pages_all_users": q_history_pages_all_users,
     "history_total_pages": q_history_total_pages,
     "delete_history_item": q_delete_history_item,
@@ -342,6 +363,7 @@ ORACLES = {
     "delete_all_history": (
         f"{_HU}, du AS (SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 10 = 3) SELECT du.user_id, "
         "count(h.id) AS deleted_count FROM du LEFT JOIN h ON h.user_id = du.user_id GROUP BY du.user_id"),
+    "lookup_clustered": f"{_HU}SELECT id, user_id FROM h WHERE id % 500 = 7",
     "active_user_results": f"{_HU}SELECT id, user_id FROM h WHERE user_id IN (SELECT id FROM u WHERE is_active)",
     "results_with_user": f"{_HU}SELECT h.id, h.user_id, u.email, u.is_active FROM h LEFT JOIN u ON u.id = h.user_id",
     "lookup_by_key": f"{_HU}SELECT id, email FROM u WHERE email IN (SELECT email FROM u WHERE id % 50 = 0)",
@@ -411,3 +433,4 @@ ORACLES = {
     "clamp_temperature": f"SELECT event_id, round({_clamp('value / 100')}, 6) AS t FROM events",
     "insert_new_users": _USERS_BATCH,
 }
+ORACLES["history_seek_page"] = ORACLES["history_page"]

@@ -30,11 +30,12 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_csv_texts(spark: SparkSession, path: str, schema, text_column: str = "text",
-                   glob: str | None = "*.csv", corrupt_column: str = "_corrupt_record") -> DataFrame:
-    """SRC1/SRC3: header, quoted commas, doubled quotes and newlines in cells; explicit schema;
-    only names ending in .csv (case-sensitive); pandas-style NA strings become nulls. A malformed
-    line does not stop the read: with ``corrupt_column`` in the schema it lands there (PERMISSIVE)."""
-    reader = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+                   glob: str | None = "*.csv", corrupt_column: str = "_corrupt_record", multi_line: bool = False) -> DataFrame:
+    """SRC1/SRC3: header, quoted commas and doubled quotes; explicit schema; only names ending in .csv
+    (case-sensitive); pandas-style NA strings become nulls. A malformed line does not stop the read: with
+    ``corrupt_column`` in the schema it lands there (PERMISSIVE). ``multi_line``: cells may hold newlines, for
+    which each file is read by one task; without, large files are split."""
+    reader = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
               .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", corrupt_column))
     if glob:
@@ -87,23 +88,55 @@ def write_results(df: DataFrame, path: str, partition_cols: list) -> None:
 REPORT_HEADERS = ["Row Index", "Text", "Prediction", "Confidence", "Language", "Processing Time (ms)", "Error"]
 
 
-def csv_report(results: DataFrame) -> DataFrame:
+def csv_report(results: DataFrame, *more: str) -> DataFrame:
     """SNK2 projection: confidence x100 with two decimals and '%', time x1000 without decimals,
     null error -> empty."""
     return results.select(
         F.col("row_index").cast("string").alias(REPORT_HEADERS[0]),
         F.col("text").alias(REPORT_HEADERS[1]),
         F.col("prediction").alias(REPORT_HEADERS[2]),
-        F.format_string("%.2f%%", F.col("confidence") * 100).alias(REPORT_HEADERS[3]),
+        F.when(F.col("confidence").isNotNull(), F.format_string("%.2f%%", F.col("confidence") * 100)).alias(REPORT_HEADERS[3]),
         F.col("language").alias(REPORT_HEADERS[4]),
-        F.format_string("%.0f", F.col("processing_time") * 1000).alias(REPORT_HEADERS[5]),
+        F.when(F.col("processing_time").isNotNull(), F.format_string("%.0f", F.col("processing_time") * 1000)).alias(REPORT_HEADERS[5]),
         F.coalesce(F.col("error_message"), F.lit("")).alias(REPORT_HEADERS[6]),
+        *more,
     )
 
 
-def write_csv_report(results: DataFrame, path: str) -> None:
-    """SNK2: the report as CSV files with a header."""
-    write_csv(csv_report(results), path)
+def report_line() -> Column:
+    """A line of the report: the text quoted, with doubled quotes; the other cells as they are."""
+    h = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in REPORT_HEADERS]
+    h[1] = F.concat(F.lit('"'), F.replace(h[1], F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.concat_ws(",", *h)
+
+
+def write_csv_report(results: DataFrame, path: str, order: list[str]) -> None:
+    """SNK2: the report as files that, put together by name, are one CSV: one header, then the rows by
+    ``order``. Files are range partitions; the header goes before the first row, so no file has one of its own.
+    Every line ends with a newline, the last one too."""
+    n = int(results.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*[results[c] for c in order]).alias("_o")
+    lines = csv_report(results.withColumn("_o", key), "_o").select("_o", report_line().alias("value"))
+    first = lines.agg(F.min("_o").alias("_lo"), F.count(F.lit(1)).alias("_n")).first()
+    header = ",".join(REPORT_HEADERS)
+    if not first["_n"]:
+        lines.sparkSession.createDataFrame([(header,)], "value string").write.mode("overwrite").text(path)
+        return
+    is_first = F.lit(True)
+    for c, v in zip(order, first["_lo"], strict=True):
+        is_first &= F.col(f"_o.{c}").eqNullSafe(F.lit(v))
+    dealt = lines.repartitionByRange(n, "_o").sortWithinPartitions("_o")
+    # rows that share the least key lie in one partition, side by side: the header goes before the first of them
+    at_start = is_first & (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0)
+    dealt.select(F.when(at_start, F.concat(F.lit(header + "\n"), F.col("value"))).otherwise(F.col("value")).alias("value")) \
+        .write.mode("overwrite").text(path)
+
+
+def read_csv_report(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a report that write_csv_report() wrote."""
+    schema = ", ".join(f"`{c}` string" for c in REPORT_HEADERS)
+    back = spark.read.schema(schema).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    return back.where(F.coalesce(F.col(f"`{REPORT_HEADERS[0]}`"), F.lit("")) != REPORT_HEADERS[0]).fillna("", subset=["Error"])
 
 
 def export_json(results: DataFrame, path: str) -> None:

@@ -94,6 +94,11 @@ def queue_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus") != "O",
         F.timestamp_add("SECOND", F.col("o_orderkey") % 4000, F.col("o_orderdate")),
     )
+    total = (F.col("o_totalprice") / 1000).cast("long") + 1
+    done = F.when(F.col("o_orderstatus") == "F", total).when(status == "started", (total / 3).cast("long")).when(status == "failed", (total / 2).cast("long"))
+    word = F.when(status == "finished", "completed").when(status == "started", "processing").otherwise("failed")
+    progress = F.when(done.isNotNull(), F.struct(word.alias("status"), done.alias("processed"), total.alias("total"),
+                                                 (done * 100 / total).cast("int").alias("percentage")))
     return o.select(
         F.col("o_orderkey").alias("job_id"),
         F.col("o_orderpriority").alias("queue"),
@@ -104,6 +109,7 @@ def queue_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice"),
         F.format_string("total=%.2f", F.col("o_totalprice")).alias("result"),
         F.lit(None).cast("string").alias("failure_info"),
+        progress.alias("progress"),
     )
 
 
@@ -124,6 +130,26 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result_columns(load(spark, sf_dir, "lineitem"))
 
 
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders and lineitem as the event log of batch jobs: a start with the number of texts, a text per line
+    (failed where its result has an error), an end unless the job is processing; every tenth job has a text
+    after its end, every sixth one before its start, both of which are impossible."""
+    rows = result_rows(spark, sf_dir)
+    j = jobs(spark, sf_dir)
+    n = rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast("long").alias("total")
+    first, last = F.timestamp_add("YEAR", F.lit(-50), F.col("started_at")), F.timestamp_add("YEAR", F.lit(50), F.col("started_at"))
+    start = j.join(n, "job_id", "left").select("job_id", first.alias("ts"), F.lit(1).alias("seq"), F.lit("start").alias("event"),
+                                               (F.coalesce("n", F.lit(0)) + F.col("job_id") % 2).alias("total"))
+    texts = rows.select("job_id", F.col("created_at").alias("ts"), (F.col("l_linenumber") * 2 + F.col("error_message").isNotNull().cast("int")).alias("seq"),
+                        F.when(F.col("error_message").isNotNull(), F.lit("failed_text")).otherwise(F.lit("ok")).alias("event"), none)
+    end = j.where("status <> 'processing'").select("job_id", last.alias("ts"), F.lit(1).alias("seq"),
+                                                   F.when(F.col("status") == "completed", F.lit("complete")).otherwise(F.lit("fail")).alias("event"), none)
+    late = j.where("status <> 'processing' AND job_id % 10 = 0").select("job_id", last.alias("ts"), F.lit(2).alias("seq"), F.lit("ok").alias("event"), none)
+    early = j.where("job_id % 6 = 0").select("job_id", first.alias("ts"), F.lit(0).alias("seq"), F.lit("ok").alias("event"), none)
+    return start.unionByName(texts).unionByName(end).unionByName(late).unionByName(early)
+
+
 def _result_columns(li: DataFrame, *more) -> DataFrame:
     return li.select(
         F.col("l_orderkey").alias("job_id"),

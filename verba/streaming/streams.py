@@ -1,18 +1,20 @@
 """Structured Streaming.
 
-Every sink is a ``foreachBatch`` that overwrites one directory per epoch, so a
-replayed epoch (restart after a lost executor or driver) replaces its own output
-instead of appending twice; the checkpoint lives in the shared checkpoint
-folder. Tests and the registered queries drive the streams with
+Every sink is a ``foreachBatch`` that a replayed epoch (restart after a lost
+executor or driver) can't double: it overwrites one directory per epoch, or commits
+the epoch as a batch of a table (``commits.py``); the checkpoint lives in the shared
+checkpoint folder. Tests and the registered queries drive the streams with
 ``trigger(availableNow=True)`` so they finish.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verba.session import materialize
+from verba.sources.commits import CommittedTable
 from verba.sources.io import scratch_path
 
 
@@ -24,10 +26,11 @@ def epoch_sink(out_dir: str, transform=None):
     return run
 
 
-def run_available(stream: DataFrame, sink, checkpoint: str, output_mode: str = "append") -> None:
+def run_available(stream: DataFrame, sink, checkpoint: str, output_mode: str = "append"):
     q = (stream.writeStream.foreachBatch(sink).outputMode(output_mode)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+    return q
 
 
 def read_epochs(spark: SparkSession, out_dir: str) -> DataFrame:
@@ -63,27 +66,130 @@ def stream_classify(spark: SparkSession, sf_dir: str, docs: DataFrame, task: str
     return read_epochs(spark, out).drop("epoch")
 
 
-def stream_job_progress(spark: SparkSession, results: DataFrame, totals: DataFrame,
-                        max_files: int = 2, n_files: int = 4) -> DataFrame:
-    """STR2: processed and failed rows per job, updated as result files arrive (update mode);
-    each epoch's updated rows are joined to the static totals. The final state per job is
-    the row of its latest epoch."""
+PROGRESS = "job_id long, processed_rows long, failed_rows long, total_rows long, state string"
+
+
+def counted_rows(results: DataFrame) -> DataFrame:
+    """Rows of a micro-batch as sums per task and job, before the shuffle to the state: a job with a third of
+    all rows reaches its state as a row per task."""
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            t = pa.table({"job_id": batch.column("job_id"), "n": pa.array([1] * batch.num_rows, pa.int64()),
+                          "failed": pc.cast(pc.is_valid(batch.column("error_message")), pa.int64()), "ts": batch.column("created_at")})
+            g = t.group_by("job_id").aggregate([("n", "sum"), ("failed", "sum"), ("ts", "max")])
+            yield from g.rename_columns(["job_id", "n", "failed", "ts"]).to_batches()
+
+    rows = results.select("job_id", "error_message", F.col("created_at").cast("timestamp").alias("created_at"))
+    return rows.mapInArrow(run, "job_id long, n long, failed long, ts timestamp")
+
+
+def progress_processor(silence_ms: int):
+    """A job's counts as state with a timer. The state of a job whose total was reached goes as soon as the watermark
+    is past its last row; until then rows beyond the total change nothing. The state of any other job goes
+    when it has been silent for ``silence_ms`` of event time. Rows later than the watermark never get here."""
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Progress(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.state = handle.getValueState("counts", "n long, failed long, total long, ended boolean")
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+            import pandas as pd
+
+            n, failed, total, ended = self.state.get() if self.state.exists() else (0, 0, None, False)
+            last = 0
+            for part in rows:
+                if not ended:
+                    n, failed = n + int(part["n"].sum()), failed + int(part["failed"].sum())
+                known = part["total_rows"].dropna()
+                total = int(known.iloc[0]) if len(known) else total
+                last = max(last, int(part["ts"].max().timestamp() * 1000))
+            for t in list(self.handle.listTimers()):
+                last = max(last, t - (1 if ended else silence_ms))
+                self.handle.deleteTimer(t)
+            was, ended = ended, ended or (total is not None and n >= total)
+            self.handle.registerTimer(last + (1 if ended else silence_ms))
+            self.state.update((n, failed, total, ended))
+            if not was:
+                yield self.row(key, n, failed, total, "completed" if ended else "processing", pd)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+            import pandas as pd
+
+            n, failed, total, ended = self.state.get()
+            self.state.clear()
+            if not ended:
+                yield self.row(key, n, failed, total, "silent", pd)
+
+        def row(self, key, n, failed, total, state, pd):
+            out = pd.DataFrame({"job_id": [key[0]], "processed_rows": [n], "failed_rows": [failed], "state": [state]})
+            out["total_rows"] = pd.array([total], dtype="Int64")
+            return out[["job_id", "processed_rows", "failed_rows", "total_rows", "state"]]
+
+        def close(self):
+            pass
+
+    return Progress()
+
+
+class ProgressSink:
+    """Final rows of ended jobs, appended once, and the open jobs of the latest epoch: reading needs neither
+    the epochs before it nor the state. A replayed epoch finds its batches committed."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.finals = CommittedTable(spark, f"{path}/finals", PROGRESS)
+        self.open = CommittedTable(spark, f"{path}/open", PROGRESS)
+
+    def _open_now(self) -> DataFrame:
+        folders = self.open.folders()
+        last = max(folders, key=lambda f: int(f.rsplit("epoch=", 1)[1].split("+")[0]), default=None)
+        spark = self.open.spark
+        return spark.read.schema(PROGRESS).parquet(last) if last else spark.createDataFrame([], PROGRESS)
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        rows = materialize(batch)  # a job may end and its timer run out in one epoch: its last word counts
+        self.finals.append(rows.where("state <> 'processing'"), f"epoch={epoch}")
+        before = self._open_now().join(rows.select("job_id").distinct(), "job_id", "left_anti")
+        self.open.append(before.unionByName(rows.where("state = 'processing'")), f"epoch={epoch}")
+
+    def read(self) -> DataFrame:
+        """A row per job: as it was completed, else all that was counted of it, in one stretch or several."""
+        rows = self.finals.read().unionByName(self._open_now())
+        done = F.max(F.when(F.col("state") == "completed", F.struct("processed_rows", "failed_rows")))
+        g = rows.groupBy("job_id").agg(done.alias("d"), F.sum("processed_rows").alias("p"), F.sum("failed_rows").alias("f"),
+                                       F.max("total_rows").alias("total_rows"), F.max(F.col("state") == "processing").alias("open"))
+        state = F.when(F.col("d").isNotNull(), F.lit("completed")).when(F.col("open"), F.lit("processing")).otherwise(F.lit("silent"))
+        return g.select("job_id", F.coalesce("d.processed_rows", "p").alias("processed_rows"), F.coalesce("d.failed_rows", "f").alias("failed_rows"),
+                        "total_rows", state.alias("state"))
+
+
+def stream_job_progress(spark: SparkSession, results: DataFrame, totals: DataFrame, deliveries: int = 2, silence: str = "4000 days",
+                        delay: str = "1 day") -> DataFrame:
+    """STR2: processed and failed rows per job as results arrive, with state that ends. Results are delivered in
+    ranges of their time and the stream is restarted on its checkpoint for every delivery. Returns a row
+    per job: completed (the total was reached), silent (no row for ``silence``; its state is gone) or
+    processing. A row later than the watermark by more than ``delay`` is dropped; rows of a job that was
+    silent for longer are counted anew and added; rows that come after a completed job's state is gone change nothing."""
     src, out, ckpt = scratch_path(spark, "s2-in"), scratch_path(spark, "s2-out"), scratch_path(spark, "s2-ckpt")
-    split_into_files(results, src, n_files)
-    stream = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", max_files).parquet(src)
-    agg = stream.groupBy("job_id").agg(F.count(F.lit(1)).alias("processed_rows"),
-                                      F.count("error_message").alias("failed_rows"))
-
-    def with_totals(batch):
-        return batch.join(totals, "job_id", "left").select(
-            "job_id", "processed_rows", "failed_rows", "total_rows",
-            (F.col("processed_rows") * 100.0 / F.col("total_rows")).alias("progress_pct"))
-
-    run_available(agg, epoch_sink(out, with_totals), ckpt, output_mode="update")
-    hist = read_epochs(spark, out)
-    last = hist.groupBy("job_id").agg(F.max_by(F.struct("processed_rows", "failed_rows", "total_rows", "progress_pct"),
-                                               "epoch").alias("s"))
-    return last.select("job_id", "s.*")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    sink = ProgressSink(spark, out)
+    secs = F.unix_micros(F.col("created_at").cast("timestamp"))
+    lo, hi = results.agg(F.min(secs), F.max(secs)).first()
+    width = max(1, ((hi or 0) - (lo or 0)) // deliveries + 1)
+    at = F.coalesce(F.floor((secs - F.lit(lo)) / F.lit(width)), F.lit(0))
+    silence_ms = int(spark.sql(f"SELECT unix_millis(TIMESTAMP '2000-01-01' + INTERVAL {silence}) - unix_millis(TIMESTAMP '2000-01-01')").first()[0])
+    for b in range(deliveries):
+        results.filter(at == b).write.mode("append").parquet(src)
+        stream = counted_rows(spark.readStream.schema(results.schema).parquet(src))
+        stream = stream.join(totals.select("job_id", "total_rows"), "job_id", "left").withWatermark("ts", delay)
+        states = stream.groupBy("job_id").transformWithStateInPandas(
+            progress_processor(silence_ms), PROGRESS, "update", "eventTime")
+        run_available(states, sink, ckpt, output_mode="update")
+    return sink.read()
 
 
 def stream_dedupe(spark: SparkSession, events: DataFrame, key: str = "event_id", ts: str = "ts",
@@ -107,18 +213,29 @@ def stream_dedupe(spark: SparkSession, events: DataFrame, key: str = "event_id",
     return read_epochs(spark, out).drop("epoch").withColumn(ts, F.col(ts).cast(ts_type))
 
 
+def committed_sink(table: CommittedTable, before_commit=None):
+    """foreachBatch body: an epoch is a batch of the table, files first and then its record. ``before_commit`` is
+    called in between with the epoch's number (tests raise there)."""
+    def run(batch: DataFrame, epoch: int) -> None:
+        table.append(batch, f"epoch={epoch}", before_commit and (lambda: before_commit(epoch)))
+    return run
+
+
 def stream_retry_safe_sink(spark: SparkSession, events: DataFrame, n_files: int = 4) -> DataFrame:
-    """STR4: stop after part of the input, restart on the same checkpoint with more files,
-    and replay one epoch by hand: the sink holds every row exactly once."""
+    """STR4: the query dies between the files of its second epoch and their commit; a new query on the same
+    checkpoint runs that epoch again and the rest. Readers follow commits, so the files of the lost attempt
+    are not read, and a committed epoch is not appended twice: every row is there once."""
     src, out, ckpt = scratch_path(spark, "s4-in"), scratch_path(spark, "s4-out"), scratch_path(spark, "s4-ckpt")
-    first = events.filter(F.col("event_id") % 2 == 0)
-    second = events.filter(F.col("event_id") % 2 == 1)
-    first.repartition(n_files).write.mode("overwrite").parquet(src)
+    events.repartition(n_files).write.mode("overwrite").parquet(src)
+    table = CommittedTable(spark, out, events.schema)
+
+    def lost(epoch):
+        if epoch == 1:
+            raise RuntimeError("lost before the commit")
+
     stream = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    sink = epoch_sink(out)
-    run_available(stream(), sink, ckpt)                       # first run, then "crash"
-    second.repartition(n_files).write.mode("append").parquet(src)
-    run_available(stream(), sink, ckpt)                       # restart: only new files
-    replay = materialize(spark.read.parquet(f"{out}/epoch=0"))
-    sink(replay, 0)                                           # a replayed epoch overwrites itself
-    return read_epochs(spark, out).drop("epoch")
+    try:
+        run_available(stream(), committed_sink(table, lost), ckpt)
+    except StreamingQueryException:
+        run_available(stream(), committed_sink(table), ckpt)
+    return table.read()
