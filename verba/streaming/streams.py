@@ -141,25 +141,26 @@ class ProgressSink:
     the epochs before it nor the state. A replayed epoch finds its batches committed."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.finals = CommittedTable(spark, f"{path}/finals", PROGRESS)
-        self.open = CommittedTable(spark, f"{path}/open", PROGRESS)
+        self.schema = PROGRESS + ", epoch long"
+        self.finals = CommittedTable(spark, f"{path}/finals", self.schema)
+        self.open = CommittedTable(spark, f"{path}/open", self.schema)
 
     def _open_now(self) -> DataFrame:
         folders = self.open.folders()
         last = max(folders, key=lambda f: int(f.rsplit("epoch=", 1)[1].split("+")[0]), default=None)
         spark = self.open.spark
-        return spark.read.schema(PROGRESS).parquet(last) if last else spark.createDataFrame([], PROGRESS)
+        return spark.read.schema(self.schema).parquet(last) if last else spark.createDataFrame([], self.schema)
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        rows = materialize(batch)  # a job may end and its timer run out in one epoch: its last word counts
+        rows = materialize(batch.withColumn("epoch", F.lit(epoch).cast("long")))  # a job may end and its timer run out in one epoch: its last word counts
         self.finals.append(rows.where("state <> 'processing'"), f"epoch={epoch}")
         before = self._open_now().join(rows.select("job_id").distinct(), "job_id", "left_anti")
         self.open.append(before.unionByName(rows.where("state = 'processing'")), f"epoch={epoch}")
 
     def read(self) -> DataFrame:
-        """A row per job: as it was completed, else all that was counted of it, in one stretch or several."""
+        """A row per job: as it was first completed, else all that was counted of it, in one stretch or several."""
         rows = self.finals.read().unionByName(self._open_now())
-        done = F.max(F.when(F.col("state") == "completed", F.struct("processed_rows", "failed_rows")))
+        done = F.min(F.when(F.col("state") == "completed", F.struct("epoch", "processed_rows", "failed_rows")))
         g = rows.groupBy("job_id").agg(done.alias("d"), F.sum("processed_rows").alias("p"), F.sum("failed_rows").alias("f"),
                                        F.max("total_rows").alias("total_rows"), F.max(F.col("state") == "processing").alias("open"))
         state = F.when(F.col("d").isNotNull(), F.lit("completed")).when(F.col("open"), F.lit("processing")).otherwise(F.lit("silent"))
