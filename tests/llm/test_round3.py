@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -255,3 +256,38 @@ def test_toxicity_edge_rows(spark, edge_docs, no_docs):
                                    "doc_id long, quality int, toxic int")
     got = toxicity.score_toxicity(docs, labels).collect()
     assert len(got) == 302 and all(r["predicted"] == int(r["doc_id"] is None or r["doc_id"] % 3 == 0) for r in got)
+
+
+# ---- looks of texts
+
+def plain_looks(t):
+    from verba.llm import looks as K
+
+    t = t or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    key = [w.strip(K.ENDS).lower() for w in words]
+    lines = [x.lower() for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    w, chars, log = max(1, len(words)), max(1, len(t)), np.log1p(len(words))
+    count = lambda f: sum(map(f, t))
+    v = len(set(key)) / w
+    return [count(str.isupper) / chars, count(K.SYMBOLS.__contains__) / w, t.count("!") / w, count(str.isdecimal) / chars, chars / w, v, log, v * log,
+            sum(a == b for a, b in zip(key, key[1:])) / w, (len(lines) - len(set(lines))) / max(1, len(lines)), count(K.MARKS.__contains__) / w]
+
+
+@pytest.mark.parametrize("size", [1 << 22, 40])
+def test_looks_against_a_plain_reading(monkeypatch, size):
+    import pyarrow as pa
+
+    from verba.functions import grams as G
+    from verba.llm import looks as K
+
+    monkeypatch.setattr(G, "ROWS_BYTES", size)
+    rng = random.Random(9)
+    texts = [None, "", " ", "\n\n", "a", "A!", "!!", "...", "a\nb\na\n", "x X x. X!", "\na", "end\n"]
+    texts += ["".join(rng.choice("abAB .,!\n\t$9éÉ日") for _ in range(rng.randint(0, 80))) for _ in range(300)]
+    x, words, many = K.looks(pa.array(texts), K.tables(), 1 << 18)
+    assert np.allclose(x, [plain_looks(t) for t in texts])
+    assert many.tolist() == [len({w.strip(K.ENDS).lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")}) for t in texts]
+    again, same, _ = K.looks(pa.array(["b, A c", "a B. c"]), K.tables(), 1 << 18)
+    assert set(same[:3]) == set(same[3:])
+    assert K.looks(pa.array([], pa.string()), K.tables(), 8)[0].shape == (0, K.N_LOOKS)

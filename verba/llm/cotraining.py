@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verba.llm.common import written
-from verba.llm.textstats import SYMBOLS, lines_of, neighbours, once, repeats_in, words_of
+from verba.llm.common import discard, shared_path, worker_cache, written
+from verba.llm.textstats import once
 from verba.session import bounded_broadcast
 
 LABELLED = 20_000  # labelled rows of smallest hash that are learned from, at most; unlabelled rows take part without a bound
@@ -35,19 +35,21 @@ def narrow(docs: DataFrame, id_col: str, text_col: str, value_cols, chars_col: s
 
 def with_features(df: DataFrame) -> DataFrame:
     """narrow() -> with _x, what the content looks like in counts per word or character, and _b, the buckets
-    of its distinct words, lower-cased and without punctuation at their ends."""
-    t, w = F.col("_t"), F.col("_w")
-    df = df.withColumn("_w", words_of(t)).withColumn("_lines", lines_of(t)).withColumn("_n", F.size(w).cast("double")).withColumn(
-        "_d", F.array_distinct(w)).withColumn("_v", F.size("_d") / F.greatest(F.size(w), F.lit(1)))
-    n, chars = F.greatest(F.col("_n"), F.lit(1.0)), F.greatest(F.char_length(t), F.lit(1)).cast("double")
-    log = F.log1p("_n")
-    stutter = F.size(F.filter(neighbours(w, lambda x, y: x == y), lambda same: same))
-    count = lambda chars: F.regexp_count(t, F.lit(f"[{chars}]"))
-    look = [count(r"\p{Lu}") / chars, count(SYMBOLS) / n, count("!") / n, count(r"\p{Nd}") / chars, chars / n, F.col("_v"), log,
-            F.col("_v") * log, stutter / n, repeats_in(F.col("_lines")) / F.greatest(F.size("_lines"), F.lit(1)), count(".,;:?") / n]
-    ends = F.lit(".,;:!?\"'()[]" + SYMBOLS)
-    bucket = F.transform("_d", lambda x: F.pmod(F.xxhash64(F.btrim(F.lower(x), ends)), F.lit(BUCKETS)).cast("int"))
-    return df.withColumn("_x", F.array(*[x.cast("double") for x in look])).withColumn("_b", bucket).drop("_w", "_lines", "_n", "_v", "_d")
+    of its distinct words, lower-cased and without punctuation at their ends (``looks.py``)."""
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import numpy as np
+
+        from verba.llm import looks as K
+
+        table = worker_cache("looks", K.tables)
+        for texts in batches:
+            x, words, many = K.looks(texts, table, BUCKETS)
+            yield pa.StructArray.from_arrays([
+                pa.ListArray.from_arrays(np.arange(0, x.size + 1, K.N_LOOKS, dtype=np.int32), x.ravel()),
+                pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(many)]).astype(np.int32), words)], names=["x", "b"])
+
+    look = F.arrow_udf(run, "struct<x array<double>, b array<int>>").asNondeterministic()(F.col("_t"))
+    return df.withColumn("_f", look).withColumn("_x", F.col("_f.x")).withColumn("_b", F.col("_f.b")).drop("_f")
 
 
 # ---------------------------------------------------------------- text view
@@ -229,15 +231,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, text_
     fold = F.coalesce(F.pmod(F.xxhash64(F.lit(6), "_i"), F.lit(FOLDS)), F.lit(0)).cast("int")
     rows = with_features(base.join(F.broadcast(own), "_i", "left")).select(  # ``labelled`` rows at most
         F.col("_y").cast("double").alias("_y"), F.coalesce("_held", F.lit(False)).alias("_held"), fold.alias("_fold"), "_x", "_b", "_m")
-    rows = written(rows, "views")
+    spark, views = docs.sparkSession, shared_path(docs.sparkSession, "views")
+    rows = written(rows, "views", views)
     n_values, known = len(value_cols) + 1, F.when(~F.col("_held"), F.col("_y"))
     whole, of_row = F.lit(FOLDS), F.col("_fold")
     model = {"n_values": n_values, "text": np.zeros(14), "told": []}
 
     def learn_text(taught: DataFrame) -> None:
         model["words"] = fold_weights(*count_words(taught))
-        fitted = written(text_margin(taught, model, of_row).select(F.col("_z").alias("x"), "y"), "taught")
+        path = shared_path(spark, "taught")
+        fitted = written(text_margin(taught, model, of_row).select(F.col("_z").alias("x"), "y"), "taught", path)
         model["text"] = fit_sums(fitted, model["text"])
+        discard(spark, path)
 
     def learn_meta(taught: DataFrame) -> None:
         rate, table = fit_values(taught.select("y", "_m"), n_values)
@@ -252,22 +257,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, text_
         scored = meta_margin(text_margin(rows, model, F.when(F.col("_y").isNotNull() & ~F.col("_held"), of_row).otherwise(whole)), model)
         scored = scored.withColumn("_open", F.col("_y").isNull()).withColumn("_from_text", F.when(F.col("_open"), _told("_zt"))) \
             .withColumn("_from_meta", F.when(F.col("_open"), _told("_zm")))
-        scored = written(scored.select("_y", "_held", "_fold", "_x", "_b", "_m", "_from_text", "_from_meta").where(
-            "_y IS NOT NULL OR _from_text IS NOT NULL OR _from_meta IS NOT NULL"), "told")
-        told = tuple(scored.agg(*[F.count_if(F.col(c) == y) for c in ("_from_text", "_from_meta") for y in (0, 1)]).first())
+        # what each view is taught from: the metadata of the rows that the text view is sure of, and the other way round
+        paths = shared_path(spark, "for-meta"), shared_path(spark, "for-text")
+        scored = scored.withColumn("_for_meta", F.coalesce(known, "_from_text")).withColumn("_for_text", F.coalesce(known, "_from_meta"))
+        told = tuple(written(scored.select("_from_text", "_from_meta", F.col("_for_meta").alias("y"), "_m"), "for-meta", paths[0])
+                     .agg(*[F.count_if(F.col(c) == y) for c in ("_from_text", "_from_meta") for y in (0, 1)]).first())
         model["told"].append(told)
         if told == before or not any(told):
+            discard(spark, paths[0])
             break
+        if any(told[2:]):
+            for_text = written(scored.where("_for_text IS NOT NULL").select(F.col("_for_text").alias("y"), "_fold", "_x", "_b"), "for-text", paths[1])
         if any(told[:2]):
-            learn_meta(scored.withColumn("y", F.coalesce(known, "_from_text")).where("y IS NOT NULL"))
+            learn_meta(spark.read.parquet(paths[0]).where("y IS NOT NULL"))
         if any(told[2:]):
-            learn_text(scored.withColumn("y", F.coalesce(known, "_from_meta")).where("y IS NOT NULL"))
+            learn_text(for_text)
+        discard(spark, *paths)
         before = told
     held = meta_margin(text_margin(rows.where("_held AND _y IS NOT NULL"), model, whole), model).select("_zt", "_zm", "_y").toPandas()
     z, y = held[["_zt", "_zm"]].to_numpy(), held["_y"].to_numpy()
     model["calibrated"] = [_small_fit(z[:, [k]], y).tolist() for k in (0, 1)]
     logits = np.stack([z[:, k] * c[0] + c[1] for k, c in enumerate(model["calibrated"])], axis=1)
     model["combined"] = _small_fit(logits, y).tolist()
+    discard(spark, views)
     return model
 
 
