@@ -32,12 +32,13 @@ def code_points(texts: pa.Array):
         return points, np.concatenate([[0], np.cumsum([len(r) for r in rows])])
 
 
-def row_slices(texts: pa.Array):
-    """(first row, slice) with at most ROWS_BYTES of text, or one row."""
+def row_slices(texts: pa.Array, limit: int | None = None):
+    """(first row, slice) with at most ``limit`` (ROWS_BYTES) bytes of text, or one row."""
+    limit = limit or ROWS_BYTES
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
     at, total = 0, 0
     for k, size in enumerate(sizes.tolist()):
-        if total and total + size > ROWS_BYTES:
+        if total and total + size > limit:
             yield at, texts.slice(at, k - at)
             at, total = k, 0
         total += size
