@@ -278,10 +278,9 @@ def plain_looks(t):
 def test_looks_against_a_plain_reading(monkeypatch, size):
     import pyarrow as pa
 
-    from verba.functions import grams as G
     from verba.llm import looks as K
 
-    monkeypatch.setattr(G, "ROWS_BYTES", size)
+    monkeypatch.setattr(K, "CHUNK", size)
     rng = random.Random(9)
     texts = [None, "", " ", "\n\n", "a", "A!", "!!", "...", "a\nb\na\n", "x X x. X!", "\na", "end\n"]
     texts += ["".join(rng.choice("abAB .,!\n\t$9éÉ日") for _ in range(rng.randint(0, 80))) for _ in range(300)]

@@ -12,6 +12,7 @@ BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
 MARKS = ".,;:?"
 ENDS = ".,;:!?\"'()[]" + SYMBOLS  # cut from the ends of a word
 N_LOOKS = 11
+CHUNK = 1 << 18  # bytes of text measured at once, some 50 bytes of memory for each; a longer text is by itself
 UPPER, DIGIT, SYMBOL, BANG, MARK, SPACE, END, LINE = (1 << k for k in range(8))
 
 
@@ -44,7 +45,7 @@ def looks(texts, table, buckets: int):
     number of them by row). Words are split at white space; they are hashed in lower case, without ENDS at
     their ends, all by one prefix sum of powers. Null is empty."""
     out, found, many = [], [], []
-    for _, part in row_slices(texts):
+    for _, part in row_slices(texts, CHUNK):
         x, b, n = _looks(part, table, buckets)
         out.append(x)
         found.append(b)
