@@ -18,13 +18,20 @@ UPPER, DIGIT, SYMBOL, BANG, MARK, SPACE, END, LINE = (1 << k for k in range(8))
 
 def tables():
     """(class bits, lower case) of every code point."""
-    chars = [chr(c) for c in range(0x110000)]
-    bits = np.zeros(len(chars), np.uint8)
-    bits[[c for c, x in enumerate(chars) if x.isupper()]] |= UPPER
-    bits[[c for c, x in enumerate(chars) if x.isdecimal()]] |= DIGIT
+    bits, low = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for lo in range(0, len(bits), 1 << 14):
+        for c, x in enumerate(map(chr, range(lo, min(lo + (1 << 14), len(bits)))), lo):
+            if x.isupper():
+                bits[c] |= UPPER
+                small = x.lower()
+                low[c] = ord(small) if len(small) == 1 else c
+            elif x.isdecimal():
+                bits[c] |= DIGIT
+            elif x.istitle():
+                small = x.lower()
+                low[c] = ord(small) if len(small) == 1 else c
     for group, bit in ((SYMBOLS, SYMBOL), ("!", BANG), (MARKS, MARK), (" \t\n\x0b\f\r", SPACE), (ENDS, END), ("\n", LINE)):
         bits[[ord(x) for x in group]] |= bit
-    low = np.array([ord(x.lower()) if len(x.lower()) == 1 else c for c, x in enumerate(chars)], np.uint32)
     return bits, low
 
 
@@ -59,7 +66,7 @@ def _looks(texts, table, buckets: int):
     bits, low = table
     points, start = code_points(texts)
     n, rows, total = np.diff(start), len(texts), len(points)
-    of = np.repeat(np.arange(rows), n)
+    of = np.repeat(np.arange(rows, dtype=np.int32), n)
     kind = bits[points]
     share = {k: np.bincount(of[(kind & k) > 0], minlength=rows) for k in (UPPER, DIGIT, SYMBOL, BANG, MARK)}
     power = np.cumprod(np.full(total + 1, STEP)) * BACK

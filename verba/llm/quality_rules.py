@@ -134,12 +134,12 @@ def _sums(column: str, n: int):
 
 
 def references(table: DataFrame) -> DataFrame:
-    """measures() -> one row for each language of COMMON that occurs: ref (language), rc and rw (shares
-    over all its documents that pass the base rules, repeat no line and have few symbols)."""
+    """measures() -> one row for each language of COMMON with REF_DOCS documents that pass the base rules, repeat
+    no line and have few symbols: ref (language), rc and rw (shares over all of these)."""
     ok = table.where(_clean() & F.col("_lang").isin(*COMMON))
     sums = ok.groupBy(F.col("_lang").alias("ref")).agg(
-        _sums("classes", len(CLASSES) + 1).alias("c"), _sums("common", len(WORDS) + 1).alias("w"))
-    return sums.select("ref", shares("c").alias("rc"), shares("w").alias("rw"))
+        _sums("classes", len(CLASSES) + 1).alias("c"), _sums("common", len(WORDS) + 1).alias("w"), F.count(F.lit(1)).alias("n"))
+    return sums.where(F.col("n") >= REF_DOCS).select("ref", shares("c").alias("rc"), shares("w").alias("rw"))
 
 
 def own_references(table: DataFrame) -> DataFrame:

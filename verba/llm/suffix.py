@@ -9,6 +9,7 @@ from verba.llm.common import discard, field, row_key, shared_path, written
 
 GRAM = 32  # bytes at the head of a suffix by which the arrays are ordered
 PIECE = 1 << 18  # bytes hashed at a time in a task
+HOT_RUN, HOT_RUNS = 1_000, 100_000  # a run is common above so many suffixes, or above the total over HOT_RUNS
 GROUP = 20_000  # distinct contexts of one gram that a task compares; beyond it windows are counted by a shuffle
 ENTRY = "anchor long, block long, d int, n int, l int, _k1 long, _k2 long"
 
@@ -289,8 +290,13 @@ def repeated_spans(rows: DataFrame, min_len: int = 200, batches: int = 3) -> Dat
     run = ["anchor", "block", "d", "n"]
     blocks = written(again.groupBy(*run).agg(F.count(F.lit(1)).alias("times"), F.min("_k1").alias("_k1"),
                                              F.min_by(F.struct("_k2", "l"), F.struct("_k1", "_k2", "l")).alias("rep")), "blocks")
-    # a run whose bytes occur whole elsewhere: all its windows are repeated
-    whole = again.join(blocks.where("times > 1").select(*run), run).select(
+    # a run whose bytes occur whole elsewhere: all its windows are repeated. Runs of a share of all suffixes are
+    # few whatever the input, and are known by a broadcast list: their suffixes are dealt nowhere by run
+    common = max(HOT_RUN, again.count() // HOT_RUNS)
+    hot = F.broadcast(blocks.where(F.col("times") > common).select(*run, F.lit(True).alias("hot")))  # HOT_RUNS rows at most
+    marked = again.join(hot, run, "left")
+    some = marked.where("hot IS NULL").join(blocks.where((F.col("times") > 1) & (F.col("times") <= common)).select(*run), run)
+    whole = marked.where("hot").select(*again.columns).unionByName(some.select(*again.columns)).select(
         "_k1", "_k2", F.col("l").alias("s"), (F.col("l") + F.col("n") + F.lit(min_len)).cast("int").alias("e"))
     # the others that share their gram match in part: at the edges of a repeated string
     shared = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("times").alias("low")).where("m > 1 AND low = 1")
@@ -349,12 +355,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anywhere else too, in this text or another; all are judged on the input. Repeated rows are other
     places. Null text is empty; a text shorter than ``min_len`` bytes stays whole. Ids may be null or
     repeat. With ``valid_text`` the bytes of a character cut in two go as well. Empty table: no rows."""
-    keyed = row_key(docs, id_col).withColumn("_t", F.coalesce(field(text_col).cast("binary"), F.lit(b"")))
-    spans = repeated_spans(keyed.select("_k1", "_k2", "_t"), min_len, batches)
+    keyed, text = row_key(docs, id_col), F.coalesce(field(text_col).cast("binary"), F.lit(b""))
+    spans = repeated_spans(keyed.select("_k1", "_k2", text.alias("_t")), min_len, batches)
     # collect_set: a text has no more ranges than bytes, and equal rows bring equal ranges
     by_text = spans.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     cut = _cut_udf(valid_text)(F.when(F.col("spans").isNotNull(), F.col("_t")), F.col("spans"))
-    return keyed.join(by_text.hint("shuffle_merge"), ["_k1", "_k2"], "left").withColumn("_c", cut).select(
+    # the row alone is shuffled, with its text in it once
+    return keyed.join(by_text.hint("shuffle_merge"), ["_k1", "_k2"], "left").withColumn("_t", text).withColumn("_c", cut).select(
         "_row", F.coalesce("_c.kept", "_t").alias("kept"), F.octet_length("_t").cast("long").alias("n_bytes"),
         F.col("_c.n_removed").alias("n_removed"), F.col("_c.n_spans").alias("n_spans"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verba.llm.common import components, forest, written
 
-PER_BUCKET = 64  # vectors that a bucket should hold on average
+PER_BUCKET = 128  # vectors that a bucket should hold on average
 BLOCK = 256  # vectors of a block; larger buckets are compared block by block
 MISS = 1e-4  # chance that a pair right at the threshold shares no bucket
 
@@ -22,11 +22,21 @@ def table_plan(n: int, cosine: float, per_bucket: int = PER_BUCKET, miss: float
     return bits, max(1, math.ceil(math.log(miss) / math.log(1 - same)))
 
 
+def _unit(raw):
+    """Rows as doubles of length one."""
+    import numpy as np
+
+    x = np.asarray(raw, dtype=np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def _signatures(bits: int, tables: int, seed: int):
-    """pandas UDF: array of doubles -> a bucket number for each table."""
+    """pandas UDF: vector -> a bucket number for each table, all the signs as bits, and the vector as the bytes
+    of its numbers."""
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("array<long>")
+    @pandas_udf("code array<long>, sig binary, vec binary")
     def sign(vectors):
         import numpy as np
         import pandas as pd
@@ -36,21 +46,24 @@ def _signatures(bits: int, tables: int, seed: int):
         for size in np.unique(sizes):  # one matrix product for all vectors of a length
             at = np.flatnonzero(sizes == size)
             planes = np.random.default_rng([seed, int(size)]).standard_normal((int(size), bits * tables))
-            side = np.stack([vectors.iloc[i] for i in at]).astype(np.float64) @ planes > 0
+            raw = np.stack([vectors.iloc[i] for i in at])
+            side = _unit(raw) @ planes > 0
             code = side.reshape(len(at), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+            packed = np.packbits(side, axis=1)
             for k, i in enumerate(at):
-                out[i] = code[k]
-        return pd.Series(out)
+                out[i] = code[k], packed[k].tobytes(), raw[k].tobytes()
+        return pd.DataFrame(out, columns=["code", "sig", "vec"])
 
     return sign
 
 
-def _compare(pairs: DataFrame, cosine: float) -> DataFrame:
+def _compare(pairs: DataFrame, cosine: float, bits: int, kind: str) -> DataFrame:
     """Rows of one (length, table, bucket, block pair) against each other: (node, other, links). With other null:
     ``links`` vectors were found for node; else an edge of a spanning forest. A pair counts in the first
-    table that it shares, which the signatures tell, so nothing has to be de-duplicated."""
+    table that it shares, which the signatures tell, so nothing has to be de-duplicated. Vectors come as the
+    bytes of the input's numbers, of ``kind``, and are compared as doubles."""
 
-    def scan(batches, cosine=cosine):
+    def scan(batches, cosine=cosine, bits=bits, kind=kind):
         import numpy as np
         import pandas as pd
 
@@ -58,7 +71,9 @@ def _compare(pairs: DataFrame, cosine: float) -> DataFrame:
 
         def group(f):
             t, i, j = int(f["_t"].iloc[0]), int(f["_i"].iloc[0]), int(f["_j"].iloc[0])
-            vec, sig = np.stack(f["vec"].to_list()), np.stack(f["sig"].to_list())
+            vec = _unit(np.frombuffer(b"".join(f["vec"]), dtype=kind).reshape(len(f), -1))
+            sig = np.unpackbits(np.frombuffer(b"".join(f["sig"]), dtype=np.uint8).reshape(len(f), -1), axis=1)[:, : bits * t]
+            sig = sig.reshape(len(f), t, bits) @ (1 << np.arange(bits, dtype=np.int64))
             node, many, part = f["node"].to_numpy(), f["many"].to_numpy(), f["_own"].to_numpy()
             a = np.flatnonzero(part == i)
             b = a if i == j else np.flatnonzero(part == j)
@@ -76,7 +91,7 @@ def _compare(pairs: DataFrame, cosine: float) -> DataFrame:
                     for s in range(0, len(p), 1 << 16):
                         pp, qq = p[s: s + (1 << 16)], q[s: s + (1 << 16)]
                         ok = np.einsum("ij,ij->i", vec[pp], vec[qq]) >= cosine
-                        ok &= (sig[pp, :t] != sig[qq, :t]).all(axis=1)
+                        ok &= (sig[pp] != sig[qq]).all(axis=1)
                         pp, qq = pp[ok], qq[ok]
                         np.add.at(links, pp, many[qq])
                         np.add.at(links, qq, many[pp])
@@ -117,30 +132,38 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.95, seed: int = 4
     not pairs. A null id links like any other; it is a component's id only if all are null. Repeated
     rows link with each other. Empty table: no rows."""
     spark = vectors.sparkSession
-    own = vectors.select(vectors[f"`{id_col}`"].cast("long").alias("_id"), vectors[f"`{vec_col}`"].cast("array<double>").alias("_v"))
+    single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    own = vectors.select(vectors[f"`{id_col}`"].cast("long").alias("_id"), vectors[f"`{vec_col}`"].cast("array<float>" if single else "array<double>").alias("_raw"))
+    own = own.withColumn("_v", F.col("_raw").cast("array<double>"))
     bad = F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
     top = F.array_max(F.transform("_v", lambda x: F.abs(x)))
     ok = F.col("_v").isNotNull() & ~F.coalesce(bad, F.lit(False)) & (F.coalesce(top, F.lit(0.0)) > 0)
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
     own = own.withColumn("_ok", ok).withColumn("_v", F.when(F.col("_ok"), F.transform("_v", lambda x: x / top))) \
-             .withColumn("vec", F.when(F.col("_ok"), F.transform("_v", lambda x: x / norm))).drop("_v")
-    own = written(own.withColumn("node", F.when(F.col("_ok"), F.xxhash64("vec"))), "vectors")
-    # equal directions by their hash: node stands for all rows that have it
-    distinct = own.where("_ok").groupBy("node").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("many"))
-    distinct = written(distinct, "distinct")
+             .withColumn("_v", F.when(F.col("_ok"), F.transform("_v", lambda x: x / norm)))
+    for again in range(8):
+        # equal directions by their hash: node stands for all rows that have it. A second hash tells whether two
+        # directions share the first; then another seed is taken, so that a node is one direction
+        hashed = own.withColumn("node", F.when(F.col("_ok"), F.xxhash64(F.lit(seed + again), "_v"))) \
+                    .withColumn("_h", F.when(F.col("_ok"), F.xxhash64(F.lit(-1 - again), "_v", F.lit(seed))))
+        hashed = written(hashed.select("_id", "_ok", "node", "_h", F.when(F.col("_ok"), F.col("_raw")).alias("_raw")), "vectors")
+        distinct = written(hashed.where("_ok").groupBy("node", "_h").agg(F.first("_raw").alias("_raw"), F.count(F.lit(1)).alias("many")), "distinct")
+        if distinct.groupBy("node").count().where("count > 1").isEmpty():
+            break
+    own = hashed
     bits, tables = table_plan(distinct.count(), cosine)
-    signed = written(distinct.withColumn("sig", _signatures(bits, tables, seed)("vec")), "signed")
-    signed = signed.withColumn("_d", F.size("vec"))  # vectors of different lengths share no bucket
-    slots = signed.select("node", "_d", F.posexplode("sig").alias("_t", "_b"))
+    signed = distinct.withColumn("_s", _signatures(bits, tables, seed)("_raw")).select("node", "many", F.size("_raw").alias("_d"), "_s.*")
+    signed = written(signed, "signed")  # vectors of different lengths share no bucket
+    slots = signed.select("node", "_d", F.posexplode("code").alias("_t", "_b"))
     sizes = slots.groupBy("_d", "_t", "_b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    placed = signed.select("*", F.posexplode("sig").alias("_t", "_b")).join(sizes, ["_d", "_t", "_b"])
+    placed = signed.select("*", F.posexplode("code").alias("_t", "_b")).join(sizes, ["_d", "_t", "_b"])
     placed = placed.withColumn("_nb", blocks).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
     placed = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).select(
         "_d", "_t", "_b", F.least("_own", "_o").alias("_i"), F.greatest("_own", "_o").alias("_j"), "_own", "node", "many", "vec", "sig")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.repartition(n, "_d", "_t", "_b", "_i", "_j").sortWithinPartitions("_d", "_t", "_b", "_i", "_j")
-    found = written(_compare(placed, cosine), "links")
+    found = written(_compare(placed, cosine, bits, "float32" if single else "float64"), "links")
     links = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("_l"))
     root = components(found.where("other IS NOT NULL").select(F.col("node").alias("u"), F.col("other").alias("v")))
     nodes = own.where("_ok").groupBy("node").agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_many"))
