@@ -64,6 +64,42 @@ def test_html_marks_that_stand():
     assert html.main_text(PAGE % text, html.PRIOR, pat).endswith("the end")  # tags inside don't cut an article
 
 
+@pytest.mark.parametrize("name", ["related-work", "side-by-side", "ad-free", "search-results", "social-science", "legal-history", "form-group",
+                                  "comment-on-law", "section-share-of-voice"])
+def test_html_sections_of_an_article_keep_their_names(name):
+    first, own = prose("a", 60), prose(name, 60)
+    for attr in ("class", "id"):
+        for shell in ("<article>%s</article>", "<main>%s</main>"):
+            page = PAGE % (shell % f'<h1>Head</h1><p>{first}</p><section {attr}="{name}"><h2>Part</h2><p>{own}</p></section>')
+            for w in (html.PRIOR, html.PRIOR | {"section": -0.02, "p": -0.02, "h1": -0.02, "h2": -0.02}):
+                assert html.main_text(page, w, html._patterns()) == f"Head\n{first}\nPart\n{own}"
+
+
+@pytest.mark.parametrize("name", ["related-posts", "share", "comments", "ad", "ad-banner", "share-buttons", "newsletter-signup", "post-comments", "sponsored-content"])
+def test_html_boilerplate_in_an_article_goes(name):
+    first = prose("a", 200)
+    junk = "<ul><li><a href='/x'>One more story here</a></li><li><a href='/y'>And another one</a></li></ul><p>Read them all</p>"
+    page = PAGE % f'<article><h1>Head</h1><p>{first}</p><div class="{name}">{junk}</div></article>'
+    assert html.main_text(page, html.PRIOR, html._patterns()) == f"Head\n{first}"
+
+
+def test_html_hints_that_look_like_boilerplate():
+    first = prose("a", 200)
+    for junk in ('<div class="newsletter-for-you"><p>Get our letter</p><form><input name="q"></form></div>', '<div class="share-this-now">tell all your friends</div>',
+                 '<div class="related-in-politics">' + "<a href='/x'>a story of ours</a> " * 20 + "more</div>"):
+        assert html.main_text(PAGE % f"<article><p>{first}</p>{junk}</article>", html.PRIOR, html._patterns()) == first
+    labelled = f"<article><p>{first}</p><p>The <label>word</label> stays</p></article>"
+    assert html.main_text(PAGE % labelled, html.PRIOR, html._patterns()) == f"{first}\nThe word stays"
+
+
+def test_html_long_pages_and_clashing_columns(spark):
+    body = " ".join(f"<p>{prose(k, 50)}</p>" for k in range(4000))
+    rows = [(1, f"<article>{body}</article>", "old", 1.0), (2, "<div>" * 20_000 + "deep words here" + "</div>" * 20_000, None, 2.0)]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string, _t double")
+    got = {r["page_id"]: r for r in html.extract_pages(df).collect()}
+    assert got[1]["text"] == "\n".join(prose(k, 50) for k in range(4000)) and got[2]["text"] == "deep words here" and got[1]["_t"] == 1.0
+
+
 def test_html_odd_pages():
     pat = html._patterns()
     text = lambda x: html.main_text(x, html.PRIOR, pat)

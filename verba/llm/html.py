@@ -22,6 +22,9 @@ search share sharing shares side signup skip social sponsored sticky tagcloud to
 contentinfo complementary""".split())
 STEMS = ("advert", "breadcrumb", "comment", "cookie", "copyright", "disclaimer", "disqus", "masthead", "navbar", "newsletter",
          "outbrain", "promo", "recommend", "related", "sidebar", "sponsor", "subscri", "taboola", "teaser")
+# Words that say nothing of their own in a class name made of several (fixed values).
+NEUTRAL = frozenset("""area articles bar block blocks body bottom box button buttons column container content icon icons inner item items
+left link links list main module outer panel posts primary right row secondary section small stories top unit wrap wrapper zone""".split())
 ON_ARTICLE = ("advert", "comment", "promo", "recommend", "related", "sponsor", "teaser", "reply", "replies", "ad", "ads")
 # Weights where no page is labelled: a word, a tag by its name.
 PRIOR = {"word": 1.0, "a": -0.5, "li": -0.3, "other": -0.2}
@@ -46,12 +49,33 @@ def _patterns():
     }
 
 
-FIXED, ABOUT, WRAP = 1, 2, 3  # marks that stand; that tell of what is said about articles; of any other kind
+# Marks that stand; that tell of what is said about articles; of any other kind; and, inside an article, of a class
+# name with other words in it (related-work), which counts only if the element looks like boilerplate as well.
+FIXED, ABOUT, WRAP, HINT = 1, 2, 3, 4
+CONTROLS = frozenset("input textarea select button".split())
+FEW_WORDS, FEW_SHARE, FORM_WORDS = 30, 20, 100  # what looks like boilerplate: few words, a small part of the page; a form
 
 
-def _boiler(name: str, attrs: str, pat) -> int:
-    """The mark of an element that, by its name and attributes, is not part of an article; else 0."""
+def _names(one: str, name: str, pat) -> int:
+    """The mark that one class name, id or role tells: 0, ABOUT or WRAP; HINT where it has other words too."""
+    parts = pat["part"].findall(one)
+    hints, found = 0, 0
+    for part in parts:
+        about = part in ON_ARTICLE or part.startswith(ON_ARTICLE[:7])
+        if about if name in CONTENT else part in HINTS or part.startswith(STEMS):
+            hints += 1
+            found = ABOUT if about or found == ABOUT else WRAP
+        else:
+            hints += part in NEUTRAL
+    return found if not found or hints == len(parts) else -found
+
+
+def _boiler(name: str, attrs: str, pat, inside: bool = False, in_form: bool = True) -> int:
+    """The mark of an element that, by its name and attributes, is not part of an article; else 0. Inside an
+    article, a label outside forms is prose, and class names with other words in them are hints only."""
     mark = 0
+    if name == "label" and inside and not in_form:
+        return 0
     if name in BOILER:
         mark = FIXED if name in NEVER else WRAP
     if not attrs or name in ("html", "body", "main"):
@@ -67,10 +91,11 @@ def _boiler(name: str, attrs: str, pat) -> int:
         for one in value.split():
             if mark == FIXED or one.startswith(("has-", "no-", "with-", "is-", "js-")):
                 continue
-            for part in pat["part"].findall(one):
-                about = part in ON_ARTICLE or part.startswith(ON_ARTICLE[:7])
-                if about if name in CONTENT else part in HINTS or part.startswith(STEMS):
-                    mark = ABOUT if about or mark == ABOUT else WRAP
+            found = _names(one, name, pat)
+            if found < 0:
+                found = HINT if inside else -found
+            if found and (mark in (0, HINT) or found == ABOUT):
+                mark = found
     return mark
 
 
@@ -80,11 +105,15 @@ def _settled(nodes, items):
     A node is a marked element, or an article or main element. A mark is overruled when its element holds
     more than half of the page's words and three times those outside of all marks, and it holds a main or
     (but for what is said about articles) an article; or BODY_WORDS words, and either an h1 or
-    BODY_RATIO times the words outside. Words in links count for none of this. FIXED marks stand."""
-    words = [0] * len(nodes)
+    BODY_RATIO times the words outside. Words in links count for none of this. FIXED marks stand. A HINT counts
+    only where most of the element's words are in links, it is a small form, or it has FEW_WORDS and one in
+    FEW_SHARE of the page's at most."""
+    words, linked, controls = [0] * len(nodes), [0] * len(nodes), [0] * len(nodes)
     for it in items:
-        if it[0] is None and not it[6]:
-            words[it[5]] += it[2]
+        if it[0] is None:
+            (linked if it[6] else words)[it[5]] += it[2]
+        elif it[0] in CONTROLS:
+            controls[it[2]] += 1
     total, free = sum(words), words[0]
     holds = [0] * len(nodes)  # bits: an article, a main, an h1
     for k in range(len(nodes) - 1, 0, -1):
@@ -92,6 +121,8 @@ def _settled(nodes, items):
         holds[k] |= own
         if mark > 0:
             words[up] += words[k]
+            linked[up] += linked[k]
+            controls[up] += controls[k]
         holds[up] |= holds[k]
     out, inner, live, labelled = [False] * len(nodes), [False] * len(nodes), [False] * len(nodes), False
     for k in range(1, len(nodes)):
@@ -99,6 +130,9 @@ def _settled(nodes, items):
         out[k], inner[k], live[k] = out[up], inner[up], live[within]
         if mark > 0:
             n = words[k]
+            if mark == HINT and not (linked[k] > n or (controls[k] and n < FORM_WORDS)
+                                     or (n + linked[k] <= FEW_WORDS and FEW_SHARE * n <= total)):
+                continue
             body = n >= BODY_WORDS and (holds[k] & 4 or (mark == WRAP and n > BODY_RATIO * free))
             over = mark != FIXED and 2 * n > total and n >= 3 * free and bool(
                 holds[k] & (2 if mark == ABOUT else 3) or body)
@@ -191,7 +225,7 @@ def scan(html: str, pat):
             pop("p")
         if name == "li" and stack and any(e[0] == "li" for e in stack[-2:]) and not any(e[0] in ("ul", "ol") for e in stack[-1:]):
             pop("li")
-        mark = _boiler(name, attrs, pat)
+        mark = _boiler(name, attrs, pat, bool(article), bool(opened.get("form") or opened.get("fieldset")))
         items.append((name, article, boiler))
         if name in VOID or attrs.endswith("/") and name not in BLOCKS:
             continue
