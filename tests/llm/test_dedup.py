@@ -238,6 +238,44 @@ def test_table_plan_holds_recall():
         assert (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables <= 1e-4
 
 
+def test_levels_are_merged_in_order_without_a_shuffle(spark):
+    index, rng, seen = suffix.SuffixIndex(spark), np.random.default_rng(4), Counter()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for k in range(7):
+            heads = rng.integers(0, 400, 90)
+            path = suffix.shared_path(spark, "array")
+            array = suffix.written(spark.createDataFrame([(int(h),) for h in heads], "anchor long"), "array", path)
+            hits = {r["anchor"] for r in index.insert(array, path, suffix.shared_path(spark, "hits")).collect()}
+            new = Counter(heads.tolist())
+            assert hits == {h for h, n in new.items() if n > 1 or h in seen}
+            seen += new
+            sizes = [level[0] for level in index.levels]
+            assert sum(sizes) == k + 1 and sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes)
+        total = Counter()
+        for level in index.levels:
+            total.update({r["anchor"]: r["n"] for r in spark.table(level[1]).collect()})
+        assert total == seen and index.suffixes().count() == sum(seen.values())
+        plan = suffix.merged_heads(spark.table(index.levels[0][1]), spark.table(index.levels[1][1]))._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        index.drop()
+        assert not spark.catalog.listTables(pattern="heads_*")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_common_runs_and_their_edges(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT_RUN", 3)
+    line, tail = prose("line", 90), prose("tail", 80)
+    rows = [(k, prose(k, 20) + " " + line + (" " + tail if k % 3 == 0 else "") + " " + prose(-k, 9)) for k in range(60)]
+    rows += [(100, tail), (101, "é" * 300), (102, "é" * 300), (102, "é" * 300)]
+    texts = [t.encode() for _, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter((r["i"], bytes(r["kept"])) for r in remove_repeats(df).select(field("doc_id").alias("i"), "kept").collect())
+    assert got == Counter((i, kept) for (i, _), (kept, _, _) in zip(rows, repeats(texts, 200), strict=True))
+
+
 def test_kept_digest_is_of_the_remaining_bytes(spark):
     text = prose("d", 100)
     df = spark.createDataFrame([(1, text), (2, text + " tail"), (3, "other")], "doc_id long, text string")

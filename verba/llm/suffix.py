@@ -132,45 +132,71 @@ def suffix_entries(rows: DataFrame, min_len: int) -> DataFrame:
 class SuffixIndex:
     """A logarithmic family of suffix arrays in the shared folder.
 
-    An array is a set of sorted runs: the suffixes that a task read, ordered by the hash of a suffix's
-    first GRAM bytes (any order that brings equal heads together serves matches of a fixed least
-    length). insert() merge-scans a new batch's array against all levels for grams that occur again and
-    then merges equal-sized levels into one with runs of twice the length, so that n batches leave at
-    most log2(n) + 1 levels and each suffix is rewritten log2(n) times at most. No merge shuffles."""
+    A batch's array is a set of sorted runs: the suffixes that a task read, ordered by the hash of a suffix's
+    first GRAM bytes (any order that brings equal heads together serves matches of a fixed least length).
+    Beside it lies its head table, the distinct heads with their counts: a bucketed table, each bucket sorted
+    by head. insert() merge-scans the new batch's heads against those of all levels, bucket by bucket: a
+    sort-merge join of tables that are bucketed alike, which shuffles neither. A head is one row of a
+    level however many texts have it, so a common one is no larger than any other. Then equal-sized levels
+    merge, their head tables by the same kind of join and their arrays by reference, so that n batches leave
+    log2(n) + 1 levels at most and a head is rewritten log2(n) times at most. Heads that recur are where
+    long matches can be; their suffixes alone are compared afterwards."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.levels: list[tuple[int, DataFrame, str]] = []  # batches in it, its array and path; largest first
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # (batches in it, its head table's name and path, its arrays and their paths); largest first
+        self.levels: list[tuple[int, str, str, list[tuple[DataFrame, str]]]] = []
+
+    def _heads(self, df: DataFrame) -> tuple[str, str]:
+        """Write (anchor, n) as a bucketed, sorted table -> (name, path)."""
+        path = shared_path(self.spark, "heads")
+        name = "heads_" + path.split("/")[-2]
+        df.write.format("parquet").bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", path).saveAsTable(name)
+        return name, path
+
+    def _forget(self, name: str, path: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        discard(self.spark, path)
 
     def insert(self, array: DataFrame, path: str, hits: str) -> DataFrame:
-        """array, which lies at ``path`` -> (anchor), written to ``hits``: grams of it that occur twice in
-        it, or in it and a level. The scan sums up per task before anything is shuffled, so a gram of a
-        third of all texts is a row per task."""
-        seen = array.select("anchor", F.lit(1).alias("new"))
-        for _, level, _ in self.levels:
-            seen = seen.unionByName(level.select("anchor", F.lit(0).alias("new")))
-        found = written(seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("new"))
-                        .where("n > 1 AND new = 1").select("anchor"), "hits", hits)
-        self.levels.append((1, array, path))
+        """array, which lies at ``path`` -> (anchor), written to ``hits``: heads of it that occur twice in
+        it, or in it and a level. Its own heads are counted per task before they are shuffled."""
+        own = self._heads(array.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")))
+        table = self.spark.table(own[0])
+        found = table.where("n > 1").select("anchor")
+        for _, name, _, _ in self.levels:
+            found = found.unionByName(table.select("anchor").join(self.spark.table(name).select("anchor"), "anchor"))
+        found = written(found, "hits", hits)
+        self.levels.append((1, *own, [(array, path)]))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (m, x, old), (n, y, older) = self.levels.pop(), self.levels.pop()
-            both, into = y.unionByName(x), shared_path(self.spark, "level")
-            runs = max(1, len(both.inputFiles()) // 2)
-            self.levels.append((m + n, written(both.coalesce(runs).sortWithinPartitions("anchor"), "level", into), into))
-            discard(self.spark, old, older)
+            (m, x, old, xs), (n, y, older, ys) = self.levels.pop(), self.levels.pop()
+            both = merged_heads(self.spark.table(y), self.spark.table(x))
+            self.levels.append((m + n, *self._heads(both), ys + xs))
+            self._forget(x, old)
+            self._forget(y, older)
         return found
 
     def suffixes(self) -> DataFrame:
-        out = self.levels[0][1]
-        for _, level, _ in self.levels[1:]:
-            out = out.unionByName(level)
+        arrays = [df for level in self.levels for df, _ in level[3]]
+        out = arrays[0]
+        for df in arrays[1:]:
+            out = out.unionByName(df)
         return out
 
     def drop(self) -> None:
-        discard(self.spark, *[path for _, _, path in self.levels])
+        for _, name, path, arrays in self.levels:
+            self._forget(name, path)
+            discard(self.spark, *[p for _, p in arrays])
         self.levels = []
 
 
+def merged_heads(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two head tables as one: a merge of sorted buckets."""
+    b = b.select("anchor", F.col("n").alias("m"))
+    return a.join(b, "anchor", "full_outer").select("anchor", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+
+
 def new_arrays(rows: DataFrame, min_len: int, batches: int) -> list[tuple[DataFrame, str]]:
     """The suffix arrays of ``batches`` batches and their paths, made in one pass over the texts."""
     spark = rows.sparkSession
@@ -188,9 +214,11 @@ def _grams_again(rows: DataFrame, min_len: int, batches: int) -> DataFrame:
     for k, (array, path) in enumerate(new_arrays(rows, min_len, batches)):
         new = index.insert(array, path, f"{hits}/{k}")
         found = new if found is None else found.unionByName(new)
-    again = written(index.suffixes().join(found.distinct(), "anchor", "left_semi"), "again")
+    # both sides are plain shuffles, so adaptive execution splits a common gram's suffixes
+    twice = shared_path(spark, "twice")
+    again = written(index.suffixes().join(written(found.distinct(), "twice", twice), "anchor", "left_semi"), "again")
     index.drop()
-    discard(spark, hits)
+    discard(spark, hits, twice)
     return again
 
 

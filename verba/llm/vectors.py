@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verba.llm.common import components, forest, written
+from verba.session import bounded_broadcast
 
 PER_BUCKET = 128  # vectors that a bucket should hold on average
 BLOCK = 256  # vectors of a block; larger buckets are compared block by block
@@ -155,7 +156,8 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.95, seed: int = 4
     signed = distinct.withColumn("_s", _signatures(bits, tables, seed)("_raw")).select("node", "many", F.size("_raw").alias("_d"), "_s.*")
     signed = written(signed, "signed")  # vectors of different lengths share no bucket
     slots = signed.select("node", "_d", F.posexplode("code").alias("_t", "_b"))
-    sizes = slots.groupBy("_d", "_t", "_b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    sizes = written(slots.groupBy("_d", "_t", "_b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "sizes")
+    sizes = bounded_broadcast(sizes, sizes.count() * 32)  # while it may go along, vectors are shuffled once
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
     placed = signed.select("*", F.posexplode("code").alias("_t", "_b")).join(sizes, ["_d", "_t", "_b"])
     placed = placed.withColumn("_nb", blocks).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
