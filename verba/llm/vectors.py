@@ -32,6 +32,37 @@ def _unit(raw):
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _hashed(rows: DataFrame, seed: int) -> DataFrame:
+    """(_id, _raw) -> with _ok (a usable vector) and node and _h, two hashes of its direction."""
+    def run(batches, seed=seed):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            lists = batch.column("_raw")
+            size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            flat = lists.flatten()
+            flat = np.where(np.asarray(pc.is_null(flat)), np.nan, np.asarray(pc.fill_null(flat, 0.0), dtype=np.float64))
+            first, ok, h = np.cumsum(size) - size, np.zeros(len(size), bool), np.zeros((2, len(size)), np.uint64)
+            for d in np.unique(size[size > 0]).tolist():
+                at = np.flatnonzero(size == d)
+                x = flat[first[at][:, None] + np.arange(d)]
+                good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                at, bits = at[good], (_unit(x[good]) + 0.0).view(np.uint64)
+                odd = np.random.default_rng([seed, d]).integers(0, 1 << 63, (2, d), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+                for k in (0, 1):
+                    y = bits * odd[k]
+                    y = (y ^ y >> np.uint64(31)) * odd[1 - k][::-1]
+                    y = (y ^ y >> np.uint64(29)).sum(axis=1, dtype=np.uint64) * odd[k, 0]
+                    h[k, at] = y ^ y >> np.uint64(32)
+                ok[at] = True
+            node, other = (pa.array(x.view(np.int64), mask=~ok) for x in h)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), lists, pa.array(ok), node, other], names=["_id", "_raw", "_ok", "node", "_h"])
+
+    return rows.mapInArrow(run, f"_id long, _raw {rows.schema['_raw'].dataType.simpleString()}, _ok boolean, node long, _h long")
+
+
 def _signatures(bits: int, tables: int, seed: int):
     """pandas UDF: vector -> a bucket number for each table, all the signs as bits, and the vector as the bytes
     of its numbers."""
@@ -135,19 +166,10 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.95, seed: int = 4
     spark = vectors.sparkSession
     single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
     own = vectors.select(vectors[f"`{id_col}`"].cast("long").alias("_id"), vectors[f"`{vec_col}`"].cast("array<float>" if single else "array<double>").alias("_raw"))
-    own = own.withColumn("_v", F.col("_raw").cast("array<double>"))
-    bad = F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    top = F.array_max(F.transform("_v", lambda x: F.abs(x)))
-    ok = F.col("_v").isNotNull() & ~F.coalesce(bad, F.lit(False)) & (F.coalesce(top, F.lit(0.0)) > 0)
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
-    own = own.withColumn("_ok", ok).withColumn("_v", F.when(F.col("_ok"), F.transform("_v", lambda x: x / top))) \
-             .withColumn("_v", F.when(F.col("_ok"), F.transform("_v", lambda x: x / norm)))
     for again in range(8):
         # equal directions by their hash: node stands for all rows that have it. A second hash tells whether two
         # directions share the first; then another seed is taken, so that a node is one direction
-        hashed = own.withColumn("node", F.when(F.col("_ok"), F.xxhash64(F.lit(seed + again), "_v"))) \
-                    .withColumn("_h", F.when(F.col("_ok"), F.xxhash64(F.lit(-1 - again), "_v", F.lit(seed))))
-        hashed = written(hashed.select("_id", "_ok", "node", "_h", F.when(F.col("_ok"), F.col("_raw")).alias("_raw")), "vectors")
+        hashed = written(_hashed(own, seed + again), "vectors")
         distinct = written(hashed.where("_ok").groupBy("node", "_h").agg(F.first("_raw").alias("_raw"), F.count(F.lit(1)).alias("many")), "distinct")
         if distinct.groupBy("node").count().where("count > 1").isEmpty():
             break
