@@ -62,8 +62,32 @@ def word_weights(good, bad, n_good: float, n_bad: float):
     return np.where(good + bad > 0, lo * SPREAD / (SPREAD + 1 / (good + 0.5) + 1 / (bad + 0.5)), 0.0).astype(np.float32)
 
 
+def _wording(w, rows, size):
+    """Of each row's word weights: their sum, drawn together, and their mean."""
+    import numpy as np
+
+    total = np.bincount(rows, w, len(size))
+    return np.stack([np.sign(total) * np.log1p(np.abs(total)), total / np.maximum(size, 1)], axis=1)
+
+
+def read_and_weighed(text, weights):
+    """UDF: the features of a text and its wording by ``weights``, in one array, without its words in between."""
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import numpy as np
+
+        from verba.llm import looks as K
+
+        table, width = worker_cache("looks", K.tables), K.N_LOOKS + 2
+        for texts in batches:
+            x, words, many = K.looks(texts, table, BUCKETS)
+            z = np.concatenate([x, _wording(weights[words], np.repeat(np.arange(len(many)), many), many)], axis=1)
+            yield pa.ListArray.from_arrays(np.arange(0, width * len(many) + 1, width, dtype=np.int32), z.ravel())
+
+    return F.arrow_udf(run, "array<double>").asNondeterministic()(text)
+
+
 def wording(buckets, fold, weights: list):
-    """UDF: sum of the weights of a row's words, and their mean; ``weights`` by fold, the last one of all rows."""
+    """UDF: the wording of a row's words; ``weights`` by fold, the last one of all rows."""
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         import numpy as np
         import pyarrow.compute as pc
@@ -72,9 +96,7 @@ def wording(buckets, fold, weights: list):
         for lists, folds in batches:
             size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
             rows = np.repeat(np.arange(len(size)), size)
-            w = table[np.asarray(folds)[rows], np.asarray(lists.flatten())]
-            total = np.bincount(rows, w, len(size))
-            pair = np.stack([np.sign(total) * np.log1p(np.abs(total)), total / np.maximum(size, 1)], axis=1)
+            pair = _wording(table[np.asarray(folds)[rows], np.asarray(lists.flatten())], rows, size)
             yield pa.ListArray.from_arrays(np.arange(0, 2 * len(size) + 1, 2, dtype=np.int32), pair.ravel())
 
     return F.arrow_udf(run, "array<double>").asNondeterministic()(buckets, fold)
@@ -298,7 +320,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     if model is None:
         df = df.withColumn("_a", F.lit(None).cast("double")).withColumn("_c", F.col("_a")).withColumn("_s", F.lit(1.0))
     else:
-        df = meta_margin(text_margin(with_features(df), model, F.lit(FOLDS)), model)
+        df = df.withColumn("_z", read_and_weighed(F.col("_t"), model["words"][-1])).withColumn("_zt", _linear("_z", model["text"]))
+        df = meta_margin(df, model)
         logit = [F.col(z) * F.lit(a) + F.lit(b) for z, (a, b) in zip(("_zt", "_zm"), model["calibrated"], strict=True)]
         wt, wm, b = model["combined"]
         df = df.withColumn("_a", _logistic(logit[0])).withColumn("_c", _logistic(logit[1])).withColumn(
