@@ -42,7 +42,7 @@ def test_batches_of_a_bucket_do_not_replace_each_other(spark):
 def test_csv_round_trip_keeps_spaces_and_na_strings(spark):
     path = IO.scratch_path(spark, "probe")
     IO.write_csv(spark.createDataFrame([(1, "  a \n b "), (2, "n/a"), (3, '"q", r')], "i long, text string"), path)
-    got = {r.i: r.text for r in IO.read_csv_texts(spark, path, "i long, text string").collect()}
+    got = {r.i: r.text for r in IO.read_csv_texts(spark, path, "i long, text string", multi_line=True).collect()}
     assert got == {1: "  a \n b ", 2: None, 3: '"q", r'}
 
 
