@@ -57,7 +57,8 @@ def byte_codec(path: str):
 
 def format_turns(turns: DataFrame, vocabulary: str, role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per turn: its columns and ``segment`` (ids: little-endian unsigned 32-bit; loss: a byte
-    per id; n_chars: code points of its formatted text). A null text is empty, a null role is named "".
+    per id; n_chars: code points of its formatted text). A null text is empty, a null role is named "";
+    a column of ``turns`` that is called segment is replaced.
 
     A turn is [opening id] text ids [closing id]; reserved ids never come out of a text, whose control
     strings are escaped besides, so that the formatted string marks turns as well as the ids do. The

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,22 +14,42 @@ from verba.session import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+SCOPE = contextvars.ContextVar("verba_llm_scope", default="")  # folders of the open scratch() blocks
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that spark.checkpoint.dir names."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/verba-llm/{uuid.uuid4().hex}/{name}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/verba-llm/{SCOPE.get()}{uuid.uuid4().hex}/{name}"
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete files in the shared folder that no later step reads, and let the driver notice that the
-    shuffles of finished steps are garbage: their files go with the objects that describe them."""
-    import gc
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What is written inside lies in one folder, which is deleted at the end, after an error too. What is to
+    stay is written inside to a path that was made before, as a whole: nothing lazy may leave the block."""
+    own = f"{SCOPE.get()}{uuid.uuid4().hex}/"
+    token = SCOPE.set(own)
+    try:
+        yield
+    finally:
+        SCOPE.reset(token)
+        discard(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/verba-llm/{own}")
+
 
-    jvm = spark.sparkContext._jvm
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete files in the shared folder that no later step reads."""
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """delete(), and let the driver notice that the shuffles of finished steps are garbage: their files go
+    with the objects that describe them."""
+    import gc
+
+    delete(spark, *paths)
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -98,29 +120,26 @@ def forest(u, v):
     return nodes[own], nodes[lab[own]]
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (u long, v long): (node, root), one row per node
-    that is not the smallest of its component. Alternating large-star and small-star steps; every
-    round is written to the shared folder and only a count and a checksum reach the driver. The
-    per-node minimum is a combinable aggregate; a node with very many edges is a skewed sort-merge
-    join key, which adaptive execution splits."""
-    u, v = F.col("u"), F.col("v")
-    e = written(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
-    sign = lambda d: d.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    before = sign(e)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    that is not the smallest of its component. Alternating large-star and small-star steps until
+    nothing changes, which takes a number of rounds that grows with the logarithm of the nodes; every
+    round is written to the shared folder, the one before is deleted, and only a count and a checksum
+    reach the driver. The per-node minimum is a combinable aggregate; a node with very many edges is a
+    skewed sort-merge join key, which adaptive execution splits."""
+    u, v, spark = F.col("u"), F.col("v"), edges.sparkSession
+    path = shared_path(spark, "edges")
+    e = written(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges", path)
+    sign = lambda d: tuple(d.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+    before, now = None, sign(e)
+    while now[0] and now != before:
         both = e.unionByName(e.select(v.alias("u"), u.alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        after = sign(e)
-        if tuple(after) == tuple(before):
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
+        old, path = path, shared_path(spark, "edges")
+        e = written(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "edges", path)
+        delete(spark, old)
+        before, now = now, sign(e)
     return e.select(u.alias("node"), v.alias("root"))

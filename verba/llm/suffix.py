@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verba.llm.common import discard, field, row_key, shared_path, written
+from verba.llm.common import discard, field, row_key, scratch, shared_path, written
 
 GRAM = 32  # bytes at the head of a suffix by which the arrays are ordered
 PIECE = 1 << 18  # bytes hashed at a time in a task
 HOT_RUN, HOT_RUNS = 1_000, 100_000  # a run is common above so many suffixes, or above the total over HOT_RUNS
 GROUP = 20_000  # distinct contexts of one gram that a task compares; beyond it windows are counted by a shuffle
 ENTRY = "anchor long, block long, d int, n int, l int, _k1 long, _k2 long"
+SPANS = "_k1 long, _k2 long, s int, e int"
 
 
 def _hashes():
@@ -140,24 +144,68 @@ class SuffixIndex:
     level however many texts have it, so a common one is no larger than any other. Then equal-sized levels
     merge, their head tables by the same kind of join and their arrays by reference, so that n batches leave
     log2(n) + 1 levels at most and a head is rewritten log2(n) times at most. Heads that recur are where
-    long matches can be; their suffixes alone are compared afterwards."""
+    long matches can be; their suffixes alone are compared afterwards.
+
+    With ``path`` the family is kept there, for batches that come later and from other sessions: add() takes
+    one more batch of documents and ends with a commit, a manifest that names all files of the family. A
+    failure before it leaves the family at ``path`` as it was, to be opened anew; files that a commit made
+    needless go after it. One writer at a time. The length of matches and the number of buckets are those
+    it was made with. add() shuffles the batch; of the levels it reads head tables and arrays once."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, path: str | None = None, min_len: int = 200):
+        self.spark, self.path, self.min_len = spark, path and path.rstrip("/"), min_len
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         # (batches in it, its head table's name and path, its arrays and their paths); largest first
         self.levels: list[tuple[int, str, str, list[tuple[DataFrame, str]]]] = []
+        self.texts: list[str] = []  # of batches given to add(), the rows (_k1, _k2, _t)
+        self.found: list[str] = []  # of each of them, the ranges that it showed to be repeated
+        self.version, self.needless = 0, []
+        if self.path:
+            self._open()
+
+    def _open(self) -> None:
+        spark = self.spark
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests")
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        done = [int(s.getPath().getName()) for s in files.listStatus(folder)] if files.exists(folder) else []
+        done = [v for v in done if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{v}/_SUCCESS"))]
+        if not done:
+            return
+        self.version = max(done)
+        kept = json.loads(spark.read.text(f"{self.path}/manifests/{self.version}").first()["value"])
+        self.min_len, self.buckets, self.texts, self.found = kept["min_len"], kept["buckets"], kept["texts"], kept["found"]
+        for batches, name, path, arrays in kept["levels"]:
+            if not spark.catalog.tableExists(name):
+                spark.sql(f"CREATE TABLE {name} (anchor BIGINT, n BIGINT) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) "
+                          f"INTO {self.buckets} BUCKETS LOCATION '{path}'")
+            self.levels.append((batches, name, path, [(spark.read.schema(ENTRY).parquet(a), a) for a in arrays]))
+
+    def _commit(self) -> None:
+        levels = [(n, name, path, [a for _, a in arrays]) for n, name, path, arrays in self.levels]
+        kept = {"min_len": self.min_len, "buckets": self.buckets, "texts": self.texts, "found": self.found, "levels": levels}
+        manifest = f"{self.path}/manifests/{self.version + 1}"
+        self.spark.createDataFrame([(json.dumps(kept),)], "value string").coalesce(1).write.mode("overwrite").text(manifest)
+        if self.version:
+            self.needless.append(f"{self.path}/manifests/{self.version}")
+        self.version += 1
+        discard(self.spark, *self.needless)
+        self.needless = []
+
+    def _new(self, kind: str) -> str:
+        return f"{self.path}/{kind}/{uuid.uuid4().hex}" if self.path else shared_path(self.spark, kind)
 
     def _heads(self, df: DataFrame) -> tuple[str, str]:
         """Write (anchor, n) as a bucketed, sorted table -> (name, path)."""
-        path = shared_path(self.spark, "heads")
-        name = "heads_" + path.split("/")[-2]
+        path, name = self._new("heads"), f"heads_{uuid.uuid4().hex}"
         df.write.format("parquet").bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", path).saveAsTable(name)
         return name, path
 
     def _forget(self, name: str, path: str) -> None:
         self.spark.sql(f"DROP TABLE {name}")
-        discard(self.spark, path)
+        if self.path:
+            self.needless.append(path)  # the last manifest still names it
+        else:
+            discard(self.spark, path)
 
     def insert(self, array: DataFrame, path: str, hits: str) -> DataFrame:
         """array, which lies at ``path`` -> (anchor), written to ``hits``: heads of it that occur twice in
@@ -177,6 +225,32 @@ class SuffixIndex:
             self._forget(y, older)
         return found
 
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+        """One more batch of documents for a family that is kept: its suffix array is merge-scanned against
+        all levels, the suffixes whose heads recur are compared, and the ranges that are now known to be
+        repeated, in this batch or an earlier one, are kept with it. Texts of earlier batches are read
+        where a head of theirs recurs. Rows as in remove_repeats(); a batch without rows is one too."""
+        spark, texts, spans = self.spark, self._new("texts"), self._new("spans")
+        rows = written(row_key(docs, id_col).select("_k1", "_k2", _bytes(text_col).alias("_t")), "texts", texts)
+        path = self._new("arrays")
+        array = written(suffix_entries(rows, self.min_len).sortWithinPartitions("anchor"), "arrays", path)
+        with scratch(spark):
+            hits = self.insert(array, path, shared_path(spark, "hits")).distinct()
+            self.texts.append(texts)
+            again = written(self.suffixes().join(hits, "anchor", "left_semi"), "again")
+            spans_of(spark.read.schema(rows.schema).parquet(*self.texts), again, self.min_len, spans)
+        self.found.append(spans)
+        self._commit()
+
+    def spans(self) -> DataFrame:
+        """(_k1, _k2, s, e): all ranges that the batches given to add() have shown to be repeated."""
+        return self.spark.read.schema(SPANS).parquet(*self.found) if self.found else self.spark.createDataFrame([], SPANS)
+
+    def remove_repeats(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", valid_text: bool = False) -> DataFrame:
+        """remove_repeats() of documents that were given to add(), in whichever batches: judged by all
+        batches so far. Documents that were never added stay whole."""
+        return cut_rows(row_key(docs, id_col), self.spans(), text_col, valid_text)
+
     def suffixes(self) -> DataFrame:
         arrays = [df for level in self.levels for df, _ in level[3]]
         out = arrays[0]
@@ -186,9 +260,11 @@ class SuffixIndex:
 
     def drop(self) -> None:
         for _, name, path, arrays in self.levels:
-            self._forget(name, path)
-            discard(self.spark, *[p for _, p in arrays])
-        self.levels = []
+            self.spark.sql(f"DROP TABLE {name}")
+            discard(self.spark, path, *[p for _, p in arrays])
+        if self.path:
+            discard(self.spark, self.path)
+        self.levels, self.texts, self.found, self.version, self.needless = [], [], [], 0, []
 
 
 def merged_heads(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -210,7 +286,7 @@ def new_arrays(rows: DataFrame, min_len: int, batches: int) -> list[tuple[DataFr
 def _grams_again(rows: DataFrame, min_len: int, batches: int) -> DataFrame:
     """Written: the suffixes of all texts whose gram occurs more than once."""
     spark = rows.sparkSession
-    index, found, hits = SuffixIndex(spark), None, shared_path(spark, "hits")
+    index, found, hits = SuffixIndex(spark, min_len=min_len), None, shared_path(spark, "hits")
     for k, (array, path) in enumerate(new_arrays(rows, min_len, batches)):
         new = index.insert(array, path, f"{hits}/{k}")
         found = new if found is None else found.unionByName(new)
@@ -308,13 +384,20 @@ def _compare(contexts: DataFrame, min_len: int) -> DataFrame:
         if held and (out := spans(pd.concat(held, ignore_index=True))) is not None:
             yield out
 
-    return rows.mapInPandas(scan, "_k1 long, _k2 long, s int, e int")
+    return rows.mapInPandas(scan, SPANS)
 
 
 def repeated_spans(rows: DataFrame, min_len: int = 200, batches: int = 3) -> DataFrame:
     """rows (_k1, _k2, _t binary) -> (_k1, _k2, s, e): byte ranges that are covered by strings of
     ``min_len`` bytes which start at least twice in all texts. Ranges of a text may overlap."""
-    again = _grams_again(rows, min_len, batches)
+    path = shared_path(rows.sparkSession, "spans")
+    with scratch(rows.sparkSession):
+        return spans_of(rows, _grams_again(rows, min_len, batches), min_len, path)
+
+
+def spans_of(rows: DataFrame, again: DataFrame, min_len: int, path: str) -> DataFrame:
+    """Compare the suffixes ``again`` of the texts in rows (_k1, _k2, _t), all those of their heads -> the
+    repeated ranges SPANS, written to ``path``."""
     run = ["anchor", "block", "d", "n"]
     blocks = written(again.groupBy(*run).agg(F.count(F.lit(1)).alias("times"), F.min("_k1").alias("_k1"),
                                              F.min_by(F.struct("_k2", "l"), F.struct("_k1", "_k2", "l")).alias("rep")), "blocks")
@@ -342,9 +425,7 @@ def repeated_spans(rows: DataFrame, min_len: int = 200, batches: int = 3) -> Dat
         twice = w.groupBy("anchor", "d", "h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
         out = out.unionByName(w.where("edge").join(twice, ["anchor", "d", "h"]).select(
             "_k1", "_k2", F.col("l").alias("s"), (F.col("l") + F.lit(min_len)).cast("int").alias("e")))
-    out = written(out, "spans")
-    discard(rows.sparkSession)
-    return out
+    return written(out, "spans", path)
 
 
 def _cut_udf(valid_text: bool):
@@ -383,13 +464,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anywhere else too, in this text or another; all are judged on the input. Repeated rows are other
     places. Null text is empty; a text shorter than ``min_len`` bytes stays whole. Ids may be null or
     repeat. With ``valid_text`` the bytes of a character cut in two go as well. Empty table: no rows."""
-    keyed, text = row_key(docs, id_col), F.coalesce(field(text_col).cast("binary"), F.lit(b""))
-    spans = repeated_spans(keyed.select("_k1", "_k2", text.alias("_t")), min_len, batches)
+    keyed = row_key(docs, id_col)
+    return cut_rows(keyed, repeated_spans(keyed.select("_k1", "_k2", _bytes(text_col).alias("_t")), min_len, batches), text_col, valid_text)
+
+
+def _bytes(text_col: str):
+    return F.coalesce(field(text_col).cast("binary"), F.lit(b""))
+
+
+def cut_rows(keyed: DataFrame, spans: DataFrame, text_col: str, valid_text: bool) -> DataFrame:
+    """row_key() rows without the ranges of their text."""
     # collect_set: a text has no more ranges than bytes, and equal rows bring equal ranges
     by_text = spans.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     cut = _cut_udf(valid_text)(F.when(F.col("spans").isNotNull(), F.col("_t")), F.col("spans"))
     # the row alone is shuffled, with its text in it once
-    return keyed.join(by_text.hint("shuffle_merge"), ["_k1", "_k2"], "left").withColumn("_t", text).withColumn("_c", cut).select(
+    return keyed.join(by_text.hint("shuffle_merge"), ["_k1", "_k2"], "left").withColumn("_t", _bytes(text_col)).withColumn("_c", cut).select(
         "_row", F.coalesce("_c.kept", "_t").alias("kept"), F.octet_length("_t").cast("long").alias("n_bytes"),
         F.col("_c.n_removed").alias("n_removed"), F.col("_c.n_spans").alias("n_spans"))
 
