@@ -124,10 +124,13 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+SHARD_BYTES = 1 << 20  # small enough to split a corpus of a few megabytes
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verba.llm.sharding import shard
 
-    return shard(_table(spark, sf_dir, "documents"), limit=64 << 20).drop("_k1", "_k2")
+    return shard(_table(spark, sf_dir, "documents"), limit=SHARD_BYTES).drop("_k1", "_k2")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
