@@ -53,12 +53,16 @@ ORACLE_SQL = None  # the stages hash, train and tokenize in ways that SQL cannot
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each stage's rows are written as Parquet and read again."""
-    from verba.llm.common import written
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage{k}")
-    return docs
+    """Apply the stages to documents; each stage's rows are written as Parquet and read again. What a stage
+    wrote on its way goes once its rows are there, and its rows once the next stage's are."""
+    from verba.llm.common import discard, scratch, shared_path, written
+
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        path = shared_path(spark, f"stage{k}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), f"stage{k}", path)
+        if before:
+            discard(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
