@@ -410,7 +410,8 @@ def spans_of(rows: DataFrame, again: DataFrame, min_len: int, path: str) -> Data
     whole = marked.where("hot").select(*again.columns).unionByName(some.select(*again.columns)).select(
         "_k1", "_k2", F.col("l").alias("s"), (F.col("l") + F.col("n") + F.lit(min_len)).cast("int").alias("e"))
     # the others that share their gram match in part: at the edges of a repeated string
-    shared = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("times").alias("low")).where("m > 1 AND low = 1")
+    # written, so that both sides of the join are plain shuffles and adaptive execution splits a gram with many runs
+    shared = written(blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("times").alias("low")).where("m > 1 AND low = 1"), "shared")
     part = written(blocks.join(shared, "anchor").select(
         "_k1", F.col("rep._k2").alias("_k2"), "anchor", F.col("rep.l").alias("l"), "d", "n",
         (F.col("times") == 1).alias("edge"), (F.col("m") > GROUP).alias("hot")), "edges")
