@@ -398,9 +398,10 @@ def repeated_spans(rows: DataFrame, min_len: int = 200, batches: int = 3) -> Dat
 def spans_of(rows: DataFrame, again: DataFrame, min_len: int, path: str) -> DataFrame:
     """Compare the suffixes ``again`` of the texts in rows (_k1, _k2, _t), all those of their heads -> the
     repeated ranges SPANS, written to ``path``."""
-    run = ["anchor", "block", "d", "n"]
+    run, spark = ["anchor", "block", "d", "n"], rows.sparkSession
+    own = [shared_path(spark, "blocks"), shared_path(spark, "shared")]
     blocks = written(again.groupBy(*run).agg(F.count(F.lit(1)).alias("times"), F.min("_k1").alias("_k1"),
-                                             F.min_by(F.struct("_k2", "l"), F.struct("_k1", "_k2", "l")).alias("rep")), "blocks")
+                                             F.min_by(F.struct("_k2", "l"), F.struct("_k1", "_k2", "l")).alias("rep")), "blocks", own[0])
     # a run whose bytes occur whole elsewhere: all its windows are repeated. Runs of a share of all suffixes are
     # few whatever the input, and are known by a broadcast list: their suffixes are dealt nowhere by run
     common = max(HOT_RUN, again.count() // HOT_RUNS)
@@ -409,24 +410,30 @@ def spans_of(rows: DataFrame, again: DataFrame, min_len: int, path: str) -> Data
     some = marked.where("hot IS NULL").join(blocks.where((F.col("times") > 1) & (F.col("times") <= common)).select(*run), run)
     whole = marked.where("hot").select(*again.columns).unionByName(some.select(*again.columns)).select(
         "_k1", "_k2", F.col("l").alias("s"), (F.col("l") + F.col("n") + F.lit(min_len)).cast("int").alias("e"))
+    # written before the texts are dealt, so that the shuffles of all suffixes are gone by then
+    written(whole, "spans", path)
+    del marked, some, hot, whole
     # the others that share their gram match in part: at the edges of a repeated string
     # written, so that both sides of the join are plain shuffles and adaptive execution splits a gram with many runs
-    shared = written(blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("times").alias("low")).where("m > 1 AND low = 1"), "shared")
+    shared = written(blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("times").alias("low")).where("m > 1 AND low = 1"), "shared", own[1])
     part = written(blocks.join(shared, "anchor").select(
         "_k1", F.col("rep._k2").alias("_k2"), "anchor", F.col("rep.l").alias("l"), "d", "n",
         (F.col("times") == 1).alias("edge"), (F.col("m") > GROUP).alias("hot")), "edges")
+    del blocks, shared
+    discard(spark, *own)  # the runs left to compare name all that is needed of them
 
     def texts(x):
         runs = x.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("anchor", "l", "d", "n", "edge")).alias("x"))
         return rows.join(runs.hint("shuffle_merge"), ["_k1", "_k2"])
 
-    out = whole.unionByName(_compare(_contexts(texts(part.where("NOT hot")), min_len, False), min_len))
+    out = _compare(_contexts(texts(part.where("NOT hot")), min_len, False), min_len)
     if not part.where("hot").isEmpty():
         w = written(_contexts(texts(part.where("hot")), min_len, True).distinct(), "windows")
         twice = w.groupBy("anchor", "d", "h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
         out = out.unionByName(w.where("edge").join(twice, ["anchor", "d", "h"]).select(
             "_k1", "_k2", F.col("l").alias("s"), (F.col("l") + F.lit(min_len)).cast("int").alias("e")))
-    return written(out, "spans", path)
+    out.write.mode("append").parquet(path)
+    return spark.read.schema(SPANS).parquet(path)
 
 
 def _cut_udf(valid_text: bool):
