@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verba.operators.scan import running
-from verba.session import materialize
+from verba.session import materialize, partitions
 
 # ---- fixed values ----
 ALLOWED_BATCH_SIZES = (1, 4, 8, 16, 64, 128, 256)
@@ -231,10 +231,113 @@ MOVES = {("new", "start"): "processing", ("processing", "ok"): "processing", ("p
          ("processing", "complete"): "completed", ("processing", "fail"): "failed"}
 
 
+FIGURES = ("texts", "last", "failed", "rejected", "total")
+
+
 def _part(state, texts, last, failed, rejected, total) -> Column:
     n = lambda c: c if isinstance(c, Column) else F.lit(c)
-    return F.struct(n(state).cast("int").alias("state"), *[n(c).cast("long").alias(k) for k, c in (
-        ("texts", texts), ("last", last), ("failed", failed), ("rejected", rejected), ("total", total))])
+    return F.struct(n(state).cast("int").alias("state"), *[n(c).cast("long").alias(k) for k, c in zip(
+        FIGURES, (texts, last, failed, rejected, total), strict=True)])
+
+
+def _folder():
+    """What folds sorted events in a task: batches of (job_id, e, total, _p) -> batches of (job_id, _p, s, state, FIGURES),
+    a row for each job and each state s that the job may be in before its events here. _p is null where a job has
+    no events in other partitions: then s is "new" alone."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    k, kinds = len(STATES), len(EVENTS) + 1
+    table = np.array([[STATES.index(MOVES[s, e]) if (s, e) in MOVES else -1 for e in (*EVENTS, None)] for s in STATES])
+    # a map of states is a number in base k, its digits the states that states 0, 1, ... go to
+    digits = np.arange(k ** k)[:, None] // k ** np.arange(k) % k
+    after = np.zeros((k ** k, k ** k), dtype=np.uint16)  # [second, first]
+    for s in range(k):
+        after += (digits[:, digits[:, s]] * k ** s).astype(np.uint16)
+    moves = (np.where(table >= 0, table, np.arange(k)[:, None]) * (k ** np.arange(k))[:, None]).sum(0).astype(np.uint16)
+
+    def figures(at, e, total, known):
+        """Events e with their totals (known where there is one), jobs beginning at ``at`` -> arrays [s, job] by name."""
+        n = len(e)
+        job = np.repeat(np.arange(len(at)), np.diff(np.append(at, n)))
+        place = np.arange(n) - at[job]
+        so_far, step = moves[e], 1  # the map of all events of a job up to each, by doubling
+        while step <= place.max():
+            so_far = np.concatenate([so_far[:step], np.where(place[step:] >= step, after[so_far[step:], so_far[:-step]], so_far[step:])])
+            step *= 2
+        ends = np.append(at[1:], n) - 1
+        out = {name: np.zeros((k, len(at)), dtype=np.int64) for name in ("state", *FIGURES)}
+        out["known"] = np.zeros((k, len(at)), dtype=bool)
+        for s in range(k):
+            state = np.full(n, s)
+            state[1:] = np.where(place[1:] > 0, digits[so_far[:-1], s], s)
+            legal = table[state, e] >= 0
+            text = legal & ((e == 1) | (e == 2))
+            texts = np.cumsum(text)
+            texts -= (texts[at] - text[at])[job]
+            out["state"][s] = digits[so_far[ends], s]
+            out["texts"][s] = texts[ends]
+            out["last"][s] = np.maximum.reduceat(np.where(legal & (e == 1), texts, 0), at)
+            out["failed"][s] = np.add.reduceat((legal & (e == 2)).astype(np.int64), at)
+            out["rejected"][s] = np.add.reduceat((~legal).astype(np.int64), at)
+            start = np.maximum.reduceat(np.where(legal & (e == 0), np.arange(n), -1), at)  # the last legal start
+            out["known"][s] = (start >= 0) & known[start]
+            out["total"][s] = np.where(out["known"][s], total[start], 0)
+        return out
+
+    def then(a, b):
+        """Figures [s, 1] of a job's events, and of those after them -> of all of them."""
+        b = {name: v[a["state"][:, 0]] for name, v in b.items()}
+        out = {name: a[name] + b[name] for name in ("texts", "failed", "rejected")}
+        out["last"] = np.where(b["last"] > 0, a["texts"] + b["last"], a["last"])
+        out["total"], out["known"] = np.where(b["known"], b["total"], a["total"]), a["known"] | b["known"]
+        return out | {"state": b["state"]}
+
+    def same(a, b):
+        """Which ids of a equal those of b; nulls are equal."""
+        null = pc.and_(pc.is_null(a), pc.is_null(b))
+        return np.asarray(pc.or_(null, pc.fill_null(pc.equal(a, b), False)))
+
+    def rows(ids, p, got, edges):
+        n = len(ids)
+        s = np.concatenate([np.zeros(n, dtype=np.int64)] + [np.full(int(edges.sum()), i) for i in range(1, k)])
+        j = np.concatenate([np.arange(n)] + [np.flatnonzero(edges)] * (k - 1))
+        cols = {name: got[name][s, j] for name in ("state", *FIGURES)}
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(j)), pa.array(np.full(len(j), p, dtype=np.int32), mask=~edges[j]), pa.array(s.astype(np.int32)),
+             pa.array(cols["state"].astype(np.int32)), *[pa.array(cols[name]) for name in FIGURES[:-1]],
+             pa.array(cols["total"], mask=~got["known"][s, j])], names=["job_id", "_p", "s", "state", *FIGURES])
+
+    def fold(batches):
+        held, p, first = None, 0, True  # the job that the batch before ended with: its id and figures
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, p = b.column("job_id"), b.column("_p")[0].as_py()
+            begins = np.ones(len(ids), dtype=bool)
+            begins[1:] = ~same(ids.slice(1), ids.slice(0, len(ids) - 1))
+            at = np.flatnonzero(begins)
+            total = b.column("total")
+            got = figures(at, np.asarray(b.column("e")), np.asarray(pc.fill_null(total, 0)), ~np.asarray(pc.is_null(total)))
+            ids = ids.take(pa.array(at))
+            if held is not None:
+                if same(held[0], ids.slice(0, 1))[0]:
+                    whole = then(held[1], {name: v[:, :1] for name, v in got.items()})
+                    got = {name: np.concatenate([whole[name], v[:, 1:]], axis=1) for name, v in got.items()}
+                else:
+                    ids = pa.concat_arrays([held[0], ids])
+                    got = {name: np.concatenate([held[1][name], v], axis=1) for name, v in got.items()}
+            n = len(ids) - 1
+            held = ids.slice(n), {name: v[:, n:] for name, v in got.items()}
+            if n:
+                edges = np.zeros(n, dtype=bool)
+                edges[0], first = first, False
+                yield rows(ids.slice(0, n), p, {name: v[:, :n] for name, v in got.items()}, edges)
+        if held is not None:
+            yield rows(held[0], p, held[1], np.ones(1, dtype=bool))
+
+    return fold
 
 
 def fold_job_events(log: DataFrame) -> DataFrame:
@@ -247,35 +350,30 @@ def fold_job_events(log: DataFrame) -> DataFrame:
 
     An event is a function on states, and functions compose: each range partition folds its part of a
     job for every state that the job may be in when the part begins, and the parts of a job, a row per
-    partition, are composed in order. So a job with a third of all events is folded by many tasks."""
-    n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partition, are composed in order. So a job with a third of all events is folded by many tasks. Only the first
+    and the last job of a partition can have parts elsewhere; the others are done where they lie."""
     code = F.coalesce(*[F.when(F.col("event") == e, F.lit(k)) for k, e in enumerate(EVENTS)], F.lit(len(EVENTS)))
-    rows = materialize(log.select("job_id", "ts", "seq", code.alias("e"), F.col("total").cast("long"))
-                       .repartitionByRange(n, "job_id", "ts", "seq").withColumn("_p", F.spark_partition_id()))
-    table = F.array(*[F.lit(STATES.index(MOVES[s, e]) if (s, e) in MOVES else -1) for s in STATES for e in (*EVENTS, None)])
-    null = F.lit(None).cast("long")
-
-    def moved(a, x):
-        to = F.element_at(table, a["state"] * (len(EVENTS) + 1) + x["e"] + 1)
-        legal = to >= 0
-        is_text = legal & x["e"].isin(1, 2)
-        texts = a["texts"] + is_text.cast("long")
-        return _part(F.when(legal, to).otherwise(a["state"]), texts, F.when(legal & (x["e"] == 1), texts).otherwise(a["last"]),
-                     a["failed"] + (legal & (x["e"] == 2)).cast("long"), a["rejected"] + (~legal).cast("long"),
-                     F.when(legal & (x["e"] == 0), x["total"]).otherwise(a["total"]))
-
-    fresh = F.array(*[_part(k, 0, 0, 0, 0, null) for k in range(len(STATES))])
-    events = F.sort_array(F.collect_list(F.struct("ts", "seq", "e", "total")))  # a job's part in one range partition
-    parts = rows.groupBy("_p", "job_id").agg(events.alias("x")).select(
-        "job_id", "_p", F.aggregate("x", fresh, lambda acc, x: F.transform(acc, lambda a: moved(a, x))).alias("f"))
+    # written, since the bounds of the ranges are found by a pass of its own, which would make the log anew
+    events = materialize(log.select("job_id", "ts", "seq", code.alias("e"), F.col("total").cast("long")))
+    order = ["job_id", "ts", "seq"]
+    dealt = events.repartitionByRange(partitions(events), *order).sortWithinPartitions(*order, "e", "total")
+    # ... and the parts, which must come from the same bounds
+    types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    parts = materialize(dealt.select("job_id", "e", "total", F.spark_partition_id().alias("_p")).mapInArrow(
+        lambda batches: _folder()(batches),
+        f"job_id {types['job_id']}, _p int, s int, state int, " + ", ".join(f"{c} long" for c in FIGURES)))
 
     def then(a, part):
         b = part["f"][a["state"]]
         return _part(b["state"], a["texts"] + b["texts"], F.when(b["last"] > 0, a["texts"] + b["last"]).otherwise(a["last"]),
                      a["failed"] + b["failed"], a["rejected"] + b["rejected"], F.coalesce(b["total"], a["total"]))
 
-    whole = parts.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("_p", "f"))).alias("x"))  # a row per partition at most
-    out = whole.select("job_id", F.aggregate("x", _part(0, 0, 0, 0, 0, null), then).alias("s"))
+    figures = F.struct("state", *FIGURES)
+    of = parts.where("_p IS NOT NULL").groupBy("job_id", "_p").agg(F.sort_array(F.collect_list(F.struct("s", figures.alias("f")))).alias("x"))
+    of = of.select("job_id", "_p", F.transform("x", lambda x: x["f"]).alias("f"))  # two rows per partition at most
+    spread = of.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("_p", "f"))).alias("x"))
+    spread = spread.select("job_id", F.aggregate("x", _part(0, 0, 0, 0, 0, F.lit(None).cast("long")), then).alias("s"))
+    out = parts.where("_p IS NULL").select("job_id", figures.alias("s")).unionByName(spread)
     done = F.col("s.state") == STATES.index("completed")
     processed = F.when(done, F.coalesce("s.total", "s.texts")).otherwise(F.col("s.last"))
     pct = F.when(done, F.lit(100)).otherwise(F.coalesce(F.try_divide(processed * 100, F.col("s.total")), F.lit(0.0)).cast("int"))
