@@ -298,35 +298,47 @@ def _grams_again(rows: DataFrame, min_len: int, batches: int) -> DataFrame:
     return again
 
 
-def _contexts(joined: DataFrame, min_len: int, windows: bool) -> DataFrame:
-    """joined (_k1, _k2, _t, x array of runs) -> a row for each run with the bytes it covers, or, with
-    ``windows``, a row for each of its windows with the window's hash."""
-    schema = "anchor long, _k1 long, _k2 long, l int, d int, n int, edge boolean, " + ("h long" if windows else "ctx binary")
+def _contexts(joined: DataFrame, min_len: int) -> DataFrame:
+    """joined (_k1, _k2, _t, x array of runs) -> a row for each run with the bytes it covers."""
 
-    def cut(batches, min_len=min_len, windows=windows):
-        import numpy as np
+    def cut(batches, min_len=min_len):
         import pandas as pd
 
-        _, ladder, window = _hashes()
-        names = ["anchor", "_k1", "_k2", "l", "d", "n", "edge", "h" if windows else "ctx"]
+        names = ["anchor", "_k1", "_k2", "l", "d", "n", "edge", "hot", "ctx"]
         for part in batches:
             out = []
             for k1, k2, text, runs in zip(part["_k1"], part["_k2"], part["_t"], part["x"], strict=True):
-                for r in runs:
-                    ctx = text[r["l"]: r["l"] + r["n"] + min_len]
-                    if not windows:
-                        out.append((r["anchor"], k1, k2, r["l"], r["d"], r["n"], r["edge"], ctx))
-                        continue
-                    steps = ladder(np.frombuffer(ctx, dtype=np.uint8), GRAM)
-                    h = window(steps, np.arange(r["n"] + 1), min_len).view(np.int64)
-                    out.extend((r["anchor"], k1, k2, r["l"] + j, r["d"] - j, 0, r["edge"], int(x)) for j, x in enumerate(h))
+                out.extend((r["anchor"], k1, k2, r["l"], r["d"], r["n"], r["edge"], r["hot"], text[r["l"]: r["l"] + r["n"] + min_len]) for r in runs)
                 if len(out) >= 20_000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    return joined.mapInPandas(cut, schema)
+    return joined.mapInPandas(cut, "anchor long, _k1 long, _k2 long, l int, d int, n int, edge boolean, hot boolean, ctx binary")
+
+
+def _windows(contexts: DataFrame, min_len: int) -> DataFrame:
+    """A row for each window of the contexts: h is a hash of its gram, the gram's place in it and its bytes."""
+
+    def cut(batches, min_len=min_len):
+        import numpy as np
+        import pandas as pd
+
+        comb, ladder, window = _hashes()
+        for part in batches:
+            for lo in range(0, len(part), 2000):
+                f = part.iloc[lo: lo + 2000]
+                n, size = f["n"].to_numpy().astype(np.int64) + 1, f["ctx"].str.len().to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                h = window(ladder(np.frombuffer(b"".join(f["ctx"]), dtype=np.uint8), GRAM), (np.cumsum(size) - size)[row] + j, min_len)
+                d = f["d"].to_numpy().astype(np.int64)[row] - j
+                h = comb(comb(h, f["anchor"].to_numpy().view(np.uint64)[row]), d.view(np.uint64))
+                yield pd.DataFrame({"h": h.view(np.int64), "_k1": f["_k1"].to_numpy()[row], "_k2": f["_k2"].to_numpy()[row],
+                                    "l": (f["l"].to_numpy()[row] + j).astype("int32"), "edge": f["edge"].to_numpy()[row]})
+
+    return contexts.mapInPandas(cut, "h long, _k1 long, _k2 long, l int, edge boolean")
 
 
 def _compare(contexts: DataFrame, min_len: int) -> DataFrame:
@@ -399,7 +411,7 @@ def spans_of(rows: DataFrame, again: DataFrame, min_len: int, path: str) -> Data
     """Compare the suffixes ``again`` of the texts in rows (_k1, _k2, _t), all those of their heads -> the
     repeated ranges SPANS, written to ``path``."""
     run, spark = ["anchor", "block", "d", "n"], rows.sparkSession
-    own = [shared_path(spark, "blocks"), shared_path(spark, "shared")]
+    own, edges = [shared_path(spark, "blocks"), shared_path(spark, "shared")], shared_path(spark, "edges")
     blocks = written(again.groupBy(*run).agg(F.count(F.lit(1)).alias("times"), F.min("_k1").alias("_k1"),
                                              F.min_by(F.struct("_k2", "l"), F.struct("_k1", "_k2", "l")).alias("rep")), "blocks", own[0])
     # a run whose bytes occur whole elsewhere: all its windows are repeated. Runs of a share of all suffixes are
@@ -418,19 +430,22 @@ def spans_of(rows: DataFrame, again: DataFrame, min_len: int, path: str) -> Data
     shared = written(blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("times").alias("low")).where("m > 1 AND low = 1"), "shared", own[1])
     part = written(blocks.join(shared, "anchor").select(
         "_k1", F.col("rep._k2").alias("_k2"), "anchor", F.col("rep.l").alias("l"), "d", "n",
-        (F.col("times") == 1).alias("edge"), (F.col("m") > GROUP).alias("hot")), "edges")
+        (F.col("times") == 1).alias("edge"), (F.col("m") > GROUP).alias("hot")), "edges", edges)
     del blocks, shared
     discard(spark, *own)  # the runs left to compare name all that is needed of them
 
-    def texts(x):
-        runs = x.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("anchor", "l", "d", "n", "edge")).alias("x"))
-        return rows.join(runs.hint("shuffle_merge"), ["_k1", "_k2"])
-
-    out = _compare(_contexts(texts(part.where("NOT hot")), min_len, False), min_len)
-    if not part.where("hot").isEmpty():
-        w = written(_contexts(texts(part.where("hot")), min_len, True).distinct(), "windows")
-        twice = w.groupBy("anchor", "d", "h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-        out = out.unionByName(w.where("edge").join(twice, ["anchor", "d", "h"]).select(
+    # the texts are dealt once, for the grams with many contexts too, and their shuffle is gone before the compare
+    runs = part.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("anchor", "l", "d", "n", "edge", "hot")).alias("x"))
+    contexts = written(_contexts(rows.join(runs.hint("shuffle_merge"), ["_k1", "_k2"]), min_len), "contexts")
+    del part, runs
+    discard(spark, edges)
+    out = _compare(contexts.where("NOT hot"), min_len)
+    if not contexts.where("hot").isEmpty():
+        # an edge run's text occurs once, so its windows do too; rows that are equal in all count as often as they
+        # occur, and are no edge. The counts are written, so that adaptive execution splits a common window's rows
+        w = written(_windows(contexts.where("hot"), min_len), "windows")
+        twice = written(w.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"), "twice")
+        out = out.unionByName(w.where("edge").join(twice, "h").select(
             "_k1", "_k2", F.col("l").alias("s"), (F.col("l") + F.lit(min_len)).cast("int").alias("e")))
     out.write.mode("append").parquet(path)
     return spark.read.schema(SPANS).parquet(path)
